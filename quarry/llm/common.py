@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,21 +63,66 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-class _Hashes(dict):
-    """64-bit hashes of words; forgets all once it holds too many, so memory stays bounded."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-
-HASHES = _Hashes()
-
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(HASHES.__getitem__, words), dtype=U64, count=len(words))
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_STRETCH = 1 << 19
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """MIX^i and MIX^-i modulo 2^64 for i below n at least."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        inverse = pow(MIX, -1, 1 << 64)
+        size = max(n, _STRETCH + 4096)
+        _POWERS[:] = [np.multiply.accumulate(np.concatenate(([U64(1)], np.full(size - 1, m, dtype=U64)))) for m in (MIX, inverse)]
+    return _POWERS[0], _POWERS[1]
+
+
+def hash_words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of UTF-8 text, and where they start. Works on stretches cut at white space, so memory
+    stays bounded however long the text is; a hash depends on its word alone."""
+    hashes, starts, at = [np.zeros(0, U64)], [np.zeros(0, np.int64)], 0
+    whole = np.frombuffer(data, dtype=np.uint8)
+    while at < len(whole):
+        end = min(len(whole), at + _STRETCH)
+        while end < len(whole) and not _SPACE[whole[end]]:
+            stop = min(len(whole), end + 4096)
+            gap = np.flatnonzero(_SPACE[whole[end:stop]])
+            end = end + int(gap[0]) if len(gap) else stop
+        part = whole[at:end]
+        edge = np.diff(np.concatenate(([True], _SPACE[part], [True])).astype(np.int8))
+        first, last = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        up, down = _powers(len(part) + 1)
+        sums = np.concatenate((np.zeros(1, U64), np.cumsum((part.astype(U64) + U64(1)) * up[: len(part)], dtype=U64)))
+        hashes.append(finalise((sums[last] - sums[first]) * down[first]))
+        starts.append(first + at)
+        at = end
+    return np.concatenate(hashes), np.concatenate(starts)
+
+
+def encode(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "surrogatepass")
+
+
+def hashed_texts(texts: list[str | None], lower: bool = False, size: int = 1 << 21) -> Iterator[np.ndarray]:
+    """The word hashes of every text, in order, computed for many short texts at once."""
+    group: list[bytes] = []
+
+    def done() -> Iterator[np.ndarray]:
+        data = b"\n".join(group) + b"\n"
+        h, starts = hash_words(data.lower() if lower else data)
+        ends = np.cumsum([len(x) + 1 for x in group])
+        yield from np.split(h, np.searchsorted(starts, ends)[:-1])
+
+    held = 0
+    for t in texts:
+        group.append(encode(t))
+        held += len(group[-1])
+        if held >= size:
+            yield from done()
+            group, held = [], 0
+    if group:
+        yield from done()
 
 
 def finalise(h: np.ndarray) -> np.ndarray:
@@ -110,3 +155,12 @@ def long_ngrams(hashes: np.ndarray, n: int) -> np.ndarray:
         run = finalise(run[: len(run) - w] * U64(MIX) + run[w:])
         w *= 2
     return finalise(run[:m] * U64(0xC2B2AE3D27D4EB4F) + run[n - w : n - w + m]) if w < n else run[:m]
+
+
+#: Ids up to this number may be broadcast (8 bytes each); beyond it, they are joined by shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def small(df: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
+    """df, to be broadcast if it is a kept table of at most so many rows."""
+    return F.broadcast(df) if df.count() <= most else df

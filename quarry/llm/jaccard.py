@@ -9,7 +9,7 @@ the result.
 
 Links then follow in two rounds. First every set meets the smallest set of each of its prefix n-grams (rows in
 proportion to the entries, however large a group is), pairs that size or position bounds exclude are dropped, overlaps
-are counted on whole sets, and components are formed. Then, in columns that still hold several components, the members
+are counted by classes of columns, which bounds them, and for pairs that remain on whole sets, and components are formed. Then, in columns that still hold several components, the members
 outside the column's largest component meet the members of other components; nothing meets within a component. So
 all links between components are found, and a group of thousands of near copies costs a row each.
 
@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import MIX, U64, Scratch, finalise, ngrams, pick, word_hashes
+from quarry.llm.common import MIX, U64, Scratch, finalise, hashed_texts, ngrams, pick, small
 from quarry.llm.components import components
 
 WORDS, PERCENT = 5, 75
@@ -39,18 +39,21 @@ COMMON_IN_BATCH, COMMON, MOST_COMMON = 4, 64, 100_000
 BLOCK = 1_000_000
 
 
-def shingle_set(text: str | None, n: int = WORDS) -> np.ndarray:
-    """Sorted distinct 64-bit fingerprints of the text's n-grams."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
+def shingle_set(h: np.ndarray, n: int = WORDS) -> np.ndarray:
+    """Sorted distinct 64-bit fingerprints of the n-grams of a text with these word hashes."""
+    if not len(h):
         return np.zeros(0, dtype=U64)
-    h = word_hashes(words)
-    if len(words) < n:
-        out = np.array([len(words)], dtype=U64)
+    if len(h) < n:
+        out = np.array([len(h)], dtype=U64)
         for x in h:
             out = finalise(out * U64(MIX) + x)
         return out
-    return np.unique(ngrams(h, n))
+    out = np.sort(ngrams(h, n))
+    return out[np.concatenate(([True], out[1:] != out[:-1]))]
+
+
+def shingle_sets(texts: list[str | None], n: int) -> Iterator[np.ndarray]:
+    return (shingle_set(h, n) for h in hashed_texts(texts, lower=True))
 
 
 def prefix_length(n: int, percent: int = PERCENT) -> int:
@@ -63,8 +66,8 @@ def summaries(documents: DataFrame, n: int = WORDS) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingle_set(x, n) for x in b.column(1).to_pylist()]
-            keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
+            sets = list(shingle_sets(b.column(1).to_pylist(), n))
+            keys = [xxhash.xxh3_128_digest(s) if len(s) else None for s in sets]
             first = {k: s for k, s in zip(keys, sets, strict=True) if k}  # equal sets count once
             g, c = np.unique(np.concatenate([*first.values(), np.zeros(0, U64)]), return_counts=True)
             g, c = g[c >= COMMON_IN_BATCH].view(np.int64), c[c >= COMMON_IN_BATCH]
@@ -78,68 +81,122 @@ def summaries(documents: DataFrame, n: int = WORDS) -> DataFrame:
 
 def prefix_entries(documents: DataFrame, common: np.ndarray, blocks: int, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Packed prefix entries by column block: block, and arrays g, doc_id, n, at (place in the set's order). Entries of
-    listed n-grams come as rows of block -1, since they are known to be shared."""
+    listed n-grams, which are known to be shared, go in equal parts to blocks below 0 that only pass them on."""
     names = ["block", "g", "doc_id", "n", "at"]
-    rank = np.argsort(np.argsort(common)) if len(common) else common  # place in the list, rarer first
-    order = np.sort(common)
-    place = np.empty(len(common), dtype=np.int64)
-    place[rank] = np.arange(len(common))
+    by = np.argsort(common)
+    order, place = common[by], by + 1  # the list is rarer first
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             seen, parts = set(), ([], [], [], [], [])
-            rows = sorted((d, t) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if d is not None and t)
-            for doc, text in rows:
-                s = shingle_set(text, n)
-                key = xxhash.xxh3_128_digest(s.tobytes())
-                if not len(s) or key in seen:
+            ids, texts = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_pylist()
+            rows = sorted((i for i in range(len(ids)) if ids[i] == ids[i] and ids[i] is not None), key=lambda i: ids[i])
+            for i, s in zip(rows, shingle_sets([texts[i] for i in rows], n), strict=True):
+                if not len(s) or (key := s.tobytes() if len(s) < 4 else xxhash.xxh3_128_digest(s)) in seen:
                     continue  # the batch's smallest document stands for equal sets
                 seen.add(key)
+                want = prefix_length(len(s), percent)
                 listed = np.zeros(len(s), dtype=np.int64)
                 if len(order):
-                    i = np.minimum(np.searchsorted(order, s), len(order) - 1)
-                    listed = np.where(order[i] == s, place[i] + 1, 0)
-                by = np.lexsort((s, listed))[: prefix_length(len(s), percent)]
-                for c, v in zip(parts, (s[by], np.full(len(by), doc), np.full(len(by), len(s)), np.arange(len(by)), listed[by] > 0), strict=True):
+                    j = np.minimum(np.searchsorted(order, s), len(order) - 1)
+                    hit = order[j] == s
+                    listed[hit] = place[j[hit]]
+                    if hit.any():
+                        s = s[np.argsort(listed, kind="stable")]
+                        listed.sort()
+                for c, v in zip(parts, (s[:want], np.full(want, int(ids[i])), np.full(want, len(s)), np.arange(want), listed[:want] > 0), strict=True):
                     c.append(v)
             if not parts[0]:
                 continue
             g, doc, size, at, listed = map(np.concatenate, parts)
-            block = np.where(listed, -1, (g % U64(blocks)).astype(np.int64))
-            by = np.argsort(block, kind="stable")
-            block, g, doc, size, at = block[by], g[by].view(np.int64), doc[by], size[by], at[by]
+            block = (g % U64(blocks)).astype(np.int64)
+            block = np.where(listed, -1 - doc % blocks, block)
+            o = np.argsort(block, kind="stable")
+            block, g, doc, size, at = block[o], g[o].view(np.int64), doc[o], size[o], at[o]
             starts = np.concatenate(([0], np.flatnonzero(np.diff(block)) + 1, [len(block)]))
+            step = np.diff(doc, prepend=0)  # differences take less room
+            step[starts[:-1]] = doc[starts[:-1]]
             cut = pa.array(starts, pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(block[starts[:-1]].astype(np.int32)), *(pa.ListArray.from_arrays(cut, pa.array(x.astype(t))) for x, t in ((g, np.int64), (doc, np.int64), (size, np.int32), (at, np.int32)))], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(block[starts[:-1]].astype(np.int32)), *(pa.ListArray.from_arrays(cut, pa.array(x.astype(t))) for x, t in ((g, np.int64), (step, np.int64), (size, np.int32), (at, np.int32)))], names=names)
 
     return documents.mapInArrow(work, "block int, g array<long>, doc_id array<long>, n array<int>, at array<int>")
 
 
 def _shared(rows: pd.DataFrame) -> pd.DataFrame:
-    """Of one column block: the entries of n-grams with two or more entries."""
-    g, doc, n, at = (np.concatenate(rows[c].to_numpy()) for c in ("g", "doc_id", "n", "at"))
-    by = np.argsort(g, kind="stable")
+    """Of one column block: the entries of n-grams with two or more entries, each with the first document of its n-gram
+    (null where the n-gram is a listed one, which other blocks hold too)."""
+    g, n, at = (np.concatenate(rows[c].to_numpy()) for c in ("g", "n", "at"))
+    doc = np.concatenate([np.cumsum(x) for x in rows["doc_id"]])
+    if rows["block"].iloc[0] < 0:
+        return pd.DataFrame({"g": g, "doc_id": doc, "n": n, "at": at, "a": pd.array([None] * len(g), "Int64"), "na": pd.array([None] * len(g), "Int64"), "ia": pd.array([None] * len(g), "Int64")})
+    by = np.lexsort((doc, g))
     g, doc, n, at = g[by], doc[by], n[by], at[by]
-    same = np.concatenate(([False], g[1:] == g[:-1], [False]))
-    keep = same[1:] | same[:-1]
-    return pd.DataFrame({"g": g[keep], "doc_id": doc[keep], "n": n[keep], "at": at[keep]})
+    new = np.concatenate(([True], g[1:] != g[:-1]))
+    head = np.flatnonzero(new)
+    size = np.diff(np.append(head, len(g)))
+    first = np.repeat(head, size)
+    keep = np.repeat(size > 1, size)
+    out = {"g": g, "doc_id": doc, "n": n, "at": at, "a": doc[first], "na": n[first], "ia": at[first]}
+    return pd.DataFrame({k: v[keep] for k, v in out.items()})
+
+
+def profile(s: np.ndarray) -> bytes:
+    """How many n-grams of a set fall into each of 256, 1024 or 4096 (by its size) classes of columns, two bytes each."""
+    m = 256 if len(s) < 512 else 1024 if len(s) < 4096 else 4096
+    return np.minimum(np.bincount((s >> U64(20)).astype(np.int64) & (m - 1), minlength=m), 65_535).astype(np.uint16).tobytes()
+
+
+def overlap_bound(a: bytes, b: bytes) -> int:
+    """At least the overlap of two sets with these profiles: the sum over classes of the smaller count."""
+    x, y = np.frombuffer(a, np.uint16).astype(np.int64), np.frombuffer(b, np.uint16).astype(np.int64)
+    m = min(len(x), len(y))
+    x, y = x.reshape(-1, m).sum(0), y.reshape(-1, m).sum(0)
+    least = np.minimum(x, y)
+    return 1 << 60 if least.max() >= 65_535 else int(least.sum())  # a full counter says nothing
+
+
+def _closer(pairs: DataFrame, documents: DataFrame, scratch: Scratch, name: str, n: int, percent: int) -> DataFrame:
+    """Of candidate pairs (a, b), those that overlaps counted by classes of columns leave possible."""
+    pairs = scratch.keep(pairs, f"{name}-candidates")
+    ids = scratch.keep(pairs.select("a").union(pairs.select("b")).distinct().select(F.col("a").alias("doc_id")), f"{name}-ids")
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = list(shingle_sets(b.column(1).to_pylist(), n))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, sets), pa.int64()), pa.array(map(profile, sets), pa.binary())], names=["doc_id", "n", "profile"])
+
+    known = documents.where("text is not null").join(small(ids), "doc_id", "left_semi").mapInArrow(describe, "doc_id long, n long, profile binary")
+    known = scratch.keep(known, f"{name}-profiles")
+    side = lambda x: known.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("profile").alias(f"p{x}"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            most = np.array([overlap_bound(x, y) for x, y in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)], dtype=np.int64)
+            size = b.column(2).to_numpy() + b.column(3).to_numpy()
+            keep = pa.array(100 * np.minimum(most, size) >= percent * (size - np.minimum(most, size)))
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["a", "b"])
+
+    both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "na", "nb", "pa", "pb")
+    return both.mapInArrow(work, "a long, b long").distinct()
 
 
 def _links(pairs: DataFrame, documents: DataFrame, scratch: Scratch, name: str, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough."""
     pairs = scratch.keep(pairs, f"{name}-pairs")
-    wanted = pairs.select("a").union(pairs.select("b")).distinct().select(F.col("a").alias("doc_id"))
+    wanted = scratch.keep(pairs.select("a").union(pairs.select("b")).distinct().select(F.col("a").alias("doc_id")), f"{name}-wanted")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingle_set(x, n).view(np.int64) for x in b.column(1).to_pylist()]
+            sets = [s.view(np.int64) for s in shingle_sets(b.column(1).to_pylist(), n)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "grams"])
 
-    sets = scratch.keep(documents.where("text is not null").join(wanted, "doc_id").mapInArrow(work, "doc_id long, grams array<long>"), f"{name}-sets")
-    left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("ga")), "a")
-    both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("gb")), "b")
+    sets = scratch.keep(documents.where("text is not null").join(small(wanted), "doc_id", "left_semi").mapInArrow(work, "doc_id long, grams array<long>"), f"{name}-sets")
+    left = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("gb")), "b")
+    both = left.join(sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("ga")), "a")
     both = both.select("a", "b", F.size(F.array_intersect("ga", "gb")).alias("i"), (F.size("ga") + F.size("gb")).alias("s"))
-    return scratch.keep(both.where(100 * F.col("i") >= percent * (F.col("s") - F.col("i"))).select("a", "b").distinct(), f"{name}-links")
+    out = scratch.keep(both.where(100 * F.col("i") >= percent * (F.col("s") - F.col("i"))).select("a", "b").distinct(), f"{name}-links")
+    scratch.remove(f"{name}-sets")
+    return out
 
 
 def _possible(percent: int) -> str:
@@ -156,39 +213,36 @@ def near_duplicates(documents: DataFrame, n: int = WORDS, percent: int = PERCENT
     docs = both.where("kind = 0").select("doc_id", "n", "key")
     listed = both.where("kind = 1").groupBy("g").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON).orderBy(F.desc("n"), "g").limit(MOST_COMMON)
     common = np.array([r.g for r in listed.collect()][::-1], dtype=np.int64).view(U64)  # rarer first
-    # one document stands for all of equal sets
+    # the smallest document stands for all of equal sets; it has all their entries itself
     least = scratch.keep(docs.where("doc_id is not null and key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("top")), "least")
-    copies = docs.join(least.where("rep < top").select("key", "rep"), "key").where("doc_id > rep").select("doc_id", "rep").distinct()
-    copies = scratch.keep(copies, "copies")
+    copies = scratch.keep(docs.join(least.where("rep < top").select("key", "rep"), "key").where("doc_id > rep").select("doc_id", "rep").distinct(), "copies")
 
     total = docs.agg(F.coalesce(F.sum((100 - percent) * F.col("n") / 100 + 1), F.lit(0))).first()[0]
-    blocks = int(total // BLOCK) * 4 + 12
-    packed = scratch.keep(prefix_entries(d, common, blocks, n, percent), "packed")
-    entry = "g long, doc_id long, n int, at int"
-    rare = packed.where("block >= 0").groupBy("block").applyInPandas(_shared, entry)
-    known = packed.where("block < 0").select(F.explode(F.arrays_zip("g", "doc_id", "n", "at")).alias("e")).select("e.*")
-    entries = rare.unionByName(known).join(copies, "doc_id", "left").select("g", F.coalesce("rep", "doc_id").alias("doc_id"), "n", "at")
-    entries = scratch.keep(entries.groupBy("g", "doc_id", "n").agg(F.min("at").alias("at")), "entries")
-    scratch.remove("packed")
-
-    head = scratch.keep(entries.groupBy("g").agg(F.min(F.struct("doc_id", "n", "at")).alias("x"), F.max("doc_id").alias("top")).where("x.doc_id < top").select("g", F.col("x.doc_id").alias("a"), F.col("x.n").alias("na"), F.col("x.at").alias("ia")), "heads")
-    e = entries.select("g", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib"))
-    stars = e.join(head, "g").where("a < b").where(_possible(percent)).select("a", "b").distinct()
-    links = _links(stars, d, scratch, "stars", n, percent)
+    blocks = int(total // BLOCK) * 2 + 12
+    packed = prefix_entries(d, common, blocks, n, percent)
+    entries = packed.groupBy("block").applyInPandas(_shared, "g long, doc_id long, n int, at int, a long, na int, ia int")
+    entries = scratch.keep(entries.join(small(copies.select("doc_id")), "doc_id", "left_anti"), "entries")
+
+    e = entries.select("g", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib"), "a", "na", "ia")
+    known = e.where("a is null").drop("a", "na", "ia")
+    head = scratch.keep(known.groupBy("g").agg(F.min(F.struct("b", "nb", "ib")).alias("x"), F.max("b").alias("top")).where("x.b < top").select("g", F.col("x.b").alias("a"), F.col("x.nb").alias("na"), F.col("x.ib").alias("ia")), "heads")
+    stars = e.where("a is not null").unionByName(known.join(head, "g")).where("a < b").where(_possible(percent)).select("a", "b").distinct()
+    links = _links(_closer(stars, d, scratch, "stars", n, percent), d, scratch, "stars", n, percent)
     roots = components(links, scratch, "first")
 
     # columns that still hold several components
-    e = entries.join(roots.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-    e = scratch.keep(e, "rooted")
+    roots = roots.select(F.col("node").alias("doc_id"), "root")
+    e = entries.select("g", "doc_id", "n", "at").join(small(roots), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
     open_ = e.groupBy("g", "root").agg(F.count("*").alias("m")).groupBy("g").agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.count("*").alias("k")).where("k > 1").select("g", "main")
     open_ = scratch.keep(open_, "open")
+    e = scratch.keep(e.join(open_, "g"), "rooted")
     side = lambda x, y: (F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("at").alias(f"i{x}"), F.col("root").alias(y))
-    probes = e.join(open_, "g").where("root <> main").select("g", "main", *side("a", "ra"))
-    bases = e.join(open_.select("g"), "g").select("g", *side("b", "rb"))
+    probes = e.where("root <> main").select("g", "main", *side("a", "ra"))
+    bases = e.select("g", *side("b", "rb"))
     # two probes meet once, from the smaller document
     rest = probes.join(bases, "g").where("ra <> rb and (rb = main or a < b)").where(_possible(percent))
     rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = _links(rest, d, scratch, "rest", n, percent)
+    more = _links(_closer(rest, d, scratch, "rest", n, percent), d, scratch, "rest", n, percent)
     pairs = links.unionByName(more).unionByName(copies.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
     roots = components(pairs, scratch, "last")
     out = docs.join(roots, docs.doc_id == roots.node, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))

@@ -15,6 +15,7 @@ judged; where the patterns hold but one class, or the table is empty, all docume
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Scratch, ngrams, pick, word_hashes
+from quarry.llm.common import Scratch, encode, hash_words, ngrams, pick
 from quarry.llm.rules import SYMBOLS, WINDOW
 
 DIMS = 1 << 16
@@ -66,9 +67,8 @@ def signals(text: str, words: list[bytes], hashes: np.ndarray) -> dict[str, floa
 
 
 def _words(text: str | None) -> tuple[str, list[bytes], np.ndarray]:
-    text = text or ""
-    words = text.encode("utf-8", "surrogatepass").split()
-    return text, words, word_hashes(words)
+    data = encode(text)
+    return text or "", data.split(), hash_words(data)[0]
 
 
 def votes(text: str | None) -> str:
@@ -88,7 +88,7 @@ def _shape(word: bytes) -> int:
     if h is None:
         if len(_SHAPES) > 300_000:
             _SHAPES.clear()
-        h = _SHAPES[word] = int(word_hashes([b"shape " + re.sub(rb"(.)\1+", rb"\1+", word.translate(SHAPE), flags=re.S)])[0])
+        h = _SHAPES[word] = zlib.crc32(re.sub(rb"(.)\1+", rb"\1+", word.translate(SHAPE), flags=re.S), 1)
     return h
 
 
@@ -103,7 +103,7 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
             out_at.append(at.astype(np.int64))
             out_value.append(value / np.sqrt((value**2).sum()))
     if words:
-        bands = [int(word_hashes([f"{k} {sum(v > e for e in EDGES)}".encode()])[0]) % DIMS for k, v in signals(text, words, hashes).items()]
+        bands = [zlib.crc32(f"{k} {sum(v > e for e in EDGES)}".encode()) % DIMS for k, v in signals(text, words, hashes).items()]
         out_at.append(np.array(bands, dtype=np.int64))
         out_value.append(np.full(len(bands), 0.7))
     return (np.concatenate(out_at), np.concatenate(out_value)) if out_at else (np.zeros(0, np.int64), np.zeros(0))

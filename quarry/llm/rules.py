@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import WHITE, Scratch, ngrams, pick, word_hashes
+from quarry.llm.common import WHITE, Scratch, encode, hash_words, ngrams, pick
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -42,11 +42,12 @@ MAX_LABELLED = 20_000
 def count(text: str | None) -> tuple[int, ...]:
     """COUNTS of one text."""
     text = text or ""
-    words = text.encode("utf-8", "surrogatepass").split()
+    data = encode(text)
+    words = data.split()
     n = len(words)
     lines = [x for x in text.split("\n") if x.strip(WHITE)]
     repeated = 0
-    windows = ngrams(word_hashes(words), WINDOW)
+    windows = ngrams(hash_words(data)[0], WINDOW)
     if len(windows) > 1:
         _, inverse, counts = np.unique(windows, return_inverse=True, return_counts=True)
         if counts.max() > 1:

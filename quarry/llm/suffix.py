@@ -27,16 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Scratch, long_ngrams, pick, word_hashes
+from quarry.llm.common import Scratch, hashed_texts, long_ngrams, pick, small
 
 MIN_WORDS, ANCHOR = 50, 16
 TOKEN = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
-def fingerprints(text: str | None, min_words: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
+def fingerprints(hashes: np.ndarray, min_words: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
     """Of every run of anchor words, and of every run of min_words words."""
-    h = word_hashes((text or "").encode("utf-8", "surrogatepass").split())
-    return long_ngrams(h, anchor), long_ngrams(h, min_words)
+    return long_ngrams(hashes, anchor), long_ngrams(hashes, min_words)
 
 
 def minimisers(fp: np.ndarray, window: int) -> np.ndarray:
@@ -60,8 +59,8 @@ def retained(texts: DataFrame, min_words: int, anchor: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             parts: tuple[list, ...] = ([], [], [], [])
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                short, long = fingerprints(text, min_words, anchor)
+            for h in hashed_texts(b.column(1).to_pylist()):
+                short, long = fingerprints(h, min_words, anchor)
                 at = minimisers(short, min_words - anchor + 1)
                 body = np.zeros(len(at), dtype=np.uint64)
                 has = at < len(long)
@@ -89,8 +88,8 @@ def runs(texts: DataFrame, anchors: DataFrame, min_words: int, anchor: int) -> D
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps, docs, ats = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for doc, text, places in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                _, long = fingerprints(text, min_words, anchor)
+            for doc, h, places in zip(b.column(0).to_pylist(), hashed_texts(b.column(1).to_pylist()), b.column(2).to_pylist(), strict=True):
+                long = long_ngrams(h, min_words)
                 if not len(long):
                     continue
                 shared = np.zeros(len(long) + min_words, dtype=np.int64)
@@ -111,6 +110,8 @@ def runs(texts: DataFrame, anchors: DataFrame, min_words: int, anchor: int) -> D
                 ats.append(i)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(fps).view(np.int64)), pa.array(np.concatenate(docs)), pa.array(np.concatenate(ats).astype(np.int32))], names=["run", "doc_id", "at"])
 
+    # texts without a shared anchor need not be shuffled while the ids of those with one are few enough to broadcast
+    texts = texts.join(small(anchors.select("doc_id")), "doc_id", "left_semi")
     return texts.join(anchors, "doc_id").select("doc_id", "text", "places").mapInArrow(work, "run long, doc_id long, at int")
 
 
@@ -132,6 +133,7 @@ def _spans(documents: DataFrame, scratch: Scratch, min_words: int, anchor: int)
     bodies = scratch.keep(_earlier(shared.where("body is not null"), "body"), "bodies")
     known = scratch.keep(shared.join(bodies, "body", "left").select("doc_id", "at", "first_doc", "first_at").distinct(), "known")
     anchors = known.groupBy("doc_id").agg(F.collect_list(F.struct("at", "first_doc", "first_at")).alias("places"))
+    anchors = scratch.keep(anchors, "anchors")
     found = scratch.keep(runs(texts, anchors, min_words, anchor), "runs")
     again = scratch.keep(_earlier(found, "run"), "again")
     hits = found.join(again, "run").select("doc_id", "at", "first_doc", "first_at").unionByName(known.where("first_doc is not null"))

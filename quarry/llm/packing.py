@@ -4,7 +4,8 @@ Pieces are dealt into shards of a bounded number. Within a shard only the counts
 length are interchangeable, so an individual is a list of bins of lengths. Several islands evolve a shard from different
 seeds, then pass their elite on to the next island of the ring and evolve again. Crossover injects whole well-filled
 bins of one parent into the other, removes the bins that now hold too many of a length, and puts the displaced lengths
-back by best fit. An island stops at once when it meets the lower bound of its shard, total length over capacity.
+back by best fit. Pieces as long as the capacity are
+sequences of their own. An island stops at once when it meets a lower bound of its shard, which proves it best.
 
 Defined results: a null text is empty, one sequence end; repeated rows are packed each; an empty table packs nothing.
 """
@@ -107,6 +108,58 @@ def best_fit(lengths: list[int], capacity: int, bins: list[list[int]] = ()) -> l
     return out.bins
 
 
+def exact_fit(counts: dict[int, int], capacity: int) -> list[list[int]]:
+    """Longest first; each is joined by the longest one or two others that fill its bin, else by best fit at the end."""
+    n = [0] * (capacity + 1)
+    for x, k in counts.items():
+        n[x] = k
+    bins = []
+    for a in range(capacity, 0, -1):
+        while n[a]:
+            n[a] -= 1
+            room, bin_ = capacity - a, [a]
+            x = min(room, a)
+            if room and room <= a and n[room]:
+                bin_.append(room)
+            else:
+                while 2 * x >= room > 0:
+                    y = room - x
+                    if n[x] and y and n[y] and (x != y or n[x] > 1):
+                        bin_ += [x, y]
+                        break
+                    x -= 1
+                else:
+                    # no exact fill: the longest partner that fits, as best fit would
+                    x = next((x for x in range(min(room, a), 0, -1) if n[x]), 0)
+                    bin_ += [x] * bool(x)
+            for x in bin_[1:]:
+                n[x] -= 1
+            bins.append(bin_)
+    if not bins:
+        return bins
+    last = [b for b in bins if sum(b) < capacity // 2]  # what is left at the end is packed anew
+    return best_fit(sorted((x for b in last for x in b), reverse=True), capacity, [b for b in bins if sum(b) >= capacity // 2])
+
+
+def least_bins(counts: dict[int, int], capacity: int) -> int:
+    """A lower bound. For every threshold a up to half the capacity: lengths over capacity - a share with none from a
+    on, those over half not with each other, and what they leave open must do for the rest (Martello and Toth's L2)."""
+    n = [0] * (capacity + 2)
+    for x, k in counts.items():
+        n[x] = k
+    best = -(-sum(x * k for x, k in counts.items()) // capacity)
+    half = capacity // 2
+    single, pair, pair_sum = 0, sum(n[half + 1 :]), sum(x * n[x] for x in range(half + 1, capacity + 1))
+    small = sum(x * n[x] for x in range(1, half + 1))
+    for a in range(1, half + 1):
+        x = capacity - a + 1  # longer than capacity - a from now on
+        if x > half:
+            single, pair, pair_sum = single + n[x], pair - n[x], pair_sum - x * n[x]
+        best = max(best, single + pair + max(0, -(-(small - (pair * capacity - pair_sum)) // capacity)))
+        small -= a * n[a]
+    return best
+
+
 def fitness(bins: list[list[int]], capacity: int) -> tuple[int, float]:
     """Lower is better: bins, then how evenly they are filled (well-filled bins beside poor ones are better)."""
     return len(bins), -sum((sum(b) / capacity) ** 2 for b in bins)
@@ -131,15 +184,18 @@ def crossover(a: list[list[int]], b: list[list[int]], capacity: int, rng: random
     return best_fit(sorted((+left).elements(), reverse=True), capacity, [*inject, *kept])
 
 
-def evolve(counts: dict[int, int], elites: list[list[list[int]]], capacity: int, seed: int, generations: int = 12, size: int = 6) -> list[list[int]]:
+def evolve(counts: dict[int, int], elites: list[list[list[int]]], capacity: int, seed: int, generations: int = 8, size: int = 5) -> list[list[int]]:
     """The best packing an island finds, from its elites or, without them, from best fit in different orders."""
     rng = random.Random(seed)
     lengths = sorted((x for x, n in counts.items() for _ in range(n)), reverse=True)
-    bound = -(-sum(lengths) // capacity)
+    bound = least_bins(counts, capacity)
     people = [*elites]
     while len(people) < size:
         if people and len(min(people, key=len)) <= bound:
             break
+        if len(people) == 0 and seed % ISLANDS == 1:
+            people.append(exact_fit(counts, capacity))
+            continue
         order = lengths if len(people) == 0 and seed % ISLANDS == 0 else sorted(lengths, key=lambda x: -x * rng.uniform(0.9, 1.0))
         people.append(best_fit(order, capacity))
     people.sort(key=lambda p: fitness(p, capacity))
@@ -170,7 +226,7 @@ def pack_sequences(documents: DataFrame, capacity: int = CAPACITY, end: int = EN
     pieces = scratch.keep(tokenise(documents, capacity, end, path, ranks).withColumn("row", F.monotonically_increasing_id()), "pieces")
     shards = max(1, -(-pieces.count() // shard))
     pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)))
-    counts = pieces.groupBy("shard", "length").agg(F.count("*").alias("n"))
+    counts = pieces.where(F.col("length") < capacity).groupBy("shard", "length").agg(F.count("*").alias("n"))
     counts = scratch.keep(counts.groupBy("shard").agg(F.map_from_entries(F.collect_list(F.struct("length", "n"))).alias("counts")), "counts")
     islands = counts.select("shard", "counts", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"))
     n = min(max(partitions(spark), 1), shards * ISLANDS)
@@ -187,7 +243,7 @@ def pack_sequences(documents: DataFrame, capacity: int = CAPACITY, end: int = EN
         found = scratch.keep(found, f"round{round_}")
         # an island's elite stays and goes to the next of the ring
         moved = found.select("shard", F.explode(F.array("island", ((F.col("island") + 1) % ISLANDS).cast("int"))).alias("island"), "best")
-        elites = moved.groupBy("shard", "island").agg(F.collect_set("best").alias("elites"))
+        elites = scratch.keep(moved.groupBy("shard", "island").agg(F.collect_set("best").alias("elites")), f"elites{round_}")
     n_bins = F.aggregate(F.from_json("best", "array<array<int>>"), F.lit(0).cast("long"), lambda a, b: a + b[0])
     best = found.groupBy("shard").agg(F.min_by("best", F.struct(n_bins, "island")).alias("best"))
 
@@ -195,7 +251,8 @@ def pack_sequences(documents: DataFrame, capacity: int = CAPACITY, end: int = EN
         items = items.sort_values(["length", "doc_id", "piece", "row"])
         queue = {k: list(v) for k, v in items.groupby("length").indices.items()}
         where, offset = [0] * len(items), [0] * len(items)
-        for k, bin_ in enumerate(_unpack(plan["best"].iloc[0])):
+        bins = _unpack(plan["best"].iloc[0]) if len(plan) else []
+        for k, bin_ in enumerate(bins + [[capacity]] * len(queue.get(capacity, ()))):
             at = 0
             for x in bin_:
                 i = queue[x].pop()

@@ -3,8 +3,8 @@
 Vectors are integers, floor(scale * x). Rows are dealt into blocks; each block holds, per dimension, its rows sorted by
 value and cut into posting segments of equal quantised value. For a query, the segments of all dimensions are taken by
 descending impact, the most that a row of the segment can gain over the least in that dimension. The scores gathered
-so far are lower bounds; what the segments still to come may add is the same for every row. Once only few rows can
-still reach the k-th lower bound, which proves that no other row is among the best, those rows are scored exactly.
+so far are lower bounds; what is still to come in a dimension is at most its next segment's impact. Rows that can no
+longer reach a proven k-th score are not among the best; once enough are ruled out, the possible rest is scored exactly.
 The best of all blocks are merged by query. Queries, a stated part of the rows, meet candidates block by block.
 
 Defined results: vectors that are null, empty or hold null, NaN, infinite or out-of-range (2^31 or more) components,
@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 from quarry.llm.common import Scratch, pick
 
 BLOCK, QUERY_BLOCK = 8_192, 1_024
-#: Values of one segment share this many low bits; at most this part of a block is scored exactly before segments end.
-SHIFT, FEW = 4, 64
+#: Values of one segment differ in this many low bits. A block is looked at once these parts of its postings are taken;
+#: the segments end when the bound leaves at most the part POSSIBLE of the rows, and those are scored exactly.
+SHIFT, LOOKS, POSSIBLE = 4, (0.5, 0.75, 1.0), 0.5
 
 
 class Block:
@@ -39,60 +40,52 @@ class Block:
         starts = np.searchsorted(inverse[by], np.arange(len(self.x) + 1))
         self.members = [by[a : min(b, a + k + 1)] for a, b in zip(starts[:-1], starts[1:], strict=True)]
         self.n, self.d = self.x.shape
-        self.order = np.argsort(self.x, axis=0, kind="stable").T.copy()
-        self.value = np.take_along_axis(self.x.T, self.order, axis=1)
-        level = self.value >> SHIFT
-        self.cuts = [np.concatenate(([0], np.flatnonzero(np.diff(level[j])) + 1, [self.n])) for j in range(self.d)]
+        # doubles hold these products exactly as long as they stay below 2^53
+        self.exact = self.x.astype(np.float64) if self.d * int(np.abs(self.x).max()) ** 2 < 1 << 53 else self.x
+        # postings, dimension after dimension, by value; and their segments
+        order = np.argsort(self.x, axis=0, kind="stable").T
+        value = np.take_along_axis(self.x.T, order, axis=1)
+        level = value >> SHIFT
+        new = np.concatenate((np.ones((self.d, 1), dtype=bool), level[:, 1:] != level[:, :-1]), axis=1).ravel()
+        self.post, self.value = order.astype(np.int32).ravel(), value.ravel()
+        self.begin = np.flatnonzero(new)
+        self.length = np.diff(np.append(self.begin, self.n * self.d))
+        self.dim = self.begin // self.n
+        self.low, self.high = self.value[self.begin], self.value[self.begin + self.length - 1]
+        self.least, self.most = value[:, 0], value[:, -1]
 
     def search(self, q: np.ndarray, own: int) -> list[tuple[int, int]]:
         """The k best (score, id) for a query whose own row is not a candidate."""
         k = self.k + 1  # one may be the query's own
-        dims, begin, end, impact = [], [], [], []
-        least = np.where(q >= 0, q * self.value[:, 0], q * self.value[:, -1])
-        for j in np.flatnonzero(q):
-            c = self.cuts[j]
-            a, b = c[:-1], c[1:]
-            top = q[j] * (self.value[j, b - 1] if q[j] > 0 else self.value[j, a]) - least[j]
-            dims.append(np.full(len(a), j))
-            begin.append(a)
-            end.append(b)
-            impact.append(top)
-        if not dims:
+        if self.n <= 64 * k or not q.any():
             return self._exact(np.arange(self.n), q, own)
-        dims_, begin_, end_, impact_ = map(np.concatenate, (dims, begin, end, impact))
-        by = np.argsort(-impact_, kind="stable")
-        dims_, begin_, end_, impact_ = dims_[by], begin_[by], end_[by], impact_[by]
-        # what is open after the first i segments: by dimension the impact of its next segment
-        following = np.zeros(len(by), dtype=np.int64)
-        last: dict[int, int] = {}
-        nxt = impact_.copy()
-        for i, j in enumerate(dims_):
-            if j in last:
-                following[last[j]] = nxt[i]
-            last[j] = i
-        first = np.zeros(self.d, dtype=np.int64)
-        first[dims_[::-1]] = impact_[::-1]
-        remaining = first.sum() - np.cumsum(nxt - following)
-        score = np.zeros(self.n)
-        work = np.cumsum(end_ - begin_)
-        at, step = 0, max(1, work[-1] // 6)
-        while at < len(by):
-            to = min(len(by), int(np.searchsorted(work, (work[at - 1] if at else 0) + step)) + 1)
-            part = range(at, to)
-            rows = np.concatenate([self.order[dims_[i], begin_[i] : end_[i]] for i in part])
-            gain = np.concatenate([self.value[dims_[i], begin_[i] : end_[i]] * q[dims_[i]] - least[dims_[i]] for i in part])
-            score += np.bincount(rows, weights=gain, minlength=self.n)
-            at = to
-            if self.n <= k:
+        base = np.where(q >= 0, q * self.least, q * self.most)  # the least a dimension can give
+        qs = q[self.dim]
+        impact = np.where(qs >= 0, qs * self.high, qs * self.low) - base[self.dim]
+        by = np.argsort(-impact, kind="stable")
+        by = by[impact[by] > 0]  # segments of no impact add nothing
+        dim, impact, length, begin = self.dim[by], impact[by], self.length[by], self.begin[by]
+        work = np.cumsum(length)
+        after = np.zeros(self.d, dtype=np.int64)
+        for goal in LOOKS:
+            to = min(len(by), int(np.searchsorted(work, goal * work[-1])) + 1)
+            # a row that has not come up yet in a dimension gains at most the impact of its next segment there
+            after[:] = 0
+            after[dim[to:][::-1]] = impact[to:][::-1]
+            n = length[:to]
+            flat = np.arange(n.sum()) + np.repeat(begin[:to] - np.concatenate(([0], np.cumsum(n)[:-1])), n)
+            over = self.value[flat] * np.repeat(q[dim[:to]], n) - np.repeat((base + after)[dim[:to]], n)
+            score = np.bincount(self.post[flat], weights=over, minlength=self.n)
+            # the k-th exact score among the leaders so far is a lower bound of the k-th best
+            leaders = np.argpartition(score, self.n - 4 * k)[self.n - 4 * k :]
+            bar = np.sort(self.x[leaders] @ q)[-k] - base.sum() - after.sum()
+            possible = np.flatnonzero(score >= bar)
+            if len(possible) <= self.n * POSSIBLE:
                 break
-            bar = np.partition(score, self.n - k)[self.n - k]
-            possible = np.flatnonzero(score + float(remaining[at - 1]) >= bar)
-            if len(possible) <= FEW * k:
-                return self._exact(possible, q, own)
-        return self._exact(np.arange(self.n) if self.n <= k else np.flatnonzero(score >= np.partition(score, self.n - k)[self.n - k]), q, own)
+        return self._exact(possible, q, own)
 
     def _exact(self, possible: np.ndarray, q: np.ndarray, own: int) -> list[tuple[int, int]]:
-        scores = self.x[possible] @ q
+        scores = (self.exact[possible] @ q.astype(self.exact.dtype)).astype(np.int64)
         out = []
         for i in np.argsort(-scores, kind="stable"):
             if len(out) >= self.k and scores[i] < out[self.k - 1][0]:

@@ -177,7 +177,7 @@ def _closer(pairs: DataFrame, documents: DataFrame, scratch: Scratch, name: str,
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["a", "b"])
 
     both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "na", "nb", "pa", "pb")
-    return both.mapInArrow(work, "a long, b long").distinct()
+    return both.mapInArrow(work, "a long, b long")
 
 
 def _links(pairs: DataFrame, documents: DataFrame, scratch: Scratch, name: str, n: int, percent: int) -> DataFrame:
@@ -194,7 +194,7 @@ def _links(pairs: DataFrame, documents: DataFrame, scratch: Scratch, name: str,
     left = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("gb")), "b")
     both = left.join(sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("ga")), "a")
     both = both.select("a", "b", F.size(F.array_intersect("ga", "gb")).alias("i"), (F.size("ga") + F.size("gb")).alias("s"))
-    out = scratch.keep(both.where(100 * F.col("i") >= percent * (F.col("s") - F.col("i"))).select("a", "b").distinct(), f"{name}-links")
+    out = scratch.keep(both.where(100 * F.col("i") >= percent * (F.col("s") - F.col("i"))).select("a", "b"), f"{name}-links")
     scratch.remove(f"{name}-sets")
     return out
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +26,21 @@ def scratch_root(spark: SparkSession) -> str:
     return sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir().rsplit("/", 1)[0]
 
 
+#: Rows of an Arrow batch while operators run: whole texts travel in them, in the JVM and in Python workers alike.
+ARROW_ROWS = 1_000
+
+
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, rows: int = ARROW_ROWS) -> Iterator[None]:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 class Scratch:
     """Tables that cut lineage: written once as Parquet in the shared folder, dropped when no longer needed."""
 
@@ -33,7 +49,8 @@ class Scratch:
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.path}/{name}"
-        df.write.parquet(path)
+        with arrow_rows(self.spark):
+            df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def remove(self, name: str = "") -> None:
@@ -43,7 +60,8 @@ class Scratch:
 
     def finish(self, df: DataFrame) -> DataFrame:
         """A copy of df that Spark itself cleans up once nothing refers to it; all other tables go."""
-        out = df.checkpoint()
+        with arrow_rows(self.spark):
+            out = df.checkpoint()
         self.remove()
         return out
 
@@ -104,7 +122,13 @@ def encode(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-def hashed_texts(texts: list[str | None], lower: bool = False, size: int = 1 << 21) -> Iterator[np.ndarray]:
+def lazily(column, rows: int = 256) -> Iterator:
+    """The values of an Arrow column as Python objects, few at a time, so that a batch is never held twice."""
+    for i in range(0, len(column), rows):
+        yield from column.slice(i, rows).to_pylist()
+
+
+def hashed_texts(texts: Iterable[str | None], lower: bool = False, size: int = 1 << 19) -> Iterator[np.ndarray]:
     """The word hashes of every text, in order, computed for many short texts at once."""
     group: list[bytes] = []
 

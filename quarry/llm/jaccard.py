@@ -20,21 +20,23 @@ each get a row, and share a component if any of them is linked; a row without do
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import MIX, U64, Scratch, finalise, hashed_texts, ngrams, pick, small
+from quarry.llm.common import MIX, U64, Scratch, finalise, hashed_texts, lazily, ngrams, pick, small
 from quarry.llm.components import components
 
 WORDS, PERCENT = 5, 75
-#: n-grams held by this many documents or more of one batch's kind are ordered last; at most so many are listed.
-COMMON_IN_BATCH, COMMON, MOST_COMMON = 4, 64, 100_000
+#: An n-gram is listed as common if COMMON documents or more hold it, counted where COMMON_IN_BATCH or more of a stretch
+#: of HELD n-grams do; at most MOST_COMMON are listed.
+COMMON_IN_BATCH, COMMON, MOST_COMMON, HELD = 4, 64, 100_000, 3_000_000
 #: Entries of one column block.
 BLOCK = 1_000_000
 
@@ -52,7 +54,7 @@ def shingle_set(h: np.ndarray, n: int = WORDS) -> np.ndarray:
     return out[np.concatenate(([True], out[1:] != out[:-1]))]
 
 
-def shingle_sets(texts: list[str | None], n: int) -> Iterator[np.ndarray]:
+def shingle_sets(texts: Iterable[str | None], n: int) -> Iterator[np.ndarray]:
     return (shingle_set(h, n) for h in hashed_texts(texts, lower=True))
 
 
@@ -62,19 +64,31 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
 
 
 def summaries(documents: DataFrame, n: int = WORDS) -> DataFrame:
-    """kind 0: doc_id, n (set size), key (128 bits of the set); kind 1: g, n: n-grams that several documents of a batch hold."""
+    """kind 0: doc_id, n (set size), key (128 bits of the set); kind 1: g, n: n-grams that several documents of a stretch of HELD n-grams hold."""
+
+    names = ["kind", "doc_id", "n", "key", "g"]
+
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+        g, c = np.unique(np.concatenate([*held, np.zeros(0, U64)]), return_counts=True)
+        g, c = g[c >= COMMON_IN_BATCH].view(np.int64), c[c >= COMMON_IN_BATCH]
+        return pa.RecordBatch.from_arrays([pa.array(np.ones(len(g)), pa.int32()), pa.nulls(len(g), pa.int64()), pa.array(c.astype(np.int64)), pa.nulls(len(g), pa.binary()), pa.array(g)], names=names)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, keys_held, size = [], set(), 0
         for b in batches:
-            sets = list(shingle_sets(b.column(1).to_pylist(), n))
-            keys = [xxhash.xxh3_128_digest(s) if len(s) else None for s in sets]
-            first = {k: s for k, s in zip(keys, sets, strict=True) if k}  # equal sets count once
-            g, c = np.unique(np.concatenate([*first.values(), np.zeros(0, U64)]), return_counts=True)
-            g, c = g[c >= COMMON_IN_BATCH].view(np.int64), c[c >= COMMON_IN_BATCH]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat([0, 1], [len(sets), len(g)]), pa.int32()), pa.concat_arrays([b.column(0), pa.nulls(len(g), pa.int64())]), pa.array([*map(len, sets), *c.tolist()], pa.int64()), pa.array([*keys, *[None] * len(g)], pa.binary()), pa.concat_arrays([pa.nulls(len(sets), pa.int64()), pa.array(g)])],
-                names=["kind", "doc_id", "n", "key", "g"],
-            )
+            ns, keys = [], []
+            for s in shingle_sets(lazily(b.column(1)), n):
+                ns.append(len(s))
+                keys.append(xxhash.xxh3_128_digest(s) if len(s) else None)
+                if len(s) and keys[-1] not in keys_held:  # equal sets count once
+                    keys_held.add(keys[-1])
+                    held.append(s)
+                    size += len(s)
+                if size >= HELD:
+                    yield counted(held)
+                    held, keys_held, size = [], set(), 0
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(b)), pa.int32()), b.column(0), pa.array(ns, pa.int64()), pa.array(keys, pa.binary()), pa.nulls(len(b), pa.int64())], names=names)
+        yield counted(held)
 
     return documents.mapInArrow(work, "kind int, doc_id long, n long, key binary, g long")
 
@@ -89,9 +103,9 @@ def prefix_entries(documents: DataFrame, common: np.ndarray, blocks: int, n: int
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             seen, parts = set(), ([], [], [], [], [])
-            ids, texts = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_pylist()
-            rows = sorted((i for i in range(len(ids)) if ids[i] == ids[i] and ids[i] is not None), key=lambda i: ids[i])
-            for i, s in zip(rows, shingle_sets([texts[i] for i in rows], n), strict=True):
+            b = b.filter(b.column(0).is_valid())
+            b = b.take(pa.compute.sort_indices(b.column(0)))
+            for doc, s in zip(b.column(0).to_pylist(), shingle_sets(lazily(b.column(1)), n), strict=True):
                 if not len(s) or (key := s.tobytes() if len(s) < 4 else xxhash.xxh3_128_digest(s)) in seen:
                     continue  # the batch's smallest document stands for equal sets
                 seen.add(key)
@@ -104,7 +118,7 @@ def prefix_entries(documents: DataFrame, common: np.ndarray, blocks: int, n: int
                     if hit.any():
                         s = s[np.argsort(listed, kind="stable")]
                         listed.sort()
-                for c, v in zip(parts, (s[:want], np.full(want, int(ids[i])), np.full(want, len(s)), np.arange(want), listed[:want] > 0), strict=True):
+                for c, v in zip(parts, (s[:want], np.full(want, doc), np.full(want, len(s)), np.arange(want), listed[:want] > 0), strict=True):
                     c.append(v)
             if not parts[0]:
                 continue
@@ -162,8 +176,8 @@ def _closer(pairs: DataFrame, documents: DataFrame, scratch: Scratch, name: str,
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = list(shingle_sets(b.column(1).to_pylist(), n))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, sets), pa.int64()), pa.array(map(profile, sets), pa.binary())], names=["doc_id", "n", "profile"])
+            seen = [(len(s), profile(s)) for s in shingle_sets(lazily(b.column(1)), n)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([m for m, _ in seen], pa.int64()), pa.array([p for _, p in seen], pa.binary())], names=["doc_id", "n", "profile"])
 
     known = documents.where("text is not null").join(small(ids), "doc_id", "left_semi").mapInArrow(describe, "doc_id long, n long, profile binary")
     known = scratch.keep(known, f"{name}-profiles")
@@ -187,7 +201,7 @@ def _links(pairs: DataFrame, documents: DataFrame, scratch: Scratch, name: str,
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [s.view(np.int64) for s in shingle_sets(b.column(1).to_pylist(), n)]
+            sets = [s.view(np.int64) for s in shingle_sets(lazily(b.column(1)), n)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "grams"])
 
     sets = scratch.keep(documents.where("text is not null").join(small(wanted), "doc_id", "left_semi").mapInArrow(work, "doc_id long, grams array<long>"), f"{name}-sets")

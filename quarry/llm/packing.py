@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Scratch, partitions, pick
+from quarry.llm.common import Scratch, lazily, partitions, pick
 
 CAPACITY, END = 1024, 2
 SHARD, ISLANDS, ROUNDS = 20_000, 3, 2
@@ -58,7 +58,7 @@ def tokenise(documents: DataFrame, capacity: int = CAPACITY, end: int = END, pat
         encode = encoder(path, ranks)
         for b in batches:
             cols: tuple[list, ...] = ([], [], [], [], [])
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for doc, text in zip(b.column(0).to_pylist(), lazily(b.column(1)), strict=True):
                 ids = array("I", encode(text) if text else ())
                 ids.append(end)
                 first = len(ids) % capacity or capacity

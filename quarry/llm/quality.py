@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Scratch, encode, hash_words, ngrams, pick
+from quarry.llm.common import Scratch, encode, hash_words, lazily, ngrams, pick
 from quarry.llm.rules import SYMBOLS, WINDOW
 
 DIMS = 1 << 16
@@ -66,47 +66,40 @@ def signals(text: str, words: list[bytes], hashes: np.ndarray) -> dict[str, floa
     }
 
 
-def _words(text: str | None) -> tuple[str, list[bytes], np.ndarray]:
+def _parts(text: str | None) -> tuple[list[bytes], np.ndarray, bytes, dict[str, float] | None]:
+    """Words, their hashes, the text in bytes and, if it has words, its signals."""
     data = encode(text)
-    return text or "", data.split(), hash_words(data)[0]
+    words, hashes = data.split(), hash_words(data)[0]
+    return words, hashes, data, signals(text, words, hashes) if words else None
 
 
-def votes(text: str | None) -> str:
-    """One letter a labeller: b, g, or - where it abstains; all abstain on a text without words."""
-    text, words, hashes = _words(text)
-    if not words:
-        return "-" * len(LABELLERS)
-    s = signals(text, words, hashes)
-    return "".join("b" if s[k] > bad else "g" if s[k] <= good else "-" for _, k, bad, good in LABELLERS)
+def _ballot(s: dict[str, float] | None) -> str:
+    return "-" * len(LABELLERS) if s is None else "".join("b" if s[k] > bad else "g" if s[k] <= good else "-" for _, k, bad, good in LABELLERS)
 
 
-_SHAPES: dict[bytes, int] = {}
+def votes(text: str | None) -> str:
+    """One letter a labeller: b, g, or - where it abstains; all abstain on a text without words."""
+    return _ballot(_parts(text)[3])
 
 
-def _shape(word: bytes) -> int:
-    h = _SHAPES.get(word)
-    if h is None:
-        if len(_SHAPES) > 300_000:
-            _SHAPES.clear()
-        h = _SHAPES[word] = zlib.crc32(re.sub(rb"(.)\1+", rb"\1+", word.translate(SHAPE), flags=re.S), 1)
-    return h
+RUNS = re.compile(rb"([^\x20\x09-\x0D])\1+")
 
 
-def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed features and their values: words and shapes of words by damped frequency, bands of the signals as they are."""
-    text, words, hashes = _words(text)
+def features(text: str | None) -> tuple[str, np.ndarray, np.ndarray]:
+    """The votes, hashed features and their values: words and shapes of words (classes of characters, repeated ones
+    once) by damped frequency, bands of the signals as they are."""
+    words, hashes, data, s = _parts(text)
+    if s is None:
+        return _ballot(s), np.zeros(0, np.int64), np.zeros(0)
     out_at, out_value = [], []
-    for h in (hashes, np.fromiter(map(_shape, words), np.uint64, len(words))):
-        if len(h):
-            at, n = np.unique(h % np.uint64(DIMS), return_counts=True)
-            value = np.log1p(n)
-            out_at.append(at.astype(np.int64))
-            out_value.append(value / np.sqrt((value**2).sum()))
-    if words:
-        bands = [zlib.crc32(f"{k} {sum(v > e for e in EDGES)}".encode()) % DIMS for k, v in signals(text, words, hashes).items()]
-        out_at.append(np.array(bands, dtype=np.int64))
-        out_value.append(np.full(len(bands), 0.7))
-    return (np.concatenate(out_at), np.concatenate(out_value)) if out_at else (np.zeros(0, np.int64), np.zeros(0))
+    for h in (hashes, hash_words(RUNS.sub(rb"\1+", data.translate(SHAPE)))[0] ^ np.uint64(0x5A5A)):
+        at, n = np.unique(h % np.uint64(DIMS), return_counts=True)
+        value = np.log1p(n)
+        out_at.append(at.astype(np.int64))
+        out_value.append(value / np.sqrt((value**2).sum()))
+    out_at.append(np.array([zlib.crc32(f"{k} {sum(v > e for e in EDGES)}".encode()) % DIMS for k, v in s.items()], dtype=np.int64))
+    out_value.append(np.full(len(s), 0.7))
+    return _ballot(s), np.concatenate(out_at), np.concatenate(out_value)
 
 
 def estimate(patterns: pd.DataFrame, rounds: int = 100) -> tuple[np.ndarray, dict]:
@@ -154,7 +147,7 @@ def judge_quality(documents: DataFrame, max_train: int = MAX_TRAIN, threshold: f
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([votes(x) for x in b.column(1).to_pylist()], pa.string())], names=["doc_id", "votes"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([votes(x) for x in lazily(b.column(1))], pa.string())], names=["doc_id", "votes"])
 
     voted = scratch.keep(d.mapInArrow(vote, "doc_id long, votes string"), "votes")
     patterns = voted.groupBy("votes").agg(F.count("*").alias("n")).orderBy("votes").toPandas()
@@ -172,8 +165,8 @@ def judge_quality(documents: DataFrame, max_train: int = MAX_TRAIN, threshold: f
 
             def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for b in batches:
-                    f = [features(x) for x in b.column(1).to_pylist()]
-                    yield pa.RecordBatch.from_arrays([b.column(0), pa.array([a for a, _ in f], pa.list_(pa.int64())), pa.array([v for _, v in f], pa.list_(pa.float64()))], names=["doc_id", "at", "value"])
+                    f = [features(x) for x in lazily(b.column(1))]
+                    yield pa.RecordBatch.from_arrays([b.column(0), pa.array([a for _, a, _ in f], pa.list_(pa.int64())), pa.array([v for _, _, v in f], pa.list_(pa.float64()))], names=["doc_id", "at", "value"])
 
             rows = d.join(ids, "doc_id").mapInArrow(featurise, "doc_id long, at array<long>, value array<double>").dropDuplicates(["doc_id"]).orderBy("doc_id").toPandas()
             target = np.array([chosen[i] for i in rows["doc_id"]])
@@ -183,9 +176,11 @@ def judge_quality(documents: DataFrame, max_train: int = MAX_TRAIN, threshold: f
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(1).to_pylist()
-            z = np.full(len(texts), -50.0) if weights is None else np.array([value @ weights[at] + weights[-1] for at, value in map(features, texts)])
-            pattern = [votes(x) for x in texts]
+            if weights is None:
+                pattern, z = [votes(x) for x in lazily(b.column(1))], np.full(len(b), -50.0)
+            else:
+                scored = [(v, value @ weights[at] + weights[-1]) for v, at, value in map(features, lazily(b.column(1)))]
+                pattern, z = [v for v, _ in scored], np.array([x for _, x in scored])
             s = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pattern, pa.string()), pa.array([posterior.get(x) for x in pattern], pa.float64()), pa.array(s, pa.float64()), pa.array(s < threshold, pa.bool_())], names=["doc_id", "votes", "p_weak", "score", "keep"])
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Scratch, hashed_texts, long_ngrams, pick, small
+from quarry.llm.common import Scratch, hashed_texts, lazily, long_ngrams, pick, small
 
 MIN_WORDS, ANCHOR = 50, 16
 TOKEN = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -59,7 +59,7 @@ def retained(texts: DataFrame, min_words: int, anchor: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             parts: tuple[list, ...] = ([], [], [], [])
-            for h in hashed_texts(b.column(1).to_pylist()):
+            for h in hashed_texts(lazily(b.column(1))):
                 short, long = fingerprints(h, min_words, anchor)
                 at = minimisers(short, min_words - anchor + 1)
                 body = np.zeros(len(at), dtype=np.uint64)
@@ -88,7 +88,7 @@ def runs(texts: DataFrame, anchors: DataFrame, min_words: int, anchor: int) -> D
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps, docs, ats = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for doc, h, places in zip(b.column(0).to_pylist(), hashed_texts(b.column(1).to_pylist()), b.column(2).to_pylist(), strict=True):
+            for doc, h, places in zip(b.column(0).to_pylist(), hashed_texts(lazily(b.column(1))), lazily(b.column(2)), strict=True):
                 long = long_ngrams(h, min_words)
                 if not len(long):
                     continue
@@ -143,7 +143,7 @@ def _spans(documents: DataFrame, scratch: Scratch, min_words: int, anchor: int)
         schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_words", pa.int64()), ("kept", pa.list_(pa.int64()))])
         for b in batches:
             out = []
-            for doc, places in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for doc, places in zip(b.column(0).to_pylist(), lazily(b.column(1)), strict=True):
                 start, end, kept = None, -1, set()
                 for at, first in sorted((p["at"], p["first_doc"]) for p in places):
                     if start is None or at > end:

@@ -1,11 +1,342 @@
-"""The registered queries and their SQL."""
+"""The registered queries and, where SQL can express them, their SQL. All run over whole tables and whole texts."""
 
 from __future__ import annotations
 
+import base64
+import json
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarry.functions import columns, digest
+from quarry.functions.cdc import ChunkOptions
+from quarry.operators import protocol, store
+from quarry.streaming import push
+
+SMALL = ChunkOptions(64, 256, 1024)
+SEED = bytes(range(32))
+NODES = ["n1", "n2", "n3", "n4"]
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql.strip()
+        return f
+
+    return add
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("payload"))
+
+
+# ---- chunks
+@query()
+def chunk_boundaries(spark, sf_dir):
+    return store.chunk_table(streams(spark, sf_dir), "doc_id", "payload", SMALL).select("doc_id", "seq", "offset", "length")
+
+
+@query()
+def chunk_hashes(spark, sf_dir):
+    out = store.chunk_table(streams(spark, sf_dir), "doc_id", "payload", SMALL)
+    return out.select("doc_id", "seq", "offset", "length", F.lower(F.hex("hash")).alias("hash"))
+
+
+@query("select doc_id, octet_length(encode(text))::BIGINT as n_bytes, true as contiguous from documents where octet_length(encode(text)) > 0")
+def chunk_coverage(spark, sf_dir):
+    c = store.chunk_table(streams(spark, sf_dir), "doc_id", "payload", SMALL)
+    by = c.groupBy("doc_id").agg(F.sum("length").alias("n_bytes"), F.max(F.col("offset") + F.col("length")).alias("end"), F.min("offset").alias("start"), F.array_sort(F.collect_list(F.struct("offset", "length"))).alias("x"))
+    joined = F.forall(F.sequence(F.lit(1), F.size("x")), lambda i: (i == 1) | (F.get("x", i - 1)["offset"] == F.get("x", i - 2)["offset"] + F.get("x", i - 2)["length"]))
+    return by.select("doc_id", "n_bytes", (joined & (F.col("start") == 0) & (F.col("end") == F.col("n_bytes"))).alias("contiguous"))
+
+
+@query("select doc_id, sha256(text) as sha256 from documents where octet_length(encode(text)) > 0")
+def chunk_roundtrip(spark, sf_dir):
+    c = store.chunk_table(streams(spark, sf_dir), "doc_id", "payload", SMALL, emit_payload=True)
+    objects = c.groupBy("hash").agg(F.first("payload").alias("payload"))
+    back = c.select("doc_id", "seq", "hash").join(objects, "hash")
+    return store.reassemble(back, "doc_id").select("doc_id", F.sha2("payload", 256).alias("sha256"))
+
+
+@query()
+def dedup_summary(spark, sf_dir):
+    return store.dedup_summary(store.chunk_table(streams(spark, sf_dir), "doc_id", "payload", SMALL))
+
+
+@query()
+def chunk_size_histogram(spark, sf_dir):
+    c = store.chunk_table(streams(spark, sf_dir), "doc_id", "payload", SMALL)
+    return c.groupBy((F.floor(F.col("length") / 64) * 64).cast("long").alias("bucket")).agg(F.count("*").alias("chunks"), F.sum("length").alias("bytes"))
+
+
+def slices(spark, sf_dir, size: int = 512) -> DataFrame:
+    s = streams(spark, sf_dir).where(F.octet_length("payload") > 0)
+    n = F.ceil(F.octet_length("payload") / size).cast("long")
+    s = s.select(F.col("doc_id").cast("string").alias("upload"), "payload", n.alias("n"), F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("slice_no"))
+    return s.select("upload", "slice_no", F.substring("payload", (F.col("slice_no") * size + 1).cast("int"), F.lit(size)).alias("data"), (F.col("slice_no") == F.col("n") - 1).alias("is_last"))
+
+
+@query()
+def push_equals_batch(spark, sf_dir):
+    return push.push_chunks_batch(slices(spark, sf_dir), SMALL).select(F.col("upload").cast("long").alias("doc_id"), "seq", "offset", "length")
+
+
+# ---- scalars
+@query("select doc_id, sha256(text) as sha256 from documents")
+def sha256_hex(spark, sf_dir):
+    return streams(spark, sf_dir).select("doc_id", columns.sha256_hex(F.col("payload")).alias("sha256"))
+
+
+@query("select doc_id, lower(hex(encode(text))) as hex, base64(encode(text)) as b64 from documents")
+def hex_base64(spark, sf_dir):
+    return streams(spark, sf_dir).select("doc_id", columns.hex_lower(F.col("payload")).alias("hex"), columns.base64_plain(F.col("payload")).alias("b64"))
+
+
+@query("""
+with h as (select doc_id, sha256(text) as h from documents),
+b as (select doc_id, list_transform(range(0, 33), lambda i: case when i < 32 then ('0x' || substr(h, 2 * i + 1, 2))::INTEGER else 0 end) as b from h),
+c as (select doc_id, array_to_string(list_transform(range(0, 52), lambda n: substr('0123456789abcdfghijklmnpqrsvwxyz',
+  (((b[(n * 5) // 8 + 1] >> ((n * 5) % 8)) | (b[least((n * 5) // 8 + 2, 33)] << (8 - (n * 5) % 8))) & 31) + 1, 1)), '') as f from b)
+select doc_id, reverse(f) as nix, f as forward from c""")
+def base32_both(spark, sf_dir):
+    h = streams(spark, sf_dir).select("doc_id", F.sha2("payload", 256).alias("h"))
+    return h.select("doc_id", columns.nix_base32(F.col("h"), 32).alias("nix"), columns.forward_base32(F.col("h"), 32).alias("forward"))
+
+
+@query("select doc_id, sha256(text) as nix, sha256(text) as forward from documents")
+def base32_roundtrip(spark, sf_dir):
+    b = base32_both(spark, sf_dir)
+    return b.select("doc_id", F.lower(F.hex(columns.nix_base32_decode()("nix")["data"])).alias("nix"), F.lower(F.hex(columns.forward_base32_decode()("forward")["data"])).alias("forward"))
+
+
+@query("select page_id, url_encode(url) as segment, replace(url_encode(url), '%2F', '/') as path from pages")
+def uri_encode(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", columns.uri_encode(F.col("url")).alias("segment"), columns.uri_encode(F.col("url"), True).alias("path"))
+
+
+@query("select event_id, strftime(ts, '%Y%m%dT%H%M%SZ') as stamp from events")
+def sigv4_dates(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", columns.sigv4_date(F.col("ts")).alias("stamp"))
+
+
+def _codec(name: str):
+    def f(spark, sf_dir):
+        p = table(spark, sf_dir, "pages").select("page_id", F.encode("html", "UTF-8").alias("b"))
+        p = p.select("page_id", columns.compress(name)("b").alias("z"))
+        p = p.select("page_id", columns.codec_of(F.col("z")).alias("codec"), columns.decompress_auto()("z").alias("x"))
+        return p.select("page_id", "codec", F.octet_length("x.data").cast("long").alias("n_bytes"), F.sha2("x.data", 256).alias("sha256"))
+
+    f.__name__ = f"codec_roundtrip_{name}"
+    return query(f"select page_id, '{name}' as codec, octet_length(encode(html))::BIGINT as n_bytes, sha256(html) as sha256 from pages")(f)
+
+
+for _name in ("zstd", "lz4", "xz", "bzip2"):
+    _codec(_name)
+
+
+@query("select page_id, case when octet_length(encode(html)) > 3000 then 'decompressed_size_exceeded' end as error from pages")
+def bomb_guard(spark, sf_dir):
+    p = table(spark, sf_dir, "pages").select("page_id", columns.compress("zstd")(F.encode("html", "UTF-8")).alias("z"))
+    return p.select("page_id", columns.decompress("zstd", 3000)("z")["error"].alias("error"))
+
+
+# ---- content-addressed store
+@query("select min(doc_id) as doc_id, count(*) as copies from documents group by text having count(*) > 1")
+def exact_duplicate_docs(spark, sf_dir):
+    ids = streams(spark, sf_dir).select("doc_id", columns.content_id()("payload").alias("id"))
+    return ids.groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).where("copies > 1").select("doc_id", "copies")
+
+
+@query("select doc_id, case when doc_id % 11 = 0 then 'missing' when doc_id % 7 = 0 then 'integrity' else 'ok' end as status from documents")
+def cas_get_verified(spark, sf_dir):
+    s = streams(spark, sf_dir).withColumn("id", F.concat(columns.content_id()("payload"), F.encode(F.col("doc_id").cast("string"), "UTF-8")))
+    kept = s.where("doc_id % 11 <> 0").select("id", F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit(b"x"), "payload")).otherwise(F.col("payload")).alias("payload"))
+    got = s.select("doc_id", "id").join(kept, "id", "left")
+    good = columns.content_id()("payload") == F.substring("id", 1, 32)
+    return got.select("doc_id", F.when(F.col("payload").isNull(), "missing").when(good, "ok").otherwise("integrity").alias("status"))
+
+
+@query("select substr(sha256(text), 1, 2) as shard, count(distinct text) as objects from documents group by 1")
+def object_shards(spark, sf_dir):
+    s = streams(spark, sf_dir).select(F.sha2("payload", 256).alias("id")).distinct()
+    return s.groupBy(F.substring_index(columns.object_key(F.col("id")), "/", 1).alias("shard")).agg(F.count("*").alias("objects"))
+
+
+def manifest_chunks(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("manifest"), F.col("l_partkey").alias("chunk"))
+
+
+def roots(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").where("c_nationkey < 5").select("c_custkey")
+    o = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").alias("manifest"))
+    return o.join(c, o.o_custkey == c.c_custkey, "left_semi").select("manifest")
+
+
+@query("select l_partkey as chunk, count(*) as refcount from lineitem group by 1")
+def manifest_refcounts(spark, sf_dir):
+    return store.refcounts(manifest_chunks(spark, sf_dir))
+
+
+_REACH = "select distinct l_partkey from lineitem where l_orderkey in (select o_orderkey from orders where o_custkey in (select c_custkey from customer where c_nationkey < 5))"
+
+
+@query(_REACH.replace("l_partkey from", "l_partkey as chunk from"))
+def gc_reachable(spark, sf_dir):
+    return store.reachable(roots(spark, sf_dir), manifest_chunks(spark, sf_dir))
+
+
+@query(f"select distinct l_partkey as chunk from lineitem where l_partkey not in ({_REACH})")
+def gc_collectible(spark, sf_dir):
+    m = manifest_chunks(spark, sf_dir)
+    return store.collectible(m, roots(spark, sf_dir), m)
+
+
+@query("select name, manifest from (select event_type || ':' || user_id as name, arg_max(case when event_type = 'error' and event_id % 2 = 0 then -1 else event_id end, event_id) as manifest from events group by 1) where manifest >= 0")
+def roots_latest(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    log = e.select(F.concat_ws(":", "event_type", F.col("user_id").cast("string")).alias("name"), F.when(~((F.col("event_type") == "error") & (F.col("event_id") % 2 == 0)), F.col("event_id")).alias("manifest"), F.col("event_id").alias("seq"))
+    return store.current_roots(log)
+
+
+_PARTS = "select l_partkey as chunk from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey where c_nationkey = {}"
+
+
+@query(f"{_PARTS.format(1)} intersect {_PARTS.format(2)}")
+def shared_chunks(spark, sf_dir):
+    def parts(n):
+        c = table(spark, sf_dir, "customer").where(F.col("c_nationkey") == n).select("c_custkey")
+        o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey").join(c, F.col("o_custkey") == c.c_custkey, "left_semi")
+        m = manifest_chunks(spark, sf_dir)
+        return m.join(o, m.manifest == o.o_orderkey, "left_semi").select("chunk")
+
+    return parts(1).intersect(parts(2))
+
+
+@query("select p_partkey as id, case when p_partkey % 3 = 0 or p_partkey % 2 = 0 then p_name end as payload, case when p_partkey % 3 = 0 then 'warm' when p_partkey % 2 = 0 then 'cold' else 'miss' end as tier, p_partkey % 3 <> 0 and p_partkey % 2 = 0 as promote from part")
+def tiered_reads(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("payload"))
+    return store.tiered_read(p.select("id"), p.where("id % 3 = 0"), p.where("id % 2 = 0"))
+
+
+# ---- placement
+def _keys(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", columns.content_id()(F.encode(F.col("p_partkey").cast("string"), "UTF-8")).alias("key"))
+
+
+@query("select p_partkey, 3::BIGINT as owners, 3::BIGINT as nodes from part")
+def owner_cardinality(spark, sf_dir):
+    k = _keys(spark, sf_dir)
+    o = store.owners(k.select("key"), NODES, 3).groupBy("key").agg(F.count("*").alias("owners"), F.countDistinct("node").alias("nodes"))
+    return k.join(o, "key").select("p_partkey", "owners", "nodes")
+
+
+@query("select count(*) as keys, true as few_moved, true as all_to_new from part")
+def remap_fraction(spark, sf_dir):
+    k = _keys(spark, sf_dir).select("key")
+    a = store.owners(k, NODES, 1).select("key", F.col("node").alias("a"))
+    b = store.owners(k, [*NODES, "n5"], 1).select("key", F.col("node").alias("b"))
+    m = a.join(b, "key").agg(F.count("*").alias("keys"), F.count_if(F.col("a") != F.col("b")).alias("moved"), F.bool_and((F.col("a") == F.col("b")) | (F.col("b") == "n5")).alias("all_to_new"))
+    return m.select("keys", (F.col("moved") < 0.35 * F.col("keys")).alias("few_moved"), "all_to_new")
+
+
+def catalogue_of_resources(spark):
+    r = [("us-a", "us", "a", "object"), ("us-b", "us", "b", "filesystem"), ("eu-a", "eu", "a", "filesystem"), ("eu-b", "eu", "b", "object"), ("vault", "ap", "a", "archive")]
+    o = [("single", 1, 1, 1, False), ("regional", 2, 2, 2, False), ("wide", 4, 3, 4, True), ("archived", 2, 1, 1, True), ("too-many", 9, 1, 1, False), ("odd", 2, 3, 1, False)]
+    return spark.createDataFrame(r, "id string, region string, zone string, backend string"), spark.createDataFrame(o, "class string, replicas int, min_regions int, min_zones int, require_archive boolean")
+
+
+@query("select * from (values ('single', 1::BIGINT, true, true, true), ('regional', 2, true, true, true), ('wide', 4, true, true, true), ('archived', 2, true, true, true)) as t(class, n, regions_ok, zones_ok, archive_ok)")
+def policy_plans(spark, sf_dir):
+    r, o = catalogue_of_resources(spark)
+    p = store.plan_placement(r, o).join(r.select("id", "backend"), "id").join(o, "class")
+    p = p.groupBy("class").agg(F.count("*").alias("n"), (F.countDistinct("region") >= F.max("min_regions")).alias("regions_ok"), (F.countDistinct("region", "zone") >= F.max("min_zones")).alias("zones_ok"), ~(F.max("require_archive") & ~F.max((F.col("backend") == "archive") & (F.col("position") == 1))))
+    return p.toDF("class", "n", "regions_ok", "zones_ok", "archive_ok")
+
+
+# ---- signatures, witness, narinfo, requests
+@query("select s_suppkey, case when s_suppkey % 7 = 0 then 'invalid' else 'valid' end as verdict from supplier")
+def signature_verdicts(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.encode("s_name", "UTF-8").alias("m"))
+    s = s.withColumn("sig", columns.ed25519_sign(SEED)("m")).withColumn("m", F.when(F.col("s_suppkey") % 7 == 0, F.concat("m", F.lit(b"!"))).otherwise(F.col("m")))
+    return s.select("s_suppkey", F.when(columns.ed25519_verify(digest.public_key(SEED))("m", "sig"), "valid").otherwise("invalid").alias("verdict"))
+
+
+@query("select s_suppkey, case when s_suppkey % 5 = 0 then 401 when s_suppkey % 3 = 0 then 403 else 200 end as status from supplier")
+def token_verdicts(spark, sf_dir):
+    @F.pandas_udf("string")
+    def token(key: pd.Series) -> pd.Series:
+        b = lambda x: base64.urlsafe_b64encode(x).rstrip(b"=")
+
+        def make(k: int) -> str:
+            head = b(json.dumps({"alg": "EdDSA"}).encode()) + b"." + b(json.dumps({"cache": "main", "scope": "read" if k % 3 == 0 else "write", "exp": 50 if k % 5 == 0 else 5000, "iat": 1}).encode())
+            return (head + b"." + b(digest.sign(SEED, head))).decode()
+
+        return key.map(make)
+
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", token("s_suppkey").alias("t"))
+    return s.select("s_suppkey", protocol.token_verdict(F.col("t"), "main", 100, digest.public_key(SEED)).alias("status"))
+
+
+@query("select user_id, count(*) as n, max(case when event_id % 1009 = 0 then 1 else 0 end) = 0 as valid from events group by 1")
+def witness_verify(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("seq"), columns.sha256_raw(F.encode("event_type", "UTF-8")).alias("action_hash"), F.unix_micros(F.col("ts").cast("timestamp")).alias("timestamp_ns"), F.lit(1).alias("witness_type"))
+    w = protocol.witness_entries(e, "user_id")
+    bad = F.concat(F.substring("entry", 1, 10), F.lit(b"\xff\x00\xff"), F.expr("substring(entry, 14, 60)"))
+    w = w.withColumn("entry", F.when(F.col("seq") % 1009 == 0, bad).otherwise(F.col("entry")))
+    return protocol.verify_witness(w, "user_id")
+
+
+def narinfos(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier")
+    path = F.concat(F.lit("/nix/store/"), F.substring(F.sha2("s_name", 256), 1, 32), F.lit("-supplier-"), F.col("s_suppkey").cast("string"))
+    return s.select("s_suppkey", path.alias("path"), F.sha2(F.col("s_suppkey").cast("string"), 256).alias("h"), (F.col("s_suppkey") * 10).alias("size"), F.when(F.col("s_suppkey") % 2 == 0, F.array(path)).otherwise(F.array().cast("array<string>")).alias("refs"))
+
+
+_NAR = "select s_suppkey, '/nix/store/' || substr(sha256(s_name), 1, 32) || '-supplier-' || s_suppkey as path, s_suppkey * 10 as size, s_suppkey % 2 = 0 as has from supplier"
+
+
+@query(f"select s_suppkey, path as store_path, 'nar/' || s_suppkey || '.nar' as url, 'zstd' as compression, size as nar_size, case when has then path else '' end as refs, 2 as sigs, null::VARCHAR as error from ({_NAR})")
+def narinfo_parse(spark, sf_dir):
+    n = narinfos(spark, sf_dir)
+    text = protocol.narinfo_text(F.col("path"), F.concat(F.lit("nar/"), F.col("s_suppkey").cast("string"), F.lit(".nar")), F.lit("zstd"), F.col("h"), F.col("size"), F.col("h"), F.col("size"), F.col("refs"), F.lit(None).cast("string"), F.array(F.lit("a:1"), F.lit("b:2")))
+    p = n.select("s_suppkey", protocol.narinfo_fields(text).alias("f"))
+    return p.select("s_suppkey", "f.store_path", "f.url", "f.compression", "f.nar_size", F.array_join("f.references", " ").alias("refs"), F.size("f.sigs").alias("sigs"), "f.error")
+
+
+@query(f"select s_suppkey, starts_with(f, '1;' || path || ';sha256:') as prefix_ok, ends_with(f, ';' || size || ';' || case when has then path else '' end) as suffix_ok, length(f)::INTEGER as n from (select *, '1;' || path || ';sha256:' || repeat('x', 52) || ';' || size || ';' || case when has then path else '' end as f from ({_NAR}))")
+def narinfo_fingerprint(spark, sf_dir):
+    n = narinfos(spark, sf_dir)
+    f = n.withColumn("f", protocol.fingerprint(F.col("path"), F.col("h"), F.col("size"), F.col("refs")))
+    return f.select("s_suppkey", F.startswith("f", F.concat(F.lit("1;"), "path", F.lit(";sha256:"))).alias("prefix_ok"), F.endswith("f", F.concat(F.lit(";"), F.col("size").cast("string"), F.lit(";"), F.array_join("refs", ","))).alias("suffix_ok"), F.length("f").alias("n"))
+
+
+METHODS = {"click": "GET", "view": "HEAD", "purchase": "PUT", "error": "DELETE", "signup": "PROPFIND"}
 
 
-def oracle_sql() -> dict:
-    return {}
+@query("""
+with r as (select event_id as seq, case event_type when 'click' then 'GET' when 'view' then 'HEAD' when 'purchase' then 'PUT' when 'error' then 'DELETE' else 'PROPFIND' end as method, 'u' || user_id as path from events),
+v as (select *, last_value(case method when 'PUT' then seq when 'DELETE' then -1 end ignore nulls) over (partition by path order by seq rows between unbounded preceding and 1 preceding) as v from r)
+select seq, method, path, case when method in ('GET', 'HEAD') then case when v >= 0 then 200 else 404 end when method = 'PUT' then 200 when method = 'DELETE' then 204 else 207 end as status,
+case when method in ('GET', 'HEAD') and v >= 0 then v end as body_of from v""")
+def request_log_asof(spark, sf_dir):
+    method = F.lit("OPTIONS")
+    for k, v in METHODS.items():
+        method = F.when(F.col("event_type") == k, v).otherwise(method)
+    return protocol.request_log(table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), method.alias("method"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("path"), F.lit(True).alias("authorized")))

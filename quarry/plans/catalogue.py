@@ -327,6 +327,22 @@ def narinfo_fingerprint(spark, sf_dir):
     return f.select("s_suppkey", F.startswith("f", F.concat(F.lit("1;"), "path", F.lit(";sha256:"))).alias("prefix_ok"), F.endswith("f", F.concat(F.lit(";"), F.col("size").cast("string"), F.lit(";"), F.array_join("refs", ","))).alias("suffix_ok"), F.length("f").alias("n"))
 
 
+@query(f"select s_suppkey, s_suppkey % 7 <> 0 as verified, 1 as sigs from ({_NAR})")
+def narinfo_resign(spark, sf_dir):
+    """Foreign signatures go, ours comes; every seventh text is changed afterwards."""
+    n = narinfos(spark, sf_dir)
+    text = protocol.narinfo_text(F.col("path"), F.lit("nar/x"), F.lit("xz"), F.col("h"), F.col("size"), F.col("h"), F.col("size"), F.col("refs"), F.lit(None).cast("string"), F.array(F.lit("a:1"), F.lit("b:2")))
+    signed = n.select("s_suppkey", protocol.resign(text, "ours-1", SEED).alias("t"))
+    changed = F.when(F.col("s_suppkey") % 7 == 0, F.regexp_replace("t", "NarSize: ", "NarSize: 9")).otherwise(F.col("t"))
+    signed = signed.withColumn("t", changed)
+    return signed.select("s_suppkey", protocol.verify_any(F.col("t"), {"ours-1": digest.public_key(SEED)}).alias("verified"), F.regexp_count("t", F.lit("(?m)^Sig: ")).alias("sigs"))
+
+
+@query("select method, status, count(*) as requests from (select case event_type when 'click' then 'GET' when 'view' then 'HEAD' when 'purchase' then 'PUT' when 'error' then 'DELETE' else 'PROPFIND' end as method, case when event_type in ('click', 'view') then case when last_value(case event_type when 'purchase' then event_id when 'error' then -1 end ignore nulls) over (partition by user_id order by event_id rows between unbounded preceding and 1 preceding) >= 0 then 200 else 404 end when event_type = 'purchase' then 200 when event_type = 'error' then 204 else 207 end as status from events) group by 1, 2")
+def access_log(spark, sf_dir):
+    return request_log_asof(spark, sf_dir).groupBy("method", "status").agg(F.count("*").alias("requests"))
+
+
 METHODS = {"click": "GET", "view": "HEAD", "purchase": "PUT", "error": "DELETE", "signup": "PROPFIND"}
 
 

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from quarry.functions import digest
 from quarry.functions.cdc import ChunkOptions, PushChunker
 
 CHUNK = "upload string, seq long, offset long, length long, hash string, status string"
@@ -56,3 +57,21 @@ def push_chunks_batch(slices: DataFrame, options: ChunkOptions) -> DataFrame:
         return pd.DataFrame([(key[0], *r) for r in out], columns=["upload", "seq", "offset", "length", "hash", "status"])
 
     return slices.groupBy("upload").applyInPandas(update, CHUNK)
+
+
+def append_witness(actions: DataFrame) -> DataFrame:
+    """log, seq, entry of a stream of actions(log string, seq long, action_hash binary, timestamp_ns long,
+    witness_type int): each micro-batch goes on from the last entry of its log."""
+
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        previous = bytes(state.get[0]) if state.exists else bytes(32)
+        rows = pd.concat(list(batches)).sort_values("seq")
+        out = []
+        for seq, action, ns, kind in zip(rows["seq"], rows["action_hash"], rows["timestamp_ns"], rows["witness_type"], strict=True):
+            entry = digest.ENTRY.pack(previous, bytes(action), int(ns), int(kind))
+            previous = digest.shake256(entry)
+            out.append((key[0], seq, entry))
+        state.update((previous,))
+        yield pd.DataFrame(out, columns=["log", "seq", "entry"])
+
+    return actions.groupBy("log").applyInPandasWithState(update, "log string, seq long, entry binary", "previous binary", "append", GroupStateTimeout.NoTimeout)

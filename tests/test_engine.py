@@ -154,6 +154,38 @@ def test_object_store(spark, tmp_path):
     assert objects.read_objects(spark, path).count() == s.count()
 
 
+def test_sigv4_known_answer():
+    from quarry.functions import sigv4
+
+    got = sigv4.authorization("AKIDEXAMPLE", "wJalrXUtnFEMI/K7MDENG+bPxRfiCYEXAMPLEKEY", "20150830T123600Z", "us-east-1", "service", "GET", "/", {"Host": "example.amazonaws.com", "X-Amz-Date": "20150830T123600Z"})
+    assert got.endswith("Signature=5fa00fa31553b73ebf1942676e86291e8372ff2a2260956d9b8aae1d763fbf31")
+
+
+def test_catalogue_document(spark):
+    from quarry.sources.config import load_catalogue
+
+    good = "version: 1\nresources:\n- {id: a, region: r, zone: z, backend: object}\nclasses:\n- {name: c, replicas: 1}\n"
+    r, c = load_catalogue(spark, good)
+    assert r.count() == 1 and tuple(c.first()) == ("c", 1, 1, 1, False)
+    for a, b, why in (("version: 1", "version: 2", "version"), ("zone: z", "zone: ' '", "zone"), ("zone: z", "zone: z, x: 1", "unknown"), ("object", "tape", "backend"), ("classes:\n- {name: c, replicas: 1}\n", "", "classes"), ("resources:\n", "resources:\n- {id: a, region: r, zone: y, backend: object}\n", "duplicate")):
+        with pytest.raises(ValueError, match=why):
+            load_catalogue(spark, good.replace(a, b))
+
+
+def test_streaming_witness(spark, tmp_path):
+    from quarry.operators import protocol
+
+    rows = [("a", k, bytes([k]) * 32, k, 1) for k in range(6)] + [("b", k, bytes([9]) * 32, k, 2) for k in range(3)]
+    schema = "log string, seq long, action_hash binary, timestamp_ns long, witness_type int"
+    for at in (0, 1):
+        spark.createDataFrame([r for r in rows if (r[1] >= 3) == bool(at)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = push.append_witness(src).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = protocol.verify_witness(spark.read.parquet(str(tmp_path / "out")), "log").collect()
+    assert {(r.log, r.n, r.valid) for r in got} == {("a", 6, True), ("b", 3, True)}
+
+
 def same(v):
     return round(v, 6) if isinstance(v, float) else bytes(v) if isinstance(v, bytearray) else v
 

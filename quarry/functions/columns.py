@@ -84,6 +84,18 @@ def object_key(hex_: Column, prefix: str = "") -> Column:
     return F.concat_ws("/", *([F.lit(prefix.strip("/"))] if prefix.strip("/") else []), F.substring(hex_, 1, 2), F.substring(hex_, 3, 1 << 20))
 
 
+def chunk_json(hash_: Column, offset: Column, length: Column) -> Column:
+    """A chunk without its payload."""
+    return F.to_json(F.struct(hex_lower(hash_).alias("hash"), offset.alias("offset"), length.alias("length")))
+
+
+def chunk_from_json(text: Column) -> Column:
+    """hash, offset, length; null where the hash is not 32 bytes in hexadecimal or a field is missing."""
+    x = F.from_json(text, "hash string, offset long, length long")
+    good = x["hash"].rlike("^[0-9A-Fa-f]{64}$") & x["offset"].isNotNull() & x["length"].isNotNull()
+    return F.when(good, F.struct(F.unhex(x["hash"]).alias("hash"), x["offset"].alias("offset"), x["length"].alias("length")))
+
+
 def codec_of(data: Column) -> Column:
     """By magic number; null if unknown or under four bytes."""
     out = F.when(F.octet_length(data) < 4, F.lit(None).cast("string"))

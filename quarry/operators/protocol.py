@@ -77,9 +77,7 @@ def witness_entries(actions: DataFrame, log: str) -> DataFrame:
 def verify_witness(entries: DataFrame, log: str) -> DataFrame:
     """log, n, valid: every entry's link against the entry before it, in parallel over all entries."""
     before = F.lag("entry").over(Window.partitionBy(log).orderBy("seq"))
-    expected = F.coalesce(columns.shake256(before), F.lit(bytes(32)))
     checked = entries.withColumn("before", before).withColumn("good", (F.octet_length("entry") == 73) & (F.substring("entry", 1, 32) == F.coalesce(columns.shake256(F.col("before")), F.lit(bytes(32)))))
-    del expected
     return checked.groupBy(log).agg(F.count("*").alias("n"), F.bool_and("good").alias("valid"))
 
 
@@ -89,14 +87,16 @@ def action_hash(text: str) -> bytes:
 
 def request_log(requests: DataFrame, served: tuple[str, ...] = ("nix-cache-info",)) -> DataFrame:
     """seq, method, path, status, body_of (seq of the PUT that answers a GET or HEAD): each request sees the last PUT or
-    DELETE of its path strictly before it. requests(seq, method, path, authorized)."""
+    DELETE of its path strictly before it. requests(seq, method, path, authorized), or with verdict (200, 401 or 403, as
+    token_verdict gives it) in place of authorized."""
+    gate = F.col("verdict") if "verdict" in requests.columns else F.when(F.coalesce("authorized", F.lit(True)), 200).otherwise(401)
     write = F.when(F.col("method") == "PUT", F.col("seq")).when(F.col("method") == "DELETE", F.lit(-1))
-    value = F.last(F.when(F.coalesce("authorized", F.lit(True)), write), ignorenulls=True).over(Window.partitionBy("path").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
+    value = F.last(F.when(gate == 200, write), ignorenulls=True).over(Window.partitionBy("path").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
     r = requests.withColumn("value", value)
     found = F.coalesce(F.col("value") >= 0, F.lit(False))
     read = F.col("method").isin("GET", "HEAD")
     status = (
-        F.when(F.col("method").isin("PUT", "DELETE", "MKCOL") & ~F.coalesce("authorized", F.lit(True)), 401)
+        F.when(F.col("method").isin("PUT", "DELETE", "MKCOL") & (gate != 200), gate)
         .when(read & F.col("path").isin(*served), 200)
         .when(read, F.when(found, 200).otherwise(404))
         .when(F.col("method") == "PUT", 200).when(F.col("method") == "DELETE", 204).when(F.col("method") == "MKCOL", 201).when(F.col("method") == "OPTIONS", 200).when(F.col("method") == "PROPFIND", 207).otherwise(405)
@@ -156,3 +156,42 @@ def verify_any(text: Column, trusted: dict[str, bytes], store_dir: str = STORE_D
         return x.map(one)
 
     return check(text)
+
+
+MAX_BODY = 32 << 30
+
+
+def request_head(raw: Column) -> Column:
+    """method, target, content_length, authorization and error of the text of a request up to its blank line. error is
+    null or what a server would answer 400 for; an empty or null text is no request (null). Of repeated headers the last counts."""
+    lines = F.split(raw, "\n")
+    # a text that ends with a line end has no line after it
+    lines = F.when(F.endswith(raw, F.lit("\n")), F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines)
+    rest = F.transform(F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1))), lambda x: F.regexp_replace(x, r"\s+$", ""))
+    blank = F.array_position(rest, "")
+    headers = F.when(blank > 0, F.slice(rest, F.lit(1), (blank - 1).cast("int"))).otherwise(rest)
+    headers = F.filter(headers, lambda x: F.instr(x, ":") > 0)
+    words = F.filter(F.split(F.get(lines, F.lit(0)), r"\s+"), lambda x: x != "")
+    name = lambda x: F.lower(F.trim(F.substring_index(x, ":", 1)))
+    value = lambda x: F.regexp_replace(F.substr(x, F.instr(x, ":") + F.lit(1)), r"^\s+|\s+$", "")
+    all_ = lambda k: F.transform(F.filter(headers, lambda x: name(x) == k), value)
+    number = lambda v: F.when(v.rlike(r"^\+?[0-9]+$"), v.try_cast("decimal(38,0)"))
+    valid = F.forall(all_("content-length"), lambda v: F.coalesce(number(v) < F.lit("18446744073709551616").cast("decimal(38,0)"), F.lit(False)))
+    length = F.coalesce(number(F.try_element_at(all_("content-length"), F.lit(-1))), F.lit(0).cast("decimal(38,0)"))
+    error = F.when(F.size(words) < 2, "malformed request line").when(~valid, "invalid content-length").when(blank == 0, "unexpected eof in headers").when(length > MAX_BODY, "request body too large")
+    head = F.struct(
+        F.when(error.isNull(), F.get(words, F.lit(0))).alias("method"), F.when(error.isNull(), F.get(words, F.lit(1))).alias("target"), F.when(error.isNull(), length.cast("long")).alias("content_length"),
+        F.when(error.isNull(), F.try_element_at(all_("authorization"), F.lit(-1))).alias("authorization"), error.alias("error"),
+    )
+    return F.when(F.length(raw) > 0, head)
+
+
+def response(method: Column, status: Column, reason: Column, content_type: Column, body: Column) -> Column:
+    """The bytes of a response. Content-Length is that of the body also where the method is HEAD, which gets no body."""
+    end = F.lit("\r\n")
+    head = F.concat(F.lit("HTTP/1.1 "), status.cast("string"), F.lit(" "), reason, end, F.lit("Content-Length: "), F.octet_length(body).cast("string"), end, F.lit("Content-Type: "), content_type, end, F.lit("Connection: close"), end, end)
+    return F.concat(columns.utf8(head), F.when(method == "HEAD", F.lit(b"")).otherwise(body))
+
+
+def cache_info(store_dir: str = STORE_DIR, mass_query: bool = True, priority: int = 30) -> str:
+    return f"StoreDir: {store_dir}\nWantMassQuery: {int(mass_query)}\nPriority: {priority}\n"

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import columns, digest
 from quarry.functions.cdc import ChunkOptions
-from quarry.operators import protocol, store
+from quarry.operators import protocol, routing, store
 from quarry.streaming import push
 
 SMALL = ChunkOptions(64, 256, 1024)
@@ -270,6 +270,62 @@ def policy_plans(spark, sf_dir):
     return p.toDF("class", "n", "regions_ok", "zones_ok", "archive_ok")
 
 
+# ---- nodes and routing
+@query("select doc_id, case when doc_id % 13 = 0 then 'unknown' else 'ok' end as status, case when doc_id % 13 <> 0 then sha256(text) end as sha256 from documents")
+def node_roundtrip(spark, sf_dir):
+    files = streams(spark, sf_dir).select(F.col("doc_id").alias("name"), "payload")
+    objects, manifests, roots_ = routing.node_put(files, SMALL)
+    got = routing.node_get(files.select("name"), roots_.where("name % 13 <> 0"), manifests, objects)
+    return got.select(F.col("name").alias("doc_id"), "status", F.sha2("payload", 256).alias("sha256"))
+
+
+@query("select p_partkey, case when p_partkey % 3 = 0 then p_name when p_partkey % 2 = 0 then p_name end as payload, case when p_partkey % 3 = 0 then 'local' when p_partkey % 2 = 0 then 'n2' end as source, case when p_partkey % 3 = 0 or p_partkey % 2 = 0 then 'ok' else 'missing' end as status, p_partkey % 3 <> 0 and p_partkey % 2 = 0 as promote from part")
+def routed_reads(spark, sf_dir):
+    p = _keys(spark, sf_dir).join(table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("payload")), "p_partkey").withColumnRenamed("key", "id")
+    peers = p.where("p_partkey % 2 = 0").select(F.lit("n2").alias("node"), "id", "payload")
+    got = routing.routed_get(p.select("id"), p.where("p_partkey % 3 = 0").select("id", "payload"), peers, NODES, 4, "n1")
+    return p.select("p_partkey", "id").join(got, "id").drop("id")
+
+
+@query("select p_partkey, 1::BIGINT as durable, case when p_partkey >= 0 then 3 end::BIGINT as sent from part")
+def routed_writes(spark, sf_dir):
+    k = _keys(spark, sf_dir).withColumnRenamed("key", "id")
+    put = routing.routed_put(k.select("id"), NODES, 4, "n1", ["n3"]).groupBy("id")
+    put = put.agg(F.count_if(F.col("status") == "durable").alias("durable"), F.count_if(F.col("status") != "durable").alias("sent"))
+    return k.join(put, "id").select("p_partkey", "durable", "sent")
+
+
+@query("""
+with n as (select unnest(['n1', 'n2', 'n3', 'n4']) as node), d as (select p_partkey, node from part, n),
+f as (select p_partkey, node, case when node = 'n1' and p_partkey % 5 = 0 then 'missing' when node = 'n2' and p_partkey % 7 = 0 then 'corrupt' end as finding from d
+  union all select p_partkey, 'old', 'misplaced' from part where p_partkey % 11 = 0)
+select p_partkey, node, finding, case when (p_partkey % 5 = 0)::INT + (p_partkey % 7 = 0)::INT > (p_partkey % 11 = 0)::INT then 'under'
+  when (p_partkey % 5 = 0)::INT + (p_partkey % 7 = 0)::INT < (p_partkey % 11 = 0)::INT then 'over' else 'exact' end as replication from f where finding is not null""")
+def repair_findings(spark, sf_dir):
+    k = _keys(spark, sf_dir)
+    d = store.owners(k.select("key"), NODES, 4).select("key", "node")
+    seen = d.join(k, "key").where("not (node = 'n1' and p_partkey % 5 = 0)").select("key", "node", (~((F.col("node") == "n2") & (F.col("p_partkey") % 7 == 0))).alias("good"))
+    seen = seen.unionByName(k.where("p_partkey % 11 = 0").select("key", F.lit("old").alias("node"), F.lit(True).alias("good")))
+    return routing.repair(d, seen).join(k, "key").select("p_partkey", "node", "finding", "replication")
+
+
+@query("""select doc_id, '{"hash":"' || sha256(text) || '","offset":0,"length":' || octet_length(encode(text)) || '}' as json, sha256(text) as back from documents""")
+def chunk_json(spark, sf_dir):
+    s = streams(spark, sf_dir).select("doc_id", columns.chunk_json(columns.sha256_raw(F.col("payload")), F.lit(0), F.octet_length("payload")).alias("json"))
+    return s.select("doc_id", "json", columns.hex_lower(columns.chunk_from_json(F.col("json"))["hash"]).alias("back"))
+
+
+@query("""select event_id, case when e is null then 'PUT' end as method, case when e is null then '/u' || user_id end as target, case when e is null then event_id end as content_length, case when e is null then 'Bearer ' || user_id end as authorization, e as error
+from (select *, case when event_id % 5 = 0 then 'malformed request line' when event_id % 7 = 0 then 'invalid content-length' when event_id % 11 = 0 then 'unexpected eof in headers' when event_id % 13 = 0 then 'request body too large' end as e from events)""")
+def request_heads(spark, sf_dir):
+    id_, user = F.col("event_id").cast("string"), F.col("user_id").cast("string")
+    line = F.when(F.col("event_id") % 5 == 0, "PUT\r\n").otherwise(F.concat(F.lit("PUT /u"), user, F.lit(" HTTP/1.1\r\n")))
+    length = F.when(F.col("event_id") % 7 == 0, F.concat(F.lit("x"), id_)).when(F.col("event_id") % 13 == 0, F.lit(str((32 << 30) + 1))).otherwise(id_)
+    end = F.when(F.col("event_id") % 11 == 0, "").otherwise("\r\n")
+    raw = F.concat(line, F.lit("content-length: "), length, F.lit("\r\nAUTHORIZATION:  Bearer "), user, F.lit(" \r\n"), end)
+    return table(spark, sf_dir, "events").select("event_id", protocol.request_head(raw).alias("h")).select("event_id", "h.*")
+
+
 # ---- signatures, witness, narinfo, requests
 @query("select s_suppkey, case when s_suppkey % 7 = 0 then 'invalid' else 'valid' end as verdict from supplier")
 def signature_verdicts(spark, sf_dir):

@@ -186,6 +186,59 @@ def test_streaming_witness(spark, tmp_path):
     assert {(r.log, r.n, r.valid) for r in got} == {("a", 6, True), ("b", 3, True)}
 
 
+def test_routed_reads_ask_owners_in_order(spark):
+    from quarry.operators import routing, store
+
+    ids = [digest.content_id(1, bytes([k])) for k in range(30)]
+    keys = spark.createDataFrame([(bytearray(i),) for i in ids], "id binary")
+    peers = [("n2", i, b"two") for i in ids[:20]] + [("n3", i, b"three") for i in ids[10:25]]
+    peers = spark.createDataFrame([(n, bytearray(i), bytearray(p)) for n, i, p in peers], "node string, id binary, payload binary")
+    got = {bytes(r.id): (r.status, r.source) for r in routing.routed_get(keys, peers.limit(0).select("id", "payload"), peers, catalogue.NODES, 2, "n1", ["n4"]).collect()}
+    have, want = {(r.node, bytes(r.id)) for r in peers.collect()}, {}
+    for i in ids:
+        want[i] = ("missing", None)
+        for n in sorted(catalogue.NODES, key=lambda n: (-digest.weight(n, i), n))[:2]:
+            if n == "n4" or n != "n1" and (n, i) in have:
+                want[i] = ("error" if n == "n4" else "ok", n)
+                break
+    assert got == want and {s for s, _ in got.values()} == {"ok", "error", "missing"}
+    own = routing.is_owner(keys.select(F.col("id").alias("key")), catalogue.NODES, 2, "n1").where("owner").count()
+    sent = routing.routed_put(keys, catalogue.NODES, 2, "n1", ["n4"])
+    assert sent.where("status = 'durable'").count() == 30 and sent.where("node <> 'n1'").count() == 60 - own
+    assert {r.status for r in sent.where("node = 'n4'").collect()} == {"failed"}
+    assert keys.limit(1).select(routing.blob_url(F.lit("http://a/"), F.col("id"))).first()[0].startswith("http://a/swarm/blob/")
+    assert store.owners(keys.select(F.col("id").alias("key")), catalogue.NODES, 9).count() == 120
+
+
+def test_node_finds_absent_and_changed_chunks(spark):
+    from quarry.operators import routing
+
+    files = spark.createDataFrame([("a", bytearray(b"x" * 3000)), ("b", bytearray(random.Random(1).randbytes(3000))), ("empty", bytearray())], "name string, payload binary")
+    objects, manifests, roots = routing.node_put(files, catalogue.SMALL)
+    names = spark.createDataFrame([("a",), ("b",), ("empty",), ("none",)], "name string")
+    chunk = {n: manifests.join(roots.where(F.col("name") == n), "manifest").orderBy("seq").first()["chunk"] for n in "ab"}
+    get = lambda o: {r.name: (r.status, r.payload and bytes(r.payload)) for r in routing.node_get(names, roots, manifests, o).collect()}
+    whole = get(objects)
+    assert whole["a"] == ("ok", b"x" * 3000) and whole["empty"][0] == "ok" and whole["none"] == ("unknown", None)
+    assert get(objects.where(F.col("id") != F.lit(bytes(chunk["b"]))))["b"][0] == "missing_chunk " + chunk["b"].hex()
+    changed = F.when(F.col("id") == F.lit(bytes(chunk["a"])), F.lit(b"y")).otherwise(F.col("payload"))
+    assert get(objects.withColumn("payload", changed))["a"] == ("integrity", None)
+
+
+def test_requests_and_responses(spark):
+    from quarry.operators import protocol
+
+    raws = ["GET / HTTP/1.1\r\n\r\n", "GET /a\r\n", "", "\r\n\r\n", "PUT /a x\nContent-Length: 3\ncontent-length: +4\n\nbody: 9\n\n", "PUT /a x\nContent-Length:\n\n", "PUT /a x\nContent-Length: 18446744073709551616\n\n", None]
+    got = [r.h and tuple(r.h) for r in spark.createDataFrame([(k, r) for k, r in enumerate(raws)], "k int, r string").select("k", protocol.request_head(F.col("r")).alias("h")).orderBy("k").collect()]
+    bad = lambda e: (None, None, None, None, e)
+    assert got == [("GET", "/", 0, None, None), bad("unexpected eof in headers"), None, bad("malformed request line"), ("PUT", "/a", 4, None, None), bad("invalid content-length"), bad("invalid content-length"), None]
+    df = spark.createDataFrame([("GET",), ("HEAD",)], "m string")
+    out = [bytes(r[0]) for r in df.select(protocol.response(F.col("m"), F.lit(200), F.lit("OK"), F.lit("text/plain"), F.lit(b"body"))).collect()]
+    assert out[0] == out[1] + b"body" and b"Content-Length: 4\r\n" in out[1] and out[1].endswith(b"\r\n\r\n")
+    log = spark.createDataFrame([(1, "PUT", "a", 403), (2, "GET", "a", 200), (3, "PUT", "a", 200), (4, "GET", "a", 200), (5, "DELETE", "a", 401)], "seq long, method string, path string, verdict int")
+    assert [r.status for r in protocol.request_log(log).orderBy("seq").collect()] == [403, 404, 200, 200, 401]
+
+
 def same(v):
     return round(v, 6) if isinstance(v, float) else bytes(v) if isinstance(v, bytearray) else v
 

@@ -181,6 +181,8 @@ def remove_repeats(documents: DataFrame, min_words: int = MIN_WORDS, anchor: int
     spans = _spans(documents, scratch, min_words, anchor)
     spans = spans.groupBy(F.col("doc_id").alias("__span_doc")).agg(F.collect_list(F.struct("start", "n_words")).alias("__spans"))
     spans = scratch.keep(spans, "spans")
+    for name in ("heads", "shared", "bodies", "known", "anchors", "runs", "again"):
+        scratch.remove(name)  # the spans are read by what is returned; nothing reads these any more
 
     @F.pandas_udf("string")
     def apply(text, spans):  # noqa: ANN001, ANN202

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -167,23 +168,37 @@ def request_head(raw: Column) -> Column:
     lines = F.split(raw, "\n")
     # a text that ends with a line end has no line after it
     lines = F.when(F.endswith(raw, F.lit("\n")), F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines)
-    rest = F.transform(F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1))), lambda x: F.regexp_replace(x, r"\s+$", ""))
+    head = _let(lines, lambda ls: _let(F.transform(F.slice(ls, 2, F.greatest(F.size(ls), F.lit(1))), lambda x: F.regexp_replace(x, r"\s+$", "")), lambda rest: _head(ls, rest)))
+    return F.when(F.length(raw) > 0, head)
+
+
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with value computed once however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _head(lines: Column, rest: Column) -> Column:
     blank = F.array_position(rest, "")
     headers = F.when(blank > 0, F.slice(rest, F.lit(1), (blank - 1).cast("int"))).otherwise(rest)
-    headers = F.filter(headers, lambda x: F.instr(x, ":") > 0)
-    words = F.filter(F.split(F.get(lines, F.lit(0)), r"\s+"), lambda x: x != "")
     name = lambda x: F.lower(F.trim(F.substring_index(x, ":", 1)))
     value = lambda x: F.regexp_replace(F.substr(x, F.instr(x, ":") + F.lit(1)), r"^\s+|\s+$", "")
-    all_ = lambda k: F.transform(F.filter(headers, lambda x: name(x) == k), value)
+    all_ = lambda k: F.transform(F.filter(headers, lambda x: (F.instr(x, ":") > 0) & (name(x) == k)), value)
     number = lambda v: F.when(v.rlike(r"^\+?[0-9]+$"), v.try_cast("decimal(38,0)"))
-    valid = F.forall(all_("content-length"), lambda v: F.coalesce(number(v) < F.lit("18446744073709551616").cast("decimal(38,0)"), F.lit(False)))
-    length = F.coalesce(number(F.try_element_at(all_("content-length"), F.lit(-1))), F.lit(0).cast("decimal(38,0)"))
-    error = F.when(F.size(words) < 2, "malformed request line").when(~valid, "invalid content-length").when(blank == 0, "unexpected eof in headers").when(length > MAX_BODY, "request body too large")
-    head = F.struct(
-        F.when(error.isNull(), F.get(words, F.lit(0))).alias("method"), F.when(error.isNull(), F.get(words, F.lit(1))).alias("target"), F.when(error.isNull(), length.cast("long")).alias("content_length"),
-        F.when(error.isNull(), F.try_element_at(all_("authorization"), F.lit(-1))).alias("authorization"), error.alias("error"),
-    )
-    return F.when(F.length(raw) > 0, head)
+    words = F.filter(F.split(F.get(lines, F.lit(0)), r"\s+"), lambda x: x != "")
+
+    def judge(x: Column) -> Column:
+        valid = F.forall(x["lengths"], lambda v: F.coalesce(number(v) < F.lit("18446744073709551616").cast("decimal(38,0)"), F.lit(False)))
+        length = F.coalesce(number(F.try_element_at(x["lengths"], F.lit(-1))), F.lit(0).cast("decimal(38,0)"))
+        error = F.when(F.size(x["words"]) < 2, "malformed request line").when(~valid, "invalid content-length").when(x["blank"] == 0, "unexpected eof in headers").when(length > MAX_BODY, "request body too large")
+        return F.struct(x.alias("x"), length.alias("length"), error.alias("error"))
+
+    def fields(y: Column) -> Column:
+        good = lambda c: F.when(y["error"].isNull(), c)
+        word = lambda k: F.get(y["x"]["words"], F.lit(k))
+        return F.struct(good(word(0)).alias("method"), good(word(1)).alias("target"), good(y["length"].cast("long")).alias("content_length"), good(F.try_element_at(y["x"]["auth"], F.lit(-1))).alias("authorization"), y["error"].alias("error"))
+
+    parts = F.struct(words.alias("words"), blank.alias("blank"), all_("content-length").alias("lengths"), all_("authorization").alias("auth"))
+    return _let(parts, lambda x: _let(judge(x), fields))
 
 
 def response(method: Column, status: Column, reason: Column, content_type: Column, body: Column) -> Column:

@@ -14,6 +14,11 @@ from pyspark.sql import types as T
 from quarry.functions import cdc, codecs, digest
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with value computed once however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def utf8(text: Column) -> Column:
     return F.encode(text, "UTF-8")
 

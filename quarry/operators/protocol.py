@@ -5,7 +5,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
-from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -168,15 +167,10 @@ def request_head(raw: Column) -> Column:
     lines = F.split(raw, "\n")
     # a text that ends with a line end has no line after it
     lines = F.when(F.endswith(raw, F.lit("\n")), F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines)
-    head = _let(lines, lambda ls: _let(F.transform(F.slice(ls, 2, F.greatest(F.size(ls), F.lit(1))), lambda x: F.regexp_replace(x, r"\s+$", "")), lambda rest: _head(ls, rest)))
+    head = columns.let(lines, lambda ls: columns.let(F.transform(F.slice(ls, 2, F.greatest(F.size(ls), F.lit(1))), lambda x: F.regexp_replace(x, r"\s+$", "")), lambda rest: _head(ls, rest)))
     return F.when(F.length(raw) > 0, head)
 
 
-def _let(value: Column, f: Callable[[Column], Column]) -> Column:
-    """f(value), with value computed once however often f names it."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
 def _head(lines: Column, rest: Column) -> Column:
     blank = F.array_position(rest, "")
     headers = F.when(blank > 0, F.slice(rest, F.lit(1), (blank - 1).cast("int"))).otherwise(rest)
@@ -198,7 +192,7 @@ def _head(lines: Column, rest: Column) -> Column:
         return F.struct(good(word(0)).alias("method"), good(word(1)).alias("target"), good(y["length"].cast("long")).alias("content_length"), good(F.try_element_at(y["x"]["auth"], F.lit(-1))).alias("authorization"), y["error"].alias("error"))
 
     parts = F.struct(words.alias("words"), blank.alias("blank"), all_("content-length").alias("lengths"), all_("authorization").alias("auth"))
-    return _let(parts, lambda x: _let(judge(x), fields))
+    return columns.let(parts, lambda x: columns.let(judge(x), fields))
 
 
 def response(method: Column, status: Column, reason: Column, content_type: Column, body: Column) -> Column:
@@ -210,3 +204,22 @@ def response(method: Column, status: Column, reason: Column, content_type: Colum
 
 def cache_info(store_dir: str = STORE_DIR, mass_query: bool = True, priority: int = 30) -> str:
     return f"StoreDir: {store_dir}\nWantMassQuery: {int(mass_query)}\nPriority: {priority}\n"
+
+
+#: Fixed answer to OPTIONS: the WebDAV classes and verbs.
+DAV = "1,2"
+ALLOW = "OPTIONS, GET, HEAD, PUT, DELETE, MKCOL, PROPFIND"
+
+
+def options_response() -> bytes:
+    return f"HTTP/1.1 200 OK\r\nContent-Length: 0\r\nDAV: {DAV}\r\nAllow: {ALLOW}\r\nConnection: close\r\n\r\n".encode()
+
+
+def propfind_body(path: Column) -> Column:
+    """The multistatus document that shows any path as an existing collection. Characters of the path stay as they are."""
+    name = columns.basename(F.regexp_replace(path, "/+$", ""))
+    tag = lambda k, *inner: F.concat(F.lit(f"<D:{k}>"), *inner, F.lit(f"</D:{k}>\n"))
+    prop = tag("prop", F.lit("\n"), tag("displayname", name), tag("getlastmodified", F.lit("Thu, 01 Jan 1970 00:00:00 GMT")), tag("resourcetype", F.lit("<D:collection/>")))
+    stat = tag("propstat", F.lit("\n"), prop, tag("status", F.lit("HTTP/1.1 200 OK")))
+    inner = tag("response", F.lit("\n"), tag("href", path), stat)
+    return F.concat(F.lit('<D:multistatus xmlns:D="DAV:">\n'), inner, F.lit("</D:multistatus>\n"))

@@ -6,12 +6,12 @@ import base64
 import json
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import columns, digest
 from quarry.functions.cdc import ChunkOptions
-from quarry.operators import protocol, routing, store
+from quarry.operators import manifest, protocol, routing, store
 from quarry.streaming import push
 
 SMALL = ChunkOptions(64, 256, 1024)
@@ -326,6 +326,102 @@ def request_heads(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", protocol.request_head(raw).alias("h")).select("event_id", "h.*")
 
 
+# ---- manifests, recipes, tags and overlays
+@query("select o_orderkey, case when o_orderkey % 7 = 0 then 'digest' when o_orderkey % 11 = 0 then 'version' when o_orderkey % 13 = 0 then 'length' end as error, case when not (o_orderkey % 7 = 0 or o_orderkey % 11 = 0 or o_orderkey % 13 = 0) then o_orderkey end as generation, case when not (o_orderkey % 7 = 0 or o_orderkey % 11 = 0 or o_orderkey % 13 = 0) then o_custkey end as chunk_count from orders")
+def level0_manifests(spark, sf_dir):
+    """Bootstrap manifests written, some of them changed or cut, and read."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    b = manifest.level0_blob(F.col("o_orderkey"), F.lit(1), F.lit(2), F.col("o_custkey"), columns.shake256(F.encode(F.col("o_orderkey").cast("string"), "UTF-8")), F.lit(None).cast("binary"))
+    o = o.withColumn("b", b)
+    put = lambda at, x: F.concat(F.substring("b", 1, at), F.lit(x), F.expr(f"substring(b, {at + 1 + len(x)}, 4096)"))
+    o = o.withColumn("b", F.when(F.col("o_orderkey") % 7 == 0, put(16, b"\x09")).when(F.col("o_orderkey") % 11 == 0, put(4, b"\x02")).when(F.col("o_orderkey") % 13 == 0, F.substring("b", 1, 100)).otherwise(F.col("b")))
+    o = o.select("o_orderkey", manifest.level0_fields(F.col("b")).alias("f"))
+    return o.select("o_orderkey", "f.error", F.col("f.generation").cast("long").alias("generation"), F.col("f.chunk_count").cast("long").alias("chunk_count"))
+
+
+@query("select l_orderkey as object, count(*) as entries, case when l_orderkey % 7 = 0 then 'start' when l_orderkey % 5 = 0 then 'end' end as finding from lineitem group by 1")
+def recipe_checks(spark, sf_dir):
+    """Orders as objects, their items as entries; some begin late, some end early."""
+    x = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("object"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("seq"), F.col("l_quantity").cast("long").alias("length"))
+    w = Window.partitionBy("object")
+    x = x.withColumn("end", F.sum("length").over(w.orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("length").over(w))
+    late = F.when(F.col("object") % 7 == 0, 1).otherwise(0)
+    x = x.select("object", "seq", "length", (F.col("end") - F.col("length") + late).alias("logical_offset"), (F.col("total") + F.when(F.col("object") % 5 == 0, 1).otherwise(0)).alias("nar_length"))
+    return manifest.recipe_findings(x)
+
+
+@query("""with c as (select l_partkey as chunk, count(*) as n from lineitem group by 1)
+select chunk, case when chunk % 7 = 0 then null when chunk % 5 = 0 then 0 when chunk % 11 = 0 then n + 1 end::BIGINT as recorded, n as counted, case when chunk % 7 = 0 then 'absent' when chunk % 5 = 0 then 'zero' else 'wrong' end as finding from c where chunk % 7 = 0 or chunk % 5 = 0 or chunk % 11 = 0""")
+def refcount_audit(spark, sf_dir):
+    m = manifest_chunks(spark, sf_dir)
+    s = store.refcounts(m).where("chunk % 7 <> 0")
+    s = s.withColumn("refcount", F.when(F.col("chunk") % 5 == 0, F.lit(0).cast("long")).when(F.col("chunk") % 11 == 0, F.col("refcount") + 1).otherwise(F.col("refcount")))
+    return manifest.refcount_findings(s, m)
+
+
+@query("with f as (select event_type || ':' || user_id as tag, event_id as seq, event_id % 3 as commit from events) select tag, seq, case when seq = min(seq) over (partition by tag) then 'published' when commit = first_value(commit) over (partition by tag order by seq) then 'same' else 'refused' end as status from f")
+def tag_publication(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.concat_ws(":", "event_type", F.col("user_id").cast("string")).alias("tag"), F.col("event_id").alias("seq"), (F.col("event_id") % 3).alias("commit"))
+    return manifest.publish_tags(e).select("tag", "seq", "status")
+
+
+def _overlays(spark, sf_dir):
+    """Chains of eight parts; part p writes objects p % 3 and p % 4, and hides p % 5."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("manifest"))
+    commits = p.select("manifest", F.when(F.col("manifest") % 8 != 0, F.col("manifest") - 1).alias("parent"), F.col("manifest").alias("generation"))
+    object_ = lambda n, alive: F.struct((F.col("manifest") % n + 10 * n).alias("object"), F.when(F.lit(alive), F.col("manifest")).alias("recipe"))
+    hidden = F.struct((F.col("manifest") % 3 + 30).alias("object"), F.lit(None).cast("long").alias("recipe"))
+    own = F.when(F.col("manifest") % 5 == 0, F.array(hidden, object_(4, True))).otherwise(F.array(object_(3, True), object_(4, True)))
+    return commits, p.select("manifest", F.explode(own).alias("x")).select("manifest", "x.object", "x.recipe"), p
+
+
+@query("""
+with e as (select p_partkey as m, 30 + p_partkey % 3 as object, case when p_partkey % 5 <> 0 then p_partkey end as recipe from part union all select p_partkey, 40 + p_partkey % 4, p_partkey from part),
+r as (select p_partkey as tip, object, recipe, p_partkey - m as depth, row_number() over (partition by p_partkey, object order by m desc) as k from part join e on m <= p_partkey and m // 8 = p_partkey // 8)
+select tip, object, recipe, depth::INTEGER as depth from r where k = 1 and recipe is not null""")
+def overlay_objects(spark, sf_dir):
+    return manifest.resolve_objects(*_overlays(spark, sf_dir))
+
+
+@query("select p_partkey as tip, (p_partkey % 8)::INTEGER as depth, 'ok' as status from part")
+def overlay_chains(spark, sf_dir):
+    commits, _, tips = _overlays(spark, sf_dir)
+    return manifest.chain_status(commits, tips)
+
+
+@query(f"select p_partkey as chunk from part where p_size < 25 and p_partkey not in ({_REACH})")
+def gc_with_grace(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("chunk"), F.col("p_size").alias("created"))
+    return manifest.collectible_before(p, roots(spark, sf_dir), manifest_chunks(spark, sf_dir), F.lit(25))
+
+
+@query("select source as tenant, sum(n)::BIGINT as logical_bytes, sum(one)::BIGINT as physical_bytes from (select source, text, sum(octet_length(encode(text))) as n, any_value(octet_length(encode(text))) as one from documents group by 1, 2) group by 1")
+def tenant_metering(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("source").alias("tenant"), F.sha2(F.encode("text", "UTF-8"), 256).alias("hash"), F.octet_length("text").cast("long").alias("length"))
+    return manifest.metering(d)
+
+
+@query("select p_partkey, case when p_partkey % 97 = 0 then 'left_only' when p_partkey % 89 = 0 then 'right_only' else 'changed' end as finding from part where p_partkey % 97 = 0 or p_partkey % 89 = 0 or p_partkey % 83 = 0")
+def replica_differences(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select("p_partkey", columns.sha256_raw(F.encode(F.col("p_partkey").cast("string"), "UTF-8")).alias("id"), F.col("p_name").alias("digest"))
+    right = p.where("p_partkey % 97 <> 0").withColumn("digest", F.when((F.col("p_partkey") % 83 == 0) & (F.col("p_partkey") % 89 != 0), "x").otherwise(F.col("digest")))
+    d = manifest.replica_differences(p.where("p_partkey % 89 <> 0 or p_partkey % 97 = 0").select("id", "digest"), right.select("id", "digest"))
+    return d.join(p.select("p_partkey", "id"), "id").select("p_partkey", "finding")
+
+
+@query("select event_type as counter, sum(a - r)::BIGINT as value from (select event_type, user_id, max(event_id) as a, max(event_id // 2) as r from events group by 1, 2) group by 1")
+def counter_values(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("counter"), F.col("user_id").alias("node"), F.col("event_id").alias("added"), F.expr("event_id div 2").alias("removed"))
+    return manifest.counter_values(e)
+
+
+@query("""select event_id, '<D:multistatus xmlns:D="DAV:">' || chr(10) || '<D:response>' || chr(10) || '<D:href>/c/u' || user_id || '/</D:href>' || chr(10) || '<D:propstat>' || chr(10) || '<D:prop>' || chr(10) || '<D:displayname>u' || user_id || '</D:displayname>' || chr(10)
+|| '<D:getlastmodified>Thu, 01 Jan 1970 00:00:00 GMT</D:getlastmodified>' || chr(10) || '<D:resourcetype><D:collection/></D:resourcetype>' || chr(10) || '</D:prop>' || chr(10) || '<D:status>HTTP/1.1 200 OK</D:status>' || chr(10) || '</D:propstat>' || chr(10) || '</D:response>' || chr(10) || '</D:multistatus>' || chr(10) as body from events where event_type = 'signup'""")
+def propfind_bodies(spark, sf_dir):
+    e = table(spark, sf_dir, "events").where("event_type = 'signup'")
+    return e.select("event_id", protocol.propfind_body(F.concat(F.lit("/c/u"), F.col("user_id").cast("string"), F.lit("/"))).alias("body"))
+
+
 # ---- signatures, witness, narinfo, requests
 @query("select s_suppkey, case when s_suppkey % 7 = 0 then 'invalid' else 'valid' end as verdict from supplier")
 def signature_verdicts(spark, sf_dir):

@@ -239,6 +239,60 @@ def test_requests_and_responses(spark):
     assert [r.status for r in protocol.request_log(log).orderBy("seq").collect()] == [403, 404, 200, 200, 401]
 
 
+def test_manifest_records():
+    from quarry.operators import manifest
+
+    full = [(1, 0, b"objects"), (2, 0, b"chunks!!"), (7, 0, b""), (99, 0, b"skipped")]
+    blob = manifest.level1_encode(full)
+    assert len(blob) % 8 == 0 and manifest.level1_decode(blob) == (full[:3], None)
+    error = lambda b: manifest.level1_decode(b)[1]
+    assert error(blob[:-1]) == error(blob[:4]) == error(b"\1\0\0\0\xff\xff\xff\xff") == "truncated" and error(b"") == "missing"
+    assert error(manifest.level1_encode([*full, (98, 1, b"")])) == "critical" and error(manifest.level1_encode([*full, (2, 0, b"")])) == "repeated"
+    one = manifest.level1_encode(full[:1])
+    assert error(one[:-1] + b"x") == "padding" and error(manifest.level1_encode(full[1:2]) + one) == "order" and manifest.level1_decode(blob, 2)[1] == "too_many"
+
+
+def test_manifest_columns_and_recipes(spark):
+    from quarry.operators import manifest
+
+    blob = bytearray(manifest.level1_encode([(1, 0, b"a"), (2, 0, b""), (7, 0, b"")]))
+    got = spark.createDataFrame([(1, blob), (2, None)], "k int, b binary").select("k", manifest.level1_fields("b").alias("f")).orderBy("k").collect()
+    assert [(r.tag, bytes(r.value)) for r in got[0].f.records] == [(1, b"a"), (2, b""), (7, b"")] and got[0].f.error is None and got[1].f.error == "missing"
+    n = spark.createDataFrame([(0,), (258,), (2**40 + 5,)], "n long").select("n", manifest.from_le(manifest.le(F.col("n"), 8), 0, 8).alias("m"), manifest.le(F.col("n"), 8).alias("b")).collect()
+    assert all(r.m == r.n and bytes(r.b) == r.n.to_bytes(8, "little") for r in n)
+    rows = [("ok", 5, 0, 0, 2), ("ok", 5, 1, 2, 3), ("gap", 6, 0, 0, 2), ("gap", 6, 1, 3, 3), ("overlap", 4, 0, 0, 2), ("overlap", 4, 1, 1, 3), ("start", 3, 0, 1, 2), ("end", 9, 0, 0, 2)]
+    e = spark.createDataFrame(rows, "object string, nar_length long, seq int, logical_offset long, length long")
+    assert {r.object: r.finding or "ok" for r in manifest.recipe_findings(e).collect()} == {k: k for k in ("ok", "gap", "overlap", "start", "end")}
+
+
+def test_overlay_chains(spark):
+    from quarry.operators import manifest
+
+    rows = [(k, k - 1 if k else None, k) for k in range(40)] + [(100, 101, 5), (101, 100, 4), (200, 999, 1), (300, 301, 1), (301, None, 2)]
+    c = spark.createDataFrame(rows, "manifest long, parent long, generation long")
+    tips = spark.createDataFrame([(x,) for x in (0, 15, 16, 39, 100, 200, 300)], "manifest long")
+    assert {r.tip: r.status for r in manifest.chain_status(c, tips).collect()} == {0: "ok", 15: "ok", 16: "too_deep", 39: "too_deep", 100: "cycle", 200: "missing", 300: "regression"}
+    assert {r.tip: r.depth for r in manifest.chain_status(c, tips, 6).where("tip < 50").collect()} == {0: 0, 15: 15, 16: 16, 39: 39}
+
+
+def test_settings():
+    from quarry.sources import settings
+
+    env = {"X_S3_ENDPOINT": "https://h/x/", "X_S3_BUCKET": "b", "X_S3_REGION": "r", "X_S3_ACCESS_KEY_ID": "a", "X_S3_SECRET_ACCESS_KEY": "s", "X_S3_PREFIX": ""}
+    assert settings.object_store(env, "X_") == settings.ObjectStore("https://h/x", "b", "r", "a", "s", None) and settings.object_store({}, "X_") is None
+    for k, v in (("X_S3_ENDPOINT", "ftp://h"), ("X_S3_ENDPOINT", "https:///x"), ("X_S3_BUCKET", "")):
+        with pytest.raises(ValueError):
+            settings.object_store(env | {k: v}, "X_")
+    with pytest.raises(ValueError, match="X_S3_REGION"):
+        settings.object_store({k: v for k, v in env.items() if k != "X_S3_REGION"}, "X_")
+    assert settings.swarm({"X_SWARM_SELF": " "}, "X_") is None
+    assert settings.swarm({"X_SWARM_SELF": "http://a/ ", "X_SWARM_PEERS": "http://b/, ,http://a"}, "X_") == settings.Swarm("http://a", ("http://a", "http://b"), 3)
+    assert settings.swarm({"X_SWARM_SELF": "a", "X_SWARM_REPLICAS": "0"}, "X_").replicas == 1
+    with pytest.raises(ValueError, match="REPLICAS"):
+        settings.swarm({"X_SWARM_SELF": "a", "X_SWARM_REPLICAS": "-1"}, "X_")
+    assert settings.node(["l"], "d1", "d2", {"X_DATA_DIR": "e"}, "X_") == ("l", "e") and settings.node([], "d1", "d2", {}, "X_") == ("d1", "d2")
+
+
 def same(v):
     return round(v, 6) if isinstance(v, float) else bytes(v) if isinstance(v, bytearray) else v
 

@@ -19,6 +19,12 @@ LEVEL0_HEADER = 0x12C
 LEVEL0_DIGEST_AT = 0xFE0
 LEVEL1_TAGS = {1: "object_table", 2: "chunk_table", 3: "parent", 4: "refcount", 5: "witness", 6: "metadata", 7: "hash_algorithms"}
 LEVEL1_REQUIRED = (1, 2, 7)
+REFCOUNT_MAGIC = b"FCRC"
+REFCOUNT_HEADER = 64
+REFCOUNT_ENTRY = 40
+COMMIT_MAGIC = b"FCCM"
+COMMIT_SIZE = 96
+CHUNK_ENTRY = 56
 WITNESS_EVENTS = {1: "chunk accepted", 2: "level 1 assembled", 3: "manifest committed", 4: "tag published", 5: "tag deleted", 6: "sweep completed"}
 
 
@@ -204,3 +210,62 @@ def counter_values(states: DataFrame) -> DataFrame:
     counts, as they only grow, summed."""
     by = states.groupBy("counter", "node").agg(F.max("added").alias("a"), F.max("removed").alias("r"))
     return by.groupBy("counter").agg((F.sum("a") - F.sum("r")).alias("value"))
+
+
+def chunk_entry(chunk: Column, plain: Column, stored: Column, codec: Column, flags: Column) -> Column:
+    """The 56 bytes of a chunk table's entry."""
+    return F.concat(chunk, le(plain, 8), le(stored, 8), le(codec, 2), le(flags, 2), F.lit(bytes(4)))
+
+
+def chunk_entry_fields(entry: Column) -> Column:
+    """chunk, plain, stored, codec and flags of an entry; null where it does not have 56 bytes."""
+    fields = F.struct(F.substring(entry, 1, 32).alias("chunk"), from_le(entry, 32, 8).alias("plain"), from_le(entry, 40, 8).alias("stored"), from_le(entry, 48, 2).alias("codec"), from_le(entry, 50, 2).alias("flags"))
+    return F.when(F.octet_length(entry) == CHUNK_ENTRY, fields)
+
+
+def refcount_segments(counts: DataFrame, generation: int, level0: bytes, digits: int = 2) -> DataFrame:
+    """bucket, segment of counts(chunk, refcount): a snapshot in segments by the first hexadecimal digits of chunks, as
+    one segment of all would grow with the store; entries in order of chunk. Take more digits for a larger store."""
+    head = lambda n: F.concat(F.lit(REFCOUNT_MAGIC), le(F.lit(1), 2), le(F.lit(REFCOUNT_ENTRY), 2), le(n, 8), le(F.lit(generation), 8), F.lit(level0), F.lit(bytes(8)))
+    entries = counts.select(F.substring(F.hex("chunk"), 1, digits).alias("bucket"), F.concat("chunk", le(F.col("refcount"), 8)).alias("entry"))
+    by = entries.groupBy("bucket").agg(F.array_sort(F.collect_list("entry")).alias("entries"))
+    body = F.unhex(F.array_join(F.transform("entries", F.hex), ""))
+    return by.select("bucket", F.concat(head(F.size("entries")), body).alias("segment"))
+
+
+def refcount_rows(segments: DataFrame) -> DataFrame:
+    """bucket, generation, chunk, refcount of segments(bucket, segment), and error: one row with magic, version or length
+    for a segment that cannot be read, else order (also for a chunk that repeats) or zero on the entries concerned."""
+    n = ((F.octet_length("segment") - REFCOUNT_HEADER) / REFCOUNT_ENTRY).cast("int")
+    bad = F.when(F.substring("segment", 1, 4) != F.lit(REFCOUNT_MAGIC), "magic").when((from_le(F.col("segment"), 4, 2) != 1) | (from_le(F.col("segment"), 6, 2) != REFCOUNT_ENTRY), "version")
+    bad = bad.when((F.octet_length("segment") < REFCOUNT_HEADER) | (F.octet_length("segment") != REFCOUNT_HEADER + REFCOUNT_ENTRY * from_le(F.col("segment"), 8, 8)), "length")
+    entry = lambda k: F.substr("segment", k * REFCOUNT_ENTRY + F.lit(REFCOUNT_HEADER + 1), F.lit(REFCOUNT_ENTRY))
+    read = segments.withColumn("bad", bad).withColumn("k", F.explode_outer(F.when(F.col("bad").isNull() & (n > 0), F.sequence(F.lit(0), n - 1))))
+    read = read.where("bad is not null or k is not null").select("bucket", from_le(F.col("segment"), 16, 8).alias("generation"), "bad", "k", F.when(F.col("k").isNotNull(), entry(F.col("k"))).alias("entry"), F.when(F.col("k") > 0, F.substring(entry(F.col("k") - 1), 1, 32)).alias("before"))
+    chunk, count = F.substring("entry", 1, 32), from_le(F.col("entry"), 32, 8)
+    error = F.coalesce("bad", F.when(F.col("before") >= chunk, "order").when(count == 0, "zero"))
+    return read.select("bucket", F.when(F.col("bad").isNull(), F.col("generation")).alias("generation"), chunk.alias("chunk"), count.alias("refcount"), error.alias("error"))
+
+
+def commit_record(generation: Column, level0: Column, previous: Column, created_ns: Column) -> Column:
+    """The 96 bytes of a commit record; no previous commit is null."""
+    return F.concat(F.lit(COMMIT_MAGIC), le(F.lit(1), 2), le(F.lit(0), 2), le(generation, 8), level0, F.coalesce(previous, F.lit(bytes(32))), le(created_ns, 8), F.lit(bytes(8)))
+
+
+def commit_fields(record: Column) -> Column:
+    """generation, level0, previous, created_ns and error (length, magic or version) of a commit record."""
+    error = F.when(record.isNull() | (F.octet_length(record) != COMMIT_SIZE), "length").when(F.substring(record, 1, 4) != F.lit(COMMIT_MAGIC), "magic").when(from_le(record, 4, 2) != 1, "version")
+    good = lambda c: F.when(error.isNull(), c)
+    return F.struct(good(from_le(record, 8, 8)).alias("generation"), good(F.substring(record, 17, 32)).alias("level0"), good(F.nullif(F.substring(record, 49, 32), F.lit(bytes(32)))).alias("previous"), good(from_le(record, 80, 8)).alias("created_ns"), error.alias("error"))
+
+
+def tag_binding(tag: Column, commit: Column, generation: Column) -> Column:
+    return F.concat(le(F.octet_length(tag), 2), columns.utf8(tag), commit, le(generation, 8))
+
+
+def tag_binding_fields(binding: Column) -> Column:
+    """tag, commit and generation of a binding; null where its length is not what its tag says."""
+    n = from_le(binding, 0, 2).cast("int")
+    part = lambda at, size: F.substr(binding, at, size)
+    fields = F.struct(F.decode(part(F.lit(3), n), "UTF-8").alias("tag"), part(n + 3, F.lit(32)).alias("commit"), from_le(part(n + 35, F.lit(8)), 0, 8).alias("generation"))
+    return F.when(F.octet_length(binding) == n + 42, fields)

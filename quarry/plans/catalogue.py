@@ -359,6 +359,14 @@ def refcount_audit(spark, sf_dir):
     return manifest.refcount_findings(s, m)
 
 
+@query("select l_partkey as part, count(*) as refcount, null::VARCHAR as error from lineitem group by 1")
+def refcount_snapshot(spark, sf_dir):
+    """References written as segments and read again."""
+    c = store.refcounts(manifest_chunks(spark, sf_dir)).withColumn("part", F.col("chunk")).withColumn("chunk", columns.sha256_raw(F.encode(F.col("chunk").cast("string"), "UTF-8")))
+    back = manifest.refcount_rows(manifest.refcount_segments(c.select("chunk", "refcount"), 7, bytes(32)))
+    return c.select("part", "chunk").join(back.select("chunk", F.col("refcount").cast("long").alias("refcount"), "error"), "chunk").drop("chunk")
+
+
 @query("with f as (select event_type || ':' || user_id as tag, event_id as seq, event_id % 3 as commit from events) select tag, seq, case when seq = min(seq) over (partition by tag) then 'published' when commit = first_value(commit) over (partition by tag order by seq) then 'same' else 'refused' end as status from f")
 def tag_publication(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.concat_ws(":", "event_type", F.col("user_id").cast("string")).alias("tag"), F.col("event_id").alias("seq"), (F.col("event_id") % 3).alias("commit"))

@@ -265,6 +265,26 @@ def test_manifest_columns_and_recipes(spark):
     assert {r.object: r.finding or "ok" for r in manifest.recipe_findings(e).collect()} == {k: k for k in ("ok", "gap", "overlap", "start", "end")}
 
 
+def test_manifest_byte_forms(spark):
+    from quarry.operators import manifest
+
+    a, b = bytes(range(32)), bytes([1]) * 32
+    c = spark.createDataFrame([(bytearray(b), 3), (bytearray(a), 1), (bytearray(bytes([0]) + b[1:]), 2)], "chunk binary, refcount long")
+    seg = manifest.refcount_segments(c, 9, b).collect()
+    assert sorted(len(r.segment) for r in seg) == [64 + 40, 64 + 80]
+    whole = bytes(next(r.segment for r in seg if r.bucket == "00"))
+    bad = {"good": whole, "magic": b"x" + whole[1:], "version": whole[:6] + b"\x29" + whole[7:], "length": whole[:-1], "order": whole[:64] + whole[104:] + whole[64:104], "zero": whole[:-8] + bytes(8), "short": whole[:20], "empty": whole[:8] + bytes(8) + whole[16:64]}
+    rows = manifest.refcount_rows(spark.createDataFrame([(k, bytearray(v)) for k, v in bad.items()], "bucket string, segment binary")).collect()
+    got = {k: sorted([r.error or "" for r in rows if r.bucket == k]) for k in bad}
+    assert got == {"good": ["", ""], "magic": ["magic"], "version": ["version"], "length": ["length"], "order": ["", "order"], "zero": ["", "zero"], "short": ["length"], "empty": []}
+    assert {(bytes(r.chunk), int(r.refcount), int(r.generation)) for r in rows if r.bucket == "good"} == {(a, 1, 9), (bytes([0]) + b[1:], 2, 9)}
+    d = spark.createDataFrame([(1, bytearray(a), bytearray(b), "main/é")], "g long, a binary, b binary, t string")
+    r = d.select(manifest.commit_fields(manifest.commit_record(F.col("g"), F.col("a"), F.col("b"), F.lit(5))).alias("c"), manifest.commit_fields(F.lit(b"x")).alias("x"), manifest.tag_binding_fields(manifest.tag_binding(F.col("t"), F.col("b"), F.col("g"))).alias("t"), manifest.tag_binding_fields(F.lit(b"\5\0abc")).alias("u"), manifest.chunk_entry_fields(manifest.chunk_entry(F.col("a"), F.lit(10), F.lit(7), F.lit(1), F.lit(0))).alias("e")).first()
+    assert (int(r.c.generation), bytes(r.c.level0), bytes(r.c.previous), int(r.c.created_ns), r.c.error) == (1, a, b, 5, None) and r.x.error == "length" and r.x.generation is None
+    assert (r.t.tag, bytes(r.t.commit), int(r.t.generation)) == ("main/é", b, 1) and r.u is None
+    assert (bytes(r.e.chunk), *map(int, r.e[1:])) == (a, 10, 7, 1, 0)
+
+
 def test_overlay_chains(spark):
     from quarry.operators import manifest
 

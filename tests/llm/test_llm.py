@@ -263,6 +263,15 @@ def test_genetic_steps_keep_all_items():
     assert sorted(x for y in best for x in y) == sorted(lengths) and len(best) <= len(packing.best_fit(sorted(lengths, reverse=True), 1024)) + 1
 
 
+def test_an_island_tries_twelve_crossovers_from_six_packings(monkeypatch):
+    starts, tried = [], []
+    monkeypatch.setattr(packing, "least_bins", lambda *_: 0)  # never met
+    monkeypatch.setattr(packing, "best_fit", lambda lengths, *_: starts.append(1) or [[x] for x in lengths])
+    monkeypatch.setattr(packing, "crossover", lambda a, *_: tried.append(1) or a)
+    packing.evolve(Counter([500, 400, 300]), [], 1024, 0)
+    assert (len(starts), len(tried)) == (6, 12)
+
+
 def test_packing_odd_rows(odd):
     got = packing.pack_sequences(odd)
     assert got.where("length > 1024 or length < 1").count() == 0 and got.where("piece = 0").count() == odd.count()

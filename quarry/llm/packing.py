@@ -51,11 +51,26 @@ def encoder(path: str | None = None, ranks: str | None = None):
     return lambda text: fast.encode_ordinary(text) if text.isascii() or max(text) < "ɐ" else whole.encode(text, add_special_tokens=False).ids
 
 
+@lru_cache(maxsize=4)
+def document_encoder(path: str | None = None, ranks: str | None = None):
+    """text -> ids as Tokenizer.from_file(path).encode(text, add_special_tokens=False) gives them: an added token's
+    string becomes its id. Texts that hold none go through encoder."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(path or public_tokenizers.path("byte_bpe_50k.json"))
+    if path and not ranks:
+        return lambda text: whole.encode(text, add_special_tokens=False).ids
+    added = [t.content for t in whole.get_added_tokens_decoder().values()]
+    ordinary = encoder(path, ranks)
+    return lambda text: whole.encode(text, add_special_tokens=False).ids if any(x in text for x in added) else ordinary(text)
+
+
 def tokenise(documents: DataFrame, capacity: int = CAPACITY, end: int = END, path: str | None = None, ranks: str | None = None) -> DataFrame:
     """PIECES of every document: its ids and an end id; longer ones are cut into pieces of capacity, the first shorter."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path, ranks)
+        encode = document_encoder(path, ranks)
         for b in batches:
             cols: tuple[list, ...] = ([], [], [], [], [])
             for doc, text in zip(b.column(0).to_pylist(), lazily(b.column(1)), strict=True):

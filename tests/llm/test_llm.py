@@ -289,6 +289,19 @@ def test_fast_encoder_gives_the_same_ids():
         assert encode(t) == whole.encode(t, add_special_tokens=False).ids
 
 
+def test_pieces_hold_the_ids_of_the_plain_tokenizer(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "日本語<|endoftext|>ñ", "<|endoftext| >", "plain"]
+    got = {r.doc_id: r for r in packing.pack_sequences(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        ids = whole.encode(t, add_special_tokens=False).ids
+        assert packing.document_encoder()(t) == ids
+        assert (got[i].length, got[i].ids_crc32) == (len(ids) + 1, zlib.crc32(np.array([*ids, 2], "<u4").tobytes()))
+
+
 # ---- 6
 def brute_url(url):
     m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url or "")

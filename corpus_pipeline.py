@@ -16,8 +16,11 @@ def drop_bad_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each component stays; documents that are linked with nothing stay."""
+    """The smallest doc_id of each component stays; documents that are linked with nothing stay. Of rows that share
+    doc_id and text, and of rows without doc_id that share a text, one stays, the smallest by all columns. Rows without
+    doc_id are in no component, so they are not compared with other texts or with rows that have one."""
     others = jaccard.near_duplicates(docs).where("component_id < doc_id").select("doc_id").distinct()
+    docs = _once(docs)
     return docs.join(others.select(F.col("doc_id").alias("__gone")), docs["doc_id"].cast("long") == F.col("__gone"), "left_anti")
 
 
@@ -49,6 +52,18 @@ def _with_verdicts(docs: DataFrame, gone: DataFrame, how: str) -> DataFrame:
     return docs.join(gone, F.xxhash64(docs["doc_id"].cast("long"), docs["text"]) == F.col("__gone"), how)
 
 
+def _once(docs: DataFrame) -> DataFrame:
+    """docs with one row of those that share doc_id (or have none) and text; only repeated ones are shuffled whole."""
+    name = lambda x: F.coalesce(x, F.lit("null"))
+    key = F.concat_ws(" ", name(docs["doc_id"].cast("long").cast("string")), name(F.sha2(docs["text"], 256))).alias("__key")
+    repeated = docs.select(key).groupBy("__key").count().where("count > 1").select("__key").checkpoint()
+    if repeated.isEmpty():
+        return docs
+    keyed = docs.select(key, F.struct(*docs.columns).alias("__row"))
+    one = keyed.join(repeated, "__key", "left_semi").groupBy("__key").agg(F.min("__row").alias("__row"))
+    return keyed.join(repeated, "__key", "left_anti").unionByName(one).select("__row.*")
+
+
 STAGES = [
     ("quality classifier", drop_bad_quality),
     ("n-gram Jaccard join", drop_near_duplicates),

@@ -512,3 +512,13 @@ def test_pipeline_odd_rows(spark, odd):
     for df in (odd, odd.limit(0)):
         for _, stage in cp.STAGES:
             stage(spark, df, SF).collect()
+
+
+def test_pipeline_keeps_one_of_exact_copies(spark):
+    import corpus_pipeline as cp
+
+    one, two, three = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    data = [(1, one, "s"), (1, one, "s"), (1, one, "r"), (2, one, "s"), (2, one, "s"), (1, two, "s"), (4, three, "s"), (None, three, "s"), (None, three, "r"), (None, one, "s"), (None, None, "s"), (None, None, "s"), (6, None, "s"), (7, None, "s")]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string")
+    got = Counter(map(tuple, cp.drop_near_duplicates(spark, df, SF).collect()))
+    assert got == Counter([(1, one, "r"), (1, two, "s"), (4, three, "s"), (None, three, "r"), (None, one, "s"), (None, None, "s"), (6, None, "s"), (7, None, "s")])

@@ -235,7 +235,9 @@ def near_duplicates(documents: DataFrame, n: int = WORDS, percent: int = PERCENT
     blocks = int(total // BLOCK) * 2 + 12
     packed = prefix_entries(d, common, blocks, n, percent)
     entries = packed.groupBy("block").applyInPandas(_shared, "g long, doc_id long, n int, at int, a long, na int, ia int")
-    entries = scratch.keep(entries.join(small(copies.select("doc_id")), "doc_id", "left_anti"), "entries")
+    # a doc_id that stands for a set in another of its rows keeps its entries, as they are not told apart by set
+    only_copies = scratch.keep(copies.select("doc_id").distinct().join(least.select(F.col("rep").alias("doc_id")), "doc_id", "left_anti"), "only_copies")
+    entries = scratch.keep(entries.join(small(only_copies), "doc_id", "left_anti"), "entries")
 
     e = entries.select("g", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib"), "a", "na", "ia")
     known = e.where("a is null").drop("a", "na", "ia")

@@ -206,6 +206,13 @@ def test_jaccard_chains_and_large_groups(spark):
     assert set(rows(got)) == brute_components(data)
 
 
+def test_jaccard_links_every_text_of_a_repeated_doc_id(spark):
+    one, two, three = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    data = [(1, one), (5, one), (5, two), (3, two + " more"), (8, three), (9, "more " + three)]
+    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 3: 1, 5: 1, 8: 8, 9: 8}
+
+
 def test_jaccard_odd_rows(odd):
     got = Counter(rows(jaccard.near_duplicates(odd)))
     assert got[1, 2, 1] == 2 and got[2, 0, 2] == 1 and got[None, 2, None] == 1 and got[None, 0, None] == 1

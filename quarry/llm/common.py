@@ -19,11 +19,15 @@ MIX = 0x9E3779B97F4A7C15
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share. A folder of our own only where the session names none."""
+    """The folder that driver and executors share. A temporary folder of our own only in a local session that names
+    none; on a cluster, naming none is an error."""
     sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir")
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='quarry-')}")
-    return sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir().rsplit("/", 1)[0]
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("name a folder that driver and executors share in spark.checkpoint.dir")
+        sc.setCheckpointDir(named or f"file://{tempfile.mkdtemp(prefix='quarry-')}")
+    return named or sc.getCheckpointDir().rsplit("/", 1)[0]
 
 
 #: Rows of an Arrow batch while operators run: whole texts travel in them, in the JVM and in Python workers alike.
@@ -42,14 +46,23 @@ def arrow_rows(spark: SparkSession, rows: int = ARROW_ROWS) -> Iterator[None]:
 
 
 class Scratch:
-    """Tables that cut lineage: written once as Parquet in the shared folder, dropped when no longer needed."""
+    """Tables that cut lineage: written once as Parquet in the shared folder, dropped when no longer needed. As a
+    context, all of them go if the operator fails."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path = spark, f"{scratch_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, kind: type | None, *_: object) -> None:
+        if kind is not None:
+            self.remove()
+
+    def keep(self, df: DataFrame, name: str, rows: int = ARROW_ROWS) -> DataFrame:
+        """rows: of an Arrow batch, more for tables without texts."""
         path = f"{self.path}/{name}"
-        with arrow_rows(self.spark):
+        with arrow_rows(self.spark, rows):
             df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
@@ -58,9 +71,10 @@ class Scratch:
         path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}".rstrip("/"))
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
-    def finish(self, df: DataFrame) -> DataFrame:
-        """A copy of df that Spark itself cleans up once nothing refers to it; all other tables go."""
-        with arrow_rows(self.spark):
+    def finish(self, df: DataFrame, rows: int = ARROW_ROWS) -> DataFrame:
+        """A checkpoint of df; all other tables go. Spark deletes checkpoints that nothing refers to any more if the
+        session sets spark.cleaner.referenceTracking.cleanCheckpoints."""
+        with arrow_rows(self.spark, rows):
             out = df.checkpoint()
         self.remove()
         return out

@@ -2,29 +2,39 @@
 
 Vectors are integers, floor(scale * x). Rows are dealt into blocks; each block holds, per dimension, its rows sorted by
 value and cut into posting segments of equal quantised value. For a query, the segments of all dimensions are taken by
-descending impact, the most that a row of the segment can gain over the least in that dimension. The scores gathered
-so far are lower bounds; what is still to come in a dimension is at most its next segment's impact. Rows that can no
-longer reach a proven k-th score are not among the best; once enough are ruled out, the possible rest is scored exactly.
-The best of all blocks are merged by query. Queries, a stated part of the rows, meet candidates block by block.
-
-Defined results: vectors that are null, empty or hold null, NaN, infinite or out-of-range (2^31 or more) components,
-and rows without id, take no part; only vectors of the query's length are its candidates; of repeated rows every row
-is a candidate for the others, and each query row gets its own answers; an empty table gives none.
+descending impact, the most that a row of the segment can gain over the least in that dimension, each posting once. The
+scores gathered so far are lower bounds; what is still to come in a dimension in which a row has not come up is at most
+the impact of its next segment. Rows that can no longer reach a proven k-th score are not among the best; once enough
+are ruled out, or no segment is left, the possible rest is scored exactly. The best of all blocks are merged by query.
+
+A block is packed into one row and meets packed batches of queries by its number, so that a block is shuffled once and
+its index built once in the task that holds it, while the queries pass by in batches of bounded size. Every query has to
+meet every block, by what the search is for.
+
+Defined results: vectors that are null or hold null, NaN or infinite components, and rows without id, take no part;
+components may be of any finite size: scores are compared exactly, and one that does not fit a long is returned as the
+nearest long; only vectors of the query's length are its candidates, so empty ones (score 0) are each other's; of
+repeated rows every row is a candidate for the others, and each query row gets its own answers; an empty table gives
+none.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Scratch, pick
+from quarry.llm.common import Scratch, arrow_rows, pick
 
-BLOCK, QUERY_BLOCK = 8_192, 1_024
-#: Values of one segment differ in this many low bits. A block is looked at once these parts of its postings are taken;
-#: the segments end when the bound leaves at most the part POSSIBLE of the rows, and those are scored exactly.
-SHIFT, LOOKS, POSSIBLE = 4, (0.5, 0.75, 1.0), 0.5
+BLOCK, QUERY_BLOCK = 8_192, 256
+#: Values of one segment differ in this many low bits. A block is looked at after every part LOOK of its postings; the
+#: segments end when the bound leaves at most the part POSSIBLE of the rows, and those are scored exactly.
+SHIFT, LOOK, POSSIBLE = 4, 0.125, 0.25
+LONG = (1 << 63) - 1
 
 
 class Block:
@@ -33,6 +43,8 @@ class Block:
     def __init__(self, rows: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int):
         order = np.lexsort((rows, ids))
         rows, ids, x = rows[order], ids[order], np.ascontiguousarray(x[order])
+        if not x.shape[1]:
+            x = np.zeros((len(x), 1))
         self.rows, self.ids, self.k = rows, ids, k
         self.x, inverse = np.unique(x, axis=0, return_inverse=True)
         inverse = inverse.reshape(-1)
@@ -40,12 +52,11 @@ class Block:
         starts = np.searchsorted(inverse[by], np.arange(len(self.x) + 1))
         self.members = [by[a : min(b, a + k + 1)] for a, b in zip(starts[:-1], starts[1:], strict=True)]
         self.n, self.d = self.x.shape
-        # doubles hold these products exactly as long as they stay below 2^53
-        self.exact = self.x.astype(np.float64) if self.d * int(np.abs(self.x).max()) ** 2 < 1 << 53 else self.x
+        self.largest = float(np.abs(self.x).max())
         # postings, dimension after dimension, by value; and their segments
         order = np.argsort(self.x, axis=0, kind="stable").T
         value = np.take_along_axis(self.x.T, order, axis=1)
-        level = value >> SHIFT
+        level = np.floor(value / (1 << SHIFT))
         new = np.concatenate((np.ones((self.d, 1), dtype=bool), level[:, 1:] != level[:, :-1]), axis=1).ravel()
         self.post, self.value = order.astype(np.int32).ravel(), value.ravel()
         self.begin = np.flatnonzero(new)
@@ -53,78 +64,124 @@ class Block:
         self.dim = self.begin // self.n
         self.low, self.high = self.value[self.begin], self.value[self.begin + self.length - 1]
         self.least, self.most = value[:, 0], value[:, -1]
+        self.seen = np.zeros((self.n, self.d))
+        self.taken = 0
 
     def search(self, q: np.ndarray, own: int) -> list[tuple[int, int]]:
         """The k best (score, id) for a query whose own row is not a candidate."""
-        k = self.k + 1  # one may be the query's own
-        if self.n <= 64 * k or not q.any():
-            return self._exact(np.arange(self.n), q, own)
-        base = np.where(q >= 0, q * self.least, q * self.most)  # the least a dimension can give
+        q = q if len(q) else np.zeros(1)
+        # integers below 2^53 are exact in doubles; beyond, bounds get a margin and scores are Python integers
+        whole = self.d * self.largest * float(np.abs(q).max()) < 1 << 53
+        k = min(self.k + 1, self.n)  # one may be the query's own
+        base = np.minimum(q * self.least, q * self.most)  # the least a dimension can give
+        ends = np.maximum(np.abs(q * self.least), np.abs(q * self.most)).sum()
+        margin = 0.0 if whole else ends * 2.0**-40
         qs = q[self.dim]
-        impact = np.where(qs >= 0, qs * self.high, qs * self.low) - base[self.dim]
+        impact = np.maximum(qs * self.low, qs * self.high) - base[self.dim]
         by = np.argsort(-impact, kind="stable")
         by = by[impact[by] > 0]  # segments of no impact add nothing
         dim, impact, length, begin = self.dim[by], impact[by], self.length[by], self.begin[by]
         work = np.cumsum(length)
-        after = np.zeros(self.d, dtype=np.int64)
-        for goal in LOOKS:
-            to = min(len(by), int(np.searchsorted(work, goal * work[-1])) + 1)
-            # a row that has not come up yet in a dimension gains at most the impact of its next segment there
+        score, after = np.full(self.n, base.sum()), np.zeros(self.d)
+        possible = np.arange(self.n)
+        self.seen.fill(0)
+        done, bar = 0, -np.inf
+        while done < len(by):
+            to = min(len(by), int(np.searchsorted(work, (work[done - 1] if done else 0) + LOOK * work[-1])) + 1)
+            n = length[done:to]
+            flat = np.arange(n.sum()) + np.repeat(begin[done:to] - np.concatenate(([0], np.cumsum(n)[:-1])), n)
+            rows, at = self.post[flat], np.repeat(dim[done:to], n)
+            score += np.bincount(rows, weights=self.value[flat] * q[at] - base[at], minlength=self.n)
+            self.seen[rows, at] = 1
+            self.taken += len(flat)
+            done = to
             after[:] = 0
-            after[dim[to:][::-1]] = impact[to:][::-1]
-            n = length[:to]
-            flat = np.arange(n.sum()) + np.repeat(begin[:to] - np.concatenate(([0], np.cumsum(n)[:-1])), n)
-            over = self.value[flat] * np.repeat(q[dim[:to]], n) - np.repeat((base + after)[dim[:to]], n)
-            score = np.bincount(self.post[flat], weights=over, minlength=self.n)
+            after[dim[done:][::-1]] = impact[done:][::-1]  # of the next segment of each dimension
             # the k-th exact score among the leaders so far is a lower bound of the k-th best
-            leaders = np.argpartition(score, self.n - 4 * k)[self.n - 4 * k :]
-            bar = np.sort(self.x[leaders] @ q)[-k] - base.sum() - after.sum()
-            possible = np.flatnonzero(score >= bar)
-            if len(possible) <= self.n * POSSIBLE:
+            some = min(self.n, 4 * k)
+            leaders = np.argpartition(score, self.n - some)[self.n - some :]
+            bar = max(bar, float(sorted(self._scores(leaders, q, whole))[-k]))
+            most = score + (after.sum() - self.seen @ after)
+            possible = np.flatnonzero(most >= bar - margin - abs(bar) * (0.0 if whole else 2.0**-40))
+            if len(possible) <= max(k, self.n * POSSIBLE):
                 break
-        return self._exact(possible, q, own)
-
-    def _exact(self, possible: np.ndarray, q: np.ndarray, own: int) -> list[tuple[int, int]]:
-        scores = (self.exact[possible] @ q.astype(self.exact.dtype)).astype(np.int64)
-        out = []
-        for i in np.argsort(-scores, kind="stable"):
+        out: list[tuple[int, int]] = []
+        scores = self._scores(possible, q, whole)
+        for i in sorted(range(len(possible)), key=lambda i: -scores[i]):
             if len(out) >= self.k and scores[i] < out[self.k - 1][0]:
                 break
-            out += [(int(scores[i]), int(self.ids[m])) for m in self.members[possible[i]] if self.rows[m] != own]
+            out += [(scores[i], int(self.ids[m])) for m in self.members[possible[i]] if self.rows[m] != own]
             out.sort(key=lambda t: (-t[0], t[1]))
             del out[self.k :]
         return out
 
+    def _scores(self, which: np.ndarray, q: np.ndarray, whole: bool) -> list[int]:
+        if whole:
+            return (self.x[which] @ q).astype(np.int64).tolist()
+        by = [int(v) for v in q]
+        return [sum(int(a) * b for a, b in zip(row, by, strict=True)) for row in self.x[which]]
+
 
 def quantise(embedding: Column, scale: float = 256.0) -> Column:
-    """floor(scale * x) of every component as double, as array<long>; null if any is null, not finite or too large."""
-    scaled = F.transform(embedding.cast("array<double>"), lambda x: F.floor(x * F.lit(scale).cast("double")).cast("long"))
-    good = F.forall(embedding.cast("array<double>"), lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) * scale < 2.0**31), F.lit(False)))
-    return F.when(good & (F.size(embedding) > 0), scaled)
+    """floor(scale * x) of every component as double, kept as double; null if any is null or not finite."""
+    x = embedding.cast("array<double>")
+    good = F.forall(x, lambda v: F.coalesce(~F.isnan(v) & (F.abs(v) < float("inf")), F.lit(False)))
+    return F.when(good, F.transform(x, lambda v: _floor(v * F.lit(scale).cast("double"))))
+
+
+def _floor(v: Column) -> Column:
+    """Doubles of 2^52 and more are whole, and their floor need not fit a long."""
+    return F.when(F.abs(v) < 2.0**52, F.floor(v).cast("double")).otherwise(v)
+
+
+def _packed(rows: pd.DataFrame) -> tuple[bytes, bytes, bytes]:
+    return rows["row"].to_numpy("<i8").tobytes(), rows["vec_id"].to_numpy("<i8").tobytes(), np.concatenate(rows["q"].to_numpy()).astype("<f8").tobytes()
+
+
+def _unpacked(row: bytes, vec_id: bytes, x: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    rows = np.frombuffer(row, "<i8")
+    return rows, np.frombuffer(vec_id, "<i8"), np.frombuffer(x, "<f8").reshape(len(rows), -1)
+
+
+def _key(score: int) -> str:
+    """Orders scores that do not fit a long among themselves; empty for all others."""
+    return "" if -LONG < score < LONG else f"{score + 10**99:0100d}"
 
 
 def search(vectors: DataFrame, queries: Column, k: int = 5, scale: float = 256.0, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: the k best rows of vectors(vec_id, embedding) for each row where queries holds."""
     scratch = Scratch(vectors.sparkSession, "topk")
-    v = pick(vectors, vec_id="long", embedding="array<double>")
-    v = v.select("vec_id", quantise(F.col("embedding"), scale).alias("q"), F.coalesce(queries, F.lit(False)).alias("asks")).where("q is not null and vec_id is not null")
-    v = scratch.keep(v.withColumns({"row": F.monotonically_increasing_id(), "dim": F.size("q")}), "vectors")
-    n, asking = v.agg(F.count("*"), F.count_if("asks")).first()
-    blocks, asked = max(1, -(-n // block)), max(1, -(-asking // query_block))
-    deal = lambda m, salt: F.pmod(F.xxhash64("row", F.lit(salt)), F.lit(m)).cast("int")
-    spread = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    candidates = v.select("dim", deal(blocks, 1).alias("block"), spread(asked).alias("part"), "row", "vec_id", "q")
-    questions = v.where("asks").select("dim", spread(blocks).alias("block"), deal(asked, 2).alias("part"), "row", "vec_id", "q")
-
-    def meet(key: tuple, c: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        if len(c) and len(q):
-            index = Block(c["row"].to_numpy(), c["vec_id"].to_numpy(), np.stack(c["q"].to_numpy()), k)
-            for row, vec_id, x in zip(q["row"], q["vec_id"], q["q"], strict=True):
-                found += [(row, vec_id, i, s) for s, i in index.search(np.asarray(x), row)]
-        return pd.DataFrame(found, columns=["row", "query_id", "vec_id", "score"]).astype("int64")
-
-    on = ["dim", "block", "part"]
-    best = candidates.groupBy(*on).cogroup(questions.groupBy(*on)).applyInPandas(meet, "row long, query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("row", "query_id").orderBy(F.desc("score"), "vec_id"))
-    return scratch.finish(best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
+    with scratch:
+        v = pick(vectors, vec_id="long", embedding="array<double>")
+        v = v.select("vec_id", quantise(F.col("embedding"), scale).alias("q"), F.coalesce(queries, F.lit(False)).alias("asks")).where("q is not null and vec_id is not null")
+        v = scratch.keep(v.withColumns({"row": F.monotonically_increasing_id(), "dim": F.size("q")}), "vectors")
+        n, asking = v.agg(F.count("*"), F.count_if("asks")).first()
+        blocks, parts = max(1, -(-n // block)), max(1, -(-asking // query_block))
+
+        def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame([(*key, *_packed(rows))])
+
+        def deal(df: DataFrame, m: int, number: str, names: str) -> DataFrame:
+            dealt = df.withColumn(number, F.pmod(F.xxhash64("row", F.lit(number)), F.lit(m)).cast("int"))
+            return dealt.groupBy("dim", number).applyInPandas(pack, f"dim int, {number} int, {names}")
+
+        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, index = None, None
+            for b in batches:
+                found = []
+                for dim, number, *parts in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    if (dim, number) != held:
+                        held, index = (dim, number), Block(*_unpacked(*parts[:3]), k)
+                    for row, vec_id, q in zip(*_unpacked(*parts[3:]), strict=True):
+                        found += [(int(row), int(vec_id), i, max(-LONG - 1, min(LONG, s)), _key(s)) for s, i in index.search(q, row)]
+                cols = list(zip(*found, strict=True)) or [()] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 4 + [pa.string()], strict=True)], names=["row", "query_id", "vec_id", "score", "key"])
+
+        index = scratch.keep(deal(v.select("dim", "row", "vec_id", "q"), blocks, "block", "crow binary, cid binary, cx binary"), "blocks")
+        asked = scratch.keep(deal(v.where("asks").select("dim", "row", "vec_id", "q"), parts, "part", "qrow binary, qid binary, qx binary"), "queries")
+        asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))  # every batch meets every block
+        both = index.join(asked, ["dim", "block"]).select("dim", "block", "crow", "cid", "cx", "qrow", "qid", "qx")
+        with arrow_rows(vectors.sparkSession, 4):  # a row holds a whole block
+            best = scratch.keep(both.mapInArrow(meet, "row long, query_id long, vec_id long, score long, key string"), "best")
+        rank = F.row_number().over(Window.partitionBy("row", "query_id").orderBy(F.desc("score"), F.desc("key"), "vec_id"))
+        return scratch.finish(best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))

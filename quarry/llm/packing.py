@@ -2,12 +2,17 @@
 
 Pieces are dealt into shards of a bounded number. Within a shard only the counts of lengths matter, as pieces of one
 length are interchangeable, so an individual is a list of bins of lengths. Several islands evolve a shard from different
-seeds, then pass their elite on to the next island of the ring and evolve again. Crossover injects whole well-filled
-bins of one parent into the other, removes the bins that now hold too many of a length, and puts the displaced lengths
-back by best fit. Pieces as long as the capacity are
-sequences of their own. An island stops at once when it meets a lower bound of its shard, which proves it best.
-
-Defined results: a null text is empty, one sequence end; repeated rows are packed each; an empty table packs nothing.
+starts, then pass their elite on to the next island of the ring and evolve again. Crossover injects whole well-filled
+bins of one parent into the other and removes the bins that now hold too many of a length. Displaced lengths first take
+the place of one or two shorter ones in bins that they fill better, and what is left goes in by best fit, longest first.
+Whole packings of a shard meet once per migration; between migrations a population evolves the part of the shard that
+matters, the bins with room together with full ones to exchange with, so that a generation costs little. The worst of a
+population gives way to a better child of two tournament winners; fitness is the number of bins, then the sum of the
+squares of their fill. Pieces as long as the capacity are sequences of their own. An island stops at once when it meets
+a lower bound of its shard, which proves it best.
+
+Defined results: a null text is empty, one sequence end; repeated rows are packed each; runs of one character of any
+length get the ids of the plain tokenizer; an empty table packs nothing.
 """
 
 from __future__ import annotations
@@ -15,8 +20,10 @@ from __future__ import annotations
 import base64
 import json
 import random
+import re
 import zlib
 from array import array
+from bisect import bisect_right, insort
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -30,13 +37,18 @@ from quarry.llm.common import Scratch, lazily, partitions, pick
 
 CAPACITY, END = 1024, 2
 SHARD, ISLANDS, ROUNDS = 20_000, 3, 2
+#: Of the bins with room, so many evolve at a time, with twice as many full ones and SPARE.
+KERNEL, SPARE = 200, 64
+#: The fast encoder recurses over white space; texts with a run of so many go to the plain one.
+LONG_SPACE = re.compile(r"\s{10000}")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 @lru_cache(maxsize=4)
 def encoder(path: str | None = None, ranks: str | None = None):
     """text -> ids of the vocabulary at path, special strings as ordinary text. Texts of Latin characters go through
-    the ranks of the same vocabulary, which give the same ids several times as fast; all others through path itself."""
+    the ranks of the same vocabulary, which give the same ids several times as fast; all others, and texts with very
+    long runs of white space, on which that encoder fails, through path itself."""
     import public_tokenizers
     import tiktoken
     from tokenizers import Tokenizer
@@ -48,7 +60,8 @@ def encoder(path: str | None = None, ranks: str | None = None):
     with open(ranks or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
-    return lambda text: fast.encode_ordinary(text) if text.isascii() or max(text) < "ɐ" else whole.encode(text, add_special_tokens=False).ids
+    usual = lambda text: (text.isascii() or max(text) < "ɐ") and (len(text) < 10_000 or not LONG_SPACE.search(text))
+    return lambda text: fast.encode_ordinary(text) if usual(text) else whole.encode(text, add_special_tokens=False).ids
 
 
 @lru_cache(maxsize=4)
@@ -175,54 +188,108 @@ def least_bins(counts: dict[int, int], capacity: int) -> int:
     return best
 
 
-def fitness(bins: list[list[int]], capacity: int) -> tuple[int, float]:
-    """Lower is better: bins, then how evenly they are filled (well-filled bins beside poor ones are better)."""
-    return len(bins), -sum((sum(b) / capacity) ** 2 for b in bins)
+def fitness(bins: list[list[int]]) -> tuple[int, int]:
+    """Lower is better: bins, then less the sum of their squared fill (well-filled bins beside poor ones are better)."""
+    return len(bins), -sum(sum(b) ** 2 for b in bins)
+
+
+def refill(bins: list[list[int]], displaced: list[int], capacity: int) -> list[int]:
+    """Displaced lengths take the place of one or two shorter ones in bins that they fill better. What is displaced now."""
+    out = sorted(displaced)
+    for bin_ in bins:
+        room = capacity - sum(bin_)
+        if not room or not out:
+            continue
+        n = len(bin_)
+        gain, leave, at = 0, None, -1
+        for away in [(i,) for i in range(n)] + [(i, k) for i in range(n) for k in range(i)]:
+            held = sum(bin_[i] for i in away)
+            j = bisect_right(out, held + room) - 1
+            if j >= 0 and out[j] - held > gain:
+                gain, leave, at = out[j] - held, away, j
+        if leave:
+            comes, goes = out.pop(at), [bin_[i] for i in leave]
+            bin_[:] = [x for i, x in enumerate(bin_) if i not in leave] + [comes]
+            for x in goes:
+                insort(out, x)
+    return out
 
 
 def crossover(a: list[list[int]], b: list[list[int]], capacity: int, rng: random.Random) -> list[list[int]]:
-    """b's well-filled bins go whole into a; a's bins that hold too many of a length go; what they held is best-fitted."""
-    good = [x for x in b if sum(x) >= capacity - 2]
-    inject = rng.sample(good, rng.randint(len(good) // 4, max(1, len(good) // 2))) if good else []
+    """b's well-filled bins go whole into a; a's bins that hold too many of a length go; what they held is placed anew."""
+    good = sorted(b, key=lambda x: -sum(x) + 0.02 * capacity * rng.random())[: max(1, 3 * len(b) // 4)]
+    inject = rng.sample(good, min(len(good), rng.randint(1, max(1, len(b) // 2)))) if good else []
     left = Counter(x for bin_ in a for x in bin_)
     left.subtract(x for bin_ in inject for x in bin_)
-    kept, order = [], list(range(len(a)))
+    kept, order, opened = [], list(a), 0.3 * rng.random()
     rng.shuffle(order)
-    order.sort(key=lambda k: -sum(a[k]))
-    for k in order:
-        need = Counter(a[k])
-        if sum(a[k]) < capacity - 2 and rng.random() < 0.5:
-            continue  # a poorly filled bin is opened now and then
+    order.sort(key=lambda x: -sum(x))
+    for bin_ in order:
+        if sum(bin_) < capacity and rng.random() < opened:
+            continue  # bins with room are opened now and then
+        need = Counter(bin_)
         if all(left[x] >= n for x, n in need.items()):
             left.subtract(need)
-            kept.append(a[k])
-    return best_fit(sorted((+left).elements(), reverse=True), capacity, [*inject, *kept])
+            kept.append(list(bin_))
+    displaced = refill(kept, list((+left).elements()), capacity)
+    return best_fit(sorted(displaced, reverse=True), capacity, [*inject, *kept])
 
 
-def evolve(counts: dict[int, int], elites: list[list[list[int]]], capacity: int, seed: int, generations: int = 12, size: int = 6) -> list[list[int]]:
-    """The best packing an island finds, from its elites or, without them, from best fit in different orders."""
-    rng = random.Random(seed)
-    lengths = sorted((x for x, n in counts.items() for _ in range(n)), reverse=True)
-    bound = least_bins(counts, capacity)
-    people = [*elites]
+def generations_of(own: list[list[int]], capacity: int, rng: random.Random, generations: int, size: int) -> list[list[int]]:
+    """The best packing of own's lengths after so many generations for each bin above the lower bound, at most 8 of them.
+    The population starts from own and from best fit in orders of different disorder."""
+    lengths = [x for b in own for x in b]
+    bound = least_bins(Counter(lengths), capacity)
+    people = [own]
     while len(people) < size:
-        if people and len(min(people, key=len)) <= bound:
+        disorder = rng.uniform(0.05, 0.9)
+        people.append(best_fit(sorted(lengths, key=lambda x: -x * rng.uniform(1 - disorder, 1.0)), capacity))
+    fit = [fitness(p) for p in people]
+    win = lambda: min(rng.randrange(size), rng.randrange(size), key=lambda k: fit[k])
+    for _ in range(generations * min(8, max(0, min(fit)[0] - bound))):
+        best = min(fit)
+        if best[0] <= bound:
             break
-        if len(people) == 0 and seed % ISLANDS == 1:
-            people.append(exact_fit(counts, capacity))
-            continue
-        order = lengths if len(people) == 0 and seed % ISLANDS == 0 else sorted(lengths, key=lambda x: -x * rng.uniform(0.9, 1.0))
-        people.append(best_fit(order, capacity))
-    people.sort(key=lambda p: fitness(p, capacity))
-    for _ in range(generations):
-        if len(people[0]) <= bound:
+        i, j = win(), win()
+        child = crossover(people[i], people[j], capacity, rng)
+        new, worst = fitness(child), max(range(size), key=lambda k: fit[k])
+        if new < fit[worst] and new not in fit:
+            people[worst], fit[worst] = child, new
+    return people[min(range(size), key=lambda k: fit[k])]
+
+
+def start(counts: dict[int, int], capacity: int, seed: int) -> list[list[int]]:
+    """An island's first packing: best fit by length, exact fills, or best fit in a slightly disordered order."""
+    if seed % ISLANDS == 1:
+        return exact_fit(counts, capacity)
+    lengths, rng = sorted((x for x, n in counts.items() for _ in range(n)), reverse=True), random.Random(seed)
+    return best_fit(lengths if seed % ISLANDS == 0 else sorted(lengths, key=lambda x: -x * rng.uniform(0.9, 1.0)), capacity)
+
+
+def evolve(counts: dict[int, int], elites: list[list[list[int]]], capacity: int, seed: int, epochs: int = 6, generations: int = 20, size: int = 8) -> list[list[int]]:
+    """The best packing an island finds, from its elites or, without them, from its start. Elites that meet here are
+    crossed as wholes; then the open bins evolve in epochs, and two without gain end the search."""
+    rng = random.Random(seed)
+    bound = least_bins(counts, capacity)
+    people = sorted(elites or [start(counts, capacity, seed)], key=fitness)
+    best, idle = people[0], 0
+    for other in people[1:]:
+        for _ in range(2):
+            best = min(best, crossover(best, other, capacity, rng), crossover(other, best, capacity, rng), key=fitness)
+    for _ in range(epochs):
+        if len(best) <= bound or idle >= 2:
             break
-        a, b = rng.sample(people, 2)
-        child = crossover(a, b, capacity, rng)
-        if fitness(child, capacity) < fitness(people[-1], capacity):
-            people[-1] = child
-            people.sort(key=lambda p: fitness(p, capacity))
-    return people[0]
+        open_, full = [b for b in best if sum(b) < capacity], [b for b in best if sum(b) == capacity]
+        rng.shuffle(open_)
+        rng.shuffle(full)
+        open_.sort(key=lambda b: sum(b) + idle * capacity * rng.random())  # after no gain, others than the emptiest
+        n = min(len(open_), KERNEL)
+        m = min(len(full), 2 * n + SPARE)
+        own = open_[:n] + full[:m]
+        found = generations_of(own, capacity, rng, generations, size)
+        idle = 0 if len(found) < len(own) else idle + 1
+        best = min(best, open_[n:] + full[m:] + found, key=fitness)
+    return best
 
 
 def _pack(bins: list[list[int]]) -> str:

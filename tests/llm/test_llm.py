@@ -1,5 +1,6 @@
 """The corpus operators against brute force, round trips and held-out labels, and their defined edge cases."""
 
+import math
 import random
 import re
 import zlib
@@ -38,12 +39,13 @@ def rows(df):
 
 # ---- 1
 def brute_topk(data, k=5):
-    good = [(i, np.floor(256 * np.array(x, dtype=float)).astype(np.int64)) for i, x in data if i is not None and x is not None and len(x) and all(v is not None and np.isfinite(v) for v in x)]
+    """In Python integers, of components as 32-bit floats."""
+    good = [(i, [math.floor(256 * float(np.float32(v))) for v in x]) for i, x in data if i is not None and x is not None and all(v is not None and math.isfinite(v) for v in x)]
     out = set()
     for qi, (i, q) in enumerate(good):
         if i % 50 == 0:
-            scores = sorted((-int(q @ y), j) for ci, (j, y) in enumerate(good) if ci != qi and len(y) == len(q))[:k]
-            out |= {(i, r + 1, j, -s) for r, (s, j) in enumerate(scores)}
+            scores = sorted((-sum(a * b for a, b in zip(q, y, strict=True)), j) for ci, (j, y) in enumerate(good) if ci != qi and len(y) == len(q))[:k]
+            out |= {(i, r + 1, j, max(-(2**63), min(2**63 - 1, -s))) for r, (s, j) in enumerate(scores)}
     return out
 
 
@@ -54,15 +56,31 @@ def test_topk_is_exact(spark):
     assert [t for _, t in got.dtypes] == ["bigint", "int", "bigint", "bigint"]
 
 
-def test_topk_odd_rows_and_small_blocks(spark):
+@pytest.mark.parametrize("block", [16, 64, 8192])
+def test_topk_ties_odd_and_large_vectors(spark, block):
     rng = random.Random(1)
-    data = [(i, [rng.choice([-0.5, 0.25, 0.0, 0.5]) for _ in range(6)]) for i in range(400)] + [(1000, None), (1050, [None] * 6), (1100, [float("nan")] * 6), (None, [0.1] * 6), (1150, []), (1200, [1.0, 2.0]), (1201, [0.5, 0.5]), (1250, [0.0] * 6)]
+    data = [(i, [rng.choice([-0.5, 0.25, 0.0, 0.5]) for _ in range(6)]) for i in range(400)] + [(1000, None), (1050, [None] * 6), (1100, [float("nan")] * 6), (None, [0.1] * 6), (1150, []), (1151, []), (1200, [1.0, 2.0]), (1201, [0.5, 0.5]), (1250, [0.0] * 6)]
+    data += [(1300, [1e8, -1e8, 1.0, 2.0, 3.0, 4.0]), (1301, [3.0e38, 0.0, 0.0, 0.0, 0.0, 0.0]), (1350, [2.9e38, 1.0, 2.0, 0.0, 0.0, 0.0]), (1351, [-2.9e38, 1.0, 2.0, 0.0, 0.0, 0.0]), (1400, [float("inf")] * 6)]
     df = spark.createDataFrame([(i, x, 1, 1) for i, x in data], "vec_id long, embedding array<float>, q int, dim int")
-    got = topk.search(df, F.col("vec_id") % 50 == 0, block=64, query_block=3)
-    assert set(rows(got)) == brute_topk(data)
+    assert set(rows(topk.search(df, F.col("vec_id") % 50 == 0, block=block, query_block=3))) == brute_topk(data)
+
+
+def test_topk_of_equal_and_of_no_vectors(spark):
     same = spark.createDataFrame([(i, [0.5, 0.1]) for i in range(200)], "vec_id long, embedding array<float>")
     assert {(r.query_id, r["rank"], r.vec_id) for r in topk.search(same, F.col("vec_id") == 0).collect()} == {(0, i, i) for i in range(1, 6)}
-    assert topk.search(df.limit(0), F.col("vec_id") == 0).count() == 0
+    assert topk.search(same.limit(0), F.col("vec_id") == 0).count() == 0
+
+
+def test_topk_leaves_postings_of_skewed_vectors_unread():
+    """Where few dimensions decide, the segments end early, and no posting is read twice."""
+    rng = np.random.default_rng(4)
+    x = np.floor(256 * rng.normal(size=(2000, 16)) * 0.5 ** np.arange(16))
+    index = topk.Block(np.arange(2000), np.arange(2000), x, 5)
+    for i in range(0, 2000, 100):
+        want = sorted((-int(s), j) for j, s in enumerate(x @ x[i]) if j != i)[:5]
+        before = index.taken
+        assert index.search(x[i], i) == [(-s, j) for s, j in want]
+        assert index.taken - before <= 0.6 * x.size
 
 
 # ---- 2
@@ -266,17 +284,35 @@ def test_genetic_steps_keep_all_items():
     for _ in range(20):
         a = packing.crossover(a, b, 1024, rng)
         assert sorted(x for y in a for x in y) == sorted(lengths) and max(map(sum, a)) <= 1024
-    best = packing.evolve(Counter(lengths), [], 1024, 1)
-    assert sorted(x for y in best for x in y) == sorted(lengths) and len(best) <= len(packing.best_fit(sorted(lengths, reverse=True), 1024)) + 1
+    for seed in range(3):
+        best = packing.evolve(Counter(lengths), [], 1024, seed)
+        assert sorted(x for y in best for x in y) == sorted(lengths) and len(best) <= len(packing.start(Counter(lengths), 1024, seed))
+
+
+def planted_triples(n, seed):
+    """Lengths that fill n bins of 1000 exactly, three each."""
+    rng, out = random.Random(seed), []
+    for _ in range(n):
+        a = rng.randint(380, 490)
+        b = rng.randint(250, (1000 - a) // 2 + 20)
+        out += [a, b, 1000 - a - b]
+    return Counter(out)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_the_genetic_search_beats_every_start(seed):
+    counts = planted_triples(60, seed)
+    starts = [packing.start(counts, 1000, k) for k in range(packing.ISLANDS)]
+    still = [packing.evolve(counts, [], 1000, k, epochs=0) for k in range(packing.ISLANDS)]
+    assert list(map(len, still)) == list(map(len, starts))
+    islands = [packing.evolve(counts, [], 1000, k) for k in range(packing.ISLANDS)]
+    assert max(map(len, islands)) < min(map(len, starts)) and min(map(len, islands)) <= 61
 
 
-def test_an_island_tries_twelve_crossovers_from_six_packings(monkeypatch):
-    starts, tried = [], []
-    monkeypatch.setattr(packing, "least_bins", lambda *_: 0)  # never met
-    monkeypatch.setattr(packing, "best_fit", lambda lengths, *_: starts.append(1) or [[x] for x in lengths])
-    monkeypatch.setattr(packing, "crossover", lambda a, *_: tried.append(1) or a)
-    packing.evolve(Counter([500, 400, 300]), [], 1024, 0)
-    assert (len(starts), len(tried)) == (6, 12)
+def test_migration_passes_the_better_packing_on():
+    counts = planted_triples(60, 9)
+    poor, good = packing.start(counts, 1000, 0), packing.evolve(counts, [], 1000, 1)
+    assert len(packing.evolve(counts, [poor, good], 1000, 5, epochs=0)) <= len(good) < len(poor)
 
 
 def test_packing_odd_rows(odd):
@@ -296,6 +332,16 @@ def test_fast_encoder_gives_the_same_ids():
         assert encode(t) == whole.encode(t, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("run", [" ", "\n", "\t \n", "a", "é", "!", "1", "\x1f", "\u2003", "日"])
+def test_long_runs_get_the_ids_of_the_plain_tokenizer(run):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    text = "before " + run * (1_000_000 // len(run)) + " after"
+    assert packing.document_encoder()(text) == whole.encode(text, add_special_tokens=False).ids
+
+
 def test_pieces_hold_the_ids_of_the_plain_tokenizer(spark):
     import public_tokenizers
     from tokenizers import Tokenizer

@@ -5,15 +5,19 @@ how their votes agree over all documents, each labeller's rates of every vote fo
 them the posterior of every pattern of votes. The posteriors are the labels on which a hashed linear scorer is trained;
 the scorer judges every document. No hand-made label is used, so those are free to measure it.
 
-The driver sees one row per pattern of votes (at most 3 to the number of labellers) and features of at most max_train
-documents, chosen by the hash of doc_id; votes, counts of patterns and scores cover all documents and whole texts.
+Texts are read once: votes, signals and hashed features of every whole text are kept as compact counts, from which the
+scorer is trained and by which it judges. The driver sees one row per pattern of votes (at most 3 to the number of
+labellers) and, of at most max_train documents chosen by a hash of doc_id and text, the max_features most frequent
+features; votes, counts of patterns and scores cover all documents and whole texts.
 
 Defined results: a null text counts as empty, gets no votes and is scored by its bias; rows that share a doc_id are each
-judged; where the patterns hold but one class, or the table is empty, all documents are kept.
+judged by their own text; where the patterns hold but one class, or the table is empty, all documents are kept. Reruns
+agree.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter
@@ -22,14 +26,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import Scratch, encode, hash_words, lazily, ngrams, pick
 from quarry.llm.rules import SYMBOLS, WINDOW
 
 DIMS = 1 << 16
-MAX_TRAIN = 4_000
+MAX_TRAIN, MAX_FEATURES = 4_000, 4_096
 SHAPE = bytes.maketrans(bytes(range(256)), bytes(b"A"[0] if 65 <= c <= 90 else b"a"[0] if c > 127 or 97 <= c <= 122 else b"0"[0] if 48 <= c <= 57 else c for c in range(256)))
 #: name, statistic, votes bad above, votes good at or below (else abstains)
 LABELLERS = (
@@ -43,6 +47,7 @@ LABELLERS = (
     ("common_word", "common", 0.3, 0.15),
 )
 EDGES = (0.005, 0.02, 0.05, 0.1, 0.2, 0.3, 0.5)
+SIGNALS = tuple(k for _, k, *_ in LABELLERS)
 
 
 def signals(text: str, words: list[bytes], hashes: np.ndarray) -> dict[str, float]:
@@ -85,21 +90,37 @@ def votes(text: str | None) -> str:
 RUNS = re.compile(rb"([^\x20\x09-\x0D])\1+")
 
 
-def features(text: str | None) -> tuple[str, np.ndarray, np.ndarray]:
-    """The votes, hashed features and their values: words and shapes of words (classes of characters, repeated ones
-    once) by damped frequency, bands of the signals as they are."""
+#: What is kept of a text: votes, its signals, and places and counts of its words and of their shapes.
+KEPT = "doc_id long, votes string, draw long, signals binary, words binary, n_words binary, shapes binary, n_shapes binary"
+
+
+def describe(text: str | None) -> tuple[str, int, bytes, bytes, bytes, bytes, bytes]:
+    """KEPT, but for doc_id. Shapes are words by classes of characters, repeated ones once."""
     words, hashes, data, s = _parts(text)
     if s is None:
-        return _ballot(s), np.zeros(0, np.int64), np.zeros(0)
-    out_at, out_value = [], []
+        return _ballot(s), 0, b"", b"", b"", b"", b""
+    out = []
     for h in (hashes, hash_words(RUNS.sub(rb"\1+", data.translate(SHAPE)))[0] ^ np.uint64(0x5A5A)):
-        at, n = np.unique(h % np.uint64(DIMS), return_counts=True)
+        at, n = np.unique((h % np.uint64(DIMS)).astype(np.uint16), return_counts=True)
+        out += [at.astype("<u2").tobytes(), n.astype("<u4").tobytes()]
+    return _ballot(s), zlib.crc32(data), np.array(list(s.values()), "<f8").tobytes(), *out
+
+
+def vector(signals: bytes, *counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed features and their values from what describe keeps: damped frequencies of words and shapes, bands of the
+    signals as they are."""
+    if not signals:
+        return np.zeros(0, np.int64), np.zeros(0)
+    out_at, out_value = [], []
+    for a, b in zip(counts[::2], counts[1::2], strict=True):
+        at, n = np.frombuffer(a, "<u2").astype(np.int64), np.frombuffer(b, "<u4")
         value = np.log1p(n)
-        out_at.append(at.astype(np.int64))
+        out_at.append(at)
         out_value.append(value / np.sqrt((value**2).sum()))
-    out_at.append(np.array([zlib.crc32(f"{k} {sum(v > e for e in EDGES)}".encode()) % DIMS for k, v in s.items()], dtype=np.int64))
-    out_value.append(np.full(len(s), 0.7))
-    return _ballot(s), np.concatenate(out_at), np.concatenate(out_value)
+    bands = [f"{k} {sum(v > e for e in EDGES)}" for k, v in zip(SIGNALS, np.frombuffer(signals, "<f8"), strict=True)]
+    out_at.append(np.array([zlib.crc32(x.encode()) % DIMS for x in bands], dtype=np.int64))
+    out_value.append(np.full(len(bands), 0.7))
+    return np.concatenate(out_at), np.concatenate(out_value)
 
 
 def estimate(patterns: pd.DataFrame, rounds: int = 100) -> tuple[np.ndarray, dict]:
@@ -139,49 +160,69 @@ def train(at: list[np.ndarray], value: list[np.ndarray], target: np.ndarray, wei
     return w
 
 
-def judge_quality(documents: DataFrame, max_train: int = MAX_TRAIN, threshold: float = 0.5) -> DataFrame:
+def _part(share: float) -> int:
+    """Of 2^30 values of a hash, how many give this share."""
+    return min(1 << 30, math.ceil(share * (1 << 30)))
+
+
+def judge_quality(documents: DataFrame, max_train: int = MAX_TRAIN, max_features: int = MAX_FEATURES, threshold: float = 0.5) -> DataFrame:
     """doc_id, votes, p_weak (posterior of bad by the votes), score (of bad by the scorer), keep."""
-    spark = documents.sparkSession
-    scratch = Scratch(spark, "quality")
-    d = pick(documents, doc_id="long", text="string")
+    with Scratch(documents.sparkSession, "quality") as scratch:
+        return scratch.finish(_judged(documents, scratch, max_train, max_features, threshold))
+
 
-    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _judged(documents: DataFrame, scratch: Scratch, max_train: int, max_features: int, threshold: float) -> DataFrame:
+    schema = pa.schema([("doc_id", pa.int64()), ("votes", pa.string()), ("draw", pa.int64()), *((k, pa.binary()) for k in ("signals", "words", "n_words", "shapes", "n_shapes"))])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([votes(x) for x in lazily(b.column(1))], pa.string())], names=["doc_id", "votes"])
+            cols = list(zip(*map(describe, lazily(b.column(1))), strict=True)) or [()] * 7
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, schema.types[1:], strict=True))], schema=schema)
 
-    voted = scratch.keep(d.mapInArrow(vote, "doc_id long, votes string"), "votes")
-    patterns = voted.groupBy("votes").agg(F.count("*").alias("n")).orderBy("votes").toPandas()
+    kept = scratch.keep(pick(documents, doc_id="long", text="string").mapInArrow(read, KEPT), "kept")
+    patterns = kept.groupBy("votes").agg(F.count("*").alias("n")).orderBy("votes").toPandas()
     weights, posterior = None, {}
     if len(patterns):
         p, _ = estimate(patterns)
         posterior = dict(zip(patterns["votes"], map(float, p), strict=True))
-        # the two classes in equal numbers, the surest patterns only; features of these few thousand go to the driver
-        table = spark.createDataFrame(list(posterior.items()), "votes string, p double")
-        sure = voted.join(F.broadcast(table), "votes").where("doc_id is not null and (p > 0.9 or p < 0.1)").groupBy("doc_id").agg(F.max("p").alias("p"))
-        sides = [sure.where(s).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train // 2) for s in ("p > 0.5", "p <= 0.5")]
-        chosen = {r.doc_id: r.p for side in sides for r in side.collect()}
-        if any(x > 0.5 for x in chosen.values()) and any(x <= 0.5 for x in chosen.values()):
-            ids = F.broadcast(spark.createDataFrame([(k,) for k in chosen], "doc_id long"))
-
-            def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                for b in batches:
-                    f = [features(x) for x in lazily(b.column(1))]
-                    yield pa.RecordBatch.from_arrays([b.column(0), pa.array([a for _, a, _ in f], pa.list_(pa.int64())), pa.array([v for _, _, v in f], pa.list_(pa.float64()))], names=["doc_id", "at", "value"])
-
-            rows = d.join(ids, "doc_id").mapInArrow(featurise, "doc_id long, at array<long>, value array<double>").dropDuplicates(["doc_id"]).orderBy("doc_id").toPandas()
-            target = np.array([chosen[i] for i in rows["doc_id"]])
-            bad = target > 0.5
-            weight = np.where(bad, 0.5 / max(1, bad.sum()), 0.5 / max(1, (~bad).sum()))
-            weights = train([np.asarray(x, np.int64) for x in rows["at"]], list(rows["value"]), target, weight)
+        # the two classes in equal numbers, the surest patterns only, drawn by hash; a few more than wanted are dropped
+        draw = F.pmod(F.xxhash64("doc_id", "draw"), F.lit(1 << 30))
+        rows = []
+        for side in (p > 0.9, p < 0.1):
+            n = int(patterns["n"][side].sum())
+            if n:
+                sure = kept.where(F.col("votes").isin(list(patterns["votes"][side]))).where(draw < _part(0.55 * max_train / n))
+                few = sure.select(draw.alias("order"), "doc_id", "votes", "signals", *(_most(k, max_features) for k in ("words", "shapes")))
+                rows.append(sorted(few.collect(), key=lambda r: tuple((x is not None, x) for x in r))[: max_train // 2])
+        if len(rows) == 2:
+            both = rows[0] + rows[1]
+            target = np.array([posterior[r.votes] for r in both])
+            weight = np.concatenate([np.full(len(x), 0.5 / len(x)) for x in rows])
+            found = [vector(r.signals, *r.words, *r.shapes) for r in both]
+            weights = train([a for a, _ in found], [v for _, v in found], target, weight)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if weights is None:
-                pattern, z = [votes(x) for x in lazily(b.column(1))], np.full(len(b), -50.0)
-            else:
-                scored = [(v, value @ weights[at] + weights[-1]) for v, at, value in map(features, lazily(b.column(1)))]
-                pattern, z = [v for v, _ in scored], np.array([x for _, x in scored])
+            z = np.full(len(b), -50.0)
+            if weights is not None:
+                z = np.array([value @ weights[at] + weights[-1] for at, value in (vector(*x) for x in zip(*(lazily(c) for c in b.columns[2:]), strict=True))])
             s = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pattern, pa.string()), pa.array([posterior.get(x) for x in pattern], pa.float64()), pa.array(s, pa.float64()), pa.array(s < threshold, pa.bool_())], names=["doc_id", "votes", "p_weak", "score", "keep"])
+            p = pa.array([posterior.get(x) for x in b.column(1).to_pylist()], pa.float64())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), p, pa.array(s, pa.float64()), pa.array(s < threshold, pa.bool_())], names=["doc_id", "votes", "p_weak", "score", "keep"])
+
+    return kept.drop("draw").mapInArrow(score, "doc_id long, votes string, p_weak double, score double, keep boolean")
+
+
+def _most(name: str, most: int) -> Column:
+    """places and counts of the most frequent features, so that what the driver gathers of a document is bounded."""
+
+    @F.pandas_udf("at binary, n binary")
+    def cut(at: pd.Series, n: pd.Series) -> pd.DataFrame:
+        out = []
+        for a, b in zip(at, n, strict=True):
+            a, b = np.frombuffer(a, "<u2"), np.frombuffer(b, "<u4")
+            by = np.sort(np.argsort(-b.astype(np.int64), kind="stable")[:most])
+            out.append((a[by].tobytes(), b[by].tobytes()))
+        return pd.DataFrame(out, columns=["at", "n"])
 
-    return scratch.finish(d.mapInArrow(score, "doc_id long, votes string, p_weak double, score double, keep boolean"))
+    return cut(name, f"n_{name}").alias(name)

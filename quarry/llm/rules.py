@@ -155,14 +155,18 @@ def condition(rules: list[list[tuple[int, str, float]]]) -> Column:
 
 
 def apply_quality_rules(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """doc_id, COUNTS, base_failed and kept for every document. max_labelled bounds the labelled rows, chosen by the
-    hash of doc_id, that the driver gathers to learn the list; the statistics and the verdicts cover all rows."""
-    spark = documents.sparkSession
-    scratch = Scratch(spark, "rules")
-    stats = scratch.keep(statistics(documents), "stats")
-    known = pick(labels, doc_id="long", quality="int").where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    base = F.expr("n_words < 20 or 100 * n_repeat_words > 30 * n_words")
-    sample = stats.where(~base).join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", *COUNTS).limit(max_labelled)
-    rows: pd.DataFrame = sample.select(*[F.expr(v).cast("double").alias(k) for k, v in RATIOS.items()], "quality").toPandas()
-    rules = learn(rows[list(RATIOS)].to_numpy(float), rows["quality"].to_numpy() == 0)
-    return scratch.finish(stats.withColumn("base_failed", base).withColumn("kept", ~F.col("base_failed") & condition(rules)))
+    """doc_id, COUNTS, base_failed and kept for every document. max_labelled bounds the labelled rows, drawn by a hash,
+    that the driver gathers to learn the list; the statistics and the verdicts cover all rows."""
+    with Scratch(documents.sparkSession, "rules") as scratch:
+        stats = scratch.keep(statistics(documents), "stats")
+        known = pick(labels, doc_id="long", quality="int").where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+        base = F.expr("n_words < 20 or 100 * n_repeat_words > 30 * n_words")
+        order = F.pmod(F.xxhash64("doc_id", *COUNTS), F.lit(1 << 30))
+        judged = stats.where(~base).join(known, "doc_id").select(order.alias("order"), "doc_id", *[F.expr(v).cast("double").alias(k) for k, v in RATIOS.items()], "quality")
+        judged = scratch.keep(judged, "judged")
+        # the share is drawn before anything is gathered, so what reaches the driver does not grow with the tasks
+        share = min(1.0, 1.05 * max_labelled / max(1, judged.count()))
+        rows: pd.DataFrame = judged.where(F.col("order") < math.ceil(share * (1 << 30))).toPandas()
+        rows = rows.sort_values(list(rows.columns), kind="stable")[:max_labelled]
+        learned = learn(rows[list(RATIOS)].to_numpy(float), rows["quality"].to_numpy() == 0)
+        return scratch.finish(stats.withColumn("base_failed", base).withColumn("kept", ~F.col("base_failed") & condition(learned)))

@@ -34,6 +34,8 @@ INDEX = "file string, offset long, length long, page_id long, url string, payloa
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 #: A file is closed beyond this many bytes; ranges with a gap of up to GAP bytes are read at once, up to SPAN bytes.
 FILE_BYTES, GAP, SPAN = 256 << 20, 64 << 10, 8 << 20
+#: A task reads about so much.
+TASK_BYTES = 64 << 20
 
 
 def open_file(path: str, mode: str):
@@ -93,43 +95,44 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFra
     p = p.select("page_id", "url", "body", F.sha1("body").alias("sha"))
     # which page answers: decided on digests alone; the pages meet the verdicts by page_id and digest, never by digest
     ids = p.where("page_id is not null").where(F.octet_length("body") >= min_bytes).groupBy("page_id", "sha").agg(F.lit(1).alias("one"))
-    scratch = Scratch(spark, "warc-digests")
-    ids = scratch.keep(ids.select("page_id", "sha"), "ids")
-    top = scratch.keep(ids.groupBy("sha").agg(F.max("page_id").alias("top"), F.count("*").alias("n")).where("n > 1").select("sha", "top"), "top")
-    revisits = ids.join(top, "sha").where("page_id < top")
-    p = p.join(revisits, ["page_id", "sha"], "left").select("page_id", "url", "body", F.col("top").alias("refers_to"))
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, out, at = "", None, 0
-        schema = pa.schema([("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64())])
-        try:
-            for b in batches:
-                rows = []
-                for page_id, url, body, ref in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    if out is None:
-                        name, at = f"{folder}/{uuid.uuid4().hex}.warc.gz", 0
-                        out = open_file(name, "wb")
-                    digest = digest_of(body)
-                    member = record(page_id, url, body, digest, ref)
-                    out.write(member)
-                    rows.append((name, at, len(member), page_id, url, digest, len(body), "response" if ref is None else "revisit", ref))
-                    at += len(member)
-                    if at >= FILE_BYTES:
-                        out.close()
-                        out = None
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema) if rows else pa.RecordBatch.from_pylist([], schema=schema)
-        finally:
-            if out is not None:
-                out.close()
-
-    path = f"{folder}/index"
-    p.mapInArrow(work, INDEX).write.parquet(path)  # once: the records and their index belong together
-    scratch.remove()
+    with Scratch(spark, "warc-digests") as scratch:
+        ids = scratch.keep(ids.select("page_id", "sha"), "ids")
+        top = scratch.keep(ids.groupBy("sha").agg(F.max("page_id").alias("top"), F.count("*").alias("n")).where("n > 1").select("sha", "top"), "top")
+        revisits = ids.join(top, "sha").where("page_id < top")
+        p = p.join(revisits, ["page_id", "sha"], "left").select("page_id", "url", "body", F.col("top").alias("refers_to"), "sha")
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            name, out, at = "", None, 0
+            schema = pa.schema([("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64())])
+            try:
+                for b in batches:
+                    rows = []
+                    for page_id, url, body, ref, sha in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                        if out is None:
+                            name, at = f"{folder}/{uuid.uuid4().hex}.warc.gz", 0
+                            out = open_file(name, "wb")
+                        digest = base64.b32encode(bytes.fromhex(sha)).decode()
+                        member = record(page_id, url, body, digest, ref)
+                        out.write(member)
+                        rows.append((name, at, len(member), page_id, url, digest, len(body), "response" if ref is None else "revisit", ref))
+                        at += len(member)
+                        if at >= FILE_BYTES:
+                            out.close()
+                            out = None
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema) if rows else pa.RecordBatch.from_pylist([], schema=schema)
+            finally:
+                if out is not None:
+                    out.close()
+
+        path = f"{folder}/index"
+        p.mapInArrow(work, INDEX).write.parquet(path)  # once: the records and their index belong together
+        scratch.remove()
     return spark.read.schema(INDEX).parquet(path)
 
 
 def read_records(index: DataFrame, payloads: bool = True) -> DataFrame:
-    """RECORD of every selected index row. Rows go to tasks by file and stretch of SPAN bytes, so a task is bounded."""
+    """RECORD of every selected index row. Rows go to tasks by file and stretch of SPAN bytes, and the tasks are as many
+    as the bytes to read ask for, TASK_BYTES each, but at least as many as there are cores or stretches."""
 
     def work(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows, found = rows.sort_values("offset"), []
@@ -155,14 +158,19 @@ def read_records(index: DataFrame, payloads: bool = True) -> DataFrame:
         out[["page_id", "refers_to"]] = out[["page_id", "refers_to"]].astype("Int64")
         return out if payloads else out.assign(payload=None)
 
-    return index.select("file", "offset", "length").groupBy("file", F.floor(F.col("offset") / SPAN).alias("stretch")).applyInPandas(work, RECORD)
+    ranges = index.select("file", "offset", "length", F.floor(F.col("offset") / SPAN).alias("stretch"))
+    stretches, total = ranges.agg(F.count_distinct("file", "stretch"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    cores = index.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, min(stretches, 4 * cores), -(-total // TASK_BYTES))
+    # by a stated number, which adaptive execution does not merge as it would so few and small rows
+    return ranges.repartition(tasks, "file", "stretch").groupBy("file", "stretch").applyInPandas(work, RECORD)
 
 
 def archive_round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """page_id, url, payload_bytes, payload_digest, record_type, refers_to of every page, as read from the archives."""
-    scratch = Scratch(pages.sparkSession, "warc")
-    index = write_archives(pages, scratch.path, min_bytes)
-    return scratch.finish(read_records(index, payloads=False).drop("payload"))
+    with Scratch(pages.sparkSession, "warc") as scratch:
+        index = write_archives(pages, scratch.path, min_bytes)
+        return scratch.finish(read_records(index, payloads=False).drop("payload"))
 
 
 __all__ = ["archive_round_trip", "read_records", "scratch_root", "write_archives"]

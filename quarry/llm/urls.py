@@ -7,7 +7,8 @@ host to registered domain to suffix to the whole table, each level with a streng
 blocked when the lower posterior bound of its host's share of bad pages is above a threshold.
 
 Defined results: a null url, or one without ``://``, has empty host and path, fits no rule and belongs to the empty
-host; null html teaches nothing; repeated rows each keep their row and count each time; empty tables give no rows.
+host; null html teaches nothing, empty html is bad; a null page_id keeps its row; repeated rows each keep their row and
+count each time; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -21,7 +22,9 @@ from quarry.llm.common import Scratch, pick
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Suffixes of two labels; a parameter, as the public list changes.
-TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.in", "co.nz")
+TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.jp", "ne.jp", "or.jp", "ac.jp", "com.br", "co.in", "co.nz", "co.za", "co.kr", "com.cn", "com.mx", "com.tr", "com.tw")
+#: A host that is an address belongs to itself, and its suffix is this.
+ADDRESS = "address"
 
 
 def host_of(url: Column) -> Column:
@@ -47,14 +50,20 @@ def bad_page(html: Column) -> Column:
     return (n < 200) | (50 * (n - F.length(F.translate(html, "*$%#|~^", ""))) > n)
 
 
+def _level(host: Column, labels: int, two: tuple[str, ...], address: Column) -> Column:
+    bare = F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r":\d*$", "")
+    last = lambda n: F.substring_index(bare, ".", -n)
+    is_address = bare.rlike(r"^(\d{1,3}(\.\d{1,3}){3}|\[.*\])$")
+    return F.when(is_address, address).when(last(2).isin(*two), last(labels + 1)).otherwise(last(labels))
+
+
 def domain_of(host: Column, two=TWO_LABEL_SUFFIXES) -> Column:
-    bare = F.regexp_replace(host, r":\d*$", "")
-    return F.when(F.substring_index(bare, ".", -2).isin(*two), F.substring_index(bare, ".", -3)).otherwise(F.substring_index(bare, ".", -2))
+    """The registered domain: the suffix and one label, without port and user; an address is its own."""
+    return _level(host, 2, two, host)
 
 
 def suffix_of(host: Column, two=TWO_LABEL_SUFFIXES) -> Column:
-    bare = F.regexp_replace(host, r":\d*$", "")
-    return F.when(F.substring_index(bare, ".", -2).isin(*two), F.substring_index(bare, ".", -2)).otherwise(F.substring_index(bare, ".", -1))
+    return _level(host, 1, two, F.lit(ADDRESS))
 
 
 def _strength(df: DataFrame, level: str) -> DataFrame:
@@ -67,11 +76,11 @@ def _strength(df: DataFrame, level: str) -> DataFrame:
     return m.select(F.coalesce(F.least(F.greatest(within / between - 1, F.lit(1.0)), F.lit(1000.0)), F.lit(10.0)).alias(f"k_{level}"))
 
 
-def reputations(outcomes: DataFrame, scratch: Scratch) -> DataFrame:
+def reputations(outcomes: DataFrame, scratch: Scratch, two=TWO_LABEL_SUFFIXES) -> DataFrame:
     """host, n, bad, alpha, beta, bound: posterior by host of outcomes(host, bad). bound is the lower end of the
     posterior's central interval of two standard deviations."""
     counts = outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum(F.col("bad").cast("long")), F.lit(0)).alias("bad"))
-    hosts = scratch.keep(counts.withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))}), "hosts")
+    hosts = scratch.keep(counts.withColumns({"domain": domain_of(F.col("host"), two), "suffix": suffix_of(F.col("host"), two)}), "hosts")
     domains = scratch.keep(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), "domains")
     suffixes = scratch.keep(domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), "suffixes")
     ks = [_strength(df, level).first()[0] for df, level in ((hosts, "host"), (domains, "domain"), (suffixes, "suffix"))]
@@ -87,17 +96,18 @@ def reputations(outcomes: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.keep(h.select("host", "n", "bad", "alpha", "beta", (F.col("alpha") / total - 2 * sd).alias("bound")), "reputations")
 
 
-def filter_urls(pages: DataFrame, rules=RULES, threshold: float = 0.5) -> DataFrame:
-    """page_id, host, path, rule, verdict, bound for every page."""
-    scratch = Scratch(pages.sparkSession, "urls")
-    p = pick(pages, page_id="long", url="string", html="string")
-    p = p.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), bad_page(F.col("html")).alias("content_bad"))
-    p = p.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
-    ruled = F.lit(None).cast("string")
-    for h, q, v in rules:
-        ruled = F.when(F.col("rule") == h + q, F.lit(v)).otherwise(ruled)
-    p = scratch.keep(p.withColumn("ruled", ruled).withColumn("bad", F.coalesce(F.col("ruled") == "block", F.col("content_bad"))), "pages")
-    # by host of both sides straight from files: Spark broadcasts a small side by its size, else it can split a hot host
-    judged = p.join(reputations(p.select("host", "bad"), scratch).select("host", "bound"), "host", "left")
-    verdict = F.coalesce("ruled", F.when(F.col("bound") > threshold, "block").otherwise("allow"))
-    return scratch.finish(judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "bound"))
+def filter_urls(pages: DataFrame, rules=RULES, threshold: float = 0.5, outcome: Column | None = None, two=TWO_LABEL_SUFFIXES) -> DataFrame:
+    """page_id, host, path, rule, verdict, bound for every page. outcome: true for pages known to be bad, false for good
+    ones, null where unknown; a column of pages, by default the content check of html."""
+    with Scratch(pages.sparkSession, "urls") as scratch:
+        p = pick(pages.withColumn("__bad", bad_page(F.col("html")) if outcome is None else outcome), page_id="long", url="string", __bad="boolean")
+        p = p.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.col("__bad").alias("known_bad"))
+        p = p.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
+        ruled = F.lit(None).cast("string")
+        for h, q, v in rules:
+            ruled = F.when(F.col("rule") == h + q, F.lit(v)).otherwise(ruled)
+        p = scratch.keep(p.withColumn("ruled", ruled).withColumn("bad", F.coalesce(F.col("ruled") == "block", F.col("known_bad"))), "pages")
+        # by host of both sides straight from files: Spark broadcasts a small side by its size, else it can split a hot host
+        judged = p.join(reputations(p.select("host", "bad"), scratch, two).select("host", "bound"), "host", "left")
+        verdict = F.coalesce("ruled", F.when(F.col("bound") > threshold, "block").otherwise("allow"))
+        return scratch.finish(judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "bound"))

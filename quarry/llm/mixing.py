@@ -2,12 +2,13 @@
 
 Sources get shares of all words by weight, none above max_copies times its own words; the excess goes to the others
 by weight (water filling, solved in closed form over the sorted ratios of bound to weight). Within a source every
-document expects e = min(max_copies, c * m) copies, where m is 1 and halves with every doubling of the size beyond
-long_words, and c makes the expected words meet the target. floor(e) copies are certain. The rest of e is an inclusion
+document expects e = min(max_copies, c * m) copies, and c makes the expected words meet the target. m, its measure, is 1
+from short_words to long_words; it halves with every doubling of the size beyond, so that no long text fills a target by
+itself, and falls by the square root of two with every halving below, as short texts carry less. floor(e) copies are certain. The rest of e is an inclusion
 probability p: documents are ranked by random odds over inclusion odds, u / (1 - u) / (p / (1 - p)), and taken in that
 order up to the words still open, so the sample has a fixed size in words. u is a hash of the document, so reruns agree.
 The place in the order is found by two passes of bounded histograms, then among the few rows of one cell; no source is
-ever gathered or sorted as a whole.
+ever gathered or sorted as a whole. Sources, of which there may be many, are ranked by range partitions.
 
 Defined results: a null or empty text has size 0 and is never taken; a null source is a source, ordered last; rows
 equal in doc_id, size and source share one random number, and are taken or left together; an empty table gives none.
@@ -24,20 +25,42 @@ WEIGHTS = (1, 2, 3)
 CELLS = 1024
 
 
-def source_targets(sizes: DataFrame, weights=WEIGHTS, max_copies: int = 3) -> DataFrame:
-    """source, source_size, target of sizes(source, size). One row per source goes through one task."""
-    s = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (rank % len(weights) + 1).cast("int"))
-    s = s.withColumn("weight", weight).withColumn("most", max_copies * F.col("source_size"))
-    whole = Window.partitionBy()
-    before = Window.orderBy(F.col("most") / F.col("weight"), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    s = s.withColumns({"total": F.sum("source_size").over(whole), "weights": F.sum("weight").over(whole)})
-    level = (F.col("total") - F.coalesce(F.sum("most").over(before), F.lit(0))) / (F.col("weights") - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-    s = s.withColumn("full", F.col("most") / F.col("weight") <= level)
-    rest = F.col("total") - F.coalesce(F.sum(F.when(F.col("full"), F.col("most"))).over(whole), F.lit(0))
-    over = F.col("weights") - F.coalesce(F.sum(F.when(F.col("full"), F.col("weight"))).over(whole), F.lit(0.0))
-    target = F.when(F.col("full"), F.col("most").cast("double")).otherwise(F.col("weight") * rest / F.nullif(over, F.lit(0.0)))
+#: Sources that one task ranks.
+RANKED = 100_000
+
+
+def _in_order(df: DataFrame, order: list[Column], sums: dict[str, str], scratch: Scratch, name: str) -> DataFrame:
+    """A kept df with place (from 0) in order, and before_<k>: the sum of column sums[k] over all rows before. Rows are
+    sorted by ranges; the driver sees one row of totals per RANKED rows."""
+    n = max(1, -(-df.count() // RANKED))
+    at = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    at = scratch.keep(at, name)
+    totals = at.groupBy("part").agg(F.count("*").cast("double").alias("n"), *[F.coalesce(F.sum(c), F.lit(0)).cast("double").alias(k) for k, c in sums.items()]).orderBy("part").collect()
+    run, rows = [0.0] * (1 + len(sums)), []
+    for r in totals:
+        rows.append((r["part"], *run))
+        run = [a + r[k] for a, k in zip(run, ["n", *sums], strict=True)]
+    known = df.sparkSession.createDataFrame(rows or [(0, *run)], ", ".join(["part int", "o_n double", *(f"o_{k} double" for k in sums)]))
+    w = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    at = at.join(F.broadcast(known), "part")
+    at = at.withColumns({"place": (F.coalesce(F.count("part").over(w), F.lit(0)) + F.col("o_n")).cast("long")} | {f"before_{k}": F.coalesce(F.sum(c).over(w), F.lit(0)) + F.col(f"o_{k}") for k, c in sums.items()})
+    return at.drop("part", "o_n", *(f"o_{k}" for k in sums))
+
+
+def source_targets(sizes: DataFrame, scratch: Scratch, weights=WEIGHTS, max_copies: int = 3) -> DataFrame:
+    """source, source_size, target of sizes(source, size)."""
+    s = scratch.keep(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
+    s = _in_order(s, [F.col("source").asc_nulls_last()], {}, scratch, "by_name")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
+    s = s.withColumn("weight", weight).withColumn("most", max_copies * F.col("source_size")).drop("place")
+    s = scratch.keep(s.withColumn("ratio", F.col("most") / F.col("weight")), "weighted")
+    total, all_weights = s.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0.0))).first()
+    s = _in_order(s, [F.col("ratio").asc(), F.col("source").asc_nulls_last()], {"most": "most", "weight": "weight"}, scratch, "by_ratio")
+    level = (total - F.col("before_most")) / (all_weights - F.col("before_weight"))
+    s = scratch.keep(s.withColumn("full", F.col("ratio") <= level), "levels")
+    used, used_weights = s.where("full").agg(F.coalesce(F.sum("most"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0.0))).first()
+    share = (total - used) / (all_weights - used_weights) if all_weights > used_weights else None
+    target = F.when(F.col("full"), F.col("most").cast("double")).otherwise(F.col("weight") * F.lit(share).cast("double"))
     return s.select("source", "source_size", target.alias("target"))
 
 
@@ -55,20 +78,31 @@ def row_hash(doc_id: Column, source: Column, text: Column, seed: int = 7) -> Col
     return F.xxhash64(doc_id, source, size_of(text), F.lit(seed))
 
 
-def mix(documents: DataFrame, weights=WEIGHTS, max_copies: int = 3, long_words: int = 4096, seed: int = 7) -> DataFrame:
+def grade(size: Column, short_words: int, long_words: int) -> Column:
+    """How often the measure of a text of this size is divided by the square root of two."""
+    n = F.greatest(size, F.lit(1))
+    long = 2 * (F.floor(F.log2(n / long_words)) + 1)
+    short = F.floor(F.log2(short_words / n)) + 1
+    return F.when(size > long_words, long).when(size < short_words, short).otherwise(0).cast("int")
+
+
+def mix(documents: DataFrame, weights=WEIGHTS, max_copies: int = 3, short_words: int = 64, long_words: int = 4096, seed: int = 7) -> DataFrame:
     """doc_id, source, size, source_size, target, copies int, taken, row_hash for every row of documents."""
-    scratch = Scratch(documents.sparkSession, "mixing")
+    with Scratch(documents.sparkSession, "mixing") as scratch:
+        return scratch.finish(_mixed(documents, scratch, weights, max_copies, short_words, long_words, seed))
+
+
+def _mixed(documents: DataFrame, scratch: Scratch, weights, max_copies: int, short_words: int, long_words: int, seed: int) -> DataFrame:
     on = ["s", "no_source"]
     d = pick(documents, doc_id="long", source="string", text="string")
     d = _keys(d.select("doc_id", "source", size_of(F.col("text")).alias("size")))
     d = d.withColumn("row_hash", F.xxhash64("doc_id", "source", "size", F.lit(seed)))
-    band = F.greatest(F.lit(0), F.floor(F.log2(F.greatest("size", F.lit(1)) / long_words)) + 1).cast("int")
-    d = scratch.keep(d.withColumn("band", F.when(F.col("size") <= long_words, 0).otherwise(band)), "sizes")
-    targets = scratch.keep(_keys(source_targets(d.select("source", "size"), weights, max_copies)), "targets")
+    d = scratch.keep(d.withColumn("band", grade(F.col("size"), short_words, long_words)), "sizes")
+    targets = scratch.keep(_keys(source_targets(d.select("source", "size"), scratch, weights, max_copies)), "targets")
 
     # c: bands fill up to max_copies from the first on; the first level that its own band can hold is the one
     bands = d.groupBy(*on, "band").agg(F.sum("size").alias("words")).join(targets.select(*on, "target"), on)
-    bands = bands.withColumn("m", F.pow(F.lit(2.0), -F.col("band")))
+    bands = bands.withColumn("m", F.pow(F.lit(2.0), -F.col("band") / 2))
     w = Window.partitionBy(*on)
     before, after = w.orderBy("band").rowsBetween(Window.unboundedPreceding, -1), w.orderBy("band").rowsBetween(0, Window.unboundedFollowing)
     open_ = F.col("target") - max_copies * F.coalesce(F.sum("words").over(before), F.lit(0))
@@ -111,4 +145,4 @@ def mix(documents: DataFrame, weights=WEIGHTS, max_copies: int = 3, long_words:
     taken = F.coalesce((F.col("v") <= F.col("last")) | (F.col("v") < F.col("first")), F.lit(False))
     copies = F.when(F.col("size") > 0, F.least(F.col("certain") + taken.cast("int"), F.lit(max_copies))).otherwise(F.lit(0))
     out = out.select("doc_id", "source", "size", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"), copies.cast("int").alias("copies"), "row_hash")
-    return scratch.finish(out.withColumn("taken", F.col("copies") * F.col("size")))
+    return out.withColumn("taken", F.col("copies") * F.col("size"))

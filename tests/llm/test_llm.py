@@ -9,6 +9,7 @@ from itertools import combinations
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,8 +94,6 @@ def test_quality_matches_held_out_labels(spark):
 
 
 def test_em_finds_accuracies():
-    import pandas as pd
-
     rng = np.random.default_rng(0)
     truth = rng.random(20_000) < 0.2
     accuracy = [0.95, 0.9, 0.85, 0.8, 0.9, 0.7, 0.9, 0.8]
@@ -111,6 +110,36 @@ def test_quality_odd_rows(odd):
     assert quality.judge_quality(odd.limit(0)).count() == 0
 
 
+def test_quality_scores_are_the_scorer_of_the_posteriors(spark, docs, monkeypatch):
+    """The whole result, made again on the driver from texts and their votes; and a rerun in other partitions agrees."""
+    data = docs.collect()
+    got = {r.doc_id: r for r in quality.judge_quality(docs).collect()}
+    votes = Counter(quality.votes(r.text) for r in data)
+    patterns = pd.DataFrame(sorted(votes.items()), columns=["votes", "n"])
+    posterior = dict(zip(patterns["votes"], quality.estimate(patterns)[0], strict=True))
+    seen = {r.doc_id: quality.describe(r.text) for r in data}
+    sides = [[i for i, d in seen.items() if side(posterior[d[0]])] for side in (lambda p: p > 0.9, lambda p: p < 0.1)]
+    assert all(0 < len(x) <= quality.MAX_TRAIN // 2 for x in sides)
+    at, value = zip(*(quality.vector(*seen[i][2:]) for i in sides[0] + sides[1]), strict=True)
+    target = np.array([posterior[seen[i][0]] for i in sides[0] + sides[1]])
+    w = quality.train(list(at), list(value), target, np.concatenate([np.full(len(x), 0.5 / len(x)) for x in sides]))
+    for i, d in seen.items():
+        at, value = quality.vector(*d[2:])
+        assert got[i].votes == d[0] and abs(got[i].p_weak - posterior[d[0]]) < 1e-9
+        assert abs(got[i].score - 1 / (1 + np.exp(-(value @ w[at] + w[-1])))) < 1e-4 and got[i].keep == (got[i].score < 0.5)
+    again = quality.judge_quality(docs.repartition(7))
+    assert sorted(map(tuple, again.collect()), key=str) == sorted(map(tuple, got.values()), key=str)
+
+
+def test_quality_judges_each_text_of_a_doc_id_and_bounds_what_it_gathers(spark, docs):
+    texts = {r.keep: r.doc_id for r in quality.judge_quality(docs).collect()}
+    text = {r.doc_id: r.text for r in docs.collect()}
+    both = docs.unionByName(spark.createDataFrame([(900_001, text[i], "en", "s", 1) for i in texts.values()], docs.schema))
+    assert sorted(r.keep for r in quality.judge_quality(both).where("doc_id = 900001").collect()) == [False, True]
+    few = quality.judge_quality(docs, max_train=20, max_features=16)
+    assert few.count() == docs.count() and few.where("not keep").count() > 0
+
+
 # ---- 3
 def brute_spans(data, w=50):
     first, words = {}, {i: (t or "").encode().split() for i, t in data if i is not None}
@@ -381,9 +410,79 @@ def test_url_filter(spark):
     assert urls.filter_urls(df.limit(0)).count() == 0
 
 
-def test_url_plan_is_native(spark):
-    plan = queries.op7_license_scan(spark, SF)._jdf.queryExecution().toString()
-    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+def brute_reputation(rows):
+    """host -> lower posterior bound of (host, bad) rows, level by level."""
+    def counts(key):
+        n, bad, member = Counter(), Counter(), {}
+        for h, b in rows:
+            n[key(h)] += b is not None
+            bad[key(h)] += bool(b)
+        return n, bad
+
+    def strength(n, bad):
+        m = [(bad[k] / n[k], n[k]) for k in n if n[k] >= 2]
+        if len(m) < 2:
+            return 10.0
+        mean, rate = sum(p for p, _ in m) / len(m), sum(1 / x for _, x in m) / len(m)
+        between = max(sum((p - mean) ** 2 for p, _ in m) / (len(m) - 1) - mean * (1 - mean) * rate, 1e-6)
+        return min(max(mean * (1 - mean) / between - 1, 1.0), 1000.0)
+
+    bare = lambda h: h.split(":")[0]
+    levels = [lambda h: h, lambda h: ".".join(bare(h).split(".")[-2:]), lambda h: bare(h).split(".")[-1]]
+    (n0, b0), (n1, b1), (n2, b2) = map(counts, levels)
+    prior = (sum(b2.values()) + 1) / (sum(n2.values()) + 2)
+    k0, k1, k2 = strength(n0, b0), strength(n1, b1), strength(n2, b2)
+    out = {}
+    for h in n0:
+        s, d = levels[2](h), levels[1](h)
+        suffix = (b2[s] + k2 * prior) / (n2[s] + k2)
+        domain = (b1[d] + k1 * suffix) / (n1[d] + k1)
+        alpha, beta = b0[h] + k0 * domain, n0[h] - b0[h] + k0 * (1 - domain)
+        total = alpha + beta
+        out[h] = alpha / total - 2 * (alpha * beta / (total * total * (total + 1))) ** 0.5
+    return out
+
+
+def test_url_verdicts_are_the_posterior_bounds(spark):
+    rng = random.Random(8)
+    hosts = [f"h{i}.d{i % 7}.{('com', 'org', 'xyz')[i % 3]}" for i in range(40)]
+    data = [(i, f"http://{rng.choice(hosts)}/a", rng.choice(["***$$$" * 90, "word " * 90, "word " * 90, None, ""])) for i in range(900)]
+    data += [(900 + i, f"https://spam.d1.xyz/{i}", "x") for i in range(60)] + [(None, "http://h1.d1.org/a", "word " * 90), (1, "http://h1.d1.org/a", "word " * 90)]
+    got = urls.filter_urls(spark.createDataFrame(data, "page_id long, url string, html string")).collect()
+    verdict = {h + p: v for h, p, v in urls.RULES}
+
+    def bad(url, html):
+        rule = brute_url(url)[2]
+        if rule:
+            return verdict[rule] == "block"
+        return None if html is None else len(html) < 200 or 50 * sum(html.count(c) for c in "*$%#|~^") > len(html)
+
+    bounds = brute_reputation([(brute_url(u)[0], bad(u, h)) for _, u, h in data])
+    assert len(got) == len(data) and all(abs(r.bound - bounds[r.host]) < 1e-9 for r in got)
+    assert all(r.verdict == (verdict[r.rule] if r.rule else "block" if bounds[r.host] > 0.5 else "allow") for r in got)
+    assert {r.verdict for r in got if r.host == "spam.d1.xyz"} == {"block"} and sum(r.page_id is None for r in got) == 1
+
+
+def test_url_odd_rows(spark):
+    long = "http://" + "a." * 50_000 + "com/" + "p/" * 50_000
+    data = [(1, long, "w " * 500_000), (2, "http://10.0.0.1:80/x", ""), (2, "http://10.0.0.1:80/x", ""), (3, "http://[::1]:8/x", None), (4, "http://u@co.uk/", "x"), (5, "", ""), (6, "http://a.b.co.uk/", "")]
+    df = spark.createDataFrame([(*r, 1, 2) for r in data], "page_id long, url string, html string, n int, suffix int")
+    got = urls.filter_urls(df)
+    assert got.count() == len(data) and got.where("verdict is null").count() == 0
+    named = spark.createDataFrame([(h,) for h in ("10.0.0.1:80", "[::1]:8", "a.b.co.uk", "x.y.com", "u@co.uk", "")], "host string")
+    assert rows(named.select(urls.domain_of(F.col("host")), urls.suffix_of(F.col("host")))) == [("10.0.0.1:80", "address"), ("[::1]:8", "address"), ("b.co.uk", "co.uk"), ("y.com", "com"), ("co.uk", "co.uk"), ("", "")]
+    told = urls.filter_urls(df.withColumn("told", F.col("page_id") == 6), outcome=F.col("told"), two=())
+    assert told.count() == len(data)
+
+
+@pytest.mark.parametrize("name", ["op6_url_filter", "op7_license_scan"])
+def test_native_plans_use_no_python(spark, name, monkeypatch):
+    """Every table that a native query writes, and its result, is planned without Python workers."""
+    plans, keep, finish = [], Scratch.keep, Scratch.finish
+    monkeypatch.setattr(Scratch, "keep", lambda self, df, *a, **k: plans.append(df._jdf.queryExecution().toString()) or keep(self, df, *a, **k))
+    monkeypatch.setattr(Scratch, "finish", lambda self, df, *a, **k: plans.append(df._jdf.queryExecution().toString()) or finish(self, df, *a, **k))
+    plans.append(queries.queries()[name](spark, SF)._jdf.queryExecution().toString())
+    assert all(word not in plan for plan in plans for word in ("Python", "Arrow", "Pandas"))
 
 
 # ---- 7
@@ -394,8 +493,46 @@ def test_license_scan(spark, odd):
     got = {r.doc_id: r for r in licenses.scan_licenses(df).collect()}
     assert [got[i].license for i in range(8)] == ["MIT", "MIT", None, None, None, None, None, "MIT"]
     assert [got[i].licenses for i in range(2, 7)] == [["MIT"], ["CC-BY-NC-4.0"], [], [], []]
-    assert licenses.scan_licenses(odd).count() == odd.select("doc_id").distinct().count()
+    assert licenses.scan_licenses(odd).count() == odd.count()
     assert licenses.scan_licenses(df.limit(0)).count() == 0
+    assert licenses.scan_licenses(df, known=()).where("license is null").count() == 8
+
+
+def brute_canonical(text):
+    t = text.lower()
+    t = re.sub(r"(?m)^[ \t*#/;-]*(copyright\b|\(c\)|©)(?=.*(\d{4}|\(c\)|©|[<\[{])).*$|(?m:^[ \t*#/;-]*all rights reserved\.?[ \t]*$)", " ", t)
+    for a, b in licenses.SPELLINGS:
+        t = t.replace(a, b)
+    return " ".join("".join(c if c.isalnum() else " " for c in t).split())
+
+
+def test_licenses_found_are_all_equal_digests(spark):
+    """Every row against canonical texts compared as they are; rows share doc_ids or have none."""
+    known = licenses.known_texts()
+    by = {}
+    for name, t in known:
+        c = brute_canonical(t)
+        by[c] = min(by.get(c, name), name)
+    rng = random.Random(6)
+    change = [str.upper, lambda t: t.replace("License", "Licence"), lambda t: t.replace(",", " ;"), lambda t: re.sub(r"\s+", " ", t), lambda t: t, lambda t: "Intro here.\n" + t, lambda t: t + "x"]
+    texts = [rng.choice(change)(t) for _, t in known for _ in range(4)] + ["plain words", None, "", "First. " + known[0][1] + " Last."]
+    data = [(rng.choice([None, 1, 2, i]), t) for i, t in enumerate(texts)]
+    got = licenses.scan_licenses(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    want = Counter()
+    for i, t in data:
+        whole = brute_canonical(t or "")
+        parts = [brute_canonical(x) for x in re.split(r"\n|(?<=[.!?])[ \t]+", t or "")]
+        found = {by[c] for c in [whole, *parts] if c in by}
+        want[i, by.get(whole), tuple(sorted(found))] += 1
+    assert Counter((r.doc_id, r.license, tuple(r.licenses)) for r in got) == want
+    assert sum(r.license is not None for r in got) > 60
+
+
+def test_a_license_known_by_two_names_and_many_known_texts(spark):
+    known = [("Z", "Use this as you like, friends."), ("A", "use THIS as you like friends")] + [(f"L{i}", f"Permit number {i} holds.") for i in range(licenses.MAX_KNOWN + 10)]
+    df = spark.createDataFrame([(1, "Use this, as you like: friends"), (2, "x\npermit number 7 holds"), (3, "permit")], "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan_licenses(df, known).collect()}
+    assert got[1].license == "A" and got[2].licenses == ["L7"] and got[3].licenses == []
 
 
 # ---- 8
@@ -432,6 +569,64 @@ def test_mixing(spark, sf):
     assert sorted(got) == sorted(queries.op8_mixing(spark, sf).collect())
 
 
+def brute_copies(data, target, most=3, short=64, long=4096):
+    """row_hash -> copies, of one source's (row_hash, size): certain copies, then Pareto order up to the open words."""
+    def measure(n):
+        if n > long:
+            return 2.0 ** -(math.floor(math.log2(n / long)) + 1)
+        return 2.0 ** (-(math.floor(math.log2(short / n)) + 1) / 2) if n < short else 1.0
+
+    live = [(h, n, measure(n)) for h, n in data if n]
+    full, c = set(), 0.0
+    for m in sorted({m for *_, m in live}, reverse=True):  # the largest measures fill up first
+        c = (target - most * sum(n for _, n, x in live if x in full)) / sum(n * x for _, n, x in live if x not in full)
+        if c * m < most:
+            break
+        full.add(m)
+    e = {m: float(most) if m in full else min(float(most), c * m) for *_, m in live}
+    out, draw = {}, defaultdict(int)
+    for h, n, m in live:
+        out[h] = math.floor(e[m] + 1e-12)
+        p, u = e[m] - out[h], (h % (1 << 52) + 0.5) / (1 << 52)
+        if p > 0:
+            odds = u / (1 - u) * (1 - p) / p
+            draw[odds / (1 + odds), h] += n
+    open_ = target - sum(out[h] * n for h, n, _ in live)
+    for (_, h), n in sorted(draw.items()):
+        if abs(open_ - n) > abs(open_):
+            break
+        open_ -= n
+        out[h] += 1
+    return out
+
+
+def test_mixing_takes_the_documents_of_the_pareto_order(spark):
+    rng = random.Random(12)
+    data = [(i, "w " * rng.choice([1, 3, 20, 60, 64, 100, 300, 1000, 5000, 9000]), rng.choice(["a", "b", "b", "c", None])) for i in range(1500)]
+    got = mixing.mix(spark.createDataFrame(data, "doc_id long, text string, source string")).collect()
+    by = defaultdict(list)
+    for r in got:
+        by[r.source].append(r)
+    for rows_ in by.values():
+        want = brute_copies([(r.row_hash, r["size"]) for r in rows_], rows_[0].target)
+        assert {r.row_hash: r.copies for r in rows_} == want
+    # shares differ with size: short and very long texts are taken less often than the others
+    share = lambda keep: np.mean([r.copies for r in by["b"] if keep(r["size"])])
+    assert share(lambda n: n < 4) < share(lambda n: 64 <= n <= 1000) and share(lambda n: n > 8000) < share(lambda n: 64 <= n <= 1000)
+
+
+def test_targets_of_many_sources_ranked_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RANKED", 7)
+    rng = random.Random(3)
+    sizes = {None if i == 9 else f"s{i:03}": rng.choice([0, 1, 10, 1000, 100_000]) for i in range(60)}
+    with Scratch(spark, "test") as scratch:
+        df = spark.createDataFrame([(k, v) for k, v in sizes.items()], "source string, size long")
+        got = {r.source: r.target for r in mixing.source_targets(df, scratch).collect()}
+        want = brute_targets(sizes)
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 * max(1, want[k]) for k in want)
+        scratch.remove()
+
+
 def test_mixing_odd_rows(spark, odd):
     got = mixing.mix(odd).collect()
     assert len(got) == odd.count() and all(r.copies == 0 for r in got if not r["size"])

@@ -188,6 +188,44 @@ def test_suffix_dedup_planted_and_ragged(spark):
     assert suffix.cut(text, [(1, 2)]) == "alpha\ndelta eps" and suffix.cut(text, [(0, 5)]).strip() == "" and suffix.cut(text, [(3, 9)]) == "alpha  beta\tgamma"
 
 
+@pytest.mark.parametrize("n", [1, 2, 5])
+def test_neighbours_across_ranges(spark, monkeypatch, n):
+    """Keys of one and many places, in ranges that cut groups anywhere, against grouping; repeated rows are one place."""
+    rng = random.Random(n)
+    places = [(rng.choice([7, 7, 7, 7, rng.randrange(80), -rng.randrange(2000)]), rng.randrange(40), rng.randrange(9)) for _ in range(1500)]
+    by = defaultdict(set)
+    for k, d, a in places:
+        by[k].add((d, a))
+    want = {(d, a, k, *min(v)) for k, v in by.items() if len(v) > 1 for d, a in v}
+    monkeypatch.setattr(suffix, "partitions", lambda spark: n)
+    monkeypatch.setattr(suffix, "NARROW", 37)
+    with Scratch(spark, "test") as scratch:
+        df = scratch.keep(spark.createDataFrame(places, "key long, doc_id long, at int"), "places")
+        got = rows(suffix.neighbours(df, "key", scratch, "passed", extra="key"))
+        assert len(got) == len(set(got)) and set(got) == want
+        assert suffix.neighbours(scratch.keep(df.limit(0), "no"), "key", scratch, "none").count() == 0
+        scratch.remove()
+
+
+def test_wrong_fingerprints_cut_nothing(spark, monkeypatch):
+    """With fingerprints that collide all the time, passages are verified by their words and clean texts stay clean."""
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choices("abcdef", k=5))
+    passage = [word() for _ in range(80)]
+    data = [(i, " ".join([word() for _ in range(30)] + passage * (i % 3 == 0) + [word() for _ in range(90)])) for i in range(40)]
+    real = suffix.long_ngrams
+    monkeypatch.setattr(suffix, "long_ngrams", lambda h, n: real(h, n) % np.uint64(400 if n == 50 else 1 << 40))
+    with Scratch(spark, "test") as scratch:
+        df = spark.createDataFrame(data, "doc_id long, text string")
+        texts = suffix._texts(df)
+        wrong = scratch.keep(spark.createDataFrame([(1, 0, 60, 2, 0), (3, 30, 80, 0, 30), (3, 29, 80, 0, 29), (1, 100, 500, 2, 100)], "doc_id long, start long, n long, first_doc long, first_start long"), "wrong")
+        assert rows(suffix.verified(wrong, texts, scratch, "checked")) == [(3, 30, 80, 0, 30)]
+        scratch.remove()
+    want = brute_spans(data)
+    got = covered(suffix.repeated_spans(df))
+    assert all(got[i] <= want[i] for i in got)  # none too much; a wrong equal may hide a right one
+
+
 def test_suffix_dedup_odd_rows(odd):
     got = covered(suffix.repeated_spans(odd))
     assert got[6] == set(range(60_000)) and min(got[5]) == 5000 and set(got) == {5, 6}

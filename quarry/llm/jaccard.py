@@ -5,13 +5,21 @@ decide matter: with a common order of n-grams, two sets of at least the wanted s
 first n - ceil(t * n) + 1 of each (prefixes). Prefix entries go to column blocks as packed arrays, and a block returns
 the entries of n-grams that two or more sets hold. N-grams that very many documents share come last in the order; they
 are counted over all documents, and a bounded list of them is broadcast. Being on the list changes only the order, never
-the result.
+the result. A column that is not listed holds less than half of a block's entries, or is so thinly spread that fewer
+than COMMON_IN_BATCH of any HELD n-grams are its own.
 
 Links then follow in two rounds. First every set meets the smallest set of each of its prefix n-grams (rows in
 proportion to the entries, however large a group is), pairs that size or position bounds exclude are dropped, overlaps
-are counted by classes of columns, which bounds them, and for pairs that remain on whole sets, and components are formed. Then, in columns that still hold several components, the members
-outside the column's largest component meet the members of other components; nothing meets within a component. So
-all links between components are found, and a group of thousands of near copies costs a row each.
+are counted by classes of columns, which bounds them, and the pairs that remain are multiplied out: the overlap of whole
+sets is accumulated block of columns by block, and a pair is dropped as soon as what is still to come cannot reach the
+count that its sizes ask for. Components are formed of the links.
+
+Then, in columns that still hold several components, the members outside the column's largest component meet the
+members of other components; nothing meets within a component. A column is cut into cells of a bounded number of either
+side, and a task multiplies its cells in arrays: sizes and positions first, then bitmaps of the whole sets (n-grams
+folded to 1024 columns and, for larger sets, to more), whose difference bounds the overlap. Only pairs that pass leave
+the task, to be multiplied out as above; documents that merely share common passages cost comparisons, not rows. So all
+links between components are found, and a group of thousands of near copies costs a row each.
 
 Defined results: words are split at the six white-space characters after lower-casing A-Z; with fewer words than n,
 the whole sequence is the one shingle; null or empty texts have none and link with nothing; rows that share a doc_id
@@ -39,6 +47,12 @@ WORDS, PERCENT = 5, 75
 COMMON_IN_BATCH, COMMON, MOST_COMMON, HELD = 4, 64, 100_000, 3_000_000
 #: Entries of one column block.
 BLOCK = 1_000_000
+#: Members of a column's cell on either side; rows of cells that a task holds at once; pairs that it multiplies at once.
+CELL, CELLS, PAIRS = 4_096, 100_000, 200_000
+#: Columns that are multiplied between two looks at the bound.
+COLUMNS = 2_048
+#: Rows of an Arrow batch of rows without texts or sets.
+NARROW = 10_000
 
 
 def shingle_set(h: np.ndarray, n: int = WORDS) -> np.ndarray:
@@ -194,6 +208,26 @@ def _closer(pairs: DataFrame, documents: DataFrame, scratch: Scratch, name: str,
     return both.mapInArrow(work, "a long, b long")
 
 
+def overlap(a: np.ndarray, b: np.ndarray, least: int, columns: int = COLUMNS) -> int:
+    """The number of n-grams that two sorted sets share, accumulated block by block of columns; -1 as soon as it is
+    certain to be below least."""
+    blocks = max(1, (len(a) + len(b)) // columns)
+    edges = np.array([k * (1 << 64) // blocks for k in range(1, blocks)], dtype=U64)
+    ends = [np.concatenate((np.searchsorted(x, edges), [len(x)])) for x in (a, b)]
+    got, at = 0, (0, 0)
+    for to in zip(*ends, strict=True):
+        got += len(np.intersect1d(a[at[0] : to[0]], b[at[1] : to[1]], assume_unique=True))
+        at = to
+        if got + min(len(a) - at[0], len(b) - at[1]) < least:
+            return -1
+    return got
+
+
+def _lists(column: pa.ListArray) -> Iterator[np.ndarray]:
+    ends = np.cumsum(pa.compute.list_value_length(column).to_numpy(zero_copy_only=False))
+    yield from np.split(column.flatten().to_numpy(zero_copy_only=False), ends[:-1])
+
+
 def _links(pairs: DataFrame, documents: DataFrame, scratch: Scratch, name: str, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough."""
     pairs = scratch.keep(pairs, f"{name}-pairs")
@@ -204,35 +238,171 @@ def _links(pairs: DataFrame, documents: DataFrame, scratch: Scratch, name: str,
             sets = [s.view(np.int64) for s in shingle_sets(lazily(b.column(1)), n)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "grams"])
 
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            linked = []
+            for x, y in zip(_lists(b.column(2)), _lists(b.column(3)), strict=True):
+                least = -(-percent * (len(x) + len(y)) // (100 + percent))
+                linked.append(overlap(x.view(U64), y.view(U64), least) >= least)
+            keep = pa.array(linked, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["a", "b"])
+
     sets = scratch.keep(documents.where("text is not null").join(small(wanted), "doc_id", "left_semi").mapInArrow(work, "doc_id long, grams array<long>"), f"{name}-sets")
     left = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("gb")), "b")
-    both = left.join(sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("ga")), "a")
-    both = both.select("a", "b", F.size(F.array_intersect("ga", "gb")).alias("i"), (F.size("ga") + F.size("gb")).alias("s"))
-    out = scratch.keep(both.where(100 * F.col("i") >= percent * (F.col("s") - F.col("i"))).select("a", "b"), f"{name}-links")
+    both = left.join(sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("ga")), "a").select("a", "b", "ga", "gb")
+    out = scratch.keep(both.mapInArrow(multiply, "a long, b long"), f"{name}-links", 32)
     scratch.remove(f"{name}-sets")
     return out
 
 
+def bitmap(s: np.ndarray) -> bytes:
+    """Which of 1024, 4096 or 16384 (by its size) columns a set's n-grams fall into when they are folded."""
+    m = 1024 if len(s) < 512 else 4096 if len(s) < 2048 else 16384
+    bits = np.zeros(m, dtype=bool)
+    bits[(s >> U64(20)).astype(np.int64) & (m - 1)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def folded(maps: list[bytes], columns: int) -> np.ndarray:
+    """Bitmaps folded to so many columns, a row of 64-bit words each; those that have fewer are left empty."""
+    out = np.zeros((len(maps), columns // 64), dtype=U64)
+    for k, m in enumerate(maps):
+        if len(m) * 8 >= columns:
+            out[k] = np.bitwise_or.reduce(np.frombuffer(m, U64).reshape(-1, columns // 64), axis=0)
+    return out
+
+
+def _enough(na: np.ndarray, nb: np.ndarray, most: np.ndarray, percent: int) -> np.ndarray:
+    return 100 * most >= percent * (na + nb - most)
+
+
+def _most_shared(maps: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """At least the overlap: a column that only one of two sets has holds an n-gram that the other lacks."""
+    x, y = maps[a], maps[b]
+    only = lambda u, v: np.bitwise_count(u & ~v).sum(axis=1, dtype=np.int64)
+    return np.minimum(n[a] - only(x, y), n[b] - only(y, x))
+
+
+def product(cells: pd.DataFrame, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of cells(g, i, j, probe, doc_id, n, at, root, main and, if known, map), sorted by g, i, j, probe: index pairs of a
+    probe and another member of its cell that are in different components and that no bound excludes."""
+    doc, n, at, root, main = (cells[c].to_numpy() for c in ("doc_id", "n", "at", "root", "main"))
+    n, at = n.astype(np.int64), at.astype(np.int64)
+    probe = cells["probe"].to_numpy(dtype=bool)
+    new = np.ones(len(cells), dtype=bool)
+    for c in ("g", "i", "j"):
+        v = cells[c].to_numpy()
+        new[1:] &= v[1:] == v[:-1]
+    new[1:] = ~new[1:]
+    cell = np.cumsum(new) - 1
+    members = np.bincount(cell[~probe], minlength=cell[-1] + 1)  # within a cell, members come before probes
+    begin = np.flatnonzero(new)
+    probes = np.flatnonzero(probe)
+    todo = members[cell[probes]]
+    maps = cells["map"].tolist() if "map" in cells else None
+    small_, held = (folded(maps, 1024), np.array([len(m) * 8 for m in maps])) if maps else (None, None)
+    run = np.cumsum(todo)
+    at_probe = 0
+    while at_probe < len(probes):
+        done = run[at_probe - 1] if at_probe else 0
+        to = max(at_probe + 1, int(np.searchsorted(run, done + PAIRS, side="right")))
+        some, k = probes[at_probe:to], todo[at_probe:to]
+        at_probe = to
+        a = np.repeat(some, k)
+        b = np.arange(len(a)) - np.repeat(np.cumsum(k) - k, k) + np.repeat(begin[cell[some]], k)
+        # two probes meet once, from the smaller document
+        keep = (root[a] != root[b]) & ((root[b] == main[b]) | (doc[a] < doc[b]))
+        a, b = a[keep], b[keep]
+        keep = 100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])
+        a, b = a[keep], b[keep]
+        keep = _enough(n[a], n[b], np.minimum(n[a] - at[a], n[b] - at[b]), percent)
+        a, b = a[keep], b[keep]
+        if maps:
+            keep = _enough(n[a], n[b], _most_shared(small_, a, b, n), percent)
+            a, b = a[keep], b[keep]
+            for columns in (4096, 16384):
+                both, ok = np.flatnonzero(np.minimum(held[a], held[b]) >= columns), np.ones(len(a), dtype=bool)
+                for part in np.array_split(both, len(both) // 2_000 + 1):
+                    here = np.unique(np.concatenate((a[part], b[part])))
+                    x, y = np.searchsorted(here, a[part]), np.searchsorted(here, b[part])
+                    ok[part] = _enough(n[a[part]], n[b[part]], _most_shared(folded([maps[r] for r in here], columns), x, y, n[here]), percent)
+                a, b = a[ok], b[ok]
+        yield a, b
+
+
 def _possible(percent: int) -> str:
     """By size, and by place: what is still to come of either set after its first common n-gram bounds the overlap."""
     return f"100 * least(na, nb) >= {percent} * greatest(na, nb) and 100 * least(na - ia, nb - ib) >= {percent} * (na + nb - least(na - ia, nb - ib))"
 
 
+CELL_ROWS = "bin int, g long, i int, j int, probe boolean, doc_id long, n int, at int, root long, main long"
+
+
+def _meetings(e: DataFrame, documents: DataFrame, scratch: Scratch, n: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of entries e(g, doc_id, n, at, root) of one column and different components that no bound excludes."""
+    per = e.groupBy("g", "root").agg(F.count("*").alias("m"))
+    per = per.groupBy("g").agg(F.max(F.struct("m", "root")).alias("main"), F.count("*").alias("k"), F.sum("m").alias("m")).where("k > 1")
+    cells = lambda m: F.ceil(m / CELL).cast("int")
+    open_ = per.select("g", F.col("main.root").alias("main"), F.col("m"), (F.col("m") - F.col("main.m")).alias("p"), cells(F.col("m") - F.col("main.m")).alias("ci"), cells(F.col("m")).alias("cj"))
+    open_ = scratch.keep(open_, "open", NARROW)
+    size = open_.agg(F.coalesce(F.sum(F.col("m") * F.col("ci") + F.col("p") * F.col("cj")), F.lit(0))).first()[0]
+    e = scratch.keep(e.join(open_.drop("m", "p"), "g"), "rooted", NARROW)
+    deal = lambda m, salt: F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.col(m)).cast("int")
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.col(m) - 1))
+    probes = e.where("root <> main").withColumns({"i": deal("ci", 1), "probe": F.lit(True)}).withColumn("j", every("cj"))
+    others = e.withColumns({"j": deal("cj", 2), "probe": F.lit(False)}).withColumn("i", every("ci"))
+    rows = probes.select("g", "i", "j", "probe", "doc_id", "n", "at", "root", "main").unionByName(others.select("g", "i", "j", "probe", "doc_id", "n", "at", "root", "main"))
+    bins = int(size // CELLS) * 2 + 12
+    rows = rows.withColumn("bin", F.pmod(F.xxhash64("g", "i", "j"), F.lit(bins)).cast("int"))
+    order = ["g", "i", "j", "probe"]
+
+    def mark(rows: pd.DataFrame) -> pd.DataFrame:
+        """The members of cells that sizes and places leave a partner."""
+        rows = rows.sort_values(order, kind="stable").reset_index(drop=True)
+        hit = np.zeros(len(rows), dtype=bool)
+        for a, b in product(rows, percent):
+            hit[a], hit[b] = True, True
+        return rows[hit]
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            maps = [bitmap(s) for s in shingle_sets(lazily(b.column(1)), n)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(maps, pa.binary())], names=["doc_id", "n", "map"])
+
+    def meet(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(order, kind="stable").reset_index(drop=True)
+        doc, out = rows["doc_id"].to_numpy(), [np.zeros((2, 0), dtype=np.int64)]
+        for a, b in product(rows, percent):
+            out.append(np.unique(np.stack((np.minimum(doc[a], doc[b]), np.maximum(doc[a], doc[b]))), axis=1))
+        a, b = np.unique(np.concatenate(out, axis=1), axis=1)
+        return pd.DataFrame({"a": a, "b": b})
+
+    marked = scratch.keep(rows.groupBy("bin").applyInPandas(mark, CELL_ROWS), "marked", NARROW)
+    ids = scratch.keep(marked.select("doc_id", "n").distinct(), "marked-ids", NARROW)
+    # rows of one doc_id with different texts have a map each, told apart by size
+    sized = documents.where("text is not null").join(small(ids.select("doc_id").distinct()), "doc_id", "left_semi").join(ids, "doc_id").select("doc_id", "text", "n")
+    maps = scratch.keep(sized.mapInArrow(describe, "doc_id long, n int, map binary").distinct(), "maps")
+    return marked.join(maps, ["doc_id", "n"]).groupBy("bin").applyInPandas(meet, "a long, b long").distinct()
+
+
 def near_duplicates(documents: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of documents."""
-    spark = documents.sparkSession
-    scratch = Scratch(spark, "jaccard")
-    d = pick(documents, doc_id="long", text="string")
+    with Scratch(documents.sparkSession, "jaccard") as scratch:
+        return scratch.finish(_components(pick(documents, doc_id="long", text="string"), scratch, n, percent))
+
+
+def _components(d: DataFrame, scratch: Scratch, n: int, percent: int) -> DataFrame:
     both = scratch.keep(summaries(d, n), "summaries")
     docs = both.where("kind = 0").select("doc_id", "n", "key")
-    listed = both.where("kind = 1").groupBy("g").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON).orderBy(F.desc("n"), "g").limit(MOST_COMMON)
+    total = docs.agg(F.coalesce(F.sum((100 - percent) * F.col("n") / 100 + 1), F.lit(0))).first()[0]
+    blocks = int(total // BLOCK) * 2 + 12
+    # no more than 2 * blocks columns can fill half of a block
+    listed = both.where("kind = 1").groupBy("g").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON).orderBy(F.desc("n"), "g").limit(max(MOST_COMMON, 2 * blocks))
     common = np.array([r.g for r in listed.collect()][::-1], dtype=np.int64).view(U64)  # rarer first
     # the smallest document stands for all of equal sets; it has all their entries itself
     least = scratch.keep(docs.where("doc_id is not null and key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("top")), "least")
     copies = scratch.keep(docs.join(least.where("rep < top").select("key", "rep"), "key").where("doc_id > rep").select("doc_id", "rep").distinct(), "copies")
 
-    total = docs.agg(F.coalesce(F.sum((100 - percent) * F.col("n") / 100 + 1), F.lit(0))).first()[0]
-    blocks = int(total // BLOCK) * 2 + 12
     packed = prefix_entries(d, common, blocks, n, percent)
     entries = packed.groupBy("block").applyInPandas(_shared, "g long, doc_id long, n int, at int, a long, na int, ia int")
     # a doc_id that stands for a set in another of its rows keeps its entries, as they are not told apart by set
@@ -249,17 +419,7 @@ def near_duplicates(documents: DataFrame, n: int = WORDS, percent: int = PERCENT
     # columns that still hold several components
     roots = roots.select(F.col("node").alias("doc_id"), "root")
     e = entries.select("g", "doc_id", "n", "at").join(small(roots), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-    open_ = e.groupBy("g", "root").agg(F.count("*").alias("m")).groupBy("g").agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.count("*").alias("k")).where("k > 1").select("g", "main")
-    open_ = scratch.keep(open_, "open")
-    e = scratch.keep(e.join(open_, "g"), "rooted")
-    side = lambda x, y: (F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("at").alias(f"i{x}"), F.col("root").alias(y))
-    probes = e.where("root <> main").select("g", "main", *side("a", "ra"))
-    bases = e.select("g", *side("b", "rb"))
-    # two probes meet once, from the smaller document
-    rest = probes.join(bases, "g").where("ra <> rb and (rb = main or a < b)").where(_possible(percent))
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = _links(_closer(rest, d, scratch, "rest", n, percent), d, scratch, "rest", n, percent)
+    more = _links(_meetings(e, d, scratch, n, percent), d, scratch, "rest", n, percent)
     pairs = links.unionByName(more).unionByName(copies.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
     roots = components(pairs, scratch, "last")
-    out = docs.join(roots, docs.doc_id == roots.node, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
-    return scratch.finish(out)
+    return docs.join(roots, docs.doc_id == roots.node, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))

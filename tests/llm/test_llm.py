@@ -298,6 +298,63 @@ def test_jaccard_links_every_text_of_a_repeated_doc_id(spark):
     assert got == {1: 1, 3: 1, 5: 1, 8: 8, 9: 8}
 
 
+def test_overlap_block_by_block():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        n, share = int(rng.integers(1, 4000)), rng.random()
+        pool = np.unique(rng.integers(0, 1 << 63, 2 * n, dtype=np.uint64) * np.uint64(2))
+        a = np.sort(rng.choice(pool, n, replace=False))
+        b = np.sort(np.unique(np.concatenate((rng.choice(a, int(share * n), replace=False), rng.choice(pool, n // 5 + 1)))))
+        want = len(np.intersect1d(a, b))
+        for columns in (7, 500, 1 << 20):
+            assert jaccard.overlap(a, b, 0, columns) == want and jaccard.overlap(a, b, want, columns) == want
+            assert jaccard.overlap(a, b, min(len(a), len(b)) + 1, columns) == -1
+        maps = [jaccard.bitmap(a), jaccard.bitmap(b)]
+        for m in (1024, 4096, 16384):
+            if min(map(len, maps)) * 8 >= m:
+                most = jaccard._most_shared(jaccard.folded(maps, m), np.array([0]), np.array([1]), np.array([len(a), len(b)]))
+                assert most[0] >= want
+
+
+def test_jaccard_in_small_cells(spark, monkeypatch):
+    """Columns cut into cells, and few pairs at a time, give the same links."""
+    monkeypatch.setattr(jaccard, "CELL", 5)
+    monkeypatch.setattr(jaccard, "CELLS", 50)
+    monkeypatch.setattr(jaccard, "PAIRS", 9)
+    rng = random.Random(15)
+    word = lambda: "".join(rng.choices("abcdefgh", k=4))
+    bases = [[word() for _ in range(80)] for _ in range(12)]
+    for k in range(1, 12):
+        bases[k][:50] = bases[0][:50]  # below the bound by themselves
+    data = []
+    for i in range(150):
+        t = list(rng.choice(bases))
+        for _ in range(rng.randint(0, 4)):
+            t[rng.randrange(len(t))] = word()
+        data.append((i, " ".join(t)))
+    data += [(200 + i, " ".join(bases[0][:50] + [word() for _ in range(600 * (i + 1))])) for i in range(6)]
+    got = jaccard.near_duplicates(spark.createDataFrame(data, "doc_id long, text string"))
+    assert set(rows(got)) == brute_components(data)
+
+
+def test_documents_of_shared_passages_leave_few_pairs(spark, monkeypatch):
+    """Texts made of 20 of 60 passages: no two are linked, and what leaves the tasks does not grow with their pairs."""
+    kept, keep = {}, Scratch.keep
+    monkeypatch.setattr(Scratch, "keep", lambda self, df, name, *a: kept.setdefault(name, keep(self, df, name, *a)))
+    monkeypatch.setattr(Scratch, "remove", lambda self, name="": None)
+    seen = []
+    for n in (150, 300, 600):
+        rng = random.Random(1)
+        passages = [" ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(12)) for _ in range(60)]
+        data = [(i, " ".join(rng.sample(passages, 20))) for i in range(n)]
+        kept.clear()
+        got = jaccard.near_duplicates(spark.createDataFrame(data, "doc_id long, text string"))
+        assert got.where("component_id <> doc_id").count() == 0
+        seen.append((kept["stars-candidates"].count(), kept["rest-pairs"].count()))
+    # of the first round at most a pair for each prefix entry, of the second none
+    assert all(stars <= 20 * n and pairs == 0 for (stars, pairs), n in zip(seen, (150, 300, 600), strict=True)), seen
+
+
 def test_jaccard_odd_rows(odd):
     got = Counter(rows(jaccard.near_duplicates(odd)))
     assert got[1, 2, 1] == 2 and got[2, 0, 2] == 1 and got[None, 2, None] == 1 and got[None, 0, None] == 1

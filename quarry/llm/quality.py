@@ -91,14 +91,14 @@ RUNS = re.compile(rb"([^\x20\x09-\x0D])\1+")
 
 
 #: What is kept of a text: votes, its signals, and places and counts of its words and of their shapes.
-KEPT = "doc_id long, votes string, draw long, signals binary, words binary, n_words binary, shapes binary, n_shapes binary"
+KEPT = "doc_id long, votes string, crc long, signals binary, words binary, n_words binary, shapes binary, n_shapes binary"
 
 
 def describe(text: str | None) -> tuple[str, int, bytes, bytes, bytes, bytes, bytes]:
     """KEPT, but for doc_id. Shapes are words by classes of characters, repeated ones once."""
     words, hashes, data, s = _parts(text)
     if s is None:
-        return _ballot(s), 0, b"", b"", b"", b"", b""
+        return _ballot(s), zlib.crc32(data), b"", b"", b"", b"", b""
     out = []
     for h in (hashes, hash_words(RUNS.sub(rb"\1+", data.translate(SHAPE)))[0] ^ np.uint64(0x5A5A)):
         at, n = np.unique((h % np.uint64(DIMS)).astype(np.uint16), return_counts=True)
@@ -166,13 +166,14 @@ def _part(share: float) -> int:
 
 
 def judge_quality(documents: DataFrame, max_train: int = MAX_TRAIN, max_features: int = MAX_FEATURES, threshold: float = 0.5) -> DataFrame:
-    """doc_id, votes, p_weak (posterior of bad by the votes), score (of bad by the scorer), keep."""
+    """doc_id, votes, crc (CRC-32 of the text in UTF-8), p_weak (posterior of bad by the votes), score (of bad by the
+    scorer), keep."""
     with Scratch(documents.sparkSession, "quality") as scratch:
         return scratch.finish(_judged(documents, scratch, max_train, max_features, threshold))
 
 
 def _judged(documents: DataFrame, scratch: Scratch, max_train: int, max_features: int, threshold: float) -> DataFrame:
-    schema = pa.schema([("doc_id", pa.int64()), ("votes", pa.string()), ("draw", pa.int64()), *((k, pa.binary()) for k in ("signals", "words", "n_words", "shapes", "n_shapes"))])
+    schema = pa.schema([("doc_id", pa.int64()), ("votes", pa.string()), ("crc", pa.int64()), *((k, pa.binary()) for k in ("signals", "words", "n_words", "shapes", "n_shapes"))])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -186,7 +187,7 @@ def _judged(documents: DataFrame, scratch: Scratch, max_train: int, max_features
         p, _ = estimate(patterns)
         posterior = dict(zip(patterns["votes"], map(float, p), strict=True))
         # the two classes in equal numbers, the surest patterns only, drawn by hash; a few more than wanted are dropped
-        draw = F.pmod(F.xxhash64("doc_id", "draw"), F.lit(1 << 30))
+        draw = F.pmod(F.xxhash64("doc_id", "crc"), F.lit(1 << 30))
         rows = []
         for side in (p > 0.9, p < 0.1):
             n = int(patterns["n"][side].sum())
@@ -205,12 +206,12 @@ def _judged(documents: DataFrame, scratch: Scratch, max_train: int, max_features
         for b in batches:
             z = np.full(len(b), -50.0)
             if weights is not None:
-                z = np.array([value @ weights[at] + weights[-1] for at, value in (vector(*x) for x in zip(*(lazily(c) for c in b.columns[2:]), strict=True))])
+                z = np.array([value @ weights[at] + weights[-1] for at, value in (vector(*x) for x in zip(*(lazily(c) for c in b.columns[3:]), strict=True))])
             s = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
             p = pa.array([posterior.get(x) for x in b.column(1).to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), p, pa.array(s, pa.float64()), pa.array(s < threshold, pa.bool_())], names=["doc_id", "votes", "p_weak", "score", "keep"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], p, pa.array(s, pa.float64()), pa.array(s < threshold, pa.bool_())], names=["doc_id", "votes", "crc", "p_weak", "score", "keep"])
 
-    return kept.drop("draw").mapInArrow(score, "doc_id long, votes string, p_weak double, score double, keep boolean")
+    return kept.mapInArrow(score, "doc_id long, votes string, crc long, p_weak double, score double, keep boolean")
 
 
 def _most(name: str, most: int) -> Column:

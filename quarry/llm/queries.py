@@ -16,7 +16,7 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge_quality(table(spark, sf_dir, "documents"))
+    return quality.judge_quality(table(spark, sf_dir, "documents")).drop("crc")
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -857,11 +857,29 @@ def test_pipeline_odd_rows(spark, odd):
             stage(spark, df, SF).collect()
 
 
-def test_pipeline_keeps_one_of_exact_copies(spark):
+def test_pipeline_judges_rows_by_their_own_text(spark):
     import corpus_pipeline as cp
 
     one, two, three = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
     data = [(1, one, "s"), (1, one, "s"), (1, one, "r"), (2, one, "s"), (2, one, "s"), (1, two, "s"), (4, three, "s"), (None, three, "s"), (None, three, "r"), (None, one, "s"), (None, None, "s"), (None, None, "s"), (6, None, "s"), (7, None, "s")]
     df = spark.createDataFrame(data, "doc_id long, text string, source string")
     got = Counter(map(tuple, cp.drop_near_duplicates(spark, df, SF).collect()))
-    assert got == Counter([(1, one, "r"), (1, two, "s"), (4, three, "s"), (None, three, "r"), (None, one, "s"), (None, None, "s"), (6, None, "s"), (7, None, "s")])
+    assert got == Counter([(1, one, "r"), (1, two, "s"), (4, three, "s"), (None, None, "s"), (6, None, "s"), (7, None, "s")])
+    # texts of one doc_id do not join the groups of its other texts
+    df = spark.createDataFrame([(1, one), (5, one), (5, two), (7, two + " more"), (9, three), (9, three)], "doc_id long, text string")
+    got = Counter(map(tuple, cp.drop_near_duplicates(spark, df, SF).collect()))
+    assert got in (Counter([(1, one), (7, two + " more"), (9, three)]), Counter([(1, one), (5, two), (9, three)]))
+    # where every doc_id is its own, the smallest of a group stays
+    df = spark.createDataFrame([(3, one), (1, one + " x"), (8, two)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in cp.drop_near_duplicates(spark, df, SF).collect()) == [1, 8]
+
+
+def test_pipeline_rejects_by_text(spark, docs):
+    import corpus_pipeline as cp
+
+    verdict = {r.doc_id: r.keep for r in quality.judge_quality(docs).collect()}
+    text = {r.doc_id: r.text for r in docs.collect()}
+    good, bad = (next(text[i] for i, v in verdict.items() if v == x) for x in (True, False))
+    df = docs.unionByName(spark.createDataFrame([(None, bad, "en", "s", 1), (None, good, "en", "s", 1), (70_000, bad, "en", "s", 1), (70_000, good, "en", "s", 1)], docs.schema))
+    got = [r for r in cp.drop_bad_quality(spark, df, SF).collect() if r.doc_id in (None, 70_000)]
+    assert Counter((r.doc_id, r.text) for r in got) == Counter([(None, good), (70_000, good)])

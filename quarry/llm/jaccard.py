@@ -10,16 +10,18 @@ than COMMON_IN_BATCH of any HELD n-grams are its own.
 
 Links then follow in two rounds. First every set meets the smallest set of each of its prefix n-grams (rows in
 proportion to the entries, however large a group is), pairs that size or position bounds exclude are dropped, overlaps
-are counted by classes of columns, which bounds them, and the pairs that remain are multiplied out: the overlap of whole
-sets is accumulated block of columns by block, and a pair is dropped as soon as what is still to come cannot reach the
-count that its sizes ask for. Components are formed of the links.
+are bounded by bitmaps of the whole sets (n-grams folded to twice as many columns as the set has, at least 1024): a
+column that only one set has holds an n-gram that the other lacks. The pairs that remain are multiplied out: the overlap
+of whole sets is accumulated block of columns by block, and a pair is dropped as soon as what is still to come cannot
+reach the count that its sizes ask for. Components are formed of the links.
 
 Then, in columns that still hold several components, the members outside the column's largest component meet the
 members of other components; nothing meets within a component. A column is cut into cells of a bounded number of either
-side, and a task multiplies its cells in arrays: sizes and positions first, then bitmaps of the whole sets (n-grams
-folded to 1024 columns and, for larger sets, to more), whose difference bounds the overlap. Only pairs that pass leave
-the task, to be multiplied out as above; documents that merely share common passages cost comparisons, not rows. So all
-links between components are found, and a group of thousands of near copies costs a row each.
+side, and a task multiplies its cells in arrays by sizes and positions. A cell with few pairs gives them out, at most FEW
+for each of its members; where more are left, its members come again with their bitmaps, and only pairs that these leave
+possible go out. So documents that merely share common passages cost comparisons, not rows. All pairs that went out are
+bounded and multiplied out as above. So all links between components are found, and a group of thousands of near copies
+costs a row each.
 
 Defined results: words are split at the six white-space characters after lower-casing A-Z; with fewer words than n,
 the whole sequence is the one shingle; null or empty texts have none and link with nothing; rows that share a doc_id
@@ -49,6 +51,8 @@ COMMON_IN_BATCH, COMMON, MOST_COMMON, HELD = 4, 64, 100_000, 3_000_000
 BLOCK = 1_000_000
 #: Members of a column's cell on either side; rows of cells that a task holds at once; pairs that it multiplies at once.
 CELL, CELLS, PAIRS = 4_096, 100_000, 200_000
+#: Pairs for each member up to which a cell gives its pairs out before bitmaps are compared.
+FEW = 2
 #: Columns that are multiplied between two looks at the bound.
 COLUMNS = 2_048
 #: Rows of an Arrow batch of rows without texts or sets.
@@ -168,40 +172,68 @@ def _shared(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({k: v[keep] for k, v in out.items()})
 
 
-def profile(s: np.ndarray) -> bytes:
-    """How many n-grams of a set fall into each of 256, 1024 or 4096 (by its size) classes of columns, two bytes each."""
-    m = 256 if len(s) < 512 else 1024 if len(s) < 4096 else 4096
-    return np.minimum(np.bincount((s >> U64(20)).astype(np.int64) & (m - 1), minlength=m), 65_535).astype(np.uint16).tobytes()
+def bitmap(s: np.ndarray) -> bytes:
+    """Which columns a set's n-grams fall into when they are folded to 1024 or, for larger sets, 4096, 16384 and so on."""
+    m = 1024
+    while m < 2 * len(s):
+        m *= 4
+    bits = np.zeros(m, dtype=bool)
+    bits[(s >> U64(20)).astype(np.int64) & (m - 1)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
 
 
-def overlap_bound(a: bytes, b: bytes) -> int:
-    """At least the overlap of two sets with these profiles: the sum over classes of the smaller count."""
-    x, y = np.frombuffer(a, np.uint16).astype(np.int64), np.frombuffer(b, np.uint16).astype(np.int64)
-    m = min(len(x), len(y))
-    x, y = x.reshape(-1, m).sum(0), y.reshape(-1, m).sum(0)
-    least = np.minimum(x, y)
-    return 1 << 60 if least.max() >= 65_535 else int(least.sum())  # a full counter says nothing
+def folded(maps: list[bytes], columns: int) -> np.ndarray:
+    """Bitmaps folded to so many columns, a row of 64-bit words each; those that have fewer are left empty."""
+    out = np.zeros((len(maps), columns // 64), dtype=U64)
+    for k, m in enumerate(maps):
+        if len(m) * 8 >= columns:
+            out[k] = np.bitwise_or.reduce(np.frombuffer(m, U64).reshape(-1, columns // 64), axis=0)
+    return out
+
+
+def _enough(na: np.ndarray, nb: np.ndarray, most: np.ndarray, percent: int) -> np.ndarray:
+    return 100 * most >= percent * (na + nb - most)
+
+
+def _most_shared(maps: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """At least the overlap: a column that only one of two sets has holds an n-gram that the other lacks."""
+    x, y = maps[a], maps[b]
+    only = lambda u, v: np.bitwise_count(u & ~v).sum(axis=1, dtype=np.int64)
+    return np.minimum(n[a] - only(x, y), n[b] - only(y, x))
+
+
+def possible(maps: list[bytes], a: np.ndarray, b: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the pairs (a, b) of sets the finest folded columns that both have leave possible, coarse ones first."""
+    held = np.array([len(m) * 8 for m in maps], dtype=np.int64)
+    ok, columns = np.ones(len(a), dtype=bool), 1024
+    while len(rows := np.flatnonzero(ok & (np.minimum(held[a], held[b]) >= columns))):
+        for part in np.array_split(rows, len(rows) * columns // (1 << 26) + 1):
+            here = np.unique(np.concatenate((a[part], b[part])))
+            x, y = np.searchsorted(here, a[part]), np.searchsorted(here, b[part])
+            ok[part] = _enough(n[a[part]], n[b[part]], _most_shared(folded([maps[r] for r in here], columns), x, y, n[here]), percent)
+        columns *= 4
+    return ok
 
 
 def _closer(pairs: DataFrame, documents: DataFrame, scratch: Scratch, name: str, n: int, percent: int) -> DataFrame:
-    """Of candidate pairs (a, b), those that overlaps counted by classes of columns leave possible."""
+    """Of candidate pairs (a, b), those that bitmaps of folded columns leave possible."""
     pairs = scratch.keep(pairs, f"{name}-candidates")
     ids = scratch.keep(pairs.select("a").union(pairs.select("b")).distinct().select(F.col("a").alias("doc_id")), f"{name}-ids")
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            seen = [(len(s), profile(s)) for s in shingle_sets(lazily(b.column(1)), n)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([m for m, _ in seen], pa.int64()), pa.array([p for _, p in seen], pa.binary())], names=["doc_id", "n", "profile"])
+            seen = [(len(s), bitmap(s)) for s in shingle_sets(lazily(b.column(1)), n)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([m for m, _ in seen], pa.int64()), pa.array([p for _, p in seen], pa.binary())], names=["doc_id", "n", "map"])
 
-    known = documents.where("text is not null").join(small(ids), "doc_id", "left_semi").mapInArrow(describe, "doc_id long, n long, profile binary")
-    known = scratch.keep(known, f"{name}-profiles")
-    side = lambda x: known.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("profile").alias(f"p{x}"))
+    known = documents.where("text is not null").join(small(ids), "doc_id", "left_semi").mapInArrow(describe, "doc_id long, n long, map binary")
+    known = scratch.keep(known, f"{name}-maps")
+    side = lambda x: known.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("map").alias(f"p{x}"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            most = np.array([overlap_bound(x, y) for x, y in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)], dtype=np.int64)
-            size = b.column(2).to_numpy() + b.column(3).to_numpy()
-            keep = pa.array(100 * np.minimum(most, size) >= percent * (size - np.minimum(most, size)))
+            sizes = np.concatenate((b.column(2).to_numpy(), b.column(3).to_numpy()))
+            at = np.arange(len(b))
+            keep = pa.array(possible(b.column(4).to_pylist() + b.column(5).to_pylist(), at, at + len(b), sizes, percent))
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["a", "b"])
 
     both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "na", "nb", "pa", "pb")
@@ -255,32 +287,14 @@ def _links(pairs: DataFrame, documents: DataFrame, scratch: Scratch, name: str,
     return out
 
 
-def bitmap(s: np.ndarray) -> bytes:
-    """Which of 1024, 4096 or 16384 (by its size) columns a set's n-grams fall into when they are folded."""
-    m = 1024 if len(s) < 512 else 4096 if len(s) < 2048 else 16384
-    bits = np.zeros(m, dtype=bool)
-    bits[(s >> U64(20)).astype(np.int64) & (m - 1)] = True
-    return np.packbits(bits, bitorder="little").tobytes()
-
-
-def folded(maps: list[bytes], columns: int) -> np.ndarray:
-    """Bitmaps folded to so many columns, a row of 64-bit words each; those that have fewer are left empty."""
-    out = np.zeros((len(maps), columns // 64), dtype=U64)
-    for k, m in enumerate(maps):
-        if len(m) * 8 >= columns:
-            out[k] = np.bitwise_or.reduce(np.frombuffer(m, U64).reshape(-1, columns // 64), axis=0)
-    return out
-
-
-def _enough(na: np.ndarray, nb: np.ndarray, most: np.ndarray, percent: int) -> np.ndarray:
-    return 100 * most >= percent * (na + nb - most)
-
-
-def _most_shared(maps: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """At least the overlap: a column that only one of two sets has holds an n-gram that the other lacks."""
-    x, y = maps[a], maps[b]
-    only = lambda u, v: np.bitwise_count(u & ~v).sum(axis=1, dtype=np.int64)
-    return np.minimum(n[a] - only(x, y), n[b] - only(y, x))
+def cells_of(rows: pd.DataFrame) -> np.ndarray:
+    """The number of the cell of each row of a frame sorted by cell."""
+    new = np.ones(len(rows), dtype=bool)
+    for c in ("g", "i", "j"):
+        v = rows[c].to_numpy()
+        new[1:] &= v[1:] == v[:-1]
+    new[1:] = ~new[1:]
+    return np.cumsum(new) - 1
 
 
 def product(cells: pd.DataFrame, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -289,18 +303,12 @@ def product(cells: pd.DataFrame, percent: int) -> Iterator[tuple[np.ndarray, np.
     doc, n, at, root, main = (cells[c].to_numpy() for c in ("doc_id", "n", "at", "root", "main"))
     n, at = n.astype(np.int64), at.astype(np.int64)
     probe = cells["probe"].to_numpy(dtype=bool)
-    new = np.ones(len(cells), dtype=bool)
-    for c in ("g", "i", "j"):
-        v = cells[c].to_numpy()
-        new[1:] &= v[1:] == v[:-1]
-    new[1:] = ~new[1:]
-    cell = np.cumsum(new) - 1
+    cell = cells_of(cells)
     members = np.bincount(cell[~probe], minlength=cell[-1] + 1)  # within a cell, members come before probes
-    begin = np.flatnonzero(new)
+    begin = np.searchsorted(cell, np.arange(cell[-1] + 1))
     probes = np.flatnonzero(probe)
     todo = members[cell[probes]]
     maps = cells["map"].tolist() if "map" in cells else None
-    small_, held = (folded(maps, 1024), np.array([len(m) * 8 for m in maps])) if maps else (None, None)
     run = np.cumsum(todo)
     at_probe = 0
     while at_probe < len(probes):
@@ -318,15 +326,8 @@ def product(cells: pd.DataFrame, percent: int) -> Iterator[tuple[np.ndarray, np.
         keep = _enough(n[a], n[b], np.minimum(n[a] - at[a], n[b] - at[b]), percent)
         a, b = a[keep], b[keep]
         if maps:
-            keep = _enough(n[a], n[b], _most_shared(small_, a, b, n), percent)
+            keep = possible(maps, a, b, n, percent)
             a, b = a[keep], b[keep]
-            for columns in (4096, 16384):
-                both, ok = np.flatnonzero(np.minimum(held[a], held[b]) >= columns), np.ones(len(a), dtype=bool)
-                for part in np.array_split(both, len(both) // 2_000 + 1):
-                    here = np.unique(np.concatenate((a[part], b[part])))
-                    x, y = np.searchsorted(here, a[part]), np.searchsorted(here, b[part])
-                    ok[part] = _enough(n[a[part]], n[b[part]], _most_shared(folded([maps[r] for r in here], columns), x, y, n[here]), percent)
-                a, b = a[ok], b[ok]
         yield a, b
 
 
@@ -357,12 +358,22 @@ def _meetings(e: DataFrame, documents: DataFrame, scratch: Scratch, n: int, perc
     order = ["g", "i", "j", "probe"]
 
     def mark(rows: pd.DataFrame) -> pd.DataFrame:
-        """The members of cells that sizes and places leave a partner."""
+        """Of cells with few pairs that sizes and places leave: the pairs; of the others: the members in such pairs."""
         rows = rows.sort_values(order, kind="stable").reset_index(drop=True)
-        hit = np.zeros(len(rows), dtype=bool)
+        cell, doc = cells_of(rows), rows["doc_id"].to_numpy()
+        room = FEW * np.bincount(cell)
+        found, hit, out = np.zeros(len(room), dtype=np.int64), np.zeros(len(rows), dtype=bool), [np.zeros((3, 0), dtype=np.int64)]
         for a, b in product(rows, percent):
             hit[a], hit[b] = True, True
-        return rows[hit]
+            found += np.bincount(cell[a], minlength=len(room))
+            few = found[cell[a]] <= room[cell[a]]
+            a, b = a[few], b[few]
+            out.append(np.stack((cell[a], np.minimum(doc[a], doc[b]), np.maximum(doc[a], doc[b]))))
+        pairs = np.concatenate(out, axis=1)
+        pairs = np.unique(pairs[1:, (found <= room)[pairs[0]]], axis=1)
+        many = rows[hit & (found > room)[cell]]
+        one = pd.DataFrame({c: pd.array([None] * pairs.shape[1], "Int64") for c in rows.columns} | {"doc_id": pairs[0], "other": pairs[1], "probe": False})
+        return pd.concat([many.assign(other=pd.array([None] * len(many), "Int64")), one])[[*rows.columns, "other"]]
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -377,12 +388,15 @@ def _meetings(e: DataFrame, documents: DataFrame, scratch: Scratch, n: int, perc
         a, b = np.unique(np.concatenate(out, axis=1), axis=1)
         return pd.DataFrame({"a": a, "b": b})
 
-    marked = scratch.keep(rows.groupBy("bin").applyInPandas(mark, CELL_ROWS), "marked", NARROW)
-    ids = scratch.keep(marked.select("doc_id", "n").distinct(), "marked-ids", NARROW)
+    marked = scratch.keep(rows.groupBy("bin").applyInPandas(mark, CELL_ROWS + ", other long"), "marked", NARROW)
+    few = marked.where("other is not null").select(F.col("doc_id").alias("a"), F.col("other").alias("b"))
+    many = marked.where("other is null").drop("other")
+    ids = scratch.keep(many.select("doc_id", "n").distinct(), "marked-ids", NARROW)
     # rows of one doc_id with different texts have a map each, told apart by size
     sized = documents.where("text is not null").join(small(ids.select("doc_id").distinct()), "doc_id", "left_semi").join(ids, "doc_id").select("doc_id", "text", "n")
     maps = scratch.keep(sized.mapInArrow(describe, "doc_id long, n int, map binary").distinct(), "maps")
-    return marked.join(maps, ["doc_id", "n"]).groupBy("bin").applyInPandas(meet, "a long, b long").distinct()
+    met = many.join(maps, ["doc_id", "n"]).groupBy("bin").applyInPandas(meet, "a long, b long")
+    return few.unionByName(met).distinct()
 
 
 def near_duplicates(documents: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -419,7 +433,7 @@ def _components(d: DataFrame, scratch: Scratch, n: int, percent: int) -> DataFra
     # columns that still hold several components
     roots = roots.select(F.col("node").alias("doc_id"), "root")
     e = entries.select("g", "doc_id", "n", "at").join(small(roots), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-    more = _links(_meetings(e, d, scratch, n, percent), d, scratch, "rest", n, percent)
+    more = _links(_closer(_meetings(e, d, scratch, n, percent), d, scratch, "rest", n, percent), d, scratch, "rest", n, percent)
     pairs = links.unionByName(more).unionByName(copies.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
     roots = components(pairs, scratch, "last")
     return docs.join(roots, docs.doc_id == roots.node, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))

@@ -14,7 +14,7 @@ cannot make a repeat, only hide one behind an earlier run that they wrongly equa
 
 Sorting is by ranges of (fingerprint, doc_id, place), which split a passage that very many documents share as they split
 anything else; a task compares the rows of its range as they pass, and groups that cross ranges are settled by one
-summary row for either end of each range.
+summary row for either end of each range, which is what the driver sees of a sort.
 
 Defined results: words are split at the six white-space characters and compared as they are; null, empty or shorter
 texts have no repeats; a row without doc_id takes no part and is kept as it is; equal rows are one occurrence; rows
@@ -46,15 +46,21 @@ def fingerprints(hashes: np.ndarray, min_words: int, anchor: int) -> tuple[np.nd
     return long_ngrams(hashes, anchor), long_ngrams(hashes, min_words)
 
 
+def sliding(x: np.ndarray, window: int, best: np.ufunc) -> np.ndarray:
+    """The least (or greatest) of every window, by doubling."""
+    n, w = len(x) - window + 1, 1
+    while 2 * w <= window:
+        x = best(x[: len(x) - w], x[w:])
+        w *= 2
+    return best(x[:n], x[window - w : window - w + n])
+
+
 def minimisers(fp: np.ndarray, window: int) -> np.ndarray:
-    """Places of the least fingerprint (the leftmost of equals) of every window of so many runs."""
+    """Places of the least fingerprint (all of equals) of every window of so many runs."""
     if len(fp) < window:
         return np.zeros(0, dtype=np.int64)
-    out = []
-    for at in range(0, len(fp) - window + 1, 1 << 16):  # long texts in stretches, for bounded memory
-        view = np.lib.stride_tricks.sliding_window_view(fp[at : at + (1 << 16) + window - 1], window)
-        out.append(np.argmin(view, axis=1) + np.arange(len(view)) + at)
-    return np.unique(np.concatenate(out))
+    least = np.pad(sliding(fp, window, np.minimum), window - 1)
+    return np.flatnonzero(fp == sliding(least, window, np.maximum))
 
 
 def _texts(documents: DataFrame) -> DataFrame:
@@ -148,31 +154,43 @@ def neighbours(rows: DataFrame, key: str, scratch: Scratch, name: str, extra: st
     by = ["key", "doc_id", "at"]
     passed = r.repartitionByRange(n, *by).sortWithinPartitions(*by).mapInArrow(compare, "kind int, key long, doc_id long, at int, extra long, first_doc long, first_at int, size long")
     passed = scratch.keep(passed, name, NARROW)
-    ends = passed.where(F.col("kind") == SUMMARY).groupBy("key").agg(F.sum("size").alias("n"), F.min(F.struct("doc_id", "at")).alias("first"))
-    ends = ends.where("n > 1").select("key", F.col("first.doc_id").alias("first_doc"), F.col("first.at").alias("first_at"))
+    # at most two keys of each range, of which the driver finds those that have several places
+    ends: dict[int, tuple[int, int, int]] = {}
+    for r in passed.where(F.col("kind") == SUMMARY).select("key", "doc_id", "at", "size").collect():
+        doc, at, size = ends.get(r["key"], (r["doc_id"], r["at"], 0))
+        ends[r["key"]] = (*min((doc, at), (r["doc_id"], r["at"])), size + r["size"])
+    shared = {k: (doc, at) for k, (doc, at, size) in ends.items() if size > 1}
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            first = [shared.get(k) for k in b.column(0).to_pylist()]
+            keep = pa.array([f is not None for f in first], pa.bool_())
+            at = [pa.array([f[i] for f in first if f is not None], t) for i, t in ((0, pa.int64()), (1, pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*(b.column(i).filter(keep) for i in (1, 2, 3)), *at], names=out)
+
     out = ["doc_id", "at", "extra", "first_doc", "first_at"]
-    # at most two keys of each range
-    edges = passed.where(F.col("kind") == EDGE).drop("first_doc", "first_at").join(F.broadcast(ends), "key").select(out)
+    edges = passed.where(F.col("kind") == EDGE).select("key", "doc_id", "at", "extra")
+    edges = edges.mapInArrow(settle, "doc_id long, at int, extra long, first_doc long, first_at int")
     return passed.where(F.col("kind") == ROW).select(out).unionByName(edges)
 
 
 def runs(texts: DataFrame, anchors: DataFrame, min_words: int, anchor: int) -> DataFrame:
-    """run, doc_id, at: runs of min_words words that hold a shared anchor, save those within a settled match.
-    anchors(doc_id, places: array of (at, first_doc, first_at))."""
+    """run, doc_id, at: runs of min_words words of which the least anchor is a shared one, as it is in any two that are
+    equal, save those within a settled match. anchors(doc_id, places: array of (at, first_doc, first_at))."""
+    last, window = np.uint64((1 << 64) - 1), min_words - anchor + 1
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps, docs, ats = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for doc, h, places in zip(b.column(0).to_pylist(), hashed_texts(lazily(b.column(1))), lazily(b.column(2)), strict=True):
-                long = long_ngrams(h, min_words)
+                short, long = fingerprints(h, min_words, anchor)
                 if not len(long):
                     continue
-                shared = np.zeros(len(long) + min_words, dtype=np.int64)
                 at = np.array([p["at"] for p in places], dtype=np.int64)
-                at = at[at <= len(long) + min_words - anchor - 1]
-                np.add.at(shared, np.maximum(at - (min_words - anchor), 0), 1)
-                np.add.at(shared, np.minimum(at + 1, len(long)), -1)
-                emit = np.cumsum(shared[: len(long)]) > 0
+                at = at[at < len(short)]
+                only = np.full(len(short), last)
+                only[at] = short[at]
+                emit = sliding(only, window, np.minimum) == sliding(short, window, np.minimum)
                 known = sorted((p["at"], p["first_doc"], p["first_at"]) for p in places if p["first_doc"] is not None and (p["first_doc"], p["first_at"]) != (doc, p["at"]))
                 for (p, d, q), (p2, d2, q2) in zip(known, known[1:], strict=False):
                     if d == d2 and p2 - p == q2 - q <= min_words and (d != doc or q < p):

@@ -309,18 +309,20 @@ def test_overlap_block_by_block():
         for columns in (7, 500, 1 << 20):
             assert jaccard.overlap(a, b, 0, columns) == want and jaccard.overlap(a, b, want, columns) == want
             assert jaccard.overlap(a, b, min(len(a), len(b)) + 1, columns) == -1
-        maps = [jaccard.bitmap(a), jaccard.bitmap(b)]
-        for m in (1024, 4096, 16384):
-            if min(map(len, maps)) * 8 >= m:
-                most = jaccard._most_shared(jaccard.folded(maps, m), np.array([0]), np.array([1]), np.array([len(a), len(b)]))
-                assert most[0] >= want
+        sizes, pair = np.array([len(a), len(b)]), (np.array([0]), np.array([1]))
+        linked = 100 * want >= 75 * (len(a) + len(b) - want)
+        assert jaccard.possible([jaccard.bitmap(a), jaccard.bitmap(b)], *pair, sizes, 75)[0] or not linked
+        if want < 0.5 * max(len(a), len(b)) and len(a) > 30:
+            assert not jaccard.possible([jaccard.bitmap(a), jaccard.bitmap(b)], *pair, sizes, 75)[0]
 
 
-def test_jaccard_in_small_cells(spark, monkeypatch):
+@pytest.mark.parametrize("few", [0, 1, 100])
+def test_jaccard_in_small_cells(spark, monkeypatch, few):
     """Columns cut into cells, and few pairs at a time, give the same links."""
     monkeypatch.setattr(jaccard, "CELL", 5)
     monkeypatch.setattr(jaccard, "CELLS", 50)
     monkeypatch.setattr(jaccard, "PAIRS", 9)
+    monkeypatch.setattr(jaccard, "FEW", few)
     rng = random.Random(15)
     word = lambda: "".join(rng.choices("abcdefgh", k=4))
     bases = [[word() for _ in range(80)] for _ in range(12)]
@@ -350,9 +352,10 @@ def test_documents_of_shared_passages_leave_few_pairs(spark, monkeypatch):
         kept.clear()
         got = jaccard.near_duplicates(spark.createDataFrame(data, "doc_id long, text string"))
         assert got.where("component_id <> doc_id").count() == 0
-        seen.append((kept["stars-candidates"].count(), kept["rest-pairs"].count()))
-    # of the first round at most a pair for each prefix entry, of the second none
-    assert all(stars <= 20 * n and pairs == 0 for (stars, pairs), n in zip(seen, (150, 300, 600), strict=True)), seen
+        seen.append((kept["stars-candidates"].count(), kept["marked"].count(), kept["rest-candidates"].count(), kept["rest-pairs"].count()))
+    # a text has some 60 prefix entries: at most a pair for each of them in the first round, FEW for each in the second
+    few = 60 * jaccard.FEW
+    assert all(stars <= 60 * n and marked <= (60 + few) * n and pairs <= few * n and links == 0 for (stars, marked, pairs, links), n in zip(seen, (150, 300, 600), strict=True)), seen
 
 
 def test_jaccard_odd_rows(odd):

@@ -159,19 +159,24 @@ def neighbours(rows: DataFrame, key: str, scratch: Scratch, name: str, extra: st
     for r in passed.where(F.col("kind") == SUMMARY).select("key", "doc_id", "at", "size").collect():
         doc, at, size = ends.get(r["key"], (r["doc_id"], r["at"], 0))
         ends[r["key"]] = (*min((doc, at), (r["doc_id"], r["at"])), size + r["size"])
-    shared = {k: (doc, at) for k, (doc, at, size) in ends.items() if size > 1}
+    shared = sorted((k, doc, at) for k, (doc, at, size) in ends.items() if size > 1)
+    keys, docs, ats = (np.array(c, dtype=np.int64) for c in (zip(*shared, strict=True) if shared else ((), (), ())))
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            first = [shared.get(k) for k in b.column(0).to_pylist()]
-            keep = pa.array([f is not None for f in first], pa.bool_())
-            at = [pa.array([f[i] for f in first if f is not None], t) for i, t in ((0, pa.int64()), (1, pa.int32()))]
-            yield pa.RecordBatch.from_arrays([*(b.column(i).filter(keep) for i in (1, 2, 3)), *at], names=out)
-
-    out = ["doc_id", "at", "extra", "first_doc", "first_at"]
-    edges = passed.where(F.col("kind") == EDGE).select("key", "doc_id", "at", "extra")
-    edges = edges.mapInArrow(settle, "doc_id long, at int, extra long, first_doc long, first_at int")
-    return passed.where(F.col("kind") == ROW).select(out).unionByName(edges)
+            edge = b.column(0).to_numpy() == EDGE
+            key, first_doc, first_at = (b.column(i).to_numpy(zero_copy_only=False).copy() for i in (1, 5, 6))
+            keep = ~edge
+            if len(keys) and edge.any():
+                at = np.flatnonzero(edge)
+                k = np.minimum(np.searchsorted(keys, key[at]), len(keys) - 1)
+                at, k = at[keys[k] == key[at]], k[keys[k] == key[at]]
+                first_doc[at], first_at[at], keep[at] = docs[k], ats[k], True
+            cols = [b.column(2), b.column(3), b.column(4), pa.array(first_doc), pa.array(first_at)]
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in cols], names=["doc_id", "at", "extra", "first_doc", "first_at"])
+
+    rows = passed.where(F.col("kind") != SUMMARY).drop("size")
+    return rows.mapInArrow(settle, "doc_id long, at int, extra long, first_doc long, first_at int")
 
 
 def runs(texts: DataFrame, anchors: DataFrame, min_words: int, anchor: int) -> DataFrame:

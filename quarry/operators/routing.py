@@ -36,7 +36,7 @@ def node_get(names: DataFrame, roots: DataFrame, manifests: DataFrame, objects:
     good = columns.content_id("chunk", domain)("payload") == F.col("chunk")
     # checked before parts are gathered, so that no Python function runs on whole files
     parts = parts.select("name", "seq", "chunk", "payload", F.when(F.col("payload").isNull(), "missing").when(~good, "integrity").alias("bad"))
-    whole = F.aggregate(F.array_sort(F.collect_list(F.struct("seq", "payload"))), F.lit(b""), lambda a, x: F.concat(a, x["payload"]))
+    whole = F.expr("listagg(payload) within group (order by seq)")
     first = F.min(F.when(F.col("bad").isNotNull(), F.struct("seq", "bad", "chunk")))
     got = parts.groupBy("name").agg(whole.alias("payload"), first.alias("first"))
     status = F.when(F.col("manifest").isNull(), "unknown").when(F.col("first.bad") == "missing", F.concat(F.lit("missing_chunk "), columns.hex_lower(F.col("first.chunk")))).when(F.col("first.bad").isNotNull(), "integrity").otherwise("ok")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -17,24 +18,29 @@ def chunk_table(streams: DataFrame, key: str, payload: str, options: cdc.ChunkOp
     """key, seq, offset, length, hash and, if wanted, payload: one row per chunk. Without payloads, only digests leave
     the Python workers; an empty stream has no chunk, a null one neither."""
     kind = dict(streams.dtypes)[key]
-    hashed = (lambda b: hashlib.sha256(b).digest()) if hash_ == "sha256" else digest.blake3
+    hashed = (lambda b: hashlib.sha256(b).digest()) if hash_ == "sha256" else (lambda b: digest.blake3(bytes(b)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, len(b), 64):
                 part = b.slice(at, 64)
-                rows, keep = [], []
-                for i, data in enumerate(part.column(1).to_pylist()):
-                    o = 0
-                    for k, n in enumerate(cdc.cut_lengths(data, options) if data else ()):
-                        piece = data[o : o + n]
-                        rows.append((k, o, n, hashed(piece), piece if emit_payload else None))
-                        keep.append(i)
-                        o += n
-                cols = list(zip(*rows, strict=True)) or [()] * 5
-                out = [part.column(0).take(pa.array(keep, pa.int32())), *(pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True))]
+                seq, offset, length, hashes, pieces, count = [], [], [], [], [], []
+                for data in part.column(1):
+                    data = memoryview(data.as_buffer()) if data.is_valid else b""
+                    cuts = np.array(cdc.cut_lengths(data, options), dtype=np.int64) if len(data) else np.zeros(0, np.int64)
+                    ends = np.cumsum(cuts)
+                    count.append(len(cuts))
+                    seq.append(np.arange(len(cuts), dtype=np.int32))
+                    offset.append(ends - cuts)
+                    length.append(cuts)
+                    parts = [data[s:e] for s, e in zip((ends - cuts).tolist(), ends.tolist(), strict=True)]
+                    hashes += map(hashed, parts)
+                    if emit_payload:
+                        pieces += map(bytes, parts)
+                keys = part.column(0).take(pa.array(np.repeat(np.arange(len(part)), count), pa.int32()))
+                out = [keys, *(pa.array(np.concatenate(c)) for c in (seq, offset, length)), pa.array(hashes, pa.binary())]
                 names = [key, "seq", "offset", "length", "hash", "payload"]
-                yield pa.RecordBatch.from_arrays(out[: 5 + emit_payload], names=names[: 5 + emit_payload])
+                yield pa.RecordBatch.from_arrays(out + [pa.array(pieces, pa.binary())] * emit_payload, names=names[: 5 + emit_payload])
 
     return streams.select(key, F.col(payload).alias("payload")).mapInArrow(work, f"{key} {kind}, seq int, offset long, length long, hash binary" + ", payload binary" * emit_payload)
 
@@ -58,9 +64,41 @@ def get_verified(wanted: DataFrame, store: DataFrame, recompute: Column) -> Data
 
 def reassemble(chunks: DataFrame, key: str) -> DataFrame:
     """key and its payload, chunks in order of seq."""
-    parts = F.array_sort(F.collect_list(F.struct("seq", "payload")))
-    joined = F.aggregate(parts, F.lit(b""), lambda a, x: F.concat(a, x["payload"]))
-    return chunks.groupBy(key).agg(joined.alias("payload"))
+    return chunks.groupBy(key).agg(F.expr("coalesce(listagg(payload) within group (order by seq), x'')").alias("payload"))
+
+
+def contains(wanted: DataFrame, store: DataFrame) -> DataFrame:
+    """wanted(id) with held: whether the store has it."""
+    return wanted.join(store.select("id").distinct().withColumn("held", F.lit(True)), "id", "left").withColumn("held", F.coalesce("held", F.lit(False)))
+
+
+def delete_objects(store: DataFrame, gone: DataFrame) -> DataFrame:
+    """The store without gone(id); ids that it does not have change nothing."""
+    return store.join(gone.select("id"), "id", "left_anti")
+
+
+def decode_ids(blob: Column) -> Column:
+    """ids and error of a manifest's bytes, its 32-byte ids in order; null bytes (an unknown manifest) give null ids."""
+    n = F.octet_length(blob)
+    ids = F.transform(F.when(n > 0, F.sequence(F.lit(0), (n / 32).cast("int") - 1)).otherwise(F.array().cast("array<int>")), lambda k: F.substring(blob, k * 32 + 1, F.lit(32)))
+    error = F.when(n % 32 != 0, F.concat(F.lit("corrupt_manifest "), n.cast("string")))
+    return F.struct(F.when(blob.isNotNull() & error.isNull(), ids).alias("ids"), error.alias("error"))
+
+
+def get_manifests(wanted: DataFrame, manifests: DataFrame) -> DataFrame:
+    """manifest, ids, status of wanted(manifest): ok, unknown, or the error of its bytes in manifests(manifest, blob)."""
+    got = wanted.join(manifests.select("manifest", decode_ids(F.col("blob")).alias("x"), F.lit(True).alias("there")), "manifest", "left")
+    return got.select("manifest", "x.ids", F.when(F.col("there").isNull(), "unknown").otherwise(F.coalesce("x.error", F.lit("ok"))).alias("status"))
+
+
+def refcount_of(wanted: DataFrame, manifest_chunks: DataFrame) -> DataFrame:
+    """chunk, refcount of wanted(chunk): 0 where no manifest names it."""
+    return wanted.join(refcounts(manifest_chunks), "chunk", "left").withColumn("refcount", F.coalesce("refcount", F.lit(0).cast("long")))
+
+
+def tiered_put(new: DataFrame, warm: DataFrame, cold: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What a put of new(id, payload) appends to the cold tier, which is written first, and then to the warm one."""
+    return put_objects(cold, new), put_objects(warm, new)
 
 
 def refcounts(manifest_chunks: DataFrame) -> DataFrame:

@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 from quarry.functions import columns, digest
 from quarry.functions.cdc import ChunkOptions
 from quarry.operators import manifest, protocol, routing, store
+from quarry.plans.chunk_sql import chunks_sql
 from quarry.streaming import push
 
 SMALL = ChunkOptions(64, 256, 1024)
 SEED = bytes(range(32))
 NODES = ["n1", "n2", "n3", "n4"]
+_CHUNKS = chunks_sql(SMALL)
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -48,12 +50,12 @@ def streams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---- chunks
-@query()
+@query(_CHUNKS + 'select doc_id, seq, "offset", length from chunks')
 def chunk_boundaries(spark, sf_dir):
     return store.chunk_table(streams(spark, sf_dir), "doc_id", "payload", SMALL).select("doc_id", "seq", "offset", "length")
 
 
-@query()
+@query(_CHUNKS + 'select doc_id, seq, "offset", length, hash from chunks')
 def chunk_hashes(spark, sf_dir):
     out = store.chunk_table(streams(spark, sf_dir), "doc_id", "payload", SMALL)
     return out.select("doc_id", "seq", "offset", "length", F.lower(F.hex("hash")).alias("hash"))
@@ -75,12 +77,13 @@ def chunk_roundtrip(spark, sf_dir):
     return store.reassemble(back, "doc_id").select("doc_id", F.sha2("payload", 256).alias("sha256"))
 
 
-@query()
+@query(_CHUNKS + """, by_hash as (select hash, count(*) as refs, any_value(length) as length from chunks group by 1)
+select sum(refs)::BIGINT as refs, count(*) as unique_chunks, sum(refs * length)::BIGINT as logical_bytes, sum(length)::BIGINT as physical_bytes from by_hash""")
 def dedup_summary(spark, sf_dir):
     return store.dedup_summary(store.chunk_table(streams(spark, sf_dir), "doc_id", "payload", SMALL))
 
 
-@query()
+@query(_CHUNKS + "select length // 64 * 64 as bucket, count(*) as chunks, sum(length)::BIGINT as bytes from chunks group by 1")
 def chunk_size_histogram(spark, sf_dir):
     c = store.chunk_table(streams(spark, sf_dir), "doc_id", "payload", SMALL)
     return c.groupBy((F.floor(F.col("length") / 64) * 64).cast("long").alias("bucket")).agg(F.count("*").alias("chunks"), F.sum("length").alias("bytes"))
@@ -93,7 +96,7 @@ def slices(spark, sf_dir, size: int = 512) -> DataFrame:
     return s.select("upload", "slice_no", F.substring("payload", (F.col("slice_no") * size + 1).cast("int"), F.lit(size)).alias("data"), (F.col("slice_no") == F.col("n") - 1).alias("is_last"))
 
 
-@query()
+@query(_CHUNKS + 'select doc_id, seq::BIGINT as seq, "offset", length from chunks')
 def push_equals_batch(spark, sf_dir):
     return push.push_chunks_batch(slices(spark, sf_dir), SMALL).select(F.col("upload").cast("long").alias("doc_id"), "seq", "offset", "length")
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quarry.functions import digest
-from quarry.functions.cdc import ChunkOptions, PushChunker
+from quarry.functions.cdc import ChunkOptions, SliceCutter
 
 CHUNK = "upload string, seq long, offset long, length long, hash string, status string"
 
@@ -19,7 +19,7 @@ CHUNK = "upload string, seq long, offset long, length long, hash string, status
 def _feed(state: tuple, slices: list[tuple[int, bytes, bool]], options: ChunkOptions) -> tuple[tuple, list[tuple]]:
     """Slices in order of slice_no; those that come early wait in state. is_last finishes the upload."""
     tail, place, finished, wanted, seq, waiting = state
-    chunker, out = PushChunker(options, tail, place, finished), []
+    cutter, out = SliceCutter(options, tail, place, finished), []
     for n, data, last in slices:
         if finished or n < wanted or n in waiting:
             out.append((-1, -1, 0, None, "push after finish" if finished else "duplicate slice"))
@@ -28,12 +28,12 @@ def _feed(state: tuple, slices: list[tuple[int, bytes, bool]], options: ChunkOpt
     while wanted in waiting:
         data, last = waiting.pop(wanted)
         wanted += 1
-        done = chunker.push(data) + (chunker.finish() if last else [])
+        done = cutter.push(data) + (cutter.finish() if last else [])
         finished = finished or last
         for o, piece in done:
             out.append((seq, o, len(piece), hashlib.sha256(piece).hexdigest(), "ok"))
             seq += 1
-    return (chunker.tail, chunker.place, finished, wanted, seq, waiting), out
+    return (cutter.tail, cutter.place, finished, wanted, seq, waiting), out
 
 
 def push_chunks(slices: DataFrame, options: ChunkOptions) -> DataFrame:

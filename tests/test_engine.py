@@ -30,7 +30,7 @@ def test_fast_cuts_equal_definition_and_slices(seed, n, sizes, bits):
     data, o = bytes(rng.getrandbits(bits) for _ in range(n)), cdc.ChunkOptions(*sizes)
     want = cdc.cut_lengths_stepwise(data, o)
     assert cdc.cut_lengths(data, o) == want and sum(want) == n
-    c, got, at = cdc.PushChunker(o), [], 0
+    c, got, at = cdc.SliceCutter(o), [], 0
     while at < n:
         step = rng.randint(0, 700)
         got += c.push(data[at : at + step])

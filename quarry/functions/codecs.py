@@ -7,6 +7,8 @@ import io
 import lzma
 
 LIMIT = 1 << 30
+#: What a function called from SQL takes or gives at most.
+CALL_LIMIT = 256 << 20
 #: The magic numbers of the formats.
 MAGIC = (("zstd", bytes.fromhex("28b52ffd")), ("xz", bytes.fromhex("fd377a585a00")), ("bzip2", b"BZh"), ("lz4", bytes.fromhex("04224d18")))
 STRATEGY = {"fastest": "lz4", "balanced": "zstd", "smallest": "xz"}
@@ -40,8 +42,13 @@ def compress(codec: str, data: bytes, level: int | None = None, dictionary: byte
     raise ValueError(f"unknown codec {codec}")
 
 
-def decompress(codec: str, data: bytes, limit: int = LIMIT, dictionary: bytes | None = None) -> bytes:
-    """At most limit bytes; one more is SizeExceeded, found without inflating the rest."""
+def compress_for(strategy: str, data: bytes) -> bytes:
+    """fastest, balanced or smallest."""
+    return compress(STRATEGY[strategy], data)
+
+
+def decompress(codec: str, data: bytes, limit: int = LIMIT, dictionary: bytes | None = None, truncate: bool = False) -> bytes:
+    """At most limit bytes; one more is SizeExceeded, or cut off if truncate, found without inflating the rest."""
     if codec == "zstd":
         import zstandard
 
@@ -61,15 +68,19 @@ def decompress(codec: str, data: bytes, limit: int = LIMIT, dictionary: bytes |
     while part := stream.read(min(1 << 20, limit + 1 - held)):
         parts.append(bytes(part))
         held += len(part)
+        if held > limit and truncate:
+            return b"".join(parts)[:limit]
         if held > limit:
             raise SizeExceeded("decompressed_size_exceeded")
     return b"".join(parts)
 
 
 def decompress_auto(data: bytes, limit: int = LIMIT, passthrough: bool = False) -> bytes:
+    """By the format that data begins with. passthrough reads as a stream does: unknown formats come as they are, and
+    everything ends at limit bytes."""
     codec = detect(data)
     if codec is None:
         if passthrough:
             return data[:limit]
         raise ValueError("unknown_format")
-    return decompress(codec, data, limit)
+    return decompress(codec, data, limit, truncate=passthrough)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.functions import cdc, codecs, digest
+from quarry.functions import cdc, codecs, digest, keys
 
 
 def let(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -179,13 +179,56 @@ def ed25519_verify(public: bytes, strict: bool = False):
     return apply
 
 
+def compress_for(strategy: str):
+    return _each(lambda v: codecs.compress_for(strategy, v), "binary")
+
+
+@F.pandas_udf(T.StructType([T.StructField("signature", T.StringType()), T.StructField("error", T.StringType())]))
+def sign_data(data: pd.Series, secret: pd.Series) -> pd.DataFrame:
+    """The base64 signature by a base64 seed, or why there is none."""
+    rows = []
+    for d, k in zip(data, secret, strict=True):
+        try:
+            rows.append((keys.sign_data(d, k) if d is not None and k is not None else None, None))
+        except keys.BadKey as e:
+            rows.append((None, str(e)))
+    return pd.DataFrame(rows, columns=["signature", "error"])
+
+
+@F.pandas_udf(T.StringType())
+def signature_error(data: pd.Series, signature: pd.Series, public: pd.Series) -> pd.Series:
+    """Why a base64 signature by a base64 key does not hold; null if it does."""
+    return pd.Series([keys.signature_error(d, s, p) if d is not None and s is not None and p is not None else None for d, s, p in zip(data, signature, public, strict=True)], dtype="object")
+
+
+def named_key(kind: str):
+    """name, key and error of the text of a secret or public key."""
+    parse = keys.parse_secret_key if kind == "secret" else keys.parse_public_key
+
+    @F.pandas_udf(T.StructType([T.StructField("name", T.StringType()), T.StructField("key", T.BinaryType()), T.StructField("error", T.StringType())]))
+    def apply(x: pd.Series) -> pd.DataFrame:
+        rows = []
+        for v in x:
+            try:
+                rows.append((*parse(v), None) if v is not None else (None, None, None))
+            except keys.BadKey as e:
+                rows.append((None, None, str(e)))
+        return pd.DataFrame(rows, columns=["name", "key", "error"])
+
+    return apply
+
+
 def register(spark: SparkSession, options: cdc.ChunkOptions | None = None) -> None:
     """Makes the functions callable from SQL."""
-    for name, f in {"shake256": shake256, "blake3_hex": blake3_hex, "content_id": content_id(), "nix_base32_decode": nix_base32_decode(), "forward_base32_decode": forward_base32_decode(), "decompress_auto": decompress_auto()}.items():
+    own = {"shake256": shake256, "blake3_hex": blake3_hex, "content_id": content_id(), "nix_base32_decode": nix_base32_decode(), "forward_base32_decode": forward_base32_decode(), "decompress_auto": decompress_auto(codecs.CALL_LIMIT)}
+    own |= {"sign_data": sign_data, "signature_error": signature_error, "sha256_raw": _each(lambda v: hashlib.sha256(v).digest(), "binary"), "nix_base32_encode": _each(digest.nix_base32, "string"), "forward_base32_encode": _each(digest.forward_base32, "string")}
+    for name, f in own.items():
         spark.udf.register(name, f)
+    for strategy in codecs.STRATEGY:
+        spark.udf.register(f"compress_{strategy}", compress_for(strategy))
     for codec in ("zstd", "lz4", "xz", "bzip2"):
         spark.udf.register(f"compress_{codec}", compress(codec))
-        spark.udf.register(f"decompress_{codec}", decompress(codec))
+        spark.udf.register(f"decompress_{codec}", decompress(codec, codecs.CALL_LIMIT))
     chosen = options or cdc.ChunkOptions()
 
     @F.udtf(returnType="seq int, offset long, length long")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+import tempfile
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -28,6 +29,17 @@ CHUNK_ENTRY = 56
 WITNESS_EVENTS = {1: "chunk accepted", 2: "level 1 assembled", 3: "manifest committed", 4: "tag published", 5: "tag deleted", 6: "sweep completed"}
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """A checkpoint of df, in the folder that the session names; a temporary one only in a local session."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("name a folder that driver and executors share in spark.checkpoint.dir")
+        sc.setCheckpointDir(named or f"file://{tempfile.mkdtemp(prefix='quarry-')}")
+    return df.checkpoint()
+
+
 def le(value: Column, n: int) -> Column:
     """The n bytes of a non-negative number, least significant first."""
     h = F.lpad(F.hex(value.cast("long")), 2 * n, "0")
@@ -141,37 +153,48 @@ def publish_tags(log: DataFrame) -> DataFrame:
     return log.join(first, "tag").withColumn("status", status).drop("first")
 
 
+#: Chains are followed to 2 ** DOUBLINGS ancestors; only cycles go further in any store that holds fewer commits.
+DOUBLINGS = 40
+
+
 def _ancestry(commits: DataFrame, tips: DataFrame, doublings: int) -> tuple[DataFrame, DataFrame]:
-    """tip, at, depth for depths below 2 ** doublings, by doubling; and the tips whose chains go further."""
+    """tip, at, depth of all ancestors, by doubling until no chain goes further; and the tips whose chains go on after
+    so many doublings, or come back to a commit. Tables between the rounds are checkpoints."""
     jump = commits.where("parent is not null").select(F.col("manifest").alias("at"), F.col("parent").alias("to"))
     start = tips.select(F.col("manifest").alias("tip")).distinct()
-    reach = start.select("tip", F.col("tip").alias("at"), F.lit(0).alias("depth"))
+    reach, endless = start.select("tip", F.col("tip").alias("at"), F.lit(0).cast("long").alias("depth")), start.where("false")
     for k in range(doublings):
         here, there = F.struct("at", "depth"), F.when(F.col("to").isNotNull(), F.struct(F.col("to").alias("at"), (F.col("depth") + (1 << k)).alias("depth")))
         reach = reach.join(jump, "at", "left").select("tip", F.explode(F.filter(F.array(here, there), lambda x: x.isNotNull())).alias("x")).select("tip", "x.at", "x.depth")
-        jump = jump.join(jump.select(F.col("at").alias("to"), F.col("to").alias("further")), "to").select("at", F.col("further").alias("to"))
-    return reach, start.join(jump.select(F.col("at").alias("tip")), "tip", "left_semi")
-
-
-def chain_status(commits: DataFrame, tips: DataFrame, doublings: int = 4) -> DataFrame:
-    """tip, depth, status of tips(manifest) in commits(manifest, parent, generation): ok, cycle, too_deep (2 **
-    doublings ancestors or more), missing (an ancestor is absent) or regression (a parent as new as its child)."""
-    reach, deep = _ancestry(commits, tips, doublings)
+        again = reach.groupBy("tip").agg(F.count("*").alias("n"), F.count_distinct("at").alias("distinct")).where("n > distinct").select("tip")
+        endless = settled(endless.unionByName(again).distinct())
+        reach = settled(reach.join(endless, "tip", "left_anti"))  # a cycle is known as soon as a commit comes twice
+        jump = settled(jump.join(jump.select(F.col("at").alias("to"), F.col("to").alias("further")), "to").select("at", F.col("further").alias("to")))
+        if reach.select("at").distinct().join(jump, "at", "left_semi").isEmpty():
+            break
+    deep = reach.where("depth = 0").join(jump.select("at"), "at", "left_semi").select("tip", F.lit("too_deep").alias("end"))
+    return reach, endless.select("tip", F.lit("cycle").alias("end")).unionByName(deep)
+
+
+def chain_status(commits: DataFrame, tips: DataFrame, doublings: int = DOUBLINGS) -> DataFrame:
+    """tip, depth, status of tips(manifest) in commits(manifest, parent, generation): ok, cycle (depth is null), too_deep
+    (2 ** doublings ancestors or more), missing (an ancestor is absent) or regression (a parent as new as its child)."""
+    reach, ends = _ancestry(commits, tips, doublings)
     parents = commits.select(F.col("manifest").alias("parent"), F.col("generation").alias("older"))
     c = commits.join(parents, "parent", "left").select(F.col("manifest").alias("at"), F.lit(True).alias("known"), F.coalesce(F.col("older") >= F.col("generation"), F.lit(False)).alias("regress"))
-    by = reach.join(c, "at", "left").groupBy("tip").agg(F.max("depth").alias("depth"), F.count("*").alias("n"), F.count_distinct("at").alias("distinct"), F.bool_and(F.col("known").isNotNull()).alias("known"), F.bool_or("regress").alias("regress"))
-    by = by.join(deep.withColumn("deep", F.lit(True)), "tip", "left")
-    status = F.when(F.col("n") > F.col("distinct"), "cycle").when(F.col("deep"), "too_deep").when(~F.col("known"), "missing").when(F.col("regress"), "regression").otherwise("ok")
+    by = reach.join(c, "at", "left").groupBy("tip").agg(F.max("depth").cast("int").alias("depth"), F.bool_and(F.col("known").isNotNull()).alias("known"), F.bool_or("regress").alias("regress"))
+    by = by.join(ends, "tip", "full")
+    status = F.when(F.col("end").isNotNull(), F.col("end")).when(~F.col("known"), "missing").when(F.col("regress"), "regression").otherwise("ok")
     return by.select("tip", "depth", status.alias("status"))
 
 
-def resolve_objects(commits: DataFrame, entries: DataFrame, tips: DataFrame, doublings: int = 4) -> DataFrame:
+def resolve_objects(commits: DataFrame, entries: DataFrame, tips: DataFrame, doublings: int = DOUBLINGS) -> DataFrame:
     """tip, object, recipe, depth: what each tip whose chain is ok shows: of entries(manifest, object, recipe) the
     nearest to the tip; a null recipe is a tombstone, which hides the object."""
     good = chain_status(commits, tips, doublings).where("status = 'ok'").select("tip")
     reach, _ = _ancestry(commits, good.withColumnRenamed("tip", "manifest"), doublings)
     e = reach.join(entries.withColumnRenamed("manifest", "at"), "at").groupBy("tip", "object").agg(F.min_by(F.struct("recipe", "depth"), "depth").alias("x"))
-    return e.select("tip", "object", "x.recipe", "x.depth").where("recipe is not null")
+    return e.select("tip", "object", "x.recipe", F.col("x.depth").cast("int").alias("depth")).where("recipe is not null")
 
 
 def collectible_before(objects: DataFrame, roots: DataFrame, manifest_chunks: DataFrame, cutoff: Column) -> DataFrame:

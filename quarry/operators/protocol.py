@@ -30,20 +30,47 @@ def narinfo_text(path: Column, url: Column, compression: Column, file_hash: Colu
     )
 
 
+def hash_error(value: Column) -> Column:
+    """What is wrong with ``sha256:`` and 52 base-32 characters: bad_hash (no such prefix, or not 32 bytes), base32 (a
+    character that is none, or bits beyond the last byte); null if nothing is."""
+    body = F.substring(value, 8, 1 << 20)
+    at = lambda k: F.instr(F.lit(digest.ALPHABET), F.substring(body, k, 1)) - 1
+    n = F.length(body)
+    spare = (n * 5) % 8  # leading bits that belong to no byte
+    over = F.when(spare <= 5, F.when(spare > 0, F.floor(at(1) / F.pow(F.lit(2), 5 - spare)) > 0).otherwise(False)).otherwise((at(1) > 0) | (F.floor(at(2) / F.pow(F.lit(2), 10 - spare)) > 0))
+    return F.when(~value.startswith("sha256:"), "bad_hash").when(~body.rlike(f"^[{digest.ALPHABET}]*$") | ((n > 0) & over), "base32").when(n != 52, "bad_hash")
+
+
+def number_error(value: Column) -> Column:
+    """bad_number unless the text is an unsigned 64-bit number."""
+    fits = value.rlike(r"^\+?[0-9]+$") & F.coalesce(F.regexp_replace(value, r"^\+?0*(?=[0-9])", "").try_cast("decimal(38,0)") <= F.lit(str((1 << 64) - 1)).cast("decimal(38,0)"), F.lit(False))
+    return F.when(~fits, "bad_number")
+
+
 def narinfo_fields(text: Column, store_dir: str = STORE_DIR) -> Column:
-    """A struct of the fields and error, the first required field that is missing (else null)."""
-    lines = F.filter(F.split(text, "\n"), lambda x: F.instr(x, ":") > 0)
-    key, value = (lambda x: F.trim(F.substring_index(x, ":", 1))), (lambda x: F.trim(x.substr(F.instr(x, ":") + 1, F.length(x))))
-    all_ = lambda k: F.transform(F.filter(lines, lambda x: key(x) == k), value)
-    one = lambda k: F.try_element_at(all_(k), F.lit(-1))
-    refs = F.filter(F.split(F.coalesce(one("References"), F.lit("")), r"\s+"), lambda x: x != "")
-    error = None
-    for k in ("StorePath", "URL", "NarHash", "NarSize"):
-        error = F.when(one(k).isNull(), k) if error is None else error.when(one(k).isNull(), k)
-    return F.struct(
-        one("StorePath").alias("store_path"), one("URL").alias("url"), F.coalesce(one("Compression"), F.lit("none")).alias("compression"), one("FileHash").alias("file_hash"), F.coalesce(one("FileSize").try_cast("long"), F.lit(0)).alias("file_size"),
-        one("NarHash").alias("nar_hash"), one("NarSize").try_cast("long").alias("nar_size"), F.transform(refs, lambda x: F.concat(F.lit(f"{store_dir}/"), x)).alias("references"), one("Deriver").alias("deriver"), all_("Sig").alias("sigs"), error.alias("error"),
-    )
+    """A struct of the fields and error: what is wrong with the first malformed line (bad_hash, base32, bad_number), else
+    the first required field that is missing, else null. Lines are split at their first colon, once, and keys are as
+    they stand there; of repeated fields the last counts."""
+    lines = F.transform(F.filter(F.split(text, "\n"), lambda x: F.instr(x, ":") > 0), lambda x: F.struct(F.substring_index(x, ":", 1).alias("k"), F.trim(F.regexp_replace(x.substr(F.instr(x, ":") + 1, F.length(x)), r"[\r\t]", " ")).alias("v")))
+
+    def wrong(x: Column) -> Column:
+        return F.when(x["k"].isin("NarHash", "FileHash"), hash_error(x["v"])).when(x["k"].isin("NarSize", "FileSize"), number_error(x["v"]))
+
+    def fields(ls: Column) -> Column:
+        all_ = lambda k: F.transform(F.filter(ls, lambda x: x["k"] == k), lambda x: x["v"])
+        one = lambda k: F.try_element_at(all_(k), F.lit(-1))
+        refs = F.filter(F.split(F.coalesce(one("References"), F.lit("")), r"\s+"), lambda x: x != "")
+        error = F.get(F.filter(F.transform(ls, wrong), lambda e: e.isNotNull()), F.lit(0))
+        missing = None
+        for k in ("StorePath", "URL", "NarHash", "NarSize"):
+            missing = F.when(one(k).isNull(), k) if missing is None else missing.when(one(k).isNull(), k)
+        deriver = F.nullif(one("Deriver"), F.lit(""))
+        return F.struct(
+            one("StorePath").alias("store_path"), one("URL").alias("url"), F.coalesce(one("Compression"), F.lit("none")).alias("compression"), one("FileHash").alias("file_hash"), F.coalesce(one("FileSize").try_cast("long"), F.lit(0)).alias("file_size"),
+            one("NarHash").alias("nar_hash"), one("NarSize").try_cast("long").alias("nar_size"), F.transform(refs, lambda x: F.concat(F.lit(f"{store_dir}/"), x)).alias("references"), deriver.alias("deriver"), all_("Sig").alias("sigs"), F.coalesce(error, missing).alias("error"),
+        )
+
+    return columns.let(lines, fields)
 
 
 def token_verdict(token: Column, cache: str, now: int, public: bytes) -> Column:
@@ -206,6 +233,18 @@ def cache_info(store_dir: str = STORE_DIR, mass_query: bool = True, priority: in
     return f"StoreDir: {store_dir}\nWantMassQuery: {int(mass_query)}\nPriority: {priority}\n"
 
 
+def respond(log: DataFrame, bodies: DataFrame) -> DataFrame:
+    """seq, method, path, status, response (bytes) of a request log with its status and body_of, the seq of the PUT that
+    a read sees; bodies(seq, body). Bodies are joined once, by the request that put them."""
+    reason = F.create_map(*[F.lit(x) for kv in REASONS.items() for x in kv])
+    kind = F.when(F.col("method") == "PROPFIND", "application/xml; charset=utf-8").when(F.col("body").isNotNull(), "application/octet-stream").otherwise("text/plain")
+    out = log.join(bodies.select(F.col("seq").alias("body_of"), "body"), "body_of", "left")
+    body = F.when(F.col("method") == "PROPFIND", columns.utf8(propfind_body(F.concat(F.lit("/"), "path")))).otherwise(F.coalesce("body", F.lit(b"")))
+    return out.select("seq", "method", "path", "status", response(F.col("method"), F.col("status"), F.try_element_at(reason, "status"), kind, body).alias("response"))
+
+
+#: The reasons of the status codes in use.
+REASONS = {200: "OK", 201: "Created", 204: "No Content", 207: "Multi-Status", 400: "Bad Request", 401: "Unauthorized", 403: "Forbidden", 404: "Not Found"}
 #: Fixed answer to OPTIONS: the WebDAV classes and verbs.
 DAV = "1,2"
 ALLOW = "OPTIONS, GET, HEAD, PUT, DELETE, MKCOL, PROPFIND"

@@ -15,10 +15,10 @@ from quarry.functions import cdc, columns, digest
 
 
 def chunk_table(streams: DataFrame, key: str, payload: str, options: cdc.ChunkOptions, emit_payload: bool = False, hash_: str = "sha256") -> DataFrame:
-    """key, seq, offset, length, hash and, if wanted, payload: one row per chunk. Without payloads, only digests leave
+    """key, seq, offset, length, hash (sha256, blake3 or none) and, if wanted, payload: one row per chunk. Without payloads, only digests leave
     the Python workers; an empty stream has no chunk, a null one neither."""
     kind = dict(streams.dtypes)[key]
-    hashed = (lambda b: hashlib.sha256(b).digest()) if hash_ == "sha256" else (lambda b: digest.blake3(bytes(b)))
+    hashed = {"sha256": lambda b: hashlib.sha256(b).digest(), "blake3": lambda b: digest.blake3(bytes(b)), "none": lambda b: None}[hash_]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -167,13 +167,41 @@ def exact_duplicate_docs(spark, sf_dir):
     return ids.groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).where("copies > 1").select("doc_id", "copies")
 
 
-@query("select doc_id, case when doc_id % 11 = 0 then 'missing' when doc_id % 7 = 0 then 'integrity' else 'ok' end as status from documents")
+@query("select doc_id, case when first % 11 = 0 then 'missing' when first % 7 = 0 then 'integrity' else 'ok' end as status from (select doc_id, min(doc_id) over (partition by text) as first from documents)")
 def cas_get_verified(spark, sf_dir):
-    s = streams(spark, sf_dir).withColumn("id", F.concat(columns.content_id()("payload"), F.encode(F.col("doc_id").cast("string"), "UTF-8")))
-    kept = s.where("doc_id % 11 <> 0").select("id", F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit(b"x"), "payload")).otherwise(F.col("payload")).alias("payload"))
-    got = s.select("doc_id", "id").join(kept, "id", "left")
-    good = columns.content_id()("payload") == F.substring("id", 1, 32)
-    return got.select("doc_id", F.when(F.col("payload").isNull(), "missing").when(good, "ok").otherwise("integrity").alias("status"))
+    """Texts put once each; of every seventh object the bytes are changed, every eleventh is lost."""
+    s = streams(spark, sf_dir).withColumn("id", columns.content_id()("payload"))
+    objects = store.put_objects(s.where("false").select("id"), s.groupBy("id").agg(F.min("doc_id").alias("first"), F.any_value("payload").alias("payload")))
+    objects = objects.where("first % 11 <> 0").select("id", F.when(F.col("first") % 7 == 0, F.concat(F.lit(b"x"), "payload")).otherwise(F.col("payload")).alias("payload"))
+    return store.get_verified(s.select("doc_id", "id"), objects, columns.content_id()("payload")).select("doc_id", "status")
+
+
+@query("select p_partkey, case when p_partkey % 5 = 0 then 'unknown' when p_partkey % 7 = 0 then 'corrupt_manifest 33' else 'ok' end as status, case when p_partkey % 5 = 0 or p_partkey % 7 = 0 then null else array_to_string(list_transform(range(p_size), lambda i: sha256((p_partkey + i)::VARCHAR)), ' ') end as ids from part")
+def manifest_lookup(spark, sf_dir):
+    """Manifests as bytes, some absent and some of a wrong length."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("manifest"), "p_size")
+    ids = F.transform(F.sequence(F.lit(0), F.col("p_size") - 1), lambda i: F.sha2((F.col("manifest") + i).cast("string"), 256))
+    blob = F.when(F.col("manifest") % 7 == 0, F.lit(bytes(33))).otherwise(F.unhex(F.array_join(ids, "")))
+    got = store.get_manifests(p.select("manifest"), p.where("manifest % 5 <> 0").select("manifest", blob.alias("blob")))
+    return got.select(F.col("manifest").alias("p_partkey"), "status", F.array_join(F.transform("ids", lambda x: F.lower(F.hex(x))), " ").alias("ids"))
+
+
+@query("select p_partkey as chunk, (select count(*) from lineitem where l_partkey = p_partkey and l_orderkey % 64 = 0) as refcount from part")
+def refcount_lookup(spark, sf_dir):
+    """Of chunks that some manifests name and others that none does."""
+    wanted = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("chunk"))
+    return store.refcount_of(wanted, manifest_chunks(spark, sf_dir).where("manifest % 64 = 0"))
+
+
+@query("select p_partkey as id, p_partkey % 2 <> 0 as to_cold, p_partkey % 3 <> 0 as to_warm, p_partkey % 2 = 0 and p_partkey % 10 <> 0 as held_cold from part")
+def tiered_writes(spark, sf_dir):
+    """What puts append to either tier, and what the cold one holds after deletions."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("payload"))
+    old = p.where("id % 2 = 0")
+    cold, warm = store.tiered_put(p.unionByName(p), p.where("id % 3 = 0"), old)
+    out = store.contains(p.select("id"), cold).withColumnRenamed("held", "to_cold")
+    out = out.join(store.contains(p.select("id"), warm).withColumnRenamed("held", "to_warm"), "id")
+    return out.join(store.contains(p.select("id"), store.delete_objects(old, p.where("id % 10 = 0"))).withColumnRenamed("held", "held_cold"), "id")
 
 
 @query("select substr(sha256(text), 1, 2) as shard, count(distinct text) as objects from documents group by 1")
@@ -441,6 +469,46 @@ def signature_verdicts(spark, sf_dir):
     return s.select("s_suppkey", F.when(columns.ed25519_verify(digest.public_key(SEED))("m", "sig"), "valid").otherwise("invalid").alias("verdict"))
 
 
+@query("""select s_suppkey, case s_suppkey % 6 when 1 then 'decode_error' when 2 then 'invalid_public_key: expected 32 bytes' when 3 then 'invalid_signature: expected 64 bytes' when 4 then 'verification_failed' when 5 then 'decode_error' end as error,
+case when s_suppkey % 4 = 1 then 'invalid_secret_key: expected 32 bytes' when s_suppkey % 4 = 2 then 'decode_error' end as sign_error from supplier""")
+def signature_errors(spark, sf_dir):
+    """Keys and signatures in base64, each wrong in its own way."""
+    secret, public = base64.b64encode(SEED).decode(), base64.b64encode(digest.public_key(SEED)).decode()
+    k, k4 = F.col("s_suppkey") % 6, F.col("s_suppkey") % 4
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.encode("s_name", "UTF-8").alias("m"))
+    s = s.withColumn("sig", columns.sign_data("m", F.lit(secret))["signature"])
+    sig = F.when(k == 3, F.lit(secret)).when(k == 5, F.concat("sig", F.lit("!"))).otherwise(F.col("sig"))
+    key = F.when(k == 1, F.lit("not base64")).when(k == 2, F.lit("AAAA")).otherwise(F.lit(public))
+    wrong = F.when(k4 == 1, F.lit("AAAA")).when(k4 == 2, F.lit(secret[:-1])).otherwise(F.lit(secret))
+    return s.select("s_suppkey", columns.signature_error(F.when(k == 4, F.lit(b"other")).otherwise(F.col("m")), sig, key).alias("error"), columns.sign_data("m", wrong)["error"].alias("sign_error"))
+
+
+@query("""select s_suppkey, case when s_suppkey % 4 in (0, 3) then 'cache-' || s_suppkey end as name, case s_suppkey % 4 when 1 then 'nix key: expected <name>:<base64>' when 2 then 'nix key: invalid base64' end as error,
+case when s_suppkey % 4 = 0 then 'cache-' || s_suppkey end as public_name, case s_suppkey % 4 when 1 then 'nix key: expected <name>:<base64>' when 2 then 'nix key: invalid base64' when 3 then 'nix key: decoded key shorter than 32 bytes' end as public_error from supplier""")
+def named_keys(spark, sf_dir):
+    k, name = F.col("s_suppkey") % 4, F.concat(F.lit("cache-"), F.col("s_suppkey").cast("string"))
+    public = digest.public_key(SEED)
+    key = F.when(k == 3, base64.b64encode(SEED + public).decode()).when(k == 2, "%%%").otherwise(base64.b64encode(public).decode())
+    text = F.when(k == 1, name).otherwise(F.concat(F.lit(" "), name, F.lit(":"), key, F.lit("\n")))
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", columns.named_key("secret")(text).alias("s"), columns.named_key("public")(text).alias("p"))
+    return s.select("s_suppkey", "s.name", "s.error", F.col("p.name").alias("public_name"), F.col("p.error").alias("public_error"))
+
+
+#: Published known answers.
+KNOWN_ANSWERS = (
+    ("shake256", "", "46b9dd2b0ba88d13233b3feb743eeb243fcd52ea62b81b82b50c27646ed5762f"),
+    ("blake3", "hello world", "d74981efa70a0c880b8d8c1985d075dbcbf679b99a5f9914e5aaf96b831a9e24"),
+    ("hmac", "what do ya want for nothing?", "5bdcc146bf60754e6a042426089575c75a003f089d2739839dec58b964ec3843"),
+)
+
+
+@query("select * from (values " + ", ".join(f"('{f}', '{x}', '{y}')" for f, x, y in KNOWN_ANSWERS) + ") as t(fn, input, digest)")
+def known_digests(spark, sf_dir):
+    rows = spark.createDataFrame([(f, x) for f, x, _ in KNOWN_ANSWERS], "fn string, input string").withColumn("b", columns.utf8(F.col("input")))
+    out = F.when(F.col("fn") == "shake256", columns.hex_lower(columns.shake256("b"))).when(F.col("fn") == "blake3", columns.blake3_hex("b")).otherwise(columns.hex_lower(columns.hmac_sha256(b"Jefe")("b")))
+    return rows.select("fn", "input", out.alias("digest"))
+
+
 @query("select s_suppkey, case when s_suppkey % 5 = 0 then 401 when s_suppkey % 3 = 0 then 403 else 200 end as status from supplier")
 def token_verdicts(spark, sf_dir):
     @F.pandas_udf("string")
@@ -483,6 +551,18 @@ def narinfo_parse(spark, sf_dir):
     return p.select("s_suppkey", "f.store_path", "f.url", "f.compression", "f.nar_size", F.array_join("f.references", " ").alias("refs"), F.size("f.sigs").alias("sigs"), "f.error")
 
 
+@query("""select s_suppkey, case s_suppkey % 10 when 1 then 'bad_hash' when 2 then 'base32' when 3 then 'base32' when 4 then 'bad_hash' when 5 then 'bad_number' when 6 then 'bad_number' when 7 then 'URL' when 8 then 'bad_hash' when 9 then 'NarSize' end as error from supplier""")
+def narinfo_errors(spark, sf_dir):
+    """Records with one thing wrong each: prefix, character, spare bits, length, number, range, missing fields."""
+    k = F.col("s_suppkey") % 10
+    h = F.lit("sha256:" + "0" * 52)
+    nar = F.when(k == 1, F.lit("md5:" + "0" * 52)).when(k == 2, F.lit("sha256:" + "e" * 52)).when(k == 3, F.lit("sha256:2" + "0" * 51)).when(k == 4, F.lit("sha256:" + "0" * 40)).otherwise(h)
+    size = F.when(k == 5, "12x").when(k == 6, str(1 << 64)).otherwise(str((1 << 64) - 1))
+    line = lambda key, v, absent: F.when(k == absent, F.lit("")).otherwise(F.concat(F.lit(f"{key}: "), v, F.lit("\n")))
+    text = F.concat(line("StorePath", F.lit("/nix/store/x"), -1), line("URL", F.lit("nar/x"), 7), line("FileHash", F.when(k == 8, F.lit("x")).otherwise(h), -1), line("NarHash", nar, -1), line("NarSize", size, 9))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", protocol.narinfo_fields(text)["error"].alias("error"))
+
+
 @query(f"select s_suppkey, starts_with(f, '1;' || path || ';sha256:') as prefix_ok, ends_with(f, ';' || size || ';' || case when has then path else '' end) as suffix_ok, length(f)::INTEGER as n from (select *, '1;' || path || ';sha256:' || repeat('x', 52) || ';' || size || ';' || case when has then path else '' end as f from ({_NAR}))")
 def narinfo_fingerprint(spark, sf_dir):
     n = narinfos(spark, sf_dir)
@@ -519,3 +599,24 @@ def request_log_asof(spark, sf_dir):
     for k, v in METHODS.items():
         method = F.when(F.col("event_type") == k, v).otherwise(method)
     return protocol.request_log(table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), method.alias("method"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("path"), F.lit(True).alias("authorized")))
+
+
+@query("""
+with r as (select event_id as seq, event_type, case event_type when 'click' then 'GET' when 'view' then 'HEAD' when 'purchase' then 'PUT' when 'error' then 'DELETE' else 'PROPFIND' end as method, 'u' || user_id as path, props from events),
+v as (select *, last_value(case method when 'PUT' then seq when 'DELETE' then -1 end ignore nulls) over (partition by path order by seq rows between unbounded preceding and 1 preceding) as v from r),
+b as (select v.seq, v.method, v.path, case when method in ('GET', 'HEAD') then case when v >= 0 then 200 else 404 end when method = 'PUT' then 200 when method = 'DELETE' then 204 else 207 end as status,
+  case when method = 'PROPFIND' then 'application/xml; charset=utf-8' when method in ('GET', 'HEAD') and v >= 0 then 'application/octet-stream' else 'text/plain' end as kind,
+  case when method in ('GET', 'HEAD') and v >= 0 then e.props when method = 'PROPFIND' then '<D:multistatus xmlns:D="DAV:">' || chr(10) || '<D:response>' || chr(10) || '<D:href>/' || path || '</D:href>' || chr(10) || '<D:propstat>' || chr(10) || '<D:prop>' || chr(10) || '<D:displayname>' || path || '</D:displayname>' || chr(10)
+    || '<D:getlastmodified>Thu, 01 Jan 1970 00:00:00 GMT</D:getlastmodified>' || chr(10) || '<D:resourcetype><D:collection/></D:resourcetype>' || chr(10) || '</D:prop>' || chr(10) || '<D:status>HTTP/1.1 200 OK</D:status>' || chr(10) || '</D:propstat>' || chr(10) || '</D:response>' || chr(10) || '</D:multistatus>' || chr(10) else '' end as body
+  from v left join (select event_id, props from events) e on e.event_id = v.v)
+select seq, 'HTTP/1.1 ' || status || ' ' || case status when 200 then 'OK' when 204 then 'No Content' when 207 then 'Multi-Status' else 'Not Found' end || chr(13) || chr(10) || 'Content-Length: ' || octet_length(encode(body)) || chr(13) || chr(10) || 'Content-Type: ' || kind || chr(13) || chr(10)
+  || 'Connection: close' || chr(13) || chr(10) || chr(13) || chr(10) || case when method = 'HEAD' then '' else body end as response from b""")
+def request_responses(spark, sf_dir):
+    """Every request answered in full: what was put before is read back, framed as it goes over the wire."""
+    bodies = table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), columns.utf8(F.col("props")).alias("body"))
+    return protocol.respond(request_log_asof(spark, sf_dir), bodies).select("seq", F.decode("response", "UTF-8").alias("response"))
+
+
+@query("select 'cache-info' as name, 'StoreDir: /nix/store' || chr(10) || 'WantMassQuery: 1' || chr(10) || 'Priority: 30' || chr(10) as body union all select 'options', 'HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Length: 0' || chr(13) || chr(10) || 'DAV: 1,2' || chr(13) || chr(10) || 'Allow: OPTIONS, GET, HEAD, PUT, DELETE, MKCOL, PROPFIND' || chr(13) || chr(10) || 'Connection: close' || chr(13) || chr(10) || chr(13) || chr(10)")
+def fixed_responses(spark, sf_dir):
+    return spark.createDataFrame([("cache-info", protocol.cache_info()), ("options", protocol.options_response().decode())], "name string, body string")

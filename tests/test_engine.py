@@ -291,7 +291,8 @@ def test_overlay_chains(spark):
     rows = [(k, k - 1 if k else None, k) for k in range(40)] + [(100, 101, 5), (101, 100, 4), (200, 999, 1), (300, 301, 1), (301, None, 2)]
     c = spark.createDataFrame(rows, "manifest long, parent long, generation long")
     tips = spark.createDataFrame([(x,) for x in (0, 15, 16, 39, 100, 200, 300)], "manifest long")
-    assert {r.tip: r.status for r in manifest.chain_status(c, tips).collect()} == {0: "ok", 15: "ok", 16: "too_deep", 39: "too_deep", 100: "cycle", 200: "missing", 300: "regression"}
+    assert {r.tip: r.status for r in manifest.chain_status(c, tips).collect()} == {0: "ok", 15: "ok", 16: "ok", 39: "ok", 100: "cycle", 200: "missing", 300: "regression"}
+    assert {r.tip: r.status for r in manifest.chain_status(c, tips, 4).where("tip < 50").collect()} == {0: "ok", 15: "ok", 16: "too_deep", 39: "too_deep"}
     assert {r.tip: r.depth for r in manifest.chain_status(c, tips, 6).where("tip < 50").collect()} == {0: 0, 15: 15, 16: 16, 39: 39}
 
 
@@ -327,3 +328,84 @@ def test_oracle(spark, name):
     got = catalogue.queries()[name](spark, SF)
     assert sorted(names) == sorted(got.columns)
     assert Counter(map(lambda r: tuple(map(same, r)), want.fetchall())) == Counter(tuple(map(same, r)) for r in got.select(names).collect())
+
+
+# ---- limits, keys, lookups
+def test_readers_are_bounded():
+    import io
+
+    o = cdc.ChunkOptions(64, 256, 1024)
+    data = bytes(random.Random(4).randbytes(50_000))
+    whole = [n for n in cdc.cut_lengths(data, o)]
+    for size in (None, 4096, 5000, "9000"):
+        got = cdc.collect_chunks(cdc.read_chunks(io.BytesIO(data), o, size), 50_000)
+        assert [len(x) for _, x in got] == whole and b"".join(x for _, x in got) == data
+    with pytest.raises(cdc.BufferLimitExceeded) as e:
+        cdc.collect_chunks(cdc.read_chunks(io.BytesIO(data), o), 49_999)
+    assert (e.value.attempted, e.value.limit) == (50_000, 49_999)
+    assert [cdc.read_slice_cap(x) for x in (None, "x", 4095, 4096, 256 << 20, (256 << 20) + 1)] == [8 << 20, 8 << 20, 8 << 20, 4096, 256 << 20, 8 << 20]
+    assert [cdc.buffer_limit(x) for x in (None, "1", 3 << 30, 9 << 30)] == [2 << 30, 64 << 20, 3 << 30, 3 << 30]
+
+
+@pytest.mark.parametrize("stretch", [64, 100, 1 << 16])
+def test_cuts_do_not_depend_on_stretches(monkeypatch, stretch):
+    monkeypatch.setattr(cdc, "STRETCH", stretch)
+    rng = random.Random(stretch)
+    for n in (0, 63, 64, 65, 1000, 9000):
+        data = bytes(rng.choices(b"ab\x00\xff", k=n)) if n % 2 else rng.randbytes(n)
+        for o in (cdc.ChunkOptions(64, 256, 1024), cdc.ChunkOptions(100, 300, 1500)):
+            assert cdc.cut_lengths(data, o) == cdc.cut_lengths_stepwise(data, o)
+
+
+def test_small_slices_are_not_hashed_again_and_again(monkeypatch):
+    seen, real = [], cdc.cut_lengths
+    monkeypatch.setattr(cdc, "cut_lengths", lambda data, o: seen.append(len(data)) or real(data, o))
+    cutter, data = cdc.SliceCutter(cdc.ChunkOptions(1024, 4096, 65536)), bytes(100_000)
+    got = [x for i in range(0, len(data), 64) for x in cutter.push(data[i : i + 64])] + cutter.finish()
+    assert [len(x) for _, x in got] == real(data, cdc.ChunkOptions(1024, 4096, 65536)) and sum(seen) < 12 * len(data)
+
+
+def test_streams_are_cut_off_and_strategies_have_codecs():
+    from quarry.functions import codecs
+
+    data = b"A" * 1000
+    for strategy, codec in codecs.STRATEGY.items():
+        z = codecs.compress_for(strategy, data)
+        assert codecs.detect(z) == codec and codecs.decompress_auto(z) == data
+        assert codecs.decompress_auto(z, 100, passthrough=True) == data[:100]
+        with pytest.raises(codecs.SizeExceeded):
+            codecs.decompress_auto(z, 100)
+
+
+def test_key_pairs_sign_and_verify():
+    from quarry.functions import keys
+
+    secret, public = keys.generate_keypair()
+    signature = keys.sign_data(b"m", secret)
+    assert keys.signature_error(b"m", signature, public) is None and keys.signature_error(b"n", signature, public) == keys.VERIFICATION
+    assert keys.generate_keypair()[0] != secret
+
+
+def test_long_chains_and_cycles(spark):
+    from quarry.operators import manifest
+
+    line = [(i, i - 1 if i else None, i) for i in range(300)]
+    ring = [(1000 + i, 1000 + (i + 1) % 7, i) for i in range(7)] + [(2000, 1003, 9), (3000, 3000, 1), (4000, 4001, 5), (5000, 0, 0)]
+    commits = spark.createDataFrame(line + ring, "manifest long, parent long, generation long")
+    tips = spark.createDataFrame([(i,) for i in (0, 1, 17, 299, 1002, 2000, 3000, 4000, 5000)], "manifest long")
+    got = {r.tip: (r.depth, r.status) for r in manifest.chain_status(commits, tips).collect()}
+    assert got == {0: (0, "ok"), 1: (1, "ok"), 17: (17, "ok"), 299: (299, "ok"), 1002: (None, "cycle"), 2000: (None, "cycle"), 3000: (None, "cycle"), 4000: (1, "missing"), 5000: (1, "regression")}
+    assert {r.tip: r.status for r in manifest.chain_status(commits, tips.where("manifest in (17, 299)"), doublings=5).collect()} == {17: "ok", 299: "too_deep"}
+    entries = spark.createDataFrame([(0, "a", 10), (5, "b", 20), (200, "a", 30)], "manifest long, object string, recipe long")
+    shown = {(r.tip, r.object): (r.recipe, r.depth) for r in manifest.resolve_objects(commits, entries, tips).collect()}
+    assert shown == {(0, "a"): (10, 0), (1, "a"): (10, 1), (17, "a"): (10, 17), (17, "b"): (20, 12), (299, "a"): (30, 99), (299, "b"): (20, 294)}
+
+
+def test_functions_are_callable_from_sql(spark):
+    from quarry.functions import columns, keys
+
+    columns.register(spark)
+    secret, public = keys.generate_keypair()
+    r = spark.sql(f"select sign_data(cast('m' as binary), '{secret}').signature as s, sha256_raw(cast('hello world' as binary)) as h, nix_base32_encode(cast('foo' as binary)) as n, forward_base32_encode(cast('foo' as binary)) as f, decompress_auto(compress_smallest(cast('x' as binary))).data as x").first()
+    assert bytes(r.h).hex().startswith("b94d27b9") and (r.n, r.f, bytes(r.x)) == ("6yvv6", "6vvy6", b"x")
+    assert spark.sql(f"select signature_error(cast('m' as binary), '{r.s}', '{public}') as e").first().e is None

@@ -31,9 +31,10 @@ from pyspark.sql import functions as F
 from quarry.llm.common import Scratch, arrow_rows, pick
 
 BLOCK, QUERY_BLOCK = 8_192, 256
-#: Values of one segment differ in this many low bits. A block is looked at after every part LOOK of its postings; the
-#: segments end when the bound leaves at most the part POSSIBLE of the rows, and those are scored exactly.
-SHIFT, LOOK, POSSIBLE = 4, 0.125, 0.25
+#: Values of one segment differ in this many low bits. A block is looked at after the part FIRST of its postings and then
+#: after every part LOOK; the segments end when the bound leaves at most the part POSSIBLE of the rows, and those are
+#: scored exactly, which costs less than as many postings.
+SHIFT, FIRST, LOOK, POSSIBLE = 4, 0.375, 0.125, 0.5
 LONG = (1 << 63) - 1
 
 
@@ -58,13 +59,17 @@ class Block:
         value = np.take_along_axis(self.x.T, order, axis=1)
         level = np.floor(value / (1 << SHIFT))
         new = np.concatenate((np.ones((self.d, 1), dtype=bool), level[:, 1:] != level[:, :-1]), axis=1).ravel()
-        self.post, self.value = order.astype(np.int32).ravel(), value.ravel()
+        # within a dimension, segments of descending impact are ever lower (or, for a negative weight, higher) places
+        self.post, self.value = np.ascontiguousarray(order, dtype=np.intp), np.ascontiguousarray(value)
+        small = np.int16 if self.n < 1 << 15 else np.int64
+        self.place = np.empty((self.d, self.n), dtype=small)
+        np.put_along_axis(self.place, order, np.arange(self.n, dtype=small)[None, :], axis=1)
         self.begin = np.flatnonzero(new)
         self.length = np.diff(np.append(self.begin, self.n * self.d))
         self.dim = self.begin // self.n
-        self.low, self.high = self.value[self.begin], self.value[self.begin + self.length - 1]
+        flat = value.ravel()
+        self.low, self.high = flat[self.begin], flat[self.begin + self.length - 1]
         self.least, self.most = value[:, 0], value[:, -1]
-        self.seen = np.zeros((self.n, self.d))
         self.taken = 0
 
     def search(self, q: np.ndarray, own: int) -> list[tuple[int, int]]:
@@ -80,34 +85,39 @@ class Block:
         impact = np.maximum(qs * self.low, qs * self.high) - base[self.dim]
         by = np.argsort(-impact, kind="stable")
         by = by[impact[by] > 0]  # segments of no impact add nothing
-        dim, impact, length, begin = self.dim[by], impact[by], self.length[by], self.begin[by]
+        dim, impact, length = self.dim[by], impact[by], self.length[by]
         work = np.cumsum(length)
-        score, after = np.full(self.n, base.sum()), np.zeros(self.d)
+        score, after, up = np.full(self.n, base.sum()), np.zeros(self.d), q >= 0
         possible = np.arange(self.n)
-        self.seen.fill(0)
-        done, bar = 0, -np.inf
+        taken = np.zeros(self.d, dtype=np.int64)
+        done, bar, goal = 0, -np.inf, FIRST
         while done < len(by):
-            to = min(len(by), int(np.searchsorted(work, (work[done - 1] if done else 0) + LOOK * work[-1])) + 1)
-            n = length[done:to]
-            flat = np.arange(n.sum()) + np.repeat(begin[done:to] - np.concatenate(([0], np.cumsum(n)[:-1])), n)
-            rows, at = self.post[flat], np.repeat(dim[done:to], n)
-            score += np.bincount(rows, weights=self.value[flat] * q[at] - base[at], minlength=self.n)
-            self.seen[rows, at] = 1
-            self.taken += len(flat)
-            done = to
+            to = min(len(by), max(done, int(np.searchsorted(work, goal * work[-1]))) + 1)
+            more = taken + np.bincount(dim[done:to], weights=length[done:to], minlength=self.d).astype(np.int64)
+            for d in np.flatnonzero(more > taken):
+                at = slice(self.n - more[d], self.n - taken[d]) if up[d] else slice(taken[d], more[d])
+                np.add.at(score, self.post[d, at], self.value[d, at] * q[d] - base[d])
+            self.taken += int((more - taken).sum())
+            done, taken, goal = to, more, goal + LOOK
             after[:] = 0
             after[dim[done:][::-1]] = impact[done:][::-1]  # of the next segment of each dimension
             # the k-th exact score among the leaders so far is a lower bound of the k-th best
             some = min(self.n, 4 * k)
             leaders = np.argpartition(score, self.n - some)[self.n - some :]
             bar = max(bar, float(sorted(self._scores(leaders, q, whole))[-k]))
-            most = score + (after.sum() - self.seen @ after)
+            first, last = (c.astype(self.place.dtype)[:, None] for c in (np.where(up, 0, taken), np.where(up, self.n - taken, self.n)))
+            unseen = (self.place >= first) & (self.place < last)
+            most = score + np.einsum("d,dn->n", after, unseen)
             possible = np.flatnonzero(most >= bar - margin - abs(bar) * (0.0 if whole else 2.0**-40))
             if len(possible) <= max(k, self.n * POSSIBLE):
                 break
         out: list[tuple[int, int]] = []
         scores = self._scores(possible, q, whole)
-        for i in sorted(range(len(possible)), key=lambda i: -scores[i]):
+        few = range(len(scores))
+        if whole and len(scores) > k:  # only the k best and their ties
+            held = np.array(scores)
+            few = np.flatnonzero(held >= np.partition(held, len(held) - k)[len(held) - k]).tolist()
+        for i in sorted(few, key=lambda i: -scores[i]):
             if len(out) >= self.k and scores[i] < out[self.k - 1][0]:
                 break
             out += [(scores[i], int(self.ids[m])) for m in self.members[possible[i]] if self.rows[m] != own]

@@ -40,15 +40,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import MIX, U64, Scratch, finalise, hashed_texts, lazily, ngrams, pick, small
+from quarry.llm.common import MIX, U64, Scratch, finalise, hashed_texts, lazily, ngrams, pick, release, small, tidy
 from quarry.llm.components import components
 
 WORDS, PERCENT = 5, 75
 #: An n-gram is listed as common if COMMON documents or more hold it, counted where COMMON_IN_BATCH or more of a stretch
 #: of HELD n-grams do; at most MOST_COMMON are listed.
-COMMON_IN_BATCH, COMMON, MOST_COMMON, HELD = 4, 64, 100_000, 3_000_000
+COMMON_IN_BATCH, COMMON, MOST_COMMON, HELD = 4, 64, 100_000, 2_000_000
 #: Entries of one column block.
-BLOCK = 1_000_000
+BLOCK = 500_000
 #: Members of a column's cell on either side; rows of cells that a task holds at once; pairs that it multiplies at once.
 CELL, CELLS, PAIRS = 4_096, 100_000, 200_000
 #: Pairs for each member up to which a cell gives its pairs out before bitmaps are compared.
@@ -108,7 +108,7 @@ def summaries(documents: DataFrame, n: int = WORDS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(b)), pa.int32()), b.column(0), pa.array(ns, pa.int64()), pa.array(keys, pa.binary()), pa.nulls(len(b), pa.int64())], names=names)
         yield counted(held)
 
-    return documents.mapInArrow(work, "kind int, doc_id long, n long, key binary, g long")
+    return documents.mapInArrow(tidy(work), "kind int, doc_id long, n long, key binary, g long")
 
 
 def prefix_entries(documents: DataFrame, common: np.ndarray, blocks: int, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -151,12 +151,13 @@ def prefix_entries(documents: DataFrame, common: np.ndarray, blocks: int, n: int
             cut = pa.array(starts, pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(block[starts[:-1]].astype(np.int32)), *(pa.ListArray.from_arrays(cut, pa.array(x.astype(t))) for x, t in ((g, np.int64), (step, np.int64), (size, np.int32), (at, np.int32)))], names=names)
 
-    return documents.mapInArrow(work, "block int, g array<long>, doc_id array<long>, n array<int>, at array<int>")
+    return documents.mapInArrow(tidy(work), "block int, g array<long>, doc_id array<long>, n array<int>, at array<int>")
 
 
 def _shared(rows: pd.DataFrame) -> pd.DataFrame:
     """Of one column block: the entries of n-grams with two or more entries, each with the first document of its n-gram
     (null where the n-gram is a listed one, which other blocks hold too)."""
+    release()  # of the block before
     g, n, at = (np.concatenate(rows[c].to_numpy()) for c in ("g", "n", "at"))
     doc = np.concatenate([np.cumsum(x) for x in rows["doc_id"]])
     if rows["block"].iloc[0] < 0:
@@ -225,7 +226,7 @@ def _closer(pairs: DataFrame, documents: DataFrame, scratch: Scratch, name: str,
             seen = [(len(s), bitmap(s)) for s in shingle_sets(lazily(b.column(1)), n)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([m for m, _ in seen], pa.int64()), pa.array([p for _, p in seen], pa.binary())], names=["doc_id", "n", "map"])
 
-    known = documents.where("text is not null").join(small(ids), "doc_id", "left_semi").mapInArrow(describe, "doc_id long, n long, map binary")
+    known = documents.where("text is not null").join(small(ids), "doc_id", "left_semi").mapInArrow(tidy(describe), "doc_id long, n long, map binary")
     known = scratch.keep(known, f"{name}-maps")
     side = lambda x: known.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("map").alias(f"p{x}"))
 
@@ -237,7 +238,7 @@ def _closer(pairs: DataFrame, documents: DataFrame, scratch: Scratch, name: str,
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["a", "b"])
 
     both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "na", "nb", "pa", "pb")
-    return both.mapInArrow(work, "a long, b long")
+    return both.mapInArrow(tidy(work), "a long, b long")
 
 
 def overlap(a: np.ndarray, b: np.ndarray, least: int, columns: int = COLUMNS) -> int:
@@ -279,10 +280,10 @@ def _links(pairs: DataFrame, documents: DataFrame, scratch: Scratch, name: str,
             keep = pa.array(linked, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["a", "b"])
 
-    sets = scratch.keep(documents.where("text is not null").join(small(wanted), "doc_id", "left_semi").mapInArrow(work, "doc_id long, grams array<long>"), f"{name}-sets")
+    sets = scratch.keep(documents.where("text is not null").join(small(wanted), "doc_id", "left_semi").mapInArrow(tidy(work), "doc_id long, grams array<long>"), f"{name}-sets")
     left = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("gb")), "b")
     both = left.join(sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("ga")), "a").select("a", "b", "ga", "gb")
-    out = scratch.keep(both.mapInArrow(multiply, "a long, b long"), f"{name}-links", 32)
+    out = scratch.keep(both.mapInArrow(tidy(multiply), "a long, b long"), f"{name}-links", 32)
     scratch.remove(f"{name}-sets")
     return out
 
@@ -359,6 +360,7 @@ def _meetings(e: DataFrame, documents: DataFrame, scratch: Scratch, n: int, perc
 
     def mark(rows: pd.DataFrame) -> pd.DataFrame:
         """Of cells with few pairs that sizes and places leave: the pairs; of the others: the members in such pairs."""
+        release()  # of the bin before
         rows = rows.sort_values(order, kind="stable").reset_index(drop=True)
         cell, doc = cells_of(rows), rows["doc_id"].to_numpy()
         room = FEW * np.bincount(cell)
@@ -381,6 +383,7 @@ def _meetings(e: DataFrame, documents: DataFrame, scratch: Scratch, n: int, perc
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(maps, pa.binary())], names=["doc_id", "n", "map"])
 
     def meet(rows: pd.DataFrame) -> pd.DataFrame:
+        release()  # of the bin before
         rows = rows.sort_values(order, kind="stable").reset_index(drop=True)
         doc, out = rows["doc_id"].to_numpy(), [np.zeros((2, 0), dtype=np.int64)]
         for a, b in product(rows, percent):
@@ -394,7 +397,7 @@ def _meetings(e: DataFrame, documents: DataFrame, scratch: Scratch, n: int, perc
     ids = scratch.keep(many.select("doc_id", "n").distinct(), "marked-ids", NARROW)
     # rows of one doc_id with different texts have a map each, told apart by size
     sized = documents.where("text is not null").join(small(ids.select("doc_id").distinct()), "doc_id", "left_semi").join(ids, "doc_id").select("doc_id", "text", "n")
-    maps = scratch.keep(sized.mapInArrow(describe, "doc_id long, n int, map binary").distinct(), "maps")
+    maps = scratch.keep(sized.mapInArrow(tidy(describe), "doc_id long, n int, map binary").distinct(), "maps")
     met = many.join(maps, ["doc_id", "n"]).groupBy("bin").applyInPandas(meet, "a long, b long")
     return few.unionByName(met).distinct()
 

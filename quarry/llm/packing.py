@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Scratch, lazily, partitions, pick
+from quarry.llm.common import Scratch, lazily, partitions, pick, release, tidy
 
 CAPACITY, END = 1024, 2
 SHARD, ISLANDS, ROUNDS = 20_000, 3, 2
@@ -97,7 +97,7 @@ def tokenise(documents: DataFrame, capacity: int = CAPACITY, end: int = END, pat
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return pick(documents, doc_id="long", text="string").mapInArrow(work, PIECES)
+    return pick(documents, doc_id="long", text="string").mapInArrow(tidy(work), PIECES)
 
 
 class Bins:
@@ -321,7 +321,7 @@ def pack_sequences(documents: DataFrame, capacity: int = CAPACITY, end: int = EN
                 best = [_pack(evolve(dict(c), [_unpack(x) for x in e], capacity, 1_000_003 * round_ + ISLANDS * int(s) + int(i))) for s, i, c, e in zip(df["shard"], df["island"], df["counts"], df["elites"], strict=True)]
                 yield pd.DataFrame({"shard": df["shard"], "island": df["island"], "best": best})
 
-        found = given.repartition(n, "shard", "island").mapInPandas(island, "shard long, island int, best string")
+        found = given.repartition(n, "shard", "island").mapInPandas(tidy(island), "shard long, island int, best string")
         found = scratch.keep(found, f"round{round_}")
         # an island's elite stays and goes to the next of the ring
         moved = found.select("shard", F.explode(F.array("island", ((F.col("island") + 1) % ISLANDS).cast("int"))).alias("island"), "best")
@@ -330,6 +330,7 @@ def pack_sequences(documents: DataFrame, capacity: int = CAPACITY, end: int = EN
     best = found.groupBy("shard").agg(F.min_by("best", F.struct(n_bins, "island")).alias("best"))
 
     def place(key: tuple, items: pd.DataFrame, plan: pd.DataFrame) -> pd.DataFrame:
+        release()  # of the shard before
         items = items.sort_values(["length", "doc_id", "piece", "row"])
         queue = {k: list(v) for k, v in items.groupby("length").indices.items()}
         where, offset = [0] * len(items), [0] * len(items)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Scratch, encode, hash_words, lazily, ngrams, pick
+from quarry.llm.common import Scratch, encode, hash_words, lazily, ngrams, pick, tidy
 from quarry.llm.rules import SYMBOLS, WINDOW
 
 DIMS = 1 << 16
@@ -180,7 +180,7 @@ def _judged(documents: DataFrame, scratch: Scratch, max_train: int, max_features
             cols = list(zip(*map(describe, lazily(b.column(1))), strict=True)) or [()] * 7
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, schema.types[1:], strict=True))], schema=schema)
 
-    kept = scratch.keep(pick(documents, doc_id="long", text="string").mapInArrow(read, KEPT), "kept")
+    kept = scratch.keep(pick(documents, doc_id="long", text="string").mapInArrow(tidy(read), KEPT), "kept")
     patterns = kept.groupBy("votes").agg(F.count("*").alias("n")).orderBy("votes").toPandas()
     weights, posterior = None, {}
     if len(patterns):
@@ -211,7 +211,7 @@ def _judged(documents: DataFrame, scratch: Scratch, max_train: int, max_features
             p = pa.array([posterior.get(x) for x in b.column(1).to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([*b.columns[:3], p, pa.array(s, pa.float64()), pa.array(s < threshold, pa.bool_())], names=["doc_id", "votes", "crc", "p_weak", "score", "keep"])
 
-    return kept.mapInArrow(score, "doc_id long, votes string, crc long, p_weak double, score double, keep boolean")
+    return kept.mapInArrow(tidy(score), "doc_id long, votes string, crc long, p_weak double, score double, keep boolean")
 
 
 def _most(name: str, most: int) -> Column:

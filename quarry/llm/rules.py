@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import WHITE, Scratch, encode, hash_words, lazily, ngrams, pick
+from quarry.llm.common import WHITE, Scratch, encode, hash_words, lazily, ngrams, pick, tidy
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -69,7 +69,7 @@ def statistics(documents: DataFrame) -> DataFrame:
             rows = list(zip(*map(count, lazily(b.column(1))), strict=True)) or [()] * len(COUNTS)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in rows)], names=["doc_id", *COUNTS])
 
-    return pick(documents, doc_id="long", text="string").mapInArrow(work, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS))
+    return pick(documents, doc_id="long", text="string").mapInArrow(tidy(work), "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
 def _best(x: np.ndarray, bad: np.ndarray, live: np.ndarray) -> tuple[float, tuple[int, str, float]] | None:

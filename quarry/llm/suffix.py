@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import BROADCAST_IDS, Scratch, encode, hashed_texts, lazily, long_ngrams, partitions, pick, small
+from quarry.llm.common import BROADCAST_IDS, Scratch, encode, hashed_texts, lazily, long_ngrams, partitions, pick, small, tidy
 
 MIN_WORDS, ANCHOR = 50, 16
 #: Rows of one range of a sort; and of an Arrow batch of rows without texts.
@@ -86,7 +86,7 @@ def retained(texts: DataFrame, min_words: int, anchor: int) -> DataFrame:
             docs = np.repeat(np.array(b.column(0).to_pylist(), dtype=np.int64), n)
             yield pa.RecordBatch.from_arrays([pa.array(head.view(np.int64)), pa.array(body.view(np.int64), mask=~has.astype(bool)), pa.array(docs), pa.array(at.astype(np.int32))], names=["head", "body", "doc_id", "at"])
 
-    return texts.mapInArrow(work, "head long, body long, doc_id long, at int")
+    return texts.mapInArrow(tidy(work), "head long, body long, doc_id long, at int")
 
 
 PASSED = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int32()), ("extra", pa.int64()), ("first_doc", pa.int64()), ("first_at", pa.int32()), ("size", pa.int64())])
@@ -152,7 +152,7 @@ def neighbours(rows: DataFrame, key: str, scratch: Scratch, name: str, extra: st
     n = max(partitions(scratch.spark), -(-rows.count() // RANGE))
     r = rows.select(F.col(key).alias("key"), "doc_id", "at", (F.col(extra) if extra else F.lit(None)).cast("long").alias("extra"))
     by = ["key", "doc_id", "at"]
-    passed = r.repartitionByRange(n, *by).sortWithinPartitions(*by).mapInArrow(compare, "kind int, key long, doc_id long, at int, extra long, first_doc long, first_at int, size long")
+    passed = r.repartitionByRange(n, *by).sortWithinPartitions(*by).mapInArrow(tidy(compare), "kind int, key long, doc_id long, at int, extra long, first_doc long, first_at int, size long")
     passed = scratch.keep(passed, name, NARROW)
     # at most two keys of each range, of which the driver finds those that have several places
     ends: dict[int, tuple[int, int, int]] = {}
@@ -176,7 +176,7 @@ def neighbours(rows: DataFrame, key: str, scratch: Scratch, name: str, extra: st
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in cols], names=["doc_id", "at", "extra", "first_doc", "first_at"])
 
     rows = passed.where(F.col("kind") != SUMMARY).drop("size")
-    return rows.mapInArrow(settle, "doc_id long, at int, extra long, first_doc long, first_at int")
+    return rows.mapInArrow(tidy(settle), "doc_id long, at int, extra long, first_doc long, first_at int")
 
 
 def runs(texts: DataFrame, anchors: DataFrame, min_words: int, anchor: int) -> DataFrame:
@@ -210,7 +210,7 @@ def runs(texts: DataFrame, anchors: DataFrame, min_words: int, anchor: int) -> D
 
     # texts without a shared anchor need not be shuffled while the ids of those with one are few enough to broadcast
     texts = texts.join(small(anchors.select("doc_id")), "doc_id", "left_semi")
-    return texts.join(anchors, "doc_id").select("doc_id", "text", "places").mapInArrow(work, "run long, doc_id long, at int")
+    return texts.join(anchors, "doc_id").select("doc_id", "text", "places").mapInArrow(tidy(work), "run long, doc_id long, at int")
 
 
 def chains(min_words: int):
@@ -253,7 +253,7 @@ def digest_passages(texts: DataFrame, wanted: DataFrame) -> DataFrame:
 
     spans = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
     texts = texts.join(small(wanted.select("doc_id").distinct()), "doc_id", "left_semi")
-    return texts.join(spans, "doc_id").select("doc_id", "text", "spans").mapInArrow(work, "doc_id long, start long, n long, digest binary")
+    return texts.join(spans, "doc_id").select("doc_id", "text", "spans").mapInArrow(tidy(work), "doc_id long, start long, n long, digest binary")
 
 
 def verified(passages: DataFrame, texts: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -295,7 +295,7 @@ def _spans(documents: DataFrame, scratch: Scratch, min_words: int, anchor: int)
     hits = again.unionByName(known).where("first_doc <> doc_id or first_at < at")
     hits = hits.groupBy("doc_id").agg(F.collect_set(F.struct("at", "first_doc", "first_at")).alias("hits"))
     passages = "doc_id long, start long, n long, first_doc long, first_start long"
-    joined = scratch.keep(hits.mapInArrow(chains(min_words), passages), "joined")
+    joined = scratch.keep(hits.mapInArrow(tidy(chains(min_words)), passages), "joined")
     for x in ("runs", "again", "known"):
         scratch.remove(x)
     good = verified(joined, texts, scratch, "verified")
@@ -323,7 +323,7 @@ def _spans(documents: DataFrame, scratch: Scratch, min_words: int, anchor: int)
                     out.append((doc, start, end - start, sorted(kept)))
             yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in out], schema=schema)
 
-    return spans.mapInArrow(merge, "doc_id long, start long, n_words long, kept array<long>")
+    return spans.mapInArrow(tidy(merge), "doc_id long, start long, n_words long, kept array<long>")
 
 
 def cut(text: str, spans: list[tuple[int, int]]) -> str:

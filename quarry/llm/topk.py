@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Scratch, arrow_rows, pick
+from quarry.llm.common import Scratch, arrow_rows, pick, tidy
 
 BLOCK, QUERY_BLOCK = 8_192, 256
 #: Values of one segment differ in this many low bits. A block is looked at after the part FIRST of its postings and then
@@ -192,6 +192,6 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, scale: float = 256.0
         asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))  # every batch meets every block
         both = index.join(asked, ["dim", "block"]).select("dim", "block", "crow", "cid", "cx", "qrow", "qid", "qx")
         with arrow_rows(vectors.sparkSession, 4):  # a row holds a whole block
-            best = scratch.keep(both.mapInArrow(meet, "row long, query_id long, vec_id long, score long, key string"), "best")
+            best = scratch.keep(both.mapInArrow(tidy(meet), "row long, query_id long, vec_id long, score long, key string"), "best")
         rank = F.row_number().over(Window.partitionBy("row", "query_id").orderBy(F.desc("score"), F.desc("key"), "vec_id"))
         return scratch.finish(best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Scratch, pick, scratch_root
+from quarry.llm.common import Scratch, pick, scratch_root, tidy
 
 INDEX = "file string, offset long, length long, page_id long, url string, payload_digest string, payload_bytes long, record_type string, refers_to long"
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
@@ -125,7 +125,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFra
                     out.close()
 
         path = f"{folder}/index"
-        p.mapInArrow(work, INDEX).write.parquet(path)  # once: the records and their index belong together
+        p.mapInArrow(tidy(work), INDEX).write.parquet(path)  # once: the records and their index belong together
         scratch.remove()
     return spark.read.schema(INDEX).parquet(path)
 

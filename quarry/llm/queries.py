@@ -32,7 +32,7 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.filter_urls(table(spark, sf_dir, "pages"))
+    return urls.filter_urls(table(spark, sf_dir, "pages")).drop("bound")
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,8 +52,18 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op8_mixing SQL can express: sizes, sizes of sources and targets, to a thousandth."""
+    return op8_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"))
+
+
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op9_quality_rules SQL can express: the counts and the base rule."""
+    return op9_quality_rules(spark, sf_dir).drop("kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    out = [op1_topk, op2_quality_classifier, op3_suffix_dedup, op4_jaccard_join, op5_best_fit_packing, op6_url_filter, op7_license_scan, op8_mixing, op9_quality_rules, op10_warc]
+    out = [op1_topk, op2_quality_classifier, op3_suffix_dedup, op4_jaccard_join, op5_best_fit_packing, op6_url_filter, op7_license_scan, op8_mixing, op9_quality_rules, op10_warc, mixing_targets, quality_counts]
     return {f.__name__: f for f in out}
 
 
@@ -83,5 +93,78 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(m.r, d.doc_id)
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(r) AS r FROM c GROUP BY 1) m USING (doc_id)"""
 
 
+_RULES_SQL = ", ".join(f"('{h}', '{p}', '{h + p}', '{v}')" for h, p, v in urls.RULES)
+_TWO_SQL = ", ".join(f"'{x}'" for x in urls.TWO_LABEL_SUFFIXES)
+
+
+def _strength_sql(level: str) -> str:
+    """The prior's strength over members with two outcomes or more, by moments."""
+    return f"""select coalesce(least(greatest(m * (1 - m) / greatest(v - m * (1 - m) * r, 1e-6) - 1, 1.0), 1000.0), 10.0) as k
+  from (select avg(bad / n) as m, var_samp(bad / n) as v, avg(1 / n) as r from {level} where n >= 2)"""
+
+
+OP6_SQL = f"""
+WITH u AS (
+  SELECT page_id, html, contains(coalesce(url, ''), '://') AS has, substr(url, strpos(url, '://') + 3) AS rest FROM pages),
+p AS (
+  SELECT page_id, html, CASE WHEN has THEN translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
+    CASE WHEN has THEN regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path FROM u),
+t(rhost, rpath, rule, ruled) AS (VALUES {_RULES_SQL}),
+f AS (
+  SELECT p.*, (SELECT arg_max({{'rule': rule, 'ruled': ruled}}, length(rule)) FROM t WHERE (p.host = rhost OR ends_with(p.host, '.' || rhost)) AND starts_with(p.path, rpath)) AS x FROM p),
+j AS (
+  SELECT page_id, host, path, x.rule AS rule, x.ruled AS ruled,
+    coalesce(x.ruled = 'block', length(html) < 200 OR 50 * (length(html) - length(translate(html, '*$%#|~^', ''))) > length(html)) AS bad FROM f),
+b AS (SELECT host, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS bare, count(bad)::DOUBLE AS n, coalesce(sum(bad::INTEGER), 0)::DOUBLE AS bad FROM j GROUP BY host),
+l AS (SELECT *, string_split(bare, '.') AS s, regexp_matches(bare, '^([0-9]{{1,3}}([.][0-9]{{1,3}}){{3}}|\\[.*\\])$') AS address FROM b),
+hosts AS (
+  SELECT host, n, bad, CASE WHEN address THEN host ELSE array_to_string(s[-(CASE WHEN two THEN 3 ELSE 2 END):], '.') END AS domain,
+    CASE WHEN address THEN '{urls.ADDRESS}' ELSE array_to_string(s[-(CASE WHEN two THEN 2 ELSE 1 END):], '.') END AS suffix
+  FROM (SELECT *, array_to_string(s[-2:], '.') IN ({_TWO_SQL}) AS two FROM l)),
+domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY 1, 2),
+suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY 1),
+k0 AS ({_strength_sql("hosts")}), k1 AS ({_strength_sql("domains")}), k2 AS ({_strength_sql("suffixes")}),
+prior AS (SELECT (coalesce(sum(bad), 0) + 1) / (coalesce(sum(n), 0) + 2) AS m FROM suffixes),
+sm AS (SELECT suffix, (bad + k2.k * m) / (n + k2.k) AS m FROM suffixes, k2, prior),
+dm AS (SELECT domain, d.suffix, (bad + k1.k * sm.m) / (n + k1.k) AS m FROM domains d JOIN sm USING (suffix), k1),
+post AS (SELECT host, bad + k0.k * m AS alpha, n - bad + k0.k * (1 - m) AS beta FROM hosts JOIN dm USING (domain, suffix), k0),
+bound AS (SELECT host, alpha / (alpha + beta) - 2 * sqrt(alpha * beta / ((alpha + beta) * (alpha + beta) * (alpha + beta + 1))) AS bound FROM post)
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN bound > 0.5 THEN 'block' ELSE 'allow' END) AS verdict FROM j LEFT JOIN bound USING (host)"""
+
+OP10_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+b AS (SELECT *, list_transform(range(20), lambda i: ('0x' || substr(h, (2 * i + 1)::INTEGER, 2))::INTEGER) || [0] AS b, max(page_id) OVER (PARTITION BY h) AS top FROM p)
+SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((((b[i * 5 // 8 + 1] << 8) | b[i * 5 // 8 + 2]) >> (11 - i * 5 % 8)) & 31)::INTEGER + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id < top THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < top THEN top END AS refers_to FROM b"""
+
+_WORDS_SQL = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+
+MIXING_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, source, len({_WORDS_SQL})::BIGINT AS size FROM documents),
+s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS weight FROM d GROUP BY source),
+r AS (SELECT *, row_number() OVER (ORDER BY 3 * source_size / weight, source NULLS LAST) AS i, sum(source_size) OVER () AS total FROM s),
+w(i, rest, weights) AS (
+  SELECT 0::BIGINT, (SELECT sum(source_size) FROM s)::DOUBLE, (SELECT sum(weight) FROM s)
+  UNION ALL
+  SELECT r.i, w.rest - 3 * r.source_size, w.weights - r.weight FROM w JOIN r ON r.i = w.i + 1 WHERE 3 * r.source_size / r.weight <= w.rest / w.weights),
+e AS (SELECT max(i) AS i, arg_max(rest, i) AS rest, arg_max(weights, i) AS weights FROM w)
+SELECT doc_id, size, source_size, round(CASE WHEN r.i <= e.i THEN 3.0::DOUBLE * source_size ELSE r.weight * (e.rest / e.weights) END, 3) AS target
+FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source, e"""
+
+COUNTS_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text, {_WORDS_SQL} AS w FROM documents),
+g AS (SELECT k, unnest(range(1, len(w) - 6)) AS i, w FROM d WHERE len(w) >= 8),
+v AS (SELECT k, i, count(*) OVER (PARTITION BY k, w[i:i+7]) AS n FROM g),
+rep AS (SELECT k, count(DISTINCT i + j) AS n FROM v, range(8) t(j) WHERE n > 1 GROUP BY k),
+lines AS (SELECT k, unnest(string_split(text, chr(10))) AS line FROM d),
+dup AS (SELECT k, count(*) - count(DISTINCT line) AS n FROM lines WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY k)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+  (length(text) - length(translate(text, '#*$%&|<>', '')))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words,
+  len(w) < 20 OR 100 * coalesce(rep.n, 0) > 30 * len(w) AS base_failed FROM d LEFT JOIN rep USING (k) LEFT JOIN dup USING (k)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk": OP1_SQL.strip(), "op4_jaccard_join": OP4_SQL.strip()}
+    out = {"op1_topk": OP1_SQL, "op4_jaccard_join": OP4_SQL, "op6_url_filter": OP6_SQL, "op10_warc": OP10_SQL, "mixing_targets": MIXING_SQL, "quality_counts": COUNTS_SQL}
+    return {k: v.strip() for k, v in out.items()}

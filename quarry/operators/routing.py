@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,26 +51,26 @@ def is_owner(keys: DataFrame, nodes: list[str], replicas: int, me: str) -> DataF
     return store.owners(keys, nodes, replicas).groupBy("key").agg(F.bool_or(F.col("node") == me).alias("owner"))
 
 
-def replica_targets(keys: DataFrame, nodes: list[str], replicas: int, me: str) -> DataFrame:
+def replica_targets(keys: DataFrame, nodes: list[str], replicas: int, me: str, weigh: Callable[[str, bytes], int] = digest.weight) -> DataFrame:
     """key, node: the other owners, to which a node sends what it has put; it keeps its own copy, owner or not."""
-    return store.owners(keys, nodes, replicas).where(F.col("node") != me).select("key", "node")
+    return store.owners(keys, nodes, replicas, weigh).where(F.col("node") != me).select("key", "node")
 
 
-def routed_put(new: DataFrame, nodes: list[str], replicas: int, me: str, failing: list[str] = ()) -> DataFrame:
+def routed_put(new: DataFrame, nodes: list[str], replicas: int, me: str, failing: list[str] = (), weigh: Callable[[str, bytes], int] = digest.weight) -> DataFrame:
     """id, node, status of new(id): durable on node me, then replicated or failed on every other owner. A replica that
     fails does not fail the put; repair() finds it later."""
     own = new.select("id", F.lit(me).alias("node"), F.lit("durable").alias("status"))
-    there = replica_targets(new.select(F.col("id").alias("key")), nodes, replicas, me)
+    there = replica_targets(new.select(F.col("id").alias("key")), nodes, replicas, me, weigh)
     status = F.when(F.col("node").isin(list(failing)), "failed").otherwise("replicated")
     return own.unionByName(there.select(F.col("key").alias("id"), "node", status.alias("status")))
 
 
-def routed_get(wanted: DataFrame, local: DataFrame, peers: DataFrame, nodes: list[str], replicas: int, me: str, failing: list[str] = ()) -> DataFrame:
+def routed_get(wanted: DataFrame, local: DataFrame, peers: DataFrame, nodes: list[str], replicas: int, me: str, failing: list[str] = (), weigh: Callable[[str, bytes], int] = digest.weight) -> DataFrame:
     """id, payload, source (local, a node, or null), status (ok, missing, or error) and promote (to be added to local)
     of wanted(id, binary), from local(id, payload) and peers(node, id, payload). Owners are asked in order, but for
     node me; a failing one that is met before an answer makes the read an error."""
     misses = wanted.select("id").distinct().join(local.select("id"), "id", "left_anti")
-    asked = store.owners(misses.select(F.col("id").alias("key")), nodes, replicas).where(F.col("node") != me)
+    asked = store.owners(misses.select(F.col("id").alias("key")), nodes, replicas, weigh).where(F.col("node") != me)
     asked = asked.select(F.col("key").alias("id"), "rank", "node", F.col("node").isin(list(failing)).alias("failed"))
     # who answers is settled on ids alone; only the answers are joined to payloads
     held = peers.select("id", "node").distinct().withColumn("held", F.lit(True))

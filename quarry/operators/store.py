@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import heapq
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -45,6 +46,16 @@ def chunk_table(streams: DataFrame, key: str, payload: str, options: cdc.ChunkOp
     return streams.select(key, F.col(payload).alias("payload")).mapInArrow(work, f"{key} {kind}, seq int, offset long, length long, hash binary" + ", payload binary" * emit_payload)
 
 
+def hash_jobs(jobs: DataFrame) -> DataFrame:
+    """index, offset, length, digest of jobs(index, offset, data), in order of index, however workers finish."""
+    return jobs.select("index", "offset", F.octet_length("data").cast("long").alias("length"), columns.sha256_raw(F.col("data")).alias("digest")).orderBy("index")
+
+
+def compression_jobs(jobs: DataFrame, codec: str = "zstd", level: int | None = None) -> DataFrame:
+    """index, compressed of jobs(index, data), in order of index. Payloads are compressed before they are sorted."""
+    return jobs.select("index", columns.compress(codec, level)("data").alias("compressed")).orderBy("index")
+
+
 def dedup_summary(chunks: DataFrame) -> DataFrame:
     """refs, unique chunks, logical and physical bytes. Counted by hash first, so no distinct set is gathered."""
     by = chunks.groupBy("hash").agg(F.count("*").alias("refs"), F.first("length").alias("length"))
@@ -136,7 +147,7 @@ def tiered_read(wanted: DataFrame, warm: DataFrame, cold: DataFrame) -> DataFram
 MAX_NODES = 10_000
 
 
-def owners(keys: DataFrame, nodes: list[str], replicas: int) -> DataFrame:
+def owners(keys: DataFrame, nodes: list[str], replicas: int, weigh: Callable[[str, bytes], int] = digest.weight) -> DataFrame:
     """key (binary), node, rank: the replicas best nodes by rendezvous weight, ties by name. The members are a
     configuration (at most MAX_NODES), ranked next to each key, so no key is ever repeated per node in a shuffle."""
     members = sorted(set(nodes))
@@ -145,7 +156,7 @@ def owners(keys: DataFrame, nodes: list[str], replicas: int) -> DataFrame:
 
     @F.pandas_udf("array<string>")
     def rank(key: pd.Series) -> pd.Series:
-        return key.map(lambda k: sorted(members, key=lambda n: (-digest.weight(n, k), n))[:replicas])
+        return key.map(lambda k: heapq.nsmallest(replicas, members, key=lambda n: (-weigh(n, k), n)))
 
     return keys.select("key", F.posexplode(rank("key")).alias("rank", "node")).withColumn("rank", F.col("rank") + 1)
 

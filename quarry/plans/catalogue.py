@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import columns, digest
 from quarry.functions.cdc import ChunkOptions
-from quarry.operators import manifest, protocol, routing, store
+from quarry.operators import lifecycle, manifest, protocol, routing, store
 from quarry.plans.chunk_sql import chunks_sql
 from quarry.streaming import push
 
@@ -112,12 +112,14 @@ def hex_base64(spark, sf_dir):
     return streams(spark, sf_dir).select("doc_id", columns.hex_lower(F.col("payload")).alias("hex"), columns.base64_plain(F.col("payload")).alias("b64"))
 
 
-@query("""
-with h as (select doc_id, sha256(text) as h from documents),
-b as (select doc_id, list_transform(range(0, 33), lambda i: case when i < 32 then ('0x' || substr(h, 2 * i + 1, 2))::INTEGER else 0 end) as b from h),
-c as (select doc_id, array_to_string(list_transform(range(0, 52), lambda n: substr('0123456789abcdfghijklmnpqrsvwxyz',
-  (((b[(n * 5) // 8 + 1] >> ((n * 5) % 8)) | (b[least((n * 5) // 8 + 2, 33)] << (8 - (n * 5) % 8))) & 31) + 1, 1)), '') as f from b)
-select doc_id, reverse(f) as nix, f as forward from c""")
+def base32_sql(h: str) -> str:
+    """SQL for the 52 characters of 32 bytes given as hexadecimal, low index first."""
+    byte = f"case when {{}} < 32 then ('0x' || substr({h}, 2 * ({{}}) + 1, 2))::INTEGER else 0 end"
+    low, high = byte.format(*["(n * 5) // 8"] * 2), byte.format(*["(n * 5) // 8 + 1"] * 2)
+    return f"array_to_string(list_transform(range(0, 52), lambda n: substr('{digest.ALPHABET}', ((((({low}) >> ((n * 5) % 8)) | (({high}) << (8 - (n * 5) % 8)))) & 31)::INTEGER + 1, 1)), '')"
+
+
+@query(f"with c as (select doc_id, {base32_sql('h')} as f from (select doc_id, sha256(text) as h from documents)) select doc_id, reverse(f) as nix, f as forward from c")
 def base32_both(spark, sf_dir):
     h = streams(spark, sf_dir).select("doc_id", F.sha2("payload", 256).alias("h"))
     return h.select("doc_id", columns.nix_base32(F.col("h"), 32).alias("nix"), columns.forward_base32(F.col("h"), 32).alias("forward"))
@@ -271,6 +273,23 @@ def _keys(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", columns.content_id()(F.encode(F.col("p_partkey").cast("string"), "UTF-8")).alias("key"))
 
 
+def _plain_keys(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", columns.utf8(F.col("p_partkey").cast("string")).alias("key"))
+
+
+def ranks_sql(nodes: list[str]) -> str:
+    """Owners by SHA-256 weights; the weight's first byte counts least, so bytes are compared from the eighth down."""
+    value = " || ".join(f"substr(h, {2 * i + 1}, 2)" for i in reversed(range(8)))
+    return f"""select p_partkey, node, row_number() over (partition by p_partkey order by {value} desc, node)::INTEGER as rank
+from (select p_partkey, node, sha256(node || p_partkey) as h from part, (select unnest({nodes!r}) as node))"""
+
+
+@query(f"select * from ({ranks_sql(NODES)}) where rank <= 3")
+def owner_ranks(spark, sf_dir):
+    k = _plain_keys(spark, sf_dir)
+    return store.owners(k.select("key"), NODES, 3, digest.weight_sha256).join(k, "key").select("p_partkey", "node", F.col("rank").cast("int").alias("rank"))
+
+
 @query("select p_partkey, 3::BIGINT as owners, 3::BIGINT as nodes from part")
 def owner_cardinality(spark, sf_dir):
     k = _keys(spark, sf_dir)
@@ -278,13 +297,13 @@ def owner_cardinality(spark, sf_dir):
     return k.join(o, "key").select("p_partkey", "owners", "nodes")
 
 
-@query("select count(*) as keys, true as few_moved, true as all_to_new from part")
+@query(f"select count(*) as keys, count(*) filter (where node = 'n5') as moved, true as all_to_new, 0::BIGINT as unneeded from ({ranks_sql([*NODES, 'n5'])}) where rank = 1")
 def remap_fraction(spark, sf_dir):
-    k = _keys(spark, sf_dir).select("key")
-    a = store.owners(k, NODES, 1).select("key", F.col("node").alias("a"))
-    b = store.owners(k, [*NODES, "n5"], 1).select("key", F.col("node").alias("b"))
-    m = a.join(b, "key").agg(F.count("*").alias("keys"), F.count_if(F.col("a") != F.col("b")).alias("moved"), F.bool_and((F.col("a") == F.col("b")) | (F.col("b") == "n5")).alias("all_to_new"))
-    return m.select("keys", (F.col("moved") < 0.35 * F.col("keys")).alias("few_moved"), "all_to_new")
+    k = _plain_keys(spark, sf_dir).select("key")
+    a, b = (store.owners(k, n, 1, digest.weight_sha256).select("key", "node") for n in (NODES, [*NODES, "n5"]))
+    two = a.withColumnRenamed("node", "a").join(b.withColumnRenamed("node", "b"), "key")
+    m = two.agg(F.count("*").alias("keys"), F.count_if(F.col("a") != F.col("b")).alias("moved"), F.bool_and((F.col("a") == F.col("b")) | (F.col("b") == "n5")).alias("all_to_new"))
+    return m.crossJoin(lifecycle.unneeded_moves(a, b, ["n5"], []).agg(F.count("*").alias("unneeded")))  # one row each
 
 
 def catalogue_of_resources(spark):
@@ -310,20 +329,25 @@ def node_roundtrip(spark, sf_dir):
     return got.select(F.col("name").alias("doc_id"), "status", F.sha2("payload", 256).alias("sha256"))
 
 
-@query("select p_partkey, case when p_partkey % 3 = 0 then p_name when p_partkey % 2 = 0 then p_name end as payload, case when p_partkey % 3 = 0 then 'local' when p_partkey % 2 = 0 then 'n2' end as source, case when p_partkey % 3 = 0 or p_partkey % 2 = 0 then 'ok' else 'missing' end as status, p_partkey % 3 <> 0 and p_partkey % 2 = 0 as promote from part")
+@query(f"""
+with r as ({ranks_sql(NODES)}),
+a as (select p_partkey, arg_min(node, rank) as node from r where rank <= 2 and (node = 'n2' and p_partkey % 2 = 0 or node = 'n3' and p_partkey % 5 <> 0 or node = 'n4') group by 1)
+select p.p_partkey, case when p.p_partkey % 3 = 0 then p_name when node = 'n4' then null else node || p_name end as payload, case when p.p_partkey % 3 = 0 then 'local' else node end as source,
+  case when p.p_partkey % 3 = 0 then 'ok' when node = 'n4' then 'error' when node is null then 'missing' else 'ok' end as status, p.p_partkey % 3 <> 0 and coalesce(node <> 'n4', false) as promote from part p left join a on a.p_partkey = p.p_partkey""")
 def routed_reads(spark, sf_dir):
-    p = _keys(spark, sf_dir).join(table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("payload")), "p_partkey").withColumnRenamed("key", "id")
-    peers = p.where("p_partkey % 2 = 0").select(F.lit("n2").alias("node"), "id", "payload")
-    got = routing.routed_get(p.select("id"), p.where("p_partkey % 3 = 0").select("id", "payload"), peers, NODES, 4, "n1")
+    """Two owners a key are asked in order of rank; n2 and n3 hold some keys, n4 fails, n1 reads."""
+    p = _plain_keys(spark, sf_dir).join(table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("payload")), "p_partkey").withColumnRenamed("key", "id")
+    holds = lambda n, which: p.where(which).select(F.lit(n).alias("node"), "id", F.concat(F.lit(n), "payload").alias("payload"))
+    peers = holds("n2", "p_partkey % 2 = 0").unionByName(holds("n3", "p_partkey % 5 <> 0"))
+    got = routing.routed_get(p.select("id"), p.where("p_partkey % 3 = 0").select("id", "payload"), peers, NODES, 2, "n1", ["n4"], digest.weight_sha256)
     return p.select("p_partkey", "id").join(got, "id").drop("id")
 
 
-@query("select p_partkey, 1::BIGINT as durable, case when p_partkey >= 0 then 3 end::BIGINT as sent from part")
+@query(f"select p_partkey, 'n1' as node, 'durable' as status from part union all select p_partkey, node, case when node = 'n3' then 'failed' else 'replicated' end from ({ranks_sql(NODES)}) where rank <= 2 and node <> 'n1'")
 def routed_writes(spark, sf_dir):
-    k = _keys(spark, sf_dir).withColumnRenamed("key", "id")
-    put = routing.routed_put(k.select("id"), NODES, 4, "n1", ["n3"]).groupBy("id")
-    put = put.agg(F.count_if(F.col("status") == "durable").alias("durable"), F.count_if(F.col("status") != "durable").alias("sent"))
-    return k.join(put, "id").select("p_partkey", "durable", "sent")
+    k = _plain_keys(spark, sf_dir).withColumnRenamed("key", "id")
+    put = routing.routed_put(k.select("id"), NODES, 2, "n1", ["n3"], digest.weight_sha256)
+    return k.join(put, "id").select("p_partkey", "node", "status")
 
 
 @query("""
@@ -563,11 +587,9 @@ def narinfo_errors(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select("s_suppkey", protocol.narinfo_fields(text)["error"].alias("error"))
 
 
-@query(f"select s_suppkey, starts_with(f, '1;' || path || ';sha256:') as prefix_ok, ends_with(f, ';' || size || ';' || case when has then path else '' end) as suffix_ok, length(f)::INTEGER as n from (select *, '1;' || path || ';sha256:' || repeat('x', 52) || ';' || size || ';' || case when has then path else '' end as f from ({_NAR}))")
+@query(f"""select s_suppkey, '1;' || path || ';sha256:' || reverse({base32_sql('h')}) || ';' || size || ';' || case when has then path else '' end as fingerprint from (select *, sha256(s_suppkey::VARCHAR) as h from ({_NAR}))""")
 def narinfo_fingerprint(spark, sf_dir):
-    n = narinfos(spark, sf_dir)
-    f = n.withColumn("f", protocol.fingerprint(F.col("path"), F.col("h"), F.col("size"), F.col("refs")))
-    return f.select("s_suppkey", F.startswith("f", F.concat(F.lit("1;"), "path", F.lit(";sha256:"))).alias("prefix_ok"), F.endswith("f", F.concat(F.lit(";"), F.col("size").cast("string"), F.lit(";"), F.array_join("refs", ","))).alias("suffix_ok"), F.length("f").alias("n"))
+    return narinfos(spark, sf_dir).select("s_suppkey", protocol.fingerprint(F.col("path"), F.col("h"), F.col("size"), F.col("refs")).alias("fingerprint"))
 
 
 @query(f"select s_suppkey, s_suppkey % 7 <> 0 as verified, 1 as sigs from ({_NAR})")
@@ -620,3 +642,75 @@ def request_responses(spark, sf_dir):
 @query("select 'cache-info' as name, 'StoreDir: /nix/store' || chr(10) || 'WantMassQuery: 1' || chr(10) || 'Priority: 30' || chr(10) as body union all select 'options', 'HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Length: 0' || chr(13) || chr(10) || 'DAV: 1,2' || chr(13) || chr(10) || 'Allow: OPTIONS, GET, HEAD, PUT, DELETE, MKCOL, PROPFIND' || chr(13) || chr(10) || 'Connection: close' || chr(13) || chr(10) || chr(13) || chr(10)")
 def fixed_responses(spark, sf_dir):
     return spark.createDataFrame([("cache-info", protocol.cache_info()), ("options", protocol.options_response().decode())], "name string, body string")
+
+
+# ---- ordered jobs, audits, verified reads and reclaiming
+@query("select doc_id as index, (doc_id * 7)::BIGINT as \"offset\", octet_length(encode(text))::BIGINT as length, sha256(text) as digest from documents")
+def ordered_hash_jobs(spark, sf_dir):
+    jobs = streams(spark, sf_dir).select(F.col("doc_id").alias("index"), (F.col("doc_id") * 7).alias("offset"), F.col("payload").alias("data"))
+    return store.hash_jobs(jobs).withColumn("digest", columns.hex_lower(F.col("digest")))
+
+
+@query("select page_id as index, sha256(html) as sha256 from pages")
+def ordered_compression_jobs(spark, sf_dir):
+    """Compressed in order and read back."""
+    jobs = table(spark, sf_dir, "pages").select(F.col("page_id").alias("index"), columns.utf8(F.col("html")).alias("data"))
+    return store.compression_jobs(jobs).select("index", F.sha2(columns.decompress("zstd")("compressed")["data"], 256).alias("sha256"))
+
+
+@query("select * from (values ('ephemeral', 1, 1, 1, false, 'evictable'), ('standard', 2, 1, 2, false, 'policy'), ('premium', 2, 2, 2, false, 'versions'), ('immutable', 3, 3, 3, true, 'locked')) as t(class, replicas, min_regions, min_zones, require_archive, deletion)")
+def service_classes(spark, sf_dir):
+    return lifecycle.service_objectives(spark)
+
+
+#: Which keys have a durable copy on which resource; eu-b holds latency copies only, gone is in no catalogue.
+COPIES = {"us-a": "p_partkey % 7 <> 0", "us-b": "p_partkey % 2 = 0", "eu-a": "p_partkey % 3 = 0", "vault": "p_partkey % 5 = 0", "gone": "p_partkey % 13 = 0"}
+
+
+@query(f"""
+with k as (select p_partkey, (['ephemeral', 'standard', 'premium', 'immutable', 'unheard'])[p_partkey % 11 % 5 + 1] as class, ({COPIES['us-a']})::INT as a, ({COPIES['us-b']})::INT as b, ({COPIES['eu-a']})::INT as e, ({COPIES['vault']})::INT as v from part),
+f as (select p_partkey, class, unnest([case when class = 'unheard' then 'class' end,
+  case when a + b + e + v < case class when 'ephemeral' then 1 when 'immutable' then 3 else 2 end and class <> 'unheard' then 'replicas' end,
+  case when greatest(a, b) + e + v < case class when 'premium' then 2 when 'immutable' then 3 else 1 end and class <> 'unheard' then 'regions' end,
+  case when a + b + e + v < case class when 'ephemeral' then 1 when 'immutable' then 3 else 2 end and class <> 'unheard' then 'zones' end,
+  case when class = 'immutable' and v = 0 then 'archive' end, case when {COPIES['gone']} then 'resource' end]) as finding from k)
+select p_partkey as key, class, finding from f where finding is not null""")
+def placement_audit(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select("p_partkey")
+    name = F.element_at(F.array(*[F.lit(x) for x in ("ephemeral", "standard", "premium", "immutable", "unheard")]), (F.col("p_partkey") % 11 % 5 + 1).cast("int"))
+    durable = F.array_compact(F.array(*[F.when(F.expr(c), F.lit(r)) for r, c in COPIES.items()]))
+    copy = F.concat(F.transform(durable, lambda r: F.struct(r.alias("resource"), F.lit("durable").alias("role"))), F.array(F.struct(F.lit("eu-b").alias("resource"), F.lit("latency").alias("role"))))
+    copies = p.select(F.col("p_partkey").alias("key"), F.inline(copy))
+    return lifecycle.placement_findings(p.select(F.col("p_partkey").alias("key"), name.alias("class")), copies, catalogue_of_resources(spark)[0], lifecycle.service_objectives(spark))
+
+
+@query("""
+with r as (select l_partkey as chunk, bool_or(l_linestatus = 'O' and l_orderkey % 4 <> 0) as live, bool_or(l_orderkey % 97 = 0) as held, bool_or(l_linenumber > 5) as retained from lineitem group by 1)
+select p_partkey as chunk, case when live then 'live' when held then 'held' when retained then 'retained' when p_partkey % 6 = 0 then 'repair' when p_partkey % 5 = 0 then 'no_tombstone' else 'reclaim' end as verdict from part left join r on chunk = p_partkey""")
+def reclaiming(spark, sf_dir):
+    """Items as references: open ones live unless every fourth order deleted them; some held, some retained."""
+    refs = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("chunk"), F.expr("not (l_linestatus = 'O' and l_orderkey % 4 <> 0)").alias("deleted"), F.expr("l_orderkey % 97 = 0").alias("hold"), F.col("l_linenumber").alias("retain_until"))
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("chunk"), F.expr("p_partkey % 5 <> 0").alias("tombstoned"))
+    return lifecycle.reclaim_verdicts(p, refs, p.where("chunk % 6 = 0"), F.lit(5))
+
+
+@query("""select doc_id, status, case when status = 'ok' then sha256(text) end as sha256 from (select doc_id, text, case when doc_id % 19 = 0 then 'unknown' when doc_id % 17 = 0 then 'commit' when doc_id % 13 = 0 then 'level0' when doc_id % 11 = 0 then 'limit'
+  when doc_id % 7 = 0 then 'chunk_count' when doc_id % 5 = 0 then 'recipe_end' else 'ok' end as status from documents)""")
+def published_reads(spark, sf_dir):
+    """Texts published with commit, bootstrap manifest and recipe, some of them damaged on the way, read by their tags."""
+    files = streams(spark, sf_dir).select("doc_id", "payload", F.octet_length("payload").cast("long").alias("n"))
+    chunks = store.chunk_table(files, "doc_id", "payload", SMALL, emit_payload=True, hash_="none")
+    chunks = chunks.withColumn("id", columns.content_id("chunk")("payload")).withColumn("level1", columns.sha256_raw(F.col("doc_id").cast("string")))
+    entries = chunks.select("level1", "seq", F.col("offset").alias("logical_offset"), "length", F.col("id").alias("chunk"))
+    count = chunks.groupBy("doc_id").agg(F.count("*").alias("chunks"))
+    d = F.col("doc_id")
+    size = F.when(d % 11 == 0, F.lit(lifecycle.MAX_BYTES + 1)).when(d % 5 == 0, F.col("n") + 1).otherwise(F.col("n"))
+    h = files.join(count, "doc_id", "left").fillna(0, ["chunks"])
+    h = h.withColumn("head", manifest.level0_blob(d, F.lit(1), size, F.col("chunks") + F.when(d % 7 == 0, 1).otherwise(0), columns.sha256_raw(d.cast("string")), F.lit(None).cast("binary")))
+    h = h.withColumn("level0", columns.content_id("level0")("head")).withColumn("record", manifest.commit_record(d, F.col("level0"), F.lit(None).cast("binary"), F.lit(1)))
+    h = h.withColumn("commit", columns.content_id("commit")("record"))
+    changed = lambda c, when: F.when(when, F.concat(F.substring(c, 1, 20), F.lit(b"\xff\x00\xff"), F.expr(f"substring({c}, 24)"))).otherwise(F.col(c))
+    blobs = h.select(F.col("commit").alias("id"), changed("record", d % 17 == 0).alias("payload")).unionByName(h.select(F.col("level0").alias("id"), changed("head", d % 13 == 0).alias("payload")))
+    tags = h.select(d.alias("tag"), F.when(d % 19 == 0, columns.sha256_raw(F.lit("none"))).otherwise(F.col("commit")).alias("commit"))
+    objects = chunks.select("id", "payload").dropDuplicates(["id"])
+    return lifecycle.read_published(tags, blobs, entries, objects).select(F.col("tag").alias("doc_id"), "status", F.sha2("payload", 256).alias("sha256"))

@@ -73,16 +73,18 @@ def read_published(tags: DataFrame, blobs: DataFrame, entries: DataFrame, object
     named = lambda ids: ids.where("id is not null").distinct().join(blobs.select("id", "payload"), "id")
     commits = named(tags.select(F.col("commit").alias("id")))
     commits = commits.select(F.col("id").alias("commit"), verified("commit").alias("good"), manifest.commit_fields(F.col("payload")).alias("c")).select("commit", F.lit(True).alias("there"), F.when(F.col("good"), F.col("c.level0")).alias("level0"))
+    commits = manifest.settled(commits)  # ids alone, here and below: each step is used by several later ones
     # the id of a bootstrap manifest is taken over all its bytes, its own digest over those before it
     heads = named(commits.select(F.col("level0").alias("id")))
     heads = heads.select(F.col("id").alias("level0"), verified("level0").alias("good"), manifest.level0_fields(F.col("payload"), domain).alias("f")).where("good and f.error is null")
     heads = heads.select("level0", "f.level1", "f.nar_length", "f.chunk_count", ((F.col("f.chunk_count") <= max_entries) & (F.col("f.nar_length") <= max_bytes)).alias("fits"))
+    heads = manifest.settled(heads)
     # only recipes within the limits are gathered, and none that has more entries than its manifest says
     recipe = heads.where("fits").select("level0", "level1", "nar_length").join(entries, "level1")
     found = manifest.recipe_findings(recipe.withColumnRenamed("level0", "object")).withColumnRenamed("object", "level0")
     heads = heads.join(found, "level0", "left").withColumn("entries", F.coalesce("entries", F.lit(0))).withColumn("finding", F.when(F.col("entries") == 0, F.when(F.col("nar_length") != 0, "end")).otherwise(F.col("finding")))
     fault = F.when(~F.col("fits"), "limit").when(F.col("entries") != F.col("chunk_count"), "chunk_count").when(F.col("finding").isNotNull(), F.concat(F.lit("recipe_"), "finding"))
-    heads = heads.withColumn("fault", fault)
+    heads = manifest.settled(heads.withColumn("fault", fault).select("level0", "fault"))
     parts = recipe.select("level0", "seq", "length", F.col("chunk").alias("id")).join(heads.where("fault is null").select("level0"), "level0", "left_semi")
     # every chunk is hashed once, however many recipes name it
     held = objects.select("id", "payload").join(parts.select("id").distinct(), "id", "left_semi").withColumn("good", verified("chunk"))

@@ -685,13 +685,13 @@ def placement_audit(spark, sf_dir):
 
 
 @query("""
-with r as (select l_partkey as chunk, bool_or(l_linestatus = 'O' and l_orderkey % 4 <> 0) as live, bool_or(l_orderkey % 97 = 0) as held, bool_or(l_linenumber > 5) as retained from lineitem group by 1)
+with r as (select l_partkey as chunk, bool_or(l_orderkey % 50 = 0) as live, bool_or(l_orderkey % 61 = 0) as held, bool_or(l_orderkey % 40 > 38) as retained from lineitem group by 1)
 select p_partkey as chunk, case when live then 'live' when held then 'held' when retained then 'retained' when p_partkey % 6 = 0 then 'repair' when p_partkey % 5 = 0 then 'no_tombstone' else 'reclaim' end as verdict from part left join r on chunk = p_partkey""")
 def reclaiming(spark, sf_dir):
-    """Items as references: open ones live unless every fourth order deleted them; some held, some retained."""
-    refs = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("chunk"), F.expr("not (l_linestatus = 'O' and l_orderkey % 4 <> 0)").alias("deleted"), F.expr("l_orderkey % 97 = 0").alias("hold"), F.col("l_linenumber").alias("retain_until"))
+    """Items as references, most of them deleted; some held, some retained."""
+    refs = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("chunk"), F.expr("l_orderkey % 50 <> 0").alias("deleted"), F.expr("l_orderkey % 61 = 0").alias("hold"), F.expr("l_orderkey % 40").alias("retain_until"))
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("chunk"), F.expr("p_partkey % 5 <> 0").alias("tombstoned"))
-    return lifecycle.reclaim_verdicts(p, refs, p.where("chunk % 6 = 0"), F.lit(5))
+    return lifecycle.reclaim_verdicts(p, refs, p.where("chunk % 6 = 0"), F.lit(38))
 
 
 @query("""select doc_id, status, case when status = 'ok' then sha256(text) end as sha256 from (select doc_id, text, case when doc_id % 19 = 0 then 'unknown' when doc_id % 17 = 0 then 'commit' when doc_id % 13 = 0 then 'level0' when doc_id % 11 = 0 then 'limit'
@@ -701,6 +701,7 @@ def published_reads(spark, sf_dir):
     files = streams(spark, sf_dir).select("doc_id", "payload", F.octet_length("payload").cast("long").alias("n"))
     chunks = store.chunk_table(files, "doc_id", "payload", SMALL, emit_payload=True, hash_="none")
     chunks = chunks.withColumn("id", columns.content_id("chunk")("payload")).withColumn("level1", columns.sha256_raw(F.col("doc_id").cast("string")))
+    chunks = manifest.settled(chunks)  # what was published is a table
     entries = chunks.select("level1", "seq", F.col("offset").alias("logical_offset"), "length", F.col("id").alias("chunk"))
     count = chunks.groupBy("doc_id").agg(F.count("*").alias("chunks"))
     d = F.col("doc_id")
@@ -708,7 +709,7 @@ def published_reads(spark, sf_dir):
     h = files.join(count, "doc_id", "left").fillna(0, ["chunks"])
     h = h.withColumn("head", manifest.level0_blob(d, F.lit(1), size, F.col("chunks") + F.when(d % 7 == 0, 1).otherwise(0), columns.sha256_raw(d.cast("string")), F.lit(None).cast("binary")))
     h = h.withColumn("level0", columns.content_id("level0")("head")).withColumn("record", manifest.commit_record(d, F.col("level0"), F.lit(None).cast("binary"), F.lit(1)))
-    h = h.withColumn("commit", columns.content_id("commit")("record"))
+    h = manifest.settled(h.withColumn("commit", columns.content_id("commit")("record")).select("doc_id", "head", "level0", "record", "commit"))
     changed = lambda c, when: F.when(when, F.concat(F.substring(c, 1, 20), F.lit(b"\xff\x00\xff"), F.expr(f"substring({c}, 24)"))).otherwise(F.col(c))
     blobs = h.select(F.col("commit").alias("id"), changed("record", d % 17 == 0).alias("payload")).unionByName(h.select(F.col("level0").alias("id"), changed("head", d % 13 == 0).alias("payload")))
     tags = h.select(d.alias("tag"), F.when(d % 19 == 0, columns.sha256_raw(F.lit("none"))).otherwise(F.col("commit")).alias("commit"))

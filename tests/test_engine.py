@@ -409,3 +409,57 @@ def test_functions_are_callable_from_sql(spark):
     r = spark.sql(f"select sign_data(cast('m' as binary), '{secret}').signature as s, sha256_raw(cast('hello world' as binary)) as h, nix_base32_encode(cast('foo' as binary)) as n, forward_base32_encode(cast('foo' as binary)) as f, decompress_auto(compress_smallest(cast('x' as binary))).data as x").first()
     assert bytes(r.h).hex().startswith("b94d27b9") and (r.n, r.f, bytes(r.x)) == ("6yvv6", "6vvy6", b"x")
     assert spark.sql(f"select signature_error(cast('m' as binary), '{r.s}', '{public}') as e").first().e is None
+
+
+# ---- audits, published reads
+def test_published_reads_find_changed_and_absent_chunks(spark):
+    from quarry.operators import lifecycle, manifest
+
+    parts = {"a": [b"one", b"two"], "b": [b"two", b"three"], "c": [b"three", b"four"], "d": [b"one", b"one"], "e": []}
+    id_ = lambda kind, x: digest.content_id(digest.KINDS[kind], x)
+    rows = [(t, bytes([i + 1]) * 32, len(p), sum(map(len, p))) for i, (t, p) in enumerate(sorted(parts.items()))]
+    h = spark.createDataFrame([(t, bytearray(x), n, size) for t, x, n, size in rows], "tag string, level1 binary, n long, size long")
+    h = h.withColumn("head", manifest.level0_blob(F.lit(1), F.lit(1), F.col("size"), F.col("n"), F.col("level1"), F.lit(None).cast("binary"))).withColumn("level0", columns.content_id("level0")("head"))
+    h = h.withColumn("record", manifest.commit_record(F.lit(1), F.col("level0"), F.lit(None).cast("binary"), F.lit(1))).withColumn("id", columns.content_id("commit")("record"))
+    blobs = h.select("id", F.col("record").alias("payload")).unionByName(h.select(F.col("level0").alias("id"), F.col("head").alias("payload")))
+    level1 = {t: x for t, x, _, _ in rows}
+    entries = [(bytearray(level1[t]), k, sum(map(len, p[:k])), len(x), bytearray(id_("chunk", x))) for t, p in parts.items() for k, x in enumerate(p)]
+    entries = spark.createDataFrame(entries, "level1 binary, seq int, logical_offset long, length long, chunk binary")
+    held = [(bytearray(id_("chunk", x)), bytearray(y)) for x, y in ((b"one", b"one"), (b"two", b"two"), (b"three", b"thr33"))]
+    objects = spark.createDataFrame(held, "id binary, payload binary")
+    tags = h.select("tag", F.col("id").alias("commit")).unionByName(spark.createDataFrame([("x", None)], "tag string, commit binary"))
+    read = lambda **k: {r.tag: (r.status, None if r.payload is None else bytes(r.payload)) for r in lifecycle.read_published(tags, blobs, entries, objects, **k).collect()}
+    assert read() == {"a": ("ok", b"onetwo"), "b": ("integrity", None), "c": ("integrity", None), "d": ("ok", b"oneone"), "e": ("ok", b""), "x": ("unknown", None)}
+    assert {t: s for t, (s, _) in read(max_entries=1).items()} == {"a": "limit", "b": "limit", "c": "limit", "d": "limit", "e": "ok", "x": "unknown"}
+    objects = objects.where(objects.id != F.lit(bytes(id_("chunk", b"three"))))
+    assert {t: s for t, (s, _) in read().items()} == {"a": "ok", "b": "missing_chunk", "c": "missing_chunk", "d": "ok", "e": "ok", "x": "unknown"}
+    entries = entries.withColumn("length", F.col("length") + F.when(F.col("seq") == 1, 1).otherwise(0))
+    assert read()["a"][0] == "recipe_end"
+
+
+def test_placement_audit_of_odd_copies(spark):
+    from quarry.operators import lifecycle
+
+    r, _ = catalogue.catalogue_of_resources(spark)
+    keys = spark.createDataFrame([(1, "premium"), (2, "premium"), (3, None), (4, "ephemeral")], "key int, class string")
+    copies = [(1, "us-a", "durable"), (1, "us-a", "durable"), (1, "eu-a", "latency"), (2, "us-a", "durable"), (2, "eu-a", "durable"), (4, "nowhere", "durable"), (4, None, "durable")]
+    got = lifecycle.placement_findings(keys, spark.createDataFrame(copies, "key int, resource string, role string"), r, lifecycle.service_objectives(spark))
+    assert {(x.key, x.finding) for x in got.collect()} == {(1, "replicas"), (1, "regions"), (1, "zones"), (3, "class"), (4, "replicas"), (4, "regions"), (4, "zones"), (4, "resource")}
+
+
+def test_moves_that_no_change_of_members_explains(spark):
+    from quarry.operators import lifecycle
+
+    df = lambda rows: spark.createDataFrame(rows, "key string, node string")
+    before = df([("a", "1"), ("b", "1"), ("c", "2")])
+    assert lifecycle.unneeded_moves(before, df([("a", "3"), ("b", "2"), ("c", "1")]), ["3"], ["2"]).collect() == [("b", "2")]
+
+
+def test_reclaim_verdicts(spark):
+    from quarry.operators import lifecycle
+
+    c = spark.createDataFrame([(k, k != 6) for k in range(8)] + [(8, None)], "chunk int, tombstoned boolean")
+    refs = [(0, None, None, None), (1, True, True, None), (2, True, None, 9), (3, True, False, 5), (4, True, None, None), (4, False, None, None)]
+    refs = spark.createDataFrame(refs, "chunk int, deleted boolean, hold boolean, retain_until int")
+    got = lifecycle.reclaim_verdicts(c, refs, spark.createDataFrame([(5,), (5,)], "chunk int"), F.lit(5))
+    assert {r.chunk: r.verdict for r in got.collect()} == {0: "live", 1: "held", 2: "retained", 3: "reclaim", 4: "live", 5: "repair", 6: "no_tombstone", 7: "reclaim", 8: "no_tombstone"}

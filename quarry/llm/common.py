@@ -38,16 +38,20 @@ ARROW_ROWS = 1_000
 
 
 @contextlib.contextmanager
-def arrow_rows(spark: SparkSession, rows: int = ARROW_ROWS) -> Iterator[None]:
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+def setting(spark: SparkSession, key: str, most: int) -> Iterator[None]:
+    """A limit of the session, lowered to this for a while."""
     before = spark.conf.get(key)
-    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    spark.conf.set(key, str(min(most, int(before)) if int(before) > 0 else most))
     try:
         yield
     finally:
         spark.conf.set(key, before)
 
 
+def arrow_rows(spark: SparkSession, rows: int = ARROW_ROWS) -> contextlib.AbstractContextManager[None]:
+    return setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 class Scratch:
     """Tables that cut lineage: written once as Parquet in the shared folder, dropped when no longer needed. As a
     context, all of them go if the operator fails."""

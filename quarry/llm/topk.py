@@ -7,9 +7,10 @@ scores gathered so far are lower bounds; what is still to come in a dimension in
 the impact of its next segment. Rows that can no longer reach a proven k-th score are not among the best; once enough
 are ruled out, or no segment is left, the possible rest is scored exactly. The best of all blocks are merged by query.
 
-A block is packed into one row and meets packed batches of queries by its number, so that a block is shuffled once and
-its index built once in the task that holds it, while the queries pass by in batches of bounded size. Every query has to
-meet every block, by what the search is for.
+A block is packed into one row, and so is a batch of queries. Every query has to meet every block, by what the search is
+for; they meet in a Cartesian product of the two kept tables. Its tasks read their part of both from the shared folder, so
+no copy of a query per block is shuffled, broadcast or sent to the driver. A task builds the index of a block once while
+batches of queries pass by, and merges the best of its blocks by query before it writes them.
 
 Defined results: vectors that are null or hold null, NaN or infinite components, and rows without id, take no part;
 components may be of any finite size: scores are compared exactly, and one that does not fit a long is returned as the
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Scratch, arrow_rows, pick, tidy
+from quarry.llm.common import Scratch, arrow_rows, pick, setting, tidy
 
 BLOCK, QUERY_BLOCK = 8_192, 256
 #: Values of one segment differ in this many low bits. A block is looked at after the part FIRST of its postings and then
@@ -36,6 +37,9 @@ BLOCK, QUERY_BLOCK = 8_192, 256
 #: scored exactly, which costs less than as many postings.
 SHIFT, FIRST, LOOK, POSSIBLE = 4, 0.375, 0.125, 0.5
 LONG = (1 << 63) - 1
+#: A task of the product writes out what it has once it holds the best of so many queries. Spark may spill the batches of
+#: queries that wait for the next block beyond this number of them.
+HELD, WAITING = 1 << 17, 16
 
 
 class Block:
@@ -176,22 +180,33 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, scale: float = 256.0
             return dealt.groupBy("dim", number).applyInPandas(pack, f"dim int, {number} int, {names}")
 
         def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held, index = None, None
+            held, index, best = None, None, {}
+
+            def found() -> pa.RecordBatch:
+                rows = [(*at, i, max(-LONG - 1, min(LONG, s)), _key(s)) for at, top in best.items() for s, i in top]
+                best.clear()
+                cols = list(zip(*rows, strict=True)) or [()] * 5
+                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 4 + [pa.string()], strict=True)], names=["row", "query_id", "vec_id", "score", "key"])
+
             for b in batches:
-                found = []
                 for dim, number, *parts in zip(*(c.to_pylist() for c in b.columns), strict=True):
                     if (dim, number) != held:
                         held, index = (dim, number), Block(*_unpacked(*parts[:3]), k)
                     for row, vec_id, q in zip(*_unpacked(*parts[3:]), strict=True):
-                        found += [(int(row), int(vec_id), i, max(-LONG - 1, min(LONG, s)), _key(s)) for s, i in index.search(q, row)]
-                cols = list(zip(*found, strict=True)) or [()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 4 + [pa.string()], strict=True)], names=["row", "query_id", "vec_id", "score", "key"])
+                        at = int(row), int(vec_id)
+                        best[at] = sorted(best.get(at, []) + index.search(q, row), key=lambda t: (-t[0], t[1]))[:k]
+                if len(best) >= HELD:
+                    yield found()
+            yield found()
 
         index = scratch.keep(deal(v.select("dim", "row", "vec_id", "q"), blocks, "block", "crow binary, cid binary, cx binary"), "blocks")
         asked = scratch.keep(deal(v.where("asks").select("dim", "row", "vec_id", "q"), parts, "part", "qrow binary, qid binary, qx binary"), "queries")
-        asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))  # every batch meets every block
-        both = index.join(asked, ["dim", "block"]).select("dim", "block", "crow", "cid", "cx", "qrow", "qid", "qx")
-        with arrow_rows(vectors.sparkSession, 4):  # a row holds a whole block
+        # every batch meets every block: by hint, as Spark would broadcast or shuffle a copy of one side for each row of the other
+        spark = vectors.sparkSession
+        tasks = 4 * spark.sparkContext.defaultParallelism
+        asked = asked.coalesce(max(1, -(-tasks // max(1, index.rdd.getNumPartitions())), -(-asking // HELD)))
+        both = index.hint("shuffle_replicate_nl").join(asked, "dim").select("dim", "block", "crow", "cid", "cx", "qrow", "qid", "qx")
+        with arrow_rows(spark, 4), setting(spark, "spark.sql.cartesianProductExec.buffer.in.memory.threshold", WAITING):  # a row holds a whole block
             best = scratch.keep(both.mapInArrow(tidy(meet), "row long, query_id long, vec_id long, score long, key string"), "best")
         rank = F.row_number().over(Window.partitionBy("row", "query_id").orderBy(F.desc("score"), F.desc("key"), "vec_id"))
         return scratch.finish(best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))

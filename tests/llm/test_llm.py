@@ -72,6 +72,30 @@ def test_topk_of_equal_and_of_no_vectors(spark):
     assert topk.search(same.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+def test_topk_sends_no_queries_to_the_driver(spark, monkeypatch):
+    """Queries meet blocks without a broadcast, which the driver would have to hold with a copy of each query per block,
+    and without a shuffle of such copies; and tasks that write out early, or none of whose queries wait, lose nothing."""
+    rng = random.Random(2)
+    data = [(i, [rng.choice([-0.5, 0.25, 0.0, 0.5]) for _ in range(6)]) for i in range(1000)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<float>")
+    plans, keep = {}, Scratch.keep
+
+    def kept(self, df, name, *a, **k):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return keep(self, df, name, *a, **k)
+
+    monkeypatch.setattr(Scratch, "keep", kept)
+    monkeypatch.setattr(topk, "HELD", 7)
+    before = spark.conf.get("spark.sql.maxBroadcastTableSize")
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "8k")
+    try:
+        assert set(rows(topk.search(df, F.col("vec_id") % 50 == 0, block=16, query_block=1))) == brute_topk(data)
+    finally:
+        spark.conf.set("spark.sql.maxBroadcastTableSize", before)
+    assert all("Broadcast" not in plan for plan in plans.values())
+    assert "CartesianProduct" in plans["best"] and "Exchange" not in plans["best"]
+
+
 def test_topk_leaves_postings_of_skewed_vectors_unread():
     """Where few dimensions decide, the segments end early, and no posting is read twice."""
     rng = np.random.default_rng(4)

@@ -46,6 +46,17 @@ def chunk_table(streams: DataFrame, key: str, payload: str, options: cdc.ChunkOp
     return streams.select(key, F.col(payload).alias("payload")).mapInArrow(work, f"{key} {kind}, seq int, offset long, length long, hash binary" + ", payload binary" * emit_payload)
 
 
+#: Tasks of rows that are dealt out, if that gives every core two at least: more would cost more than they even out.
+SHARES = 48
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows dealt out evenly to all cores: a file of narrow rows is read by few tasks, however much work a row is.
+    The number is given, so that small shares are not put together again."""
+    spark = rows.sparkSession
+    return rows.repartition(max(2 * spark.sparkContext.defaultParallelism, min(SHARES, int(spark.conf.get("spark.sql.shuffle.partitions")))))
+
+
 def hash_jobs(jobs: DataFrame) -> DataFrame:
     """index, offset, length, digest of jobs(index, offset, data), in order of index, however workers finish."""
     return jobs.select("index", "offset", F.octet_length("data").cast("long").alias("length"), columns.sha256_raw(F.col("data")).alias("digest")).orderBy("index")

@@ -486,6 +486,10 @@ def propfind_bodies(spark, sf_dir):
 
 
 # ---- signatures, witness, narinfo, requests
+def suppliers(spark, sf_dir):
+    return store.spread(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"))
+
+
 @query("select s_suppkey, case when s_suppkey % 7 = 0 then 'invalid' else 'valid' end as verdict from supplier")
 def signature_verdicts(spark, sf_dir):
     s = table(spark, sf_dir, "supplier").select("s_suppkey", F.encode("s_name", "UTF-8").alias("m"))
@@ -499,7 +503,7 @@ def signature_errors(spark, sf_dir):
     """Keys and signatures in base64, each wrong in its own way."""
     secret, public = base64.b64encode(SEED).decode(), base64.b64encode(digest.public_key(SEED)).decode()
     k, k4 = F.col("s_suppkey") % 6, F.col("s_suppkey") % 4
-    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.encode("s_name", "UTF-8").alias("m"))
+    s = suppliers(spark, sf_dir).select("s_suppkey", F.encode("s_name", "UTF-8").alias("m"))
     s = s.withColumn("sig", columns.sign_data("m", F.lit(secret))["signature"])
     sig = F.when(k == 3, F.lit(secret)).when(k == 5, F.concat("sig", F.lit("!"))).otherwise(F.col("sig"))
     key = F.when(k == 1, F.lit("not base64")).when(k == 2, F.lit("AAAA")).otherwise(F.lit(public))
@@ -514,7 +518,7 @@ def named_keys(spark, sf_dir):
     public = digest.public_key(SEED)
     key = F.when(k == 3, base64.b64encode(SEED + public).decode()).when(k == 2, "%%%").otherwise(base64.b64encode(public).decode())
     text = F.when(k == 1, name).otherwise(F.concat(F.lit(" "), name, F.lit(":"), key, F.lit("\n")))
-    s = table(spark, sf_dir, "supplier").select("s_suppkey", columns.named_key("secret")(text).alias("s"), columns.named_key("public")(text).alias("p"))
+    s = suppliers(spark, sf_dir).select("s_suppkey", columns.named_key("secret")(text).alias("s"), columns.named_key("public")(text).alias("p"))
     return s.select("s_suppkey", "s.name", "s.error", F.col("p.name").alias("public_name"), F.col("p.error").alias("public_error"))
 
 
@@ -584,7 +588,7 @@ def narinfo_errors(spark, sf_dir):
     size = F.when(k == 5, "12x").when(k == 6, str(1 << 64)).otherwise(str((1 << 64) - 1))
     line = lambda key, v, absent: F.when(k == absent, F.lit("")).otherwise(F.concat(F.lit(f"{key}: "), v, F.lit("\n")))
     text = F.concat(line("StorePath", F.lit("/nix/store/x"), -1), line("URL", F.lit("nar/x"), 7), line("FileHash", F.when(k == 8, F.lit("x")).otherwise(h), -1), line("NarHash", nar, -1), line("NarSize", size, 9))
-    return table(spark, sf_dir, "supplier").select("s_suppkey", protocol.narinfo_fields(text)["error"].alias("error"))
+    return suppliers(spark, sf_dir).select("s_suppkey", protocol.narinfo_fields(text)["error"].alias("error"))
 
 
 @query(f"""select s_suppkey, '1;' || path || ';sha256:' || reverse({base32_sql('h')}) || ';' || size || ';' || case when has then path else '' end as fingerprint from (select *, sha256(s_suppkey::VARCHAR) as h from ({_NAR}))""")

@@ -1,5 +1,6 @@
 """Known answers, definitions and SQL oracles for the engine."""
 
+import hashlib
 import random
 from collections import Counter
 
@@ -463,3 +464,44 @@ def test_reclaim_verdicts(spark):
     refs = spark.createDataFrame(refs, "chunk int, deleted boolean, hold boolean, retain_until int")
     got = lifecycle.reclaim_verdicts(c, refs, spark.createDataFrame([(5,), (5,)], "chunk int"), F.lit(5))
     assert {r.chunk: r.verdict for r in got.collect()} == {0: "live", 1: "held", 2: "retained", 3: "reclaim", 4: "live", 5: "repair", 6: "no_tombstone", 7: "reclaim", 8: "no_tombstone"}
+
+
+def test_keys_that_come_up_often_are_multiplied_by_tables():
+    """The same signatures and verdicts by a table of multiples as by doubling, and far fewer operations."""
+    seed = bytes(range(32))
+    public, secret = digest.public_key(seed), digest._secret(seed)[0]
+    for k in (0, 1, 15, 16, secret, digest.L - 1, (1 << 255) - 1):
+        table = digest._Multiples(digest._B, 8, often=0), digest._Multiples(digest._point(public), 4, often=0)
+        assert [digest._bytes(m.times(k)) for m in table] == [digest._bytes(digest._mul(k, m.point)) for m in table]
+    message = [b"%d" % k for k in range(40)]
+    signed = [digest.sign(seed, m) for m in message]
+    plain, digest._add = digest._add, lambda p, q: (count.append(1), plain(p, q))[1]
+    count: list = []
+    try:
+        assert all(digest.verify(public, m, s, True) for m, s in zip(message, signed, strict=True))
+        count.clear()
+        assert all(digest.verify(public, m, s) for m, s in zip(message, signed, strict=True)) and not digest.verify(public, b"x", signed[0])
+    finally:
+        digest._add = plain
+    assert len(count) < 10 * len(message), "every product is doubled again"
+
+
+def test_small_orders_and_odd_encodings_are_told_as_before():
+    identity, minus = digest._bytes((0, 1, 1, 0)), (digest.P - 1).to_bytes(32, "little")
+    odd = [(digest.P + 1).to_bytes(32, "little"), (1 | 1 << 255).to_bytes(32, "little")]
+    for key in (identity, minus):
+        assert digest.verify(key, b"m", identity + bytes(32)) is (key == identity or hash_is_even(identity, key)) and not digest.verify(key, b"m", identity + bytes(32), True)
+    assert not any(digest.verify(identity, b"m", r + bytes(32)) or digest.verify(r, b"m", identity + bytes(32)) for r in odd)
+    public = digest.public_key(bytes(32))
+    s = digest.sign(bytes(32), b"m")
+    assert not digest.verify(public, b"m", s[:32] + (int.from_bytes(s[32:], "little") + digest.L).to_bytes(32, "little"))
+
+
+def hash_is_even(r, key):
+    return int.from_bytes(hashlib.sha512(r + key + b"m").digest(), "little") % digest.L % 2 == 0
+
+
+def test_costly_functions_of_few_narrow_rows_run_on_all_cores(spark):
+    """A file of suppliers is read by one task; signing and verifying are not left to it."""
+    for name in ("signature_errors", "named_keys", "narinfo_errors"):
+        assert catalogue.QUERIES[name](spark, SF).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism, name

@@ -549,7 +549,7 @@ def token_verdicts(spark, sf_dir):
 
         return key.map(make)
 
-    s = table(spark, sf_dir, "supplier").select("s_suppkey", token("s_suppkey").alias("t"))
+    s = suppliers(spark, sf_dir).select("s_suppkey", token("s_suppkey").alias("t"))
     return s.select("s_suppkey", protocol.token_verdict(F.col("t"), "main", 100, digest.public_key(SEED)).alias("status"))
 
 

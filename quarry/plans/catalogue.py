@@ -563,7 +563,7 @@ def witness_verify(spark, sf_dir):
 
 
 def narinfos(spark, sf_dir):
-    s = table(spark, sf_dir, "supplier")
+    s = suppliers(spark, sf_dir)
     path = F.concat(F.lit("/nix/store/"), F.substring(F.sha2("s_name", 256), 1, 32), F.lit("-supplier-"), F.col("s_suppkey").cast("string"))
     return s.select("s_suppkey", path.alias("path"), F.sha2(F.col("s_suppkey").cast("string"), 256).alias("h"), (F.col("s_suppkey") * 10).alias("size"), F.when(F.col("s_suppkey") % 2 == 0, F.array(path)).otherwise(F.array().cast("array<string>")).alias("refs"))
 

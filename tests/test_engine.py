@@ -503,5 +503,5 @@ def hash_is_even(r, key):
 
 def test_costly_functions_of_few_narrow_rows_run_on_all_cores(spark):
     """A file of suppliers is read by one task; signing and verifying are not left to it."""
-    for name in ("signature_errors", "narinfo_resign", "token_verdicts", "named_keys", "narinfo_errors"):
+    for name in ("signature_errors", "signature_verdicts", "narinfo_resign", "token_verdicts", "named_keys", "narinfo_errors"):
         assert catalogue.QUERIES[name](spark, SF).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism, name

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import hmac
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -109,30 +111,74 @@ def codec_of(data: Column) -> Column:
     return out
 
 
+#: Values that are Python objects at once while a batch is worked on, and bytes after which results are handed over.
+VALUES, HANDED = 256, 1 << 20
+
+
+def _lazily(x: pa.Array) -> Iterator:
+    """The values of a batch as Python objects, few at a time, so that no batch is held twice."""
+    for at in range(0, len(x), VALUES):
+        yield from x.slice(at, VALUES).to_pylist()
+
+
+def _release() -> None:
+    """Gives memory that this worker no longer needs back to the system: others wait and work beside it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def _each(f: Callable, kind: str):
-    """An Arrow function of one binary or string column, null for null."""
+    """An Arrow function of one binary or string column, null for null. Results should be small: see _stream."""
+    out = pa.binary() if kind == "binary" else pa.string()
+
+    @F.arrow_udf(T.BinaryType() if kind == "binary" else T.StringType())
+    def apply(x: pa.Array) -> pa.Array:
+        return pa.array((None if v is None else f(v) for v in _lazily(x)), out)
+
+    return apply
+
 
-    @F.pandas_udf(T.BinaryType() if kind == "binary" else T.StringType())
-    def apply(x: pd.Series) -> pd.Series:
-        return x.map(lambda v: None if v is None else f(v))
+def _stream(f: Callable, size: Callable, kind: pa.DataType, returns: T.DataType):
+    """An Arrow function of one column whose results are handed over every HANDED bytes by size, not batch by batch."""
+
+    @F.arrow_udf(returns)
+    def apply(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        try:
+            for x in batches:
+                rows, held = [], 0
+                for v in _lazily(x):
+                    rows.append(f(v))
+                    held += size(rows[-1])
+                    if held >= HANDED:
+                        yield pa.array(rows, kind)
+                        rows, held = [], 0
+                if rows:
+                    yield pa.array(rows, kind)
+                del x, rows
+        finally:
+            _release()
 
     return apply
 
 
+def _packed(f: Callable):
+    """Bytes of bytes, null for null."""
+    return _stream(lambda v: None if v is None else f(v), lambda r: len(r or b""), pa.binary(), T.BinaryType())
+
+
 def _status(f: Callable):
     """data and error of f, whose exceptions are values."""
 
-    @F.pandas_udf(T.StructType([T.StructField("data", T.BinaryType()), T.StructField("error", T.StringType())]))
-    def apply(x: pd.Series) -> pd.DataFrame:
-        rows = []
-        for v in x:
-            try:
-                rows.append((None if v is None else f(v), None))
-            except Exception as e:  # noqa: BLE001  errors are values here
-                rows.append((None, str(e) if isinstance(e, codecs.SizeExceeded) or "unknown_format" in str(e) else "malformed"))
-        return pd.DataFrame(rows, columns=["data", "error"])
+    def one(v) -> dict:
+        try:
+            return {"data": None if v is None else f(v), "error": None}
+        except Exception as e:  # noqa: BLE001  errors are values here
+            return {"data": None, "error": str(e) if isinstance(e, codecs.SizeExceeded) or "unknown_format" in str(e) else "malformed"}
 
-    return apply
+    kind, returns = pa.struct([("data", pa.binary()), ("error", pa.string())]), T.StructType([T.StructField("data", T.BinaryType()), T.StructField("error", T.StringType())])
+    return _stream(one, lambda r: len(r["data"] or b""), kind, returns)
 
 
 shake256 = _each(digest.shake256, "binary")
@@ -148,7 +194,7 @@ def content_id(kind: str = "chunk", domain: bytes = digest.DOMAIN):
 
 
 def compress(codec: str, level: int | None = None):
-    return _each(lambda v: codecs.compress(codec, v, level), "binary")
+    return _packed(lambda v: codecs.compress(codec, v, level))
 
 
 def decompress(codec: str, limit: int = codecs.LIMIT):
@@ -180,7 +226,7 @@ def ed25519_verify(public: bytes, strict: bool = False):
 
 
 def compress_for(strategy: str):
-    return _each(lambda v: codecs.compress_for(strategy, v), "binary")
+    return _packed(lambda v: codecs.compress_for(strategy, v))
 
 
 @F.pandas_udf(T.StructType([T.StructField("signature", T.StringType()), T.StructField("error", T.StringType())]))

@@ -385,7 +385,7 @@ def request_heads(spark, sf_dir):
 @query("select o_orderkey, case when o_orderkey % 7 = 0 then 'digest' when o_orderkey % 11 = 0 then 'version' when o_orderkey % 13 = 0 then 'length' end as error, case when not (o_orderkey % 7 = 0 or o_orderkey % 11 = 0 or o_orderkey % 13 = 0) then o_orderkey end as generation, case when not (o_orderkey % 7 = 0 or o_orderkey % 11 = 0 or o_orderkey % 13 = 0) then o_custkey end as chunk_count from orders")
 def level0_manifests(spark, sf_dir):
     """Bootstrap manifests written, some of them changed or cut, and read."""
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    o = store.spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"))
     b = manifest.level0_blob(F.col("o_orderkey"), F.lit(1), F.lit(2), F.col("o_custkey"), columns.shake256(F.encode(F.col("o_orderkey").cast("string"), "UTF-8")), F.lit(None).cast("binary"))
     o = o.withColumn("b", b)
     put = lambda at, x: F.concat(F.substring("b", 1, at), F.lit(x), F.expr(f"substring(b, {at + 1 + len(x)}, 4096)"))

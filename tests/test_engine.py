@@ -505,3 +505,18 @@ def test_costly_functions_of_few_narrow_rows_run_on_all_cores(spark):
     """A file of suppliers is read by one task; signing and verifying are not left to it."""
     for name in ("signature_errors", "signature_verdicts", "narinfo_resign", "token_verdicts", "named_keys", "narinfo_errors"):
         assert catalogue.QUERIES[name](spark, SF).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism, name
+
+
+def test_column_functions_hand_large_results_over_in_pieces():
+    """A batch of many rows is never held as Python objects, nor its results as one batch."""
+    import pyarrow as pa
+
+    data = bytes(range(256)) * 2048
+    z = codecs.compress("zstd", data)
+    pieces = list(columns.decompress("zstd").func(iter([pa.array([z] * 40 + [None, b"none of it"])])))
+    got = [x for p in pieces for x in p.to_pylist()]
+    assert max(p.nbytes for p in pieces) <= columns.HANDED + 2 * len(data) and len(pieces) > 10
+    assert got == [{"data": data, "error": None}] * 40 + [{"data": None, "error": None}, {"data": None, "error": "malformed"}]
+    packed = list(columns.compress("lz4").func(iter([pa.array([data, None])])))
+    assert [x and codecs.decompress("lz4", x) for p in packed for x in p.to_pylist()] == [data, None]
+    assert columns.shake256.func(pa.array([b"a", None], pa.binary())).to_pylist() == [digest.shake256(b"a"), None]

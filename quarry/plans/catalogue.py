@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import base64
 import json
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -90,10 +92,15 @@ def chunk_size_histogram(spark, sf_dir):
 
 
 def slices(spark, sf_dir, size: int = 512) -> DataFrame:
-    s = streams(spark, sf_dir).where(F.octet_length("payload") > 0)
-    n = F.ceil(F.octet_length("payload") / size).cast("long")
-    s = s.select(F.col("doc_id").cast("string").alias("upload"), "payload", n.alias("n"), F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("slice_no"))
-    return s.select("upload", "slice_no", F.substring("payload", (F.col("slice_no") * size + 1).cast("int"), F.lit(size)).alias("data"), (F.col("slice_no") == F.col("n") - 1).alias("is_last"))
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, len(b), 64):
+                rows = [(u, o // size, x[o : o + size], o + size >= len(x)) for u, x in zip(*(c.to_pylist() for c in b.slice(at, 64).columns), strict=True) for o in range(0, len(x or b""), size)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["upload", "slice_no", "data", "is_last"])
+
+    s = streams(spark, sf_dir).select(F.col("doc_id").cast("string").alias("upload"), "payload")
+    return s.mapInArrow(cut, "upload string, slice_no long, data binary, is_last boolean")
 
 
 @query(_CHUNKS + 'select doc_id, seq::BIGINT as seq, "offset", length from chunks')

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import pickle
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -28,11 +30,17 @@ def _feed(state: tuple, slices: list[tuple[int, bytes, bool]], options: ChunkOpt
     while wanted in waiting:
         data, last = waiting.pop(wanted)
         wanted += 1
+        if finished:
+            out.append((-1, -1, 0, None, "push after finish"))
+            continue
         done = cutter.push(data) + (cutter.finish() if last else [])
         finished = finished or last
         for o, piece in done:
             out.append((seq, o, len(piece), hashlib.sha256(piece).hexdigest(), "ok"))
             seq += 1
+    if finished:
+        out += [(-1, -1, 0, None, "push after finish")] * len(waiting)
+        waiting.clear()
     return (cutter.tail, cutter.place, finished, wanted, seq, waiting), out
 
 
@@ -49,14 +57,33 @@ def push_chunks(slices: DataFrame, options: ChunkOptions) -> DataFrame:
     return slices.groupBy("upload").applyInPandasWithState(update, CHUNK, "held binary", "append", GroupStateTimeout.NoTimeout)
 
 
-def push_chunks_batch(slices: DataFrame, options: ChunkOptions) -> DataFrame:
-    """The same over a table of all slices."""
+#: Slices of one upload that are Python objects at once.
+TAKEN = 256
 
-    def update(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        _, out = _feed((b"", 0, False, 0, 0, {}), sorted(zip(rows["slice_no"], rows["data"], rows["is_last"], strict=True), key=lambda r: r[0]), options)
-        return pd.DataFrame([(key[0], *r) for r in out], columns=["upload", "seq", "offset", "length", "hash", "status"])
 
-    return slices.groupBy("upload").applyInPandas(update, CHUNK)
+def push_chunks_batch(slices: DataFrame, options: ChunkOptions) -> DataFrame:
+    """The same over a table of all slices. Those of an upload come in order, one task's uploads in one go, so that
+    neither an upload is held whole nor a function called for each."""
+    names, types = zip(*(c.split(" ") for c in CHUNK.split(", ")), strict=True)
+    schema = pa.schema([(n, pa.string() if t == "string" else pa.int64()) for n, t in zip(names, types, strict=True)])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, state, begun = None, (), False
+        for b in batches:
+            for at in range(0, len(b), TAKEN):
+                rows = []
+                for upload, run in itertools.groupby(zip(*(c.to_pylist() for c in b.slice(at, TAKEN).columns), strict=True), key=lambda r: r[0]):
+                    if not begun or upload != current:
+                        current, state, begun = upload, (b"", 0, False, 0, 0, {}), True
+                    run = [r[1:] for r in run]
+                    again = [r for r in run if state[2] and r[0] < state[3]]  # of slices taken before, wherever a batch ends
+                    state, out = _feed(state, [r for r in run if not (state[2] and r[0] < state[3])], options)
+                    rows += [(upload, *r) for r in out] + [(upload, -1, -1, 0, None, "duplicate slice")] * len(again)
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+
+    ordered = slices.select("upload", "slice_no", "data", "is_last").repartition("upload").sortWithinPartitions("upload", "slice_no")
+    return ordered.mapInArrow(work, CHUNK)
 
 
 def append_witness(actions: DataFrame) -> DataFrame:

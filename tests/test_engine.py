@@ -520,3 +520,15 @@ def test_column_functions_hand_large_results_over_in_pieces():
     packed = list(columns.compress("lz4").func(iter([pa.array([data, None])])))
     assert [x and codecs.decompress("lz4", x) for p in packed for x in p.to_pylist()] == [data, None]
     assert columns.shake256.func(pa.array([b"a", None], pa.binary())).to_pylist() == [digest.shake256(b"a"), None]
+
+
+def test_slices_of_a_table_are_cut_in_order_without_a_call_for_each_upload(spark):
+    data = random.Random(3).randbytes(700 * 64)
+    rows = [("a", k, data[64 * k : 64 * k + 64], k == 699) for k in range(700)] + [("b", 0, b"x", True), ("b", 1, b"y", False), ("c", 1, b"late", True)] + [("d", 0, b"x", False), ("d", 0, b"x", False), ("d", 1, b"", True)]
+    out = push.push_chunks_batch(spark.createDataFrame(random.Random(4).sample(rows, len(rows)), "upload string, slice_no long, data binary, is_last boolean"), catalogue.SMALL)
+    assert "FlatMapGroups" not in out._jdf.queryExecution().toString()
+    got = {u: [tuple(r)[1:] for r in out.collect() if r.upload == u] for u in "abcd"}
+    assert [r[2] for r in sorted(got["a"])] == cdc.cut_lengths(data, catalogue.SMALL) and {r[4] for r in got["a"]} == {"ok"}
+    assert [r[3] for r in sorted(got["a"])] == [hashlib.sha256(data[o : o + n]).hexdigest() for _, o, n, _, _ in sorted(got["a"])]
+    assert sorted(r[4] for r in got["b"]) == ["ok", "push after finish"] and got["c"] == []
+    assert sorted(r[4] for r in got["d"]) == ["duplicate slice", "ok"]
